@@ -1,9 +1,9 @@
 """The registered queries of the ten corpus operators and their SQL."""
 
-from tessera.llm import fingerprints, resharding
+from tessera.llm import fingerprints, resharding, simhash_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (fingerprints, resharding):
+for _module in (fingerprints, resharding, simhash_dedup):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE_SQL

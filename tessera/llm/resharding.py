@@ -20,9 +20,10 @@ NEW_SHARDS = 24
 OLD_SHARDS = 16
 #: Blocks of all old shards together; the only table collected to the driver has one row a block.
 BLOCKS = 4096
-#: A block above this share of a new shard's capacity is split: between groups, and inside a group only if the group
-#: itself exceeds the share, so a huge group of equal texts can't unbalance the shards.
+#: A block above SPLIT_SHARE of a new shard's capacity is split between groups, and inside a group only if the group
+#: itself exceeds GROUP_SHARE, so a huge group of equal texts can't unbalance the shards.
 SPLIT_SHARE = 1 / 64
+GROUP_SHARE = 1 / 4
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -107,7 +108,7 @@ def plan_blocks(blocks: list[tuple[int, int, int, int]], new_shards: int, stay:
 def resharded(docs: DataFrame, old_shard: Column, size: Column, group: Column, row: Column, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """docs with old_shard, shard and slot (gapless from 0 in each shard, by block and then by `row`).
 
-    Rows of one group share a shard, unless the group exceeds SPLIT_SHARE of a shard.
+    Rows of one group share a shard, unless the group exceeds GROUP_SHARE of a shard.
     """
     spark = docs.sparkSession
     per_shard = max(1, blocks // max(1, OLD_SHARDS))
@@ -117,8 +118,8 @@ def resharded(docs: DataFrame, old_shard: Column, size: Column, group: Column, r
     most = max(1.0, sum(r["bytes"] for r in sizes) / new_shards * SPLIT_SHARE)
     parts = {(r["_old"], r["_block"]): min(r["rows"], int(r["bytes"] / most) + 1) for r in sizes if r["bytes"] > most and r["rows"] > 1}
     split = spark.createDataFrame([(o, b, n) for (o, b), n in parts.items()], "_old int, _block int, _parts int")
-    # fewer than new_shards / SPLIT_SHARE groups can each exceed the share
-    heavy = keyed.join(F.broadcast(split), ["_old", "_block"], "left_semi").groupBy("_group").agg(F.sum("_size").alias("b")).where(F.col("b") > most).select(F.col("_group").alias("_heavy"))
+    # fewer than new_shards / GROUP_SHARE groups can each exceed the share
+    heavy = keyed.join(F.broadcast(split), ["_old", "_block"], "left_semi").groupBy("_group").agg(F.sum("_size").alias("b")).where(F.col("b") > most / SPLIT_SHARE * GROUP_SHARE).select(F.col("_group").alias("_heavy"))
     keyed = keyed.join(F.broadcast(split), ["_old", "_block"], "left").join(F.broadcast(heavy), F.col("_group") == F.col("_heavy"), "left")
     salt = F.when(F.col("_heavy").isNotNull(), F.col("_row")).otherwise(F.xxhash64("_group", F.lit("part")))
     keyed = keyed.withColumn("_part", F.pmod(salt, F.coalesce("_parts", F.lit(1)).cast("long")).cast("int"))
