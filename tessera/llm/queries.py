@@ -1,9 +1,9 @@
 """The registered queries of the ten corpus operators and their SQL."""
 
-from tessera.llm import fingerprints, resharding, simhash_dedup
+from tessera.llm import fingerprints, resharding, simhash_dedup, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (fingerprints, resharding, simhash_dedup):
+for _module in (fingerprints, resharding, simhash_dedup, suffix_dedup):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE_SQL
