@@ -1,9 +1,9 @@
 """The registered queries of the ten corpus operators and their SQL."""
 
-from tessera.llm import encoding, fingerprints, lm_scoring, quality, resharding, simhash_dedup, suffix_dedup
+from tessera.llm import decontamination, encoding, fingerprints, lm_scoring, quality, resharding, simhash_dedup, suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (fingerprints, resharding, quality, suffix_dedup, encoding, simhash_dedup, lm_scoring):
+for _module in (fingerprints, resharding, quality, decontamination, suffix_dedup, encoding, simhash_dedup, lm_scoring):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE_SQL

@@ -88,8 +88,8 @@ def packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def send_grams(buckets: int):
-    """(uid, text) -> rows of grams by bucket. One row: the grams of a piece in a bucket, once a document.
+def send_grams(buckets: int, text: str = "text"):
+    """Documents -> rows of grams by bucket. One row: the grams of a piece in a bucket, once a document.
 
     A gram in several documents of the piece is known to be repeated: its documents get it at once (bucket -1 - x, to
     pass through the exchange evenly), and the bucket gets it once, with the number of documents.
@@ -98,7 +98,7 @@ def send_grams(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_numpy()
-            for data, bounds, rows, _ in pieces(batch, "text"):
+            for data, bounds, rows, _ in pieces(batch, text):
                 grams, *_, texts = covers(data, bounds)
                 if not len(grams):
                     continue
@@ -171,58 +171,62 @@ def windows_of(gram_lists: list[bytes], time_lists: list[bytes]) -> tuple[np.nda
     return grams[order], times[order]
 
 
-def send_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, doc, text, grams, times) -> occurrences: the bytes of all windows of a repeated cover position.
+def send_occurrences(text: str = "text"):
+    """Documents with grams, times -> occurrences: the bytes of all windows of a repeated cover position.
 
     kind 0: to be sorted with its bucket. kind 1: settled here, since an equal occurrence of a smaller document is in
     the same piece: all its windows are marked.
     """
-    names = ["kind", "gram", "salt", "doc", "uid", "spot", "before", "mask", "body"]
-    for batch in batches:
-        uids, docs = batch.column("uid").to_numpy(), batch.column("doc").to_numpy()
-        lists = batch.column("grams").to_pylist()
-        counts = batch.column("times").to_pylist()
-        for data, bounds, rows, bases in pieces(batch, "text"):
-            grams, spots, first, last, texts = covers(data, bounds)
-            if not len(grams):
-                continue
-            keep = np.zeros(len(grams), bool)
-            times = np.zeros(len(grams), np.int64)
-            at = np.searchsorted(texts, np.arange(len(rows) + 1))
-            for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                if a < b and lists[rows[i]]:
-                    known, many = windows_of(lists[rows[i]], counts[rows[i]])
-                    k = np.minimum(np.searchsorted(known, grams[a:b]), len(known) - 1)
-                    keep[a:b] = known[k] == grams[a:b]
-                    to = np.minimum(np.searchsorted(known, grams[a:b], "right") - 1, len(known) - 1)
-                    times[a:b] = np.maximum(many[k], many[to])
-            if not keep.any():
-                continue
-            grams, spots, first, last, texts, times = (x[keep] for x in (grams, spots, first, last, texts, times))
-            doc, uid, base = docs[rows[texts]], uids[rows[texts]], (bases - bounds[:-1])[texts]
-            raw = data.tobytes()
-            bodies = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
-            lowest: dict[tuple[int, int, bytes], int] = {}
-            for g, d, body, p in zip(grams.tolist(), doc.tolist(), bodies, (spots - first).tolist()):
-                key = (g, p, body)
-                if (x := lowest.get(key)) is None or d < x:
-                    lowest[key] = d
-            out: list[tuple] = []
-            for g, d, u, s, f, e, t, body in zip(grams.tolist(), doc.tolist(), uid.tolist(), (spots + base).tolist(), (spots - first).tolist(), (spots - last).tolist(), times.tolist(), bodies):
-                mask = sum(1 << k for k in range(e, f + 1))
-                key = (g, f, body)
-                if lowest[key] < d:
-                    out.append((1, 0, 0, d, u, s, f, mask, b""))
-                elif t <= HOT:
-                    out.append((0, g - (1 << 64) if g >> 63 else g, 0, d, u, s, f, mask, body))
-                else:  # each window goes to the bucket of its own hash
-                    masks: dict[int, int] = {}
-                    for k in range(e, f + 1):
-                        salt = int.from_bytes(hashlib.blake2b(body[f - k : f - k + LENGTH], digest_size=4).digest(), "big") % (t // HOT + 1)
-                        masks[salt] = masks.get(salt, 0) | 1 << k
-                    out += [(0, g - (1 << 64) if g >> 63 else g, salt, d, u, s, f, m, body) for salt, m in masks.items()]
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "gram", "salt", "doc", "uid", "spot", "before", "mask", "body"]
+        for batch in batches:
+            uids, docs = batch.column("uid").to_numpy(), batch.column("doc").to_numpy()
+            lists = batch.column("grams").to_pylist()
+            counts = batch.column("times").to_pylist()
+            for data, bounds, rows, bases in pieces(batch, text):
+                grams, spots, first, last, texts = covers(data, bounds)
+                if not len(grams):
+                    continue
+                keep = np.zeros(len(grams), bool)
+                times = np.zeros(len(grams), np.int64)
+                at = np.searchsorted(texts, np.arange(len(rows) + 1))
+                for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                    if a < b and lists[rows[i]]:
+                        known, many = windows_of(lists[rows[i]], counts[rows[i]])
+                        k = np.minimum(np.searchsorted(known, grams[a:b]), len(known) - 1)
+                        keep[a:b] = known[k] == grams[a:b]
+                        to = np.minimum(np.searchsorted(known, grams[a:b], "right") - 1, len(known) - 1)
+                        times[a:b] = np.maximum(many[k], many[to])
+                if not keep.any():
+                    continue
+                grams, spots, first, last, texts, times = (x[keep] for x in (grams, spots, first, last, texts, times))
+                doc, uid, base = docs[rows[texts]], uids[rows[texts]], (bases - bounds[:-1])[texts]
+                raw = data.tobytes()
+                bodies = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
+                lowest: dict[tuple[int, int, bytes], int] = {}
+                for g, d, body, p in zip(grams.tolist(), doc.tolist(), bodies, (spots - first).tolist()):
+                    key = (g, p, body)
+                    if (x := lowest.get(key)) is None or d < x:
+                        lowest[key] = d
+                out: list[tuple] = []
+                for g, d, u, s, f, e, t, body in zip(grams.tolist(), doc.tolist(), uid.tolist(), (spots + base).tolist(), (spots - first).tolist(), (spots - last).tolist(), times.tolist(), bodies):
+                    mask = sum(1 << k for k in range(e, f + 1))
+                    key = (g, f, body)
+                    if lowest[key] < d:
+                        out.append((1, 0, 0, d, u, s, f, mask, b""))
+                    elif t <= HOT:
+                        out.append((0, g - (1 << 64) if g >> 63 else g, 0, d, u, s, f, mask, body))
+                    else:  # each window goes to the bucket of its own hash
+                        masks: dict[int, int] = {}
+                        for k in range(e, f + 1):
+                            salt = int.from_bytes(hashlib.blake2b(body[f - k : f - k + LENGTH], digest_size=4).digest(), "big") % (t // HOT + 1)
+                            masks[salt] = masks.get(salt, 0) | 1 << k
+                        out += [(0, g - (1 << 64) if g >> 63 else g, salt, d, u, s, f, m, body) for salt, m in masks.items()]
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+    return run
 
 
 def classes(texts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,19 +318,21 @@ def with_removals(docs: DataFrame, order: str = "doc_id", text: str = "text") ->
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(4 * width, total // BUCKET_TEXT + 1)
-    keyed = docs.withColumn("uid", F.monotonically_increasing_id()).withColumn("doc", F.coalesce(F.col(order), F.lit(-(2**63))).cast("long"))
-    digest = keyed.select("uid", "doc", F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    keyed = docs.withColumn("uid", F.monotonically_increasing_id())
+    doc = F.coalesce(F.col(order), F.lit(-(2**63))).cast("long")
+    digest = keyed.select("uid", doc.alias("doc"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
     firsts = digest.groupBy("digest").agg(F.min("doc").alias("first"))
     copies = materialise(digest.join(firsts, "digest").where("doc > first").select("uid", F.lit(True).alias("copy")), "copies")
 
-    at_home = keyed.repartition(width, "uid")  # read by all three joins below, exchanged once
+    # The texts are exchanged once: all three uses below need all columns of at_home, so that Spark reads one exchange thrice.
+    at_home = keyed.repartition(width, "uid")
     settled = at_home.join(copies.hint("merge"), "uid", "left")
-    fresh = settled.where(F.col("copy").isNull()).select("uid", "doc", F.col(text).alias("text"))
-    grams = fresh.select("uid", "text").mapInArrow(send_grams(buckets), "bucket int, grams binary, uids binary, times binary")
+    fresh = settled.where(F.col("copy").isNull()).select(*keyed.columns, doc.alias("doc"))
+    grams = fresh.mapInArrow(send_grams(buckets, text), "bucket int, grams binary, uids binary, times binary")
     flags = grams.repartition(max(width, total // BUCKET_TEXT + 1), "bucket").sortWithinPartitions("bucket").mapInArrow(repeated_grams, "uid long, grams binary, times binary")
     listed = flags.groupBy("uid").agg(F.collect_list("grams").alias("grams"), F.collect_list("times").alias("times"))
     kinds = "kind int, gram long, salt int, doc long, uid long, spot long, before int, mask int, body binary"
-    found = fresh.join(listed.hint("merge"), "uid").mapInArrow(send_occurrences, kinds)
+    found = fresh.join(listed.hint("merge"), "uid").mapInArrow(send_occurrences(text), kinds)
     key = F.when(F.col("kind") == 1, F.xxhash64("uid")).otherwise(F.xxhash64("gram", "salt"))
     marks = found.repartition(width, key).sortWithinPartitions("gram", "salt").mapInArrow(mark_occurrences, "uid long, spot long, mask int")
     gathered = marks.groupBy("uid").agg(F.collect_list(F.struct("spot", "mask")).alias("marks"))
