@@ -1,9 +1,9 @@
 """The registered queries of the ten corpus operators and their SQL."""
 
-from tessera.llm import decontamination, encoding, fingerprints, licenses, lm_scoring, quality, resharding, simhash_dedup, suffix_dedup
+from tessera.llm import decontamination, encoding, fingerprints, licenses, lm_scoring, quality, resharding, simhash_dedup, suffix_dedup, wrappers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (fingerprints, resharding, quality, decontamination, suffix_dedup, encoding, licenses, simhash_dedup, lm_scoring):
+for _module in (fingerprints, resharding, quality, decontamination, wrappers, suffix_dedup, encoding, licenses, simhash_dedup, lm_scoring):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE_SQL
