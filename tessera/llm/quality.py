@@ -106,6 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
     taken = labels.where(F.col("label").isNotNull()).select("doc_id", "label", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id", "label").limit(most)
     rows = docs.join(F.broadcast(taken), "doc_id").select("key", F.col("label").cast("int").alias("label"), "text")
     model = rows.mapInArrow(counted, "key long, label int, ids binary, shares binary").repartition(1).mapInArrow(trainer, "weights binary, bias double").first()
+    if model is None:  # no labelled rows
+        return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(model["weights"], np.float32), model["bias"]
 
 
