@@ -127,23 +127,22 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(scores, F.desc("score"), "chunk_id").where(F.col("rank") <= k)
 
 
-def union_lists(*lists: DataFrame) -> DataFrame:
-    """Ranked lists (query_id, chunk_id, rank) as one, with list_no."""
+def union_lists(*lists: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Ranked lists (query_id, chunk_id, rank and carried columns of the chunk) as one, with list_no."""
     out = None
     for i, x in enumerate(lists):
-        part = x.select("query_id", "chunk_id", "rank", F.lit(i).alias("list_no"))
+        part = x.select("query_id", "chunk_id", *carry, "rank", F.lit(i).alias("list_no"))
         out = part if out is None else out.unionByName(part)
-    # dealt anew: lists that are partitioned alike may still be cut into different numbers of partitions at run time
-    return out.repartition("query_id")
+    return out
 
 
-def rrf(*lists: DataFrame, constant: int = 60) -> DataFrame:
+def rrf(*lists: DataFrame, constant: int = 60, carry: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal-rank fusion: sum of 1 / (constant + rank); ties by the first list, then its rank."""
-    fused = union_lists(*lists).groupBy("query_id", "chunk_id").agg(F.sum(1 / (constant + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("_first"))
+    fused = union_lists(*lists, carry=carry).groupBy("query_id", "chunk_id", *carry).agg(F.sum(1 / (constant + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("_first"))
     return ranked(fused, F.desc(F.round("score", 12)), "_first").drop("_first")
 
 
-def interleaved(*lists: DataFrame) -> DataFrame:
+def interleaved(*lists: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Round-robin union: by rank, then list; repeats dropped."""
-    first = union_lists(*lists).groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "list_no")).alias("_first"))
+    first = union_lists(*lists, carry=carry).groupBy("query_id", "chunk_id", *carry).agg(F.min(F.struct("rank", "list_no")).alias("_first"))
     return ranked(first, "_first").drop("_first")

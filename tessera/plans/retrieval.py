@@ -72,11 +72,10 @@ def second_list(hits: DataFrame) -> DataFrame:
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = pool(spark, sf_dir)
     b = second_list(a)
-    pages = a.select("query_id", "chunk_id", "source", "page")
-    named = [("embedding", a), ("rescored", b), ("rrf", R.rrf(a, b)), ("union", R.interleaved(a, b))]
+    page = ("source", "page")
     out = None
-    for name, x in named:
-        part = x.select("query_id", "chunk_id", "rank").join(pages, ["query_id", "chunk_id"]).withColumn("method", F.lit(name))
+    for name, x in [("embedding", a), ("rescored", b), ("rrf", R.rrf(a, b, carry=page)), ("union", R.interleaved(a, b, carry=page))]:
+        part = x.select("query_id", "chunk_id", *page, "rank", F.lit(name).alias("method"))
         out = part if out is None else out.unionByName(part)
     return out
 
