@@ -33,8 +33,8 @@ def document_date(created: Column, modified: Column, name: Column) -> Column:
 def clean_question(raw: Column) -> Column:
     """The first non-empty line without thoughts, numbering, labels and quotes; null unless it ends with '?'."""
     text = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
-    line = F.element_at(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), 1)
-    bare = F.regexp_replace(F.try_element_at(F.array(line), F.lit(1)), r"^(?i)(?:\d+[.)]\s*)?(?:question\s*:\s*)?", "")
+    line = F.try_element_at(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), F.lit(1))
+    bare = F.regexp_replace(line, r"^(?i)(?:\d+[.)]\s*)?(?:question\s*:\s*)?", "")
     bare = F.regexp_replace(bare, "^[\"'“”« ]+|[\"'“”» ]+$", "")
     return F.when(bare.endswith("?"), bare)
 
