@@ -87,21 +87,23 @@ def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = RADIU
     return q.join(p, ["tab", "block"]).where((F.col("query") != F.col("fingerprint")) & (differ <= radius)).select("query", "fingerprint", differ.alias("distance")).distinct()
 
 
-def beside_next(docs: DataFrame, columns: list[str], order: str = "doc_id", buckets: int | None = None) -> DataFrame:
+def beside_next(docs: DataFrame, columns: list[str], order: str = "doc_id", buckets: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Each row with next_<column> of the row that follows by `order` (nulls first, ties by text; after the last the first).
 
     Rows go to ranges of `order` by approximate quantiles, at four ranges a shuffle partition, and the first row of
-    each range is also sent to the range before it, so that no window spans the table.
+    each range is also sent to the range before it, so that no window spans the table. keys: the column `order` of
+    docs from a cheaper source, if docs is costly.
     """
     spark = docs.sparkSession
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = docs.agg(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    splits = [-math.inf, *sorted(set(quantiles)), math.inf]
+    keys = docs.select(order) if keys is None else keys
+    quantiles = keys.agg(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    splits = [-math.inf, *(sorted(set(quantiles)) or [0.0]), math.inf]
     ranged = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
     placed = ranged.transform(docs.withColumn("_at", F.col(order).cast("double"))).drop("_at")
     placed = placed.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(F.col("_range").cast("int")))
     # one row a range: as many as there are ranges, whatever the size of the table
-    firsts = sorted(ranged.transform(docs.select(F.col(order), F.col(order).cast("double").alias("_at"))).select(F.when(F.col(order).isNull(), -1).otherwise(F.col("_range").cast("int")).alias("r"), order).groupBy("r").agg(F.min(order)).collect())
+    firsts = sorted(ranged.transform(keys.select(F.col(order), F.col(order).cast("double").alias("_at"))).select(F.when(F.col(order).isNull(), -1).otherwise(F.col("_range").cast("int")).alias("r"), order).groupBy("r").agg(F.min(order)).collect())
     before = [(head, firsts[i - 1][0]) for i, (_, head) in enumerate(firsts)] or [(None, 0)]
     heads = spark.createDataFrame(before, f"_head {docs.schema[order].dataType.simpleString()}, _before int")
     target = lambda r, copy: F.struct(r.alias("r"), F.lit(copy).alias("copy"))
@@ -118,7 +120,7 @@ def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     (by the block tables); null for the others.
     """
     docs = tables(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = beside_next(with_fingerprint(docs), ["text", "fingerprint"])
+    marked = beside_next(with_fingerprint(docs), ["text", "fingerprint"], keys=docs.select("doc_id"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
