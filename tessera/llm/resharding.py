@@ -29,8 +29,8 @@ GROUP_SHARE = 1 / 4
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
     """flow[i][j] that ships all supply within the capacities at the least total cost.
 
-    sum(capacity) must be at least sum(supply). Successive shortest paths: Dijkstra on reduced costs, then push the
-    bottleneck; each push empties a source or a sink or reverses an edge, so the loop ends.
+    sum(capacity) must be at least sum(supply). Successive shortest paths: Dijkstra on reduced costs from all sources
+    with supply left, then push the bottleneck of the shortest path to a shard with room.
     """
     n, m = len(supply), len(capacity)
     assert sum(capacity) >= sum(supply), "the new shards can't hold the data"
@@ -40,15 +40,11 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     while any(left):
         best, via, done = [0 if left[i] else None for i in range(n)] + [None] * m, [-1] * (n + m), [False] * (n + m)
         heap = [(0, i) for i in range(n) if left[i]]
-        end = -1
         while heap:
             d, x = heapq.heappop(heap)
             if done[x]:
                 continue
             done[x] = True
-            if x >= n and room[x - n]:
-                end = x
-                break
             if x < n:
                 steps = ((n + j, cost[x][j] + up[x] - vp[j]) for j in range(m))
             else:
@@ -57,11 +53,13 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
                 if not done[y] and (best[y] is None or d + c < best[y]):
                     best[y], via[y] = d + c, x
                     heapq.heappush(heap, (d + c, y))
-        far = best[end]
+        # potentials make the steps of shortest paths cost nothing; every new shard is reached, since all pairs are edges
+        far = max(d for d in best if d is not None)
         for i in range(n):
-            up[i] += min(far, best[i]) if best[i] is not None else far
+            up[i] += best[i] if best[i] is not None else far
         for j in range(m):
-            vp[j] += min(far, best[n + j]) if best[n + j] is not None else far
+            vp[j] += best[n + j]
+        end = n + min((j for j in range(m) if room[j]), key=lambda j: vp[j])
         path, x = [], end
         while via[x] >= 0:
             path.append((via[x], x))
