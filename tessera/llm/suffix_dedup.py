@@ -3,19 +3,18 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. Only the suffixes
 that can matter are sorted, one bucket of suffixes at a time:
 
-1. Cover sample. In every 50-byte window the 24-byte gram of least hash (leftmost on ties) is a cover position. Equal
+1. Cover sample. In every 50-byte window the 26-byte gram of least hash (leftmost on ties) is a cover position. Equal
    windows have it at equal offsets, which is what a difference cover grants to pairs of suffixes; taking it from the
-   content leaves 2 / 28 of the positions, and lets the grams that occur in one document only be dropped at once.
+   content leaves 2 / 26 of the positions, and lets the grams that occur in one document only be dropped at once.
 2. Bucket. Occurrences of one gram, with the bytes of all windows that have it as their cover position, make a
    bucket. Occurrences with equal bytes in one slice of the input are first reduced to the smallest document.
 3. Ranks. The cover suffixes of a bucket are sorted (50 bytes at most) and so are the reversed bytes before them. A
-   window is then ordered by at most 26 leading bytes and the rank of its cover suffix: windows with equal bytes are
+   window is then ordered by at most 24 leading bytes and the rank of its cover suffix: windows with equal bytes are
    those with one class of left ranks and one of right ranks, cut where neighbours share too few bytes.
    A block of whole buckets of about BLOCK_ROWS occurrences is in memory at a time.
 4. Of equal windows, those outside the smallest document are marked.
 
-Exact copies of a text are settled first by their digests and skip these steps. A gram that is in very many
-documents is dealt to several buckets by the hashes of its windows.
+Exact copies of a text are settled first by their digests and skip these steps.
 """
 
 from __future__ import annotations
@@ -32,14 +31,12 @@ from pyspark.sql import functions as F
 from tessera.llm.staging import materialise, tables
 from tessera.llm.textbytes import mix, powers, utf8
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 26
 REACH = LENGTH - GRAM + 1
 #: Bytes of text for which arrays are built at a time; longer texts are cut, with LENGTH - 1 bytes of overlap.
 PIECE = 1 << 20
 #: Occurrences that are sorted together.
 BLOCK_ROWS = 1 << 16
-#: Documents with one gram above which its windows are dealt to several buckets.
-HOT = 20_000
 #: Bytes of text for each bucket of grams in the first exchange.
 BUCKET_TEXT = 16 << 20
 
@@ -68,7 +65,7 @@ def covers(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    grams = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+    grams = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1]) >> np.uint64(16)
     least, where = grams, np.arange(len(grams))
     for step in (1, 2, 4, 8, REACH - 16):  # windows of 2, 4, 8, 16 and REACH grams
         left = least[:-step] <= least[step:]
@@ -88,6 +85,23 @@ def packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def packed48(x: np.ndarray) -> bytes:
+    """Hashes of 48 bits in 6 bytes each. Grams of one hash meet, but only equal bytes are ever marked."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked48(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def runs(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Values and lengths of the runs of x."""
+    head = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return packed(x[head]), packed(np.diff(np.append(head, len(x))).astype(np.int32))
+
+
 def send_grams(buckets: int, text: str = "text"):
     """Documents -> rows of grams by bucket. One row: the grams of a piece in a bucket, once a document.
 
@@ -111,49 +125,52 @@ def send_grams(buckets: int, text: str = "text"):
                 known = np.repeat(times > 1, times)
                 out: list[tuple] = []
                 if known.any():
-                    out.append((-1 - int(grams[0] % np.uint64(buckets)), packed(grams[known]), packed(uids[rows[texts[known]]]), packed(np.repeat(times, times)[known].astype(np.int32))))
+                    out.append((-1 - int(grams[0] % np.uint64(buckets)), packed48(grams[known]), *runs(uids[rows[texts[known]]]), packed(np.repeat(times, times)[known].astype(np.int32))))
                 g, t, c = grams[head], texts[head], times
                 bucket = (g % np.uint64(buckets)).astype(np.int64)
                 by = np.lexsort((t, bucket))
                 g, t, c, bucket = g[by], t[by], c[by], bucket[by]
                 cut = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
                 for a, b in zip(cut, np.append(cut[1:], len(g))):
-                    out.append((int(bucket[a]), packed(g[a:b]), packed(uids[rows[t[a:b]]]), packed(c[a:b].astype(np.int32))))
+                    out.append((int(bucket[a]), packed48(g[a:b]), *runs(uids[rows[t[a:b]]]), packed(c[a:b].astype(np.int32))))
                 for at in range(0, len(out), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + 4096]), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "grams", "uids", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + 4096]), (pa.int32(), *4 * [pa.binary()]))], ["bucket", "grams", "uids", "runs", "times"])
 
     return run
 
 
-def by_uid(uids: np.ndarray, grams: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+def by_uid(uids: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+    """One row a document with its grams."""
     order = np.argsort(uids, kind="stable")
-    uids, grams, times = uids[order], grams[order], times[order]
+    uids, grams = uids[order], grams[order]
     cut = np.flatnonzero(np.append(True, np.diff(uids) != 0))
-    ends = np.append(cut[1:], len(uids))
-    return pa.RecordBatch.from_arrays([pa.array(uids[cut]), pa.array([packed(grams[a:b]) for a, b in zip(cut, ends)], pa.binary()), pa.array([packed(times[a:b].astype(np.int32)) for a, b in zip(cut, ends)], pa.binary())], ["uid", "grams", "times"])
+    return pa.RecordBatch.from_arrays([pa.array(uids[cut]), pa.array([packed48(grams[a:b]) for a, b in zip(cut, np.append(cut[1:], len(uids)))], pa.binary())], ["uid", "grams"])
 
 
 def repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> (uid, its grams that other documents have, their numbers of documents)."""
+    """Rows sorted by bucket -> (uid, its grams that other documents have)."""
     held: list[tuple] = []
     bucket = None
 
+    def owners(row: tuple) -> np.ndarray:
+        return np.repeat(np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int32))
+
     def settle() -> Iterator[pa.RecordBatch]:
-        grams, uids, times = (np.concatenate([np.frombuffer(h[i], k) for h in held]) for i, k in ((0, np.uint64), (1, np.int64), (2, np.int32)))
+        grams, uids = np.concatenate([unpacked48(h[0]) for h in held]), np.concatenate([owners(h) for h in held])
+        times = np.concatenate([np.frombuffer(h[3], np.int32) for h in held])
         order = np.argsort(grams, kind="stable")
         grams, uids, times = grams[order], uids[order], times[order]
         head = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
         total = np.add.reduceat(times.astype(np.int64), head)
         many = np.repeat(total, np.diff(np.append(head, len(grams))))
-        # a row with times > 1 stands for documents that have the gram already
         keep = many > 1
         if keep.any():
-            yield by_uid(uids[keep], grams[keep], np.minimum(many[keep], 2**31 - 1))
+            yield by_uid(uids[keep], grams[keep])
 
     for batch in batches:
-        for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "grams", "uids", "times"))):
+        for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "grams", "uids", "runs", "times"))):
             if b < 0:
-                yield by_uid(np.frombuffer(row[1], np.int64), np.frombuffer(row[0], np.uint64), np.frombuffer(row[2], np.int32))
+                yield by_uid(owners(row), unpacked48(row[0]))
                 continue
             if b != bucket and held:
                 yield from settle()
@@ -164,43 +181,32 @@ def repeated_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from settle()
 
 
-def windows_of(gram_lists: list[bytes], time_lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    grams = np.concatenate([np.frombuffer(g, np.uint64) for g in gram_lists])
-    times = np.concatenate([np.frombuffer(t, np.int32) for t in time_lists])
-    order = np.argsort(grams, kind="stable")
-    return grams[order], times[order]
-
-
 def send_occurrences(text: str = "text"):
-    """Documents with grams, times -> occurrences: the bytes of all windows of a repeated cover position.
+    """Documents with grams -> occurrences: the bytes of all windows of a repeated cover position.
 
     kind 0: to be sorted with its bucket. kind 1: settled here, since an equal occurrence of a smaller document is in
     the same piece: all its windows are marked.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "gram", "salt", "doc", "uid", "spot", "before", "mask", "body"]
+        names = ["kind", "gram", "doc", "uid", "spot", "before", "mask", "body"]
         for batch in batches:
             uids, docs = batch.column("uid").to_numpy(), batch.column("doc").to_numpy()
             lists = batch.column("grams").to_pylist()
-            counts = batch.column("times").to_pylist()
             for data, bounds, rows, bases in pieces(batch, text):
                 grams, spots, first, last, texts = covers(data, bounds)
                 if not len(grams):
                     continue
                 keep = np.zeros(len(grams), bool)
-                times = np.zeros(len(grams), np.int64)
                 at = np.searchsorted(texts, np.arange(len(rows) + 1))
                 for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
                     if a < b and lists[rows[i]]:
-                        known, many = windows_of(lists[rows[i]], counts[rows[i]])
+                        known = np.unique(np.concatenate([unpacked48(g) for g in lists[rows[i]]]))
                         k = np.minimum(np.searchsorted(known, grams[a:b]), len(known) - 1)
                         keep[a:b] = known[k] == grams[a:b]
-                        to = np.minimum(np.searchsorted(known, grams[a:b], "right") - 1, len(known) - 1)
-                        times[a:b] = np.maximum(many[k], many[to])
                 if not keep.any():
                     continue
-                grams, spots, first, last, texts, times = (x[keep] for x in (grams, spots, first, last, texts, times))
+                grams, spots, first, last, texts = (x[keep] for x in (grams, spots, first, last, texts))
                 doc, uid, base = docs[rows[texts]], uids[rows[texts]], (bases - bounds[:-1])[texts]
                 raw = data.tobytes()
                 bodies = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
@@ -210,20 +216,13 @@ def send_occurrences(text: str = "text"):
                     if (x := lowest.get(key)) is None or d < x:
                         lowest[key] = d
                 out: list[tuple] = []
-                for g, d, u, s, f, e, t, body in zip(grams.tolist(), doc.tolist(), uid.tolist(), (spots + base).tolist(), (spots - first).tolist(), (spots - last).tolist(), times.tolist(), bodies):
-                    mask = sum(1 << k for k in range(e, f + 1))
-                    key = (g, f, body)
-                    if lowest[key] < d:
-                        out.append((1, 0, 0, d, u, s, f, mask, b""))
-                    elif t <= HOT:
-                        out.append((0, g - (1 << 64) if g >> 63 else g, 0, d, u, s, f, mask, body))
-                    else:  # each window goes to the bucket of its own hash
-                        masks: dict[int, int] = {}
-                        for k in range(e, f + 1):
-                            salt = int.from_bytes(hashlib.blake2b(body[f - k : f - k + LENGTH], digest_size=4).digest(), "big") % (t // HOT + 1)
-                            masks[salt] = masks.get(salt, 0) | 1 << k
-                        out += [(0, g - (1 << 64) if g >> 63 else g, salt, d, u, s, f, m, body) for salt, m in masks.items()]
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                for g, d, u, s, f, e, body in zip(grams.tolist(), doc.tolist(), uid.tolist(), (spots + base).tolist(), (spots - first).tolist(), (spots - last).tolist(), bodies):
+                    mask = (2 << f) - (1 << e)
+                    if lowest[g, f, body] < d:
+                        out.append((1, 0, d, u, s, f, mask, b""))
+                    else:
+                        out.append((0, g, d, u, s, f, mask, body))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     return run
@@ -271,18 +270,22 @@ def marked_windows(group: np.ndarray, doc: np.ndarray, before: np.ndarray, mask:
 
 
 def mark_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences sorted by (gram, salt) -> (uid, spot, mask of marked windows), a block of whole buckets at a time."""
-    names = ["gram", "salt", "doc", "uid", "spot", "before", "mask"]
-    held: list[pa.RecordBatch] = []
+    """Occurrences sorted by (gram, doc) -> (uid, spot, mask of marked windows), a block of whole buckets at a time.
 
-    def settle(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, salt, doc, uid, spot, before, mask = (block.column(c).to_numpy() for c in names)
-        group = np.cumsum(np.append(0, (np.diff(gram) != 0) | (np.diff(salt) != 0)))
+    A bucket larger than a block is read in parts. What goes on from part to part are the occurrences with a window
+    that no smaller document has; later documents can't change their marks.
+    """
+    names = ["gram", "doc", "uid", "spot", "before", "mask"]
+    held: list[pa.Table] = []
+
+    def settle(block: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+        gram, doc, uid, spot, before, mask = (block.column(c).to_numpy() for c in names)
+        group = np.cumsum(np.append(0, np.diff(gram) != 0))
         found = marked_windows(group, doc, before.astype(np.int64), mask.astype(np.int64), block.column("body").to_pylist())
-        keep = found > 0
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(uid[keep]), pa.array(spot[keep]), pa.array(found[keep].astype(np.int32))], ["uid", "spot", "mask"])
+        tell = (found > 0) & (block.column("kind").to_numpy() == 0)
+        return pa.RecordBatch.from_arrays([pa.array(uid[tell]), pa.array(spot[tell]), pa.array(found[tell].astype(np.int32))], ["uid", "spot", "mask"]), found != mask
 
+    most = BLOCK_ROWS
     for batch in batches:
         done = pc.equal(batch.column("kind"), 1)
         if batch.num_rows and pc.any(done).as_py():
@@ -291,18 +294,28 @@ def mark_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             batch = batch.filter(pc.invert(done))
         if not batch.num_rows:
             continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < BLOCK_ROWS:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(b.num_rows for b in held) < most:
             continue
-        block = pa.Table.from_batches(held).combine_chunks()
-        gram, salt = block.column("gram").to_numpy(), block.column("salt").to_numpy()
-        edge = np.flatnonzero((gram != gram[-1]) | (salt != salt[-1]))
+        block = pa.concat_tables(held).combine_chunks()
+        gram = block.column("gram").to_numpy()
+        edge = np.flatnonzero(gram != gram[-1])
         cut = int(edge[-1]) + 1 if len(edge) else 0
         if cut:
-            yield from settle(block.slice(0, cut))
-        held = block.slice(cut).combine_chunks().to_batches()
+            yield settle(block.slice(0, cut))[0]
+            most = BLOCK_ROWS
+        rest = block.slice(cut).combine_chunks()
+        if rest.num_rows >= most // 2:
+            told, new = settle(rest)
+            yield told
+            rest = rest.filter(pa.array(new))
+            rest = rest.set_column(rest.schema.get_field_index("kind"), "kind", pa.array(np.full(rest.num_rows, 2, np.int32)))  # told already
+            most = max(BLOCK_ROWS, 2 * rest.num_rows)
+        held = [rest]
     if held:
-        yield from settle(pa.Table.from_batches(held))
+        block = pa.concat_tables(held).combine_chunks()
+        if block.num_rows:
+            yield settle(block)[0]
 
 
 def runs_of(gone: np.ndarray) -> int:
@@ -328,13 +341,13 @@ def with_removals(docs: DataFrame, order: str = "doc_id", text: str = "text") ->
     at_home = keyed.repartition(width, "uid")
     settled = at_home.join(copies.hint("merge"), "uid", "left")
     fresh = settled.where(F.col("copy").isNull()).select(*keyed.columns, doc.alias("doc"))
-    grams = fresh.mapInArrow(send_grams(buckets, text), "bucket int, grams binary, uids binary, times binary")
-    flags = grams.repartition(max(width, total // BUCKET_TEXT + 1), "bucket").sortWithinPartitions("bucket").mapInArrow(repeated_grams, "uid long, grams binary, times binary")
-    listed = flags.groupBy("uid").agg(F.collect_list("grams").alias("grams"), F.collect_list("times").alias("times"))
-    kinds = "kind int, gram long, salt int, doc long, uid long, spot long, before int, mask int, body binary"
+    grams = fresh.mapInArrow(send_grams(buckets, text), "bucket int, grams binary, uids binary, runs binary, times binary")
+    flags = grams.repartition(max(width, total // BUCKET_TEXT + 1), "bucket").sortWithinPartitions("bucket").mapInArrow(repeated_grams, "uid long, grams binary")
+    listed = flags.groupBy("uid").agg(F.collect_list("grams").alias("grams"))
+    kinds = "kind int, gram long, doc long, uid long, spot long, before int, mask int, body binary"
     found = fresh.join(listed.hint("merge"), "uid").mapInArrow(send_occurrences(text), kinds)
-    key = F.when(F.col("kind") == 1, F.xxhash64("uid")).otherwise(F.xxhash64("gram", "salt"))
-    marks = found.repartition(width, key).sortWithinPartitions("gram", "salt").mapInArrow(mark_occurrences, "uid long, spot long, mask int")
+    key = F.when(F.col("kind") == 1, F.xxhash64("uid")).otherwise(F.xxhash64("gram"))
+    marks = found.repartition(width, key).sortWithinPartitions("gram", "doc").mapInArrow(mark_occurrences, "uid long, spot long, mask int")
     gathered = marks.groupBy("uid").agg(F.collect_list(F.struct("spot", "mask")).alias("marks"))
     return settled.join(gathered.hint("merge"), "uid", "left")
 
