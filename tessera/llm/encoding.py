@@ -12,7 +12,7 @@ edges are grouped by word and folded with aggregate():
 Characters without a piece become byte pieces (or the unknown piece). Both folds give the library's ids.
 
 The words most frequent in the corpus (CACHE_WORDS at most, so their encodings are broadcast) are folded once; every
-other word is folded where its document is, after one exchange of the documents. Words longer than LONG characters
+other word is folded where its document is read, in the stream of its partition, so texts are never exchanged. Words longer than LONG characters
 are segmented by the same rules in plain loops whose time is near linear in their length.
 
 A null or empty text has no ids. decode() restores the text exactly, except that a literal mark U+2581 reads as a space.
@@ -22,15 +22,18 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import BROADCAST_PIECES, MARK, MODEL, Pieces, load_pieces
-from tessera.llm.staging import materialise, tables
+from tessera.llm.staging import count_floor, materialise, tables
+from tessera.llm.textbytes import slices
 
 CACHE_WORDS = 1 << 18
 LONG = 64
@@ -41,18 +44,54 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def lattice(words: DataFrame, pieces: Pieces, keys: list[str], carried: list[str] = ()) -> DataFrame:
-    """keys, word and edges (s, l, id, score) of each distinct (keys, word); carried columns by their first non-null.
+def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words (uid, pos, word and any others, a (uid, pos) once) with edges (s, l, id, score) of each word.
 
-    The empty word has the one edge of the empty piece. No exchange is needed where words is already dealt by keys.
+    The exploded substrings of a word follow one another, and a broadcast join keeps them so; runs of one (uid, pos)
+    are then gathered as they stream by, without an exchange or a sort. A piece table too large to broadcast is
+    joined by an exchange, and the rows are dealt and sorted again. The empty word has no edges.
     """
-    table = pieces.table(words.sparkSession)
-    table = F.broadcast(table) if len(pieces.names) <= BROADCAST_PIECES else table
+    names = words.columns
     n = F.length("word")
     spans = words.withColumn("s", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1)))))
     spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 1, 0).otherwise(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))))
-    edges = spans.withColumn("piece", F.expr("substring(word, s, l)")).join(table, "piece")
-    return edges.groupBy(*keys, "word").agg(*[F.first(c, ignorenulls=True).alias(c) for c in carried], F.collect_list(F.when(F.col("l") > 0, F.struct("s", "l", "id", "score"))).alias("edges"))
+    spans = spans.withColumn("piece", F.expr("substring(word, s, l)"))
+    table = pieces.table(words.sparkSession)
+    if len(pieces.names) <= BROADCAST_PIECES:
+        edges = spans.join(F.broadcast(table), "piece")
+    else:
+        edges = spans.join(table, "piece").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid").sortWithinPartitions("uid", "pos", "s", "l")
+    edge = ["s", "l", "id", "score"]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields]
+
+    def gathered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        uid, pos, length = (rows.column(c).to_numpy() for c in ("uid", "pos", "l"))
+        head = np.flatnonzero(np.append(True, (np.diff(uid) != 0) | (np.diff(pos) != 0)))
+        real = length > 0
+        sizes = np.add.reduceat(real, head, dtype=np.int64)
+        kept = rows.select(edge).filter(pa.array(real)).combine_chunks()
+        one = pa.StructArray.from_arrays([kept.column(c).combine_chunks() if kept.num_rows else pa.array([], kept.schema.field(c).type) for c in edge], edge)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), one)
+        for x in rows.select(names).take(pa.array(head)).append_column("edges", lists).to_batches(max_chunksize=2048):
+            yield x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            uid, pos = (rows.column(c).to_numpy() for c in ("uid", "pos"))
+            cut = int(np.flatnonzero((uid != uid[-1]) | (pos != pos[-1]))[-1]) + 1 if (uid[0], pos[0]) != (uid[-1], pos[-1]) else 0
+            if cut:
+                yield from gathered(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield from gathered(held)
+
+    return edges.select(*names, *edge).mapInArrow(run, ", ".join([*kinds, "edges array<struct<s:int,l:int,id:int,score:double>>"]))
 
 
 def fallback_ids(char: Column, pieces: Pieces) -> Column:
@@ -120,11 +159,10 @@ def viterbi_fold(word: Column, edges: Column, pieces: Pieces) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, ids)).otherwise(F.array().cast("array<int>"))
 
 
-def folded(words: DataFrame, pieces: Pieces, keys: list[str], carried: list[str] = ()) -> DataFrame:
-    """keys, word, carried and ids of each distinct (keys, word)."""
+def folded(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """words (uid, pos, word and any others) with the ids of each word, in the same order."""
     fold = merge_fold if pieces.merges else viterbi_fold
-    grouped = lattice(words, pieces, keys, carried)
-    return grouped.select(*keys, "word", *carried, fold(F.col("word"), F.col("edges"), pieces).alias("ids"))
+    return lattice(words, pieces).select(*words.columns, fold(F.col("word"), F.col("edges"), pieces).alias("ids"))
 
 
 def long_word(word: str, pieces: Pieces) -> list[int]:
@@ -177,15 +215,17 @@ def frequent_words(docs: DataFrame, most: int = CACHE_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(words_of(text))
-            if len(seen) > 1 << 20:  # bounds the task's memory
-                seen = Counter({w: n for w, n in seen.items() if n > 2})
+            for part in slices(batch, "text"):
+                for text in part.column(0).to_pylist():
+                    if text:
+                        seen.update(words_of(text))
+                if len(seen) > 1 << 19:  # bounds the task's memory
+                    seen = Counter({w: n for w, n in seen.items() if n > 2})
         rows = [(w, n) for w, n in seen.items() if n > 2 and len(w) <= LONG]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+    counts = materialise(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    return counts.where(F.col("n") >= count_floor(counts, "n", most)).select("word")
 
 
 def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS) -> DataFrame:
@@ -193,36 +233,67 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS)
     spark = docs.sparkSession
     pieces = load_pieces(path)
     names = docs.columns
-    cache = {r["word"]: r["ids"] for r in folded(materialise(frequent_words(docs, cache_words), "words"), pieces, []).collect()}  # at most cache_words rows
+    frequent = frequent_words(docs, cache_words).select(F.monotonically_increasing_id().alias("uid"), F.lit(0).alias("pos"), "word")
+    cache = {r["word"]: array("i", r["ids"]) for r in folded(frequent, pieces).select("word", "ids").toLocalIterator()}  # at most cache_words rows
     shared = spark.sparkContext.broadcast((cache, pieces))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value[0]
         for batch in batches:
-            found = [sorted({w for w in words_of(t) if w not in known and len(w) <= LONG}) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([["", *x] for x in found], pa.list_(pa.string()))], [*batch.schema.names, "found"])
+            for part in slices(batch, "text"):
+                found = [["", *{w for w in words_of(t) if w not in known and len(w) <= LONG}] if t else [""] for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.string()))], [*part.schema.names, "found"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a document (pos 0, then its rare words) follow one another."""
         known, own = shared.value
+        here: dict[str, list[int]] = {}
+        at: pa.Array | None = None  # the document that is being read
+        done: list[pa.Array] = []
+        ids, ends = array("i"), array("i", [0])
+        size = 0
+
+        def finish() -> None:
+            nonlocal size
+            text = at.field("text")[0].as_py() or ""
+            for w in words_of(text):
+                ids.extend(known.get(w) or here.get(w) or long_word(w, own))
+            done.append(at)
+            ends.append(len(ids))
+            size += len(text)
+
+        def flushed() -> pa.RecordBatch:
+            nonlocal size
+            docs_ = pa.concat_arrays(done)
+            bounds = np.array(ends, np.int32)
+            out = pa.RecordBatch.from_arrays([*(docs_.field(c) for c in names), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.array(ids, np.int32)))], [*names, "n_tokens", "ids"])
+            done.clear()
+            del ids[:], ends[1:]
+            size = 0
+            return out
+
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                here = {f["word"]: f["ids"] for f in found or ()}
-                row: list[int] = []
-                for w in words_of(text or ""):
-                    row += known.get(w) or here.get(w) or long_word(w, own)
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.list_(pa.int32()))], [*names, "n_tokens", "ids"])
+            doc = batch.column("doc")
+            for r, (pos, word, word_ids) in enumerate(zip(batch.column("pos").to_pylist(), batch.column("word").to_pylist(), batch.column("ids"))):
+                if pos == 0:
+                    if at is not None:
+                        finish()
+                        if size > 1 << 20:
+                            yield flushed()
+                    at, here = doc.slice(r, 1), {}
+                else:
+                    here[word] = word_ids.values.to_pylist()
+        if at is not None:
+            finish()
+        if done:
+            yield flushed()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     marked = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(rare, ", ".join([*fields, "uid long", "found array<string>"]))
-    # one row for the document (its word is empty) and one for each rare word; dealt by uid once, all that follows stays in place
+    # one row for the document (its word is empty), then one for each rare word
     spread = marked.select("uid", F.struct(*[F.col(c) for c in names]).alias("doc"), F.posexplode("found").alias("pos", "word"))
-    spread = spread.select("uid", "word", F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
-    dealt = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
-    each = folded(dealt, pieces, ["uid"], ["doc"])
-    gathered = each.groupBy("uid").agg(F.first("doc", ignorenulls=True).alias("doc"), F.collect_list(F.when(F.col("word") != "", F.struct("word", "ids"))).alias("found"))
-    return gathered.select(*[F.col("doc")[c].alias(c) for c in names], "found").mapInArrow(assemble, ", ".join([*fields, "n_tokens long", "ids array<int>"]))
+    spread = spread.select("uid", "pos", "word", F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
+    return folded(spread, pieces).mapInArrow(assemble, ", ".join([*fields, "n_tokens long", "ids array<int>"]))
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -239,8 +310,10 @@ def decoded(df: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else decode_ids(x, pieces) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [decode_ids(x.values.to_pylist(), pieces) if x.is_valid else None for x in part.column(ids)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
 

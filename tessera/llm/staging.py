@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def count_floor(counts: DataFrame, column: str, most: int) -> int:
+    """A count that at most `most` rows reach: the least power of 1.5 for which that holds, from one aggregate."""
+    steps = sorted({int(1.5**i) for i in range(80)})
+    row = counts.agg(*[F.count(F.when(F.col(column) >= t, 1)) for t in steps]).first()
+    return next((t for t, n in zip(steps, row) if n <= most), steps[-1])
