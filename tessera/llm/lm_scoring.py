@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
-from tessera.llm.staging import materialise, tables
-from tessera.llm.textbytes import LOWER, mix
+from tessera.llm.staging import count_floor, materialise, tables
+from tessera.llm.textbytes import LOWER, mix, slices
 
 ROUNDS = 3
 CACHE_WORDS = 1 << 18
@@ -136,9 +136,10 @@ def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
             return out
 
         for batch in batches:
-            for text, train in zip(batch.column("text").to_pylist(), batch.column("trains").to_pylist()):
-                seen[train].update(tokens(text))
-                if len(seen[0]) + len(seen[1]) > 1 << 20:  # bounds the task's memory; Spark adds the parts up
+            for part in slices(batch, "text"):
+                for text, train in zip(part.column("text").to_pylist(), part.column("trains").to_pylist()):
+                    seen[train].update(tokens(text))
+                if len(seen[0]) + len(seen[1]) > 1 << 19:  # bounds the task's memory; Spark adds the parts up
                     yield rows()
         yield rows()
 
@@ -200,14 +201,14 @@ def scored(docs: DataFrame, held_out: Column, path: str = MODEL, order: str = "d
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(score)], ["word", "c", "base", "score"])
 
     words = materialise(counts.mapInArrow(weigh, "word binary, c long, base double, score double"), "words")
-    top = words.orderBy(F.desc("c"), "word").limit(CACHE_WORDS).collect()  # at most CACHE_WORDS rows
+    top = words.where(F.col("c") >= count_floor(words, "c", CACHE_WORDS)).toLocalIterator()  # at most CACHE_WORDS rows
     end_base, end_score = (x[0] for x in one(np.array([float(ends)]), np.array([-np.inf if ends else 0.0])))
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): (int(r["c"] > 0), r["base"], r["score"]) for r in top})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents, summed over frequent words, and (word not null) rows of their other words."""
         known = frequent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             out: list[tuple] = []
             for uid, doc, held, text in zip(*(batch.column(x).to_pylist() for x in ("uid", "doc_id", "held_out", "text"))):
                 own = Counter(tokens(text))
