@@ -2,7 +2,7 @@
 
 A text is put in canonical form: lower case, copyright lines removed, equivalent spellings made one, everything but
 letters and digits read as one space. Its SHA-256 is hash-joined to the digests of known licences. Whole texts are
-looked up, and so is every line and every paragraph (lines between blank ones), since a notice is often a line of its
+looked up, and so is every line and every paragraph (lines between such without letters or digits), since a notice is often a line of its
 own in a longer text. Only Spark SQL functions are used.
 
 Null texts, and texts of copyright lines only, have no canonical form and match nothing.
@@ -59,17 +59,23 @@ SPELLINGS: list[tuple[str, str]] = [
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)\s|©)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+def marked(text: Column) -> Column:
+    """The text in canonical words between single spaces, its line feeds kept as words; one pass for all of its parts."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), r"[^\p{L}\p{N}\n]+", " ")
+    words = F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
         words = F.replace(words, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(words, " +", " "))
+    return words
+
+
+def canonical(words: Column) -> Column:
+    """The canonical form of a part of marked()."""
+    return F.trim(F.regexp_replace(words, "[ \n]+", " "))
 
 
 def known_digests(licenses: DataFrame) -> DataFrame:
     """license_id and digest of a table (license_id, text)."""
-    return licenses.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+    return licenses.select("license_id", F.sha2(canonical(marked(F.col("text"))), 256).alias("digest")).distinct()
 
 
 def scanned(docs: DataFrame, licenses: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
@@ -81,11 +87,12 @@ def scanned(docs: DataFrame, licenses: DataFrame | None = None, key: str = "doc_
     else:
         known = known_digests(licenses)
         known = F.broadcast(known) if licenses.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES else known
-    rows = docs.select(F.col(key).alias("key"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = docs.where(F.col("text").isNotNull()).select(F.col(key).alias("key"), marked(F.col("text")).alias("m"), F.monotonically_increasing_id().alias("row"))
     part = lambda size, parts: F.transform(parts, lambda x: F.struct(F.lit(size).alias("size"), x.alias("part")))
-    whole, paragraphs, lines = F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", r"\n")
-    parts = F.concat(part(3, whole), F.when(F.size(paragraphs) > 1, part(2, paragraphs)).otherwise(part(2, F.array().cast("array<string>"))), F.when(F.size(lines) > 1, part(1, lines)).otherwise(part(1, F.array().cast("array<string>"))))
-    units = rows.where(F.col("text").isNotNull()).select("row", "key", F.explode(parts).alias("u")).select("row", "key", "u.size", canonical(F.col("u.part")).alias("form")).where("form <> ''")
+    none = F.array().cast("array<string>")
+    several = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(none)
+    parts = F.concat(part(3, F.array("m")), part(2, several(F.split("m", r"\n(?: *\n)+"))), part(1, several(F.split("m", r"\n"))))
+    units = rows.select("row", "key", F.explode(parts).alias("u")).select("row", "key", "u.size", canonical(F.col("u.part")).alias("form")).where("form <> ''")
     found = units.join(known, F.sha2("form", 256) == F.col("digest")).groupBy("row", "key", "license_id").agg(F.max("size").alias("size"), F.count("*").alias("n_matches"))
     unit = F.when(F.col("size") == 3, "text").when(F.col("size") == 2, "paragraph").otherwise("line")
     return found.select(F.col("key").alias(key), "license_id", unit.alias("unit"), "n_matches")
@@ -98,19 +105,20 @@ def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    form = r"' ' || regexp_replace(regexp_replace(lower({0}), '^[^\p{{L}}\p{{N}}\n]*(copyright\b|\(c\)\s|©)[^\n]*$', ' ', 'gm'), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
+    form = r"' ' || replace(regexp_replace(regexp_replace(lower(text), '^[^\p{L}\p{N}\n]*(copyright\b|\(c\)\s|©)[^\n]*$', '', 'gm'), '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
     for a, b in SPELLINGS:
         form = f"replace({form}, ' {a} ', ' {b} ')"
-    form = f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
+    canon = "trim(regexp_replace({0}, '[ \\n]+', ' ', 'g'))"
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in LICENSES)
     return f"""
-        WITH known AS (SELECT DISTINCT license_id, sha256({form.format("text")}) AS digest FROM (VALUES {values}) t(license_id, text)),
+        WITH known AS (SELECT DISTINCT license_id, sha256({canon.format(form)}) AS digest FROM (VALUES {values}) t(license_id, text)),
+        marked AS (SELECT doc_id, {form} AS m FROM documents WHERE text IS NOT NULL),
         parts AS (
-            SELECT doc_id, 3 AS size, text AS part FROM documents WHERE text IS NOT NULL
-            UNION ALL SELECT doc_id, 2, unnest(p) FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n') AS p FROM documents) WHERE len(p) > 1
-            UNION ALL SELECT doc_id, 1, unnest(p) FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) WHERE len(p) > 1
+            SELECT doc_id, 3 AS size, m AS part FROM marked
+            UNION ALL SELECT doc_id, 2, unnest(p) FROM (SELECT doc_id, regexp_split_to_array(m, '\\n(?: *\\n)+') AS p FROM marked) WHERE len(p) > 1
+            UNION ALL SELECT doc_id, 1, unnest(p) FROM (SELECT doc_id, string_split(m, chr(10)) AS p FROM marked) WHERE len(p) > 1
         ),
-        forms AS (SELECT doc_id, size, {form.format("part")} AS form FROM parts)
+        forms AS (SELECT doc_id, size, {canon.format("part")} AS form FROM parts)
         SELECT doc_id, license_id, CASE max(size) WHEN 3 THEN 'text' WHEN 2 THEN 'paragraph' ELSE 'line' END AS unit, count(*) AS n_matches
         FROM forms JOIN known ON sha256(form) = digest WHERE form <> '' GROUP BY doc_id, license_id"""
 
