@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.staging import materialise, tables
 
 MIN_PAGES = 8
+#: Elements in a repeated group at most; longer ones stay sequences.
+GROUP = 4
 SALTS = 16
 #: Wrappers above this are joined by host instead of being broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -133,15 +135,27 @@ def wrapper_of(e: Element) -> list:
 
 
 def collapsed(kids: list[list]) -> list[list]:
-    """Equal neighbours as one repeated element."""
-    out: list[list] = []
+    """Equal neighbours as one repeated element, and runs of up to GROUP elements that recur as one repeated group."""
+    single: list[list] = []
     for k in kids:
-        if out and out[-1][0] == k[0]:
-            merged = merge(out[-1], k, same_page=True)
-            merged[1] = True
-            out[-1] = merged
+        if single and single[-1][0] == k[0]:
+            single[-1] = merge(single[-1], k, same_page=True)
+            single[-1][1] = True
         else:
-            out.append(k)
+            single.append(k)
+    out: list[list] = []
+    for k in single:
+        out.append(k)
+        for n in range(2, GROUP + 1):
+            unit = out[-n:]
+            name = "(" + " ".join(x[0] for x in unit) + ")"
+            if len(out) > n and out[-n - 1][0] == name:
+                out[-n - 1 :] = [merge(out[-n - 1], [name, True, False, unit[0][3], None, unit], same_page=True)]
+                break
+            if len(out) >= 2 * n and [x[0] for x in out[-2 * n : -n]] == [x[0] for x in unit]:
+                pair = [merge(x, y, same_page=True) for x, y in zip(out[-2 * n : -n], unit)]
+                out[-2 * n :] = [[name, True, False, unit[0][3], None, pair]]
+                break
     return out
 
 
@@ -179,7 +193,8 @@ def expression(w: list) -> str:
     if w[4] is not None:
         inner = "#text" if w[4] == "" else json.dumps(w[4], ensure_ascii=False)
     else:
-        inner = f"<{w[0]}>" + "".join(map(expression, w[5])) + f"</{w[0].split('.')[0]}>"
+        inner = "".join(map(expression, w[5]))
+        inner = inner if w[0][0] == "(" else f"<{w[0]}>{inner}</{w[0].split('.')[0]}>"
     return f"({inner}){'+' if w[1] else ''}{'?' if w[2] else ''}" if w[1] or w[2] else inner
 
 
@@ -190,7 +205,7 @@ def constants(wrapper: list | None, least: int = MIN_PAGES) -> set[tuple[str, st
 
     def walk(w: list, path: str) -> None:
         nonlocal free
-        here = f"{path}/{w[0]}"
+        here = path if w[0][0] == "(" else f"{path}/{w[0]}"
         if w[4] == "":
             free = free or w[3] >= least
         elif w[4] is not None and w[3] >= least:

@@ -118,6 +118,11 @@ def test_wrapper_groups():
     assert wrappers.expression(wrappers.merge(a, b)) == "<html><div>(<p>#text</p>)+(<section>\"z\"</section>)?</div></html>"
 
 
+def test_wrapper_repeats_groups():
+    w = wrappers.wrapper_of(wrappers.parse("<div>" + "".join(f"<h2>t{i}</h2><p>b{i}</p><p>c</p>" for i in range(4)) + "<hr><footer>x</footer></div>"))
+    assert wrappers.expression(w) == '<html><div>(<h2>#text</h2>(<p>#text</p>)+)+<footer>"x"</footer></div></html>'
+
+
 def brute_removals(texts):
     seen, out = set(), []
     for t in texts:
