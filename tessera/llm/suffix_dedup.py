@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.staging import materialise, tables
-from tessera.llm.textbytes import mix, powers, utf8
+from tessera.llm.textbytes import mix, powers, slices, utf8
 
 LENGTH, GRAM = 50, 26
 REACH = LENGTH - GRAM + 1
@@ -356,7 +356,7 @@ def span_report(removals: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = []
             for doc, text, copy, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy", "marks"))):
                 body = np.frombuffer((text or "").encode(), np.uint8)
@@ -389,7 +389,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = []
             for text, copy, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "marks"))):
                 if text and (copy or marks):
