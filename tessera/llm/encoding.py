@@ -20,6 +20,7 @@ A null or empty text has no ids. decode() restores the text exactly, except that
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from array import array
@@ -35,7 +36,7 @@ from tessera.llm.pieces import BROADCAST_PIECES, MARK, MODEL, Pieces, load_piece
 from tessera.llm.staging import count_floor, materialise, tables
 from tessera.llm.textbytes import slices
 
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 16
 LONG = 64
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
@@ -219,7 +220,7 @@ def frequent_words(docs: DataFrame, most: int = CACHE_WORDS) -> DataFrame:
                 for text in part.column(0).to_pylist():
                     if text:
                         seen.update(words_of(text))
-                if len(seen) > 1 << 19:  # bounds the task's memory
+                if len(seen) > 1 << 17:  # bounds the task's memory
                     seen = Counter({w: n for w, n in seen.items() if n > 2})
         rows = [(w, n) for w, n in seen.items() if n > 2 and len(w) <= LONG]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
@@ -228,22 +229,16 @@ def frequent_words(docs: DataFrame, most: int = CACHE_WORDS) -> DataFrame:
     return counts.where(F.col("n") >= count_floor(counts, "n", most)).select("word")
 
 
-def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """docs' columns with n_tokens and ids. Rows may repeat and columns may have any names but uid and found."""
+def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
+    """docs' columns (or those in keep) with n_tokens and ids, and with digest decoded_sha256, that of the decoded ids. Rows may repeat."""
     spark = docs.sparkSession
     pieces = load_pieces(path)
     names = docs.columns
+    kept = names if keep is None else keep
     frequent = frequent_words(docs, cache_words).select(F.monotonically_increasing_id().alias("uid"), F.lit(0).alias("pos"), "word")
-    cache = {r["word"]: array("i", r["ids"]) for r in folded(frequent, pieces).select("word", "ids").toLocalIterator()}  # at most cache_words rows
+    cache = {r["word"]: tuple(r["ids"]) for r in folded(frequent, pieces).select("word", "ids").toLocalIterator()}  # at most cache_words rows
     shared = spark.sparkContext.broadcast((cache, pieces))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = [["", *{w for w in words_of(t) if w not in known and len(w) <= LONG}] if t else [""] for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.string()))], [*part.schema.names, "found"])
-
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a document (pos 0, then its rare words) follow one another."""
         known, own = shared.value
@@ -251,6 +246,7 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS)
         at: pa.Array | None = None  # the document that is being read
         done: list[pa.Array] = []
         ids, ends = array("i"), array("i", [0])
+        digests: list[str] = []
         size = 0
 
         def finish() -> None:
@@ -258,6 +254,8 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS)
             text = at.field("text")[0].as_py() or ""
             for w in words_of(text):
                 ids.extend(known.get(w) or here.get(w) or long_word(w, own))
+            if digest:
+                digests.append(hashlib.sha256(decode_ids(ids[ends[-1] :].tolist(), own).encode()).hexdigest())
             done.append(at)
             ends.append(len(ids))
             size += len(text)
@@ -266,8 +264,10 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS)
             nonlocal size
             docs_ = pa.concat_arrays(done)
             bounds = np.array(ends, np.int32)
-            out = pa.RecordBatch.from_arrays([*(docs_.field(c) for c in names), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.array(ids, np.int32)))], [*names, "n_tokens", "ids"])
+            columns = [*(docs_.field(c) for c in kept), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.array(ids, np.int32)))]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(digests)] if digest else columns, [*kept, "n_tokens", "ids", *(["decoded_sha256"] if digest else [])])
             done.clear()
+            digests.clear()
             del ids[:], ends[1:]
             size = 0
             return out
@@ -288,12 +288,15 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS)
         if done:
             yield flushed()
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    marked = docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(rare, ", ".join([*fields, "uid long", "found array<string>"]))
-    # one row for the document (its word is empty), then one for each rare word
-    spread = marked.select("uid", F.struct(*[F.col(c) for c in names]).alias("doc"), F.posexplode("found").alias("pos", "word"))
-    spread = spread.select("uid", "pos", "word", F.when(F.col("pos") == 0, F.col("doc")).alias("doc"))
-    return folded(spread, pieces).mapInArrow(assemble, ", ".join([*fields, "n_tokens long", "ids array<int>"]))
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    # one row for the document (its word is empty), then one for each word that isn't cached
+    known = F.broadcast(spark.createDataFrame([(w,) for w in cache], "word string"))
+    found = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace("text", F.lit(" "), F.lit(MARK))), F.lit(WORD.pattern), F.lit(0))
+    rare = F.filter(F.array_distinct(found), lambda w: F.length(w) <= LONG)
+    row = F.concat(F.array(F.lit("")), F.coalesce(rare, F.array().cast("array<string>")))
+    spread = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(c) for c in names]).alias("doc"), F.posexplode(row).alias("pos", "word"))
+    spread = spread.select("uid", "pos", "word", F.when(F.col("pos") == 0, F.col("doc")).alias("doc")).join(known, "word", "left_anti")
+    return folded(spread, pieces).mapInArrow(assemble, ", ".join([*fields, "n_tokens long", "ids array<int>", *(["decoded_sha256 string"] if digest else [])]))
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -320,8 +323,7 @@ def decoded(df: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "dec
 
 def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, and the digest of the text that they decode to."""
-    rows = encoded(tables(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return decoded(rows).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded(tables(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], digest=True)
 
 
 QUERIES = {"op7_sentencepiece_lattice": op7_sentencepiece_lattice}
