@@ -9,6 +9,10 @@ all values within T_i bits; candidates that meet are verified on all 64 bits.
 Copies are made one node first. Before probing, neighbours in the sorted order of each part's buckets are linked and
 contracted, so that in a cloud of near copies the probes only have to return pairs that still lie in different
 components: a group of k costs k rows, not k * k.
+
+The pipeline's near duplicates are pairs of an exact Jaccard similarity: fingerprint bits can't decide near the
+threshold, and within 17 of 64 bits, which a pair of 0.8 needs to be found in 99 %, probing is near all pairs. Their
+candidates share a band of minimum hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -25,11 +29,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import contract, rooted
 from tessera.llm.staging import materialise, tables
-from tessera.llm.textbytes import LOWER, SPACE, mix, slices, utf8, words
+from tessera.llm.textbytes import LOWER, PRIME, SPACE, mix, slices, span_hashes, utf8, words
 
 BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
 #: Cost of a probe row (written, shuffled, sorted) in units of a candidate's verification.
 ROW_COST = 40.0
+#: The pipeline's near duplicates: least Jaccard similarity; minima in a band key, and band keys of a text.
+SIMILAR, BAND, BANDS = 0.8, 5, 20
+#: Rounds in which a bucket's nodes are compared with one of them; places that a node's pairs are dealt to.
+STARS, SALTS = 2, 64
+_FACTORS = mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64), SEED) | np.uint64(1)
+_OFFSETS = mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64), SEED + 1)
 
 
 def shingle_spans(column: pa.Array, n: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,16 +226,95 @@ def near_duplicate_groups(docs: DataFrame, n: int = SHINGLE, radius: int = RADIU
     return marked.join(named, prints)
 
 
-def without_near_duplicates(docs: DataFrame, n: int = 5, radius: int = 14, lanes: int = 4, lane_radius: int = 48) -> DataFrame:
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes; two sets of Jaccard similarity s share one with chance 1 - (1 - s ** BAND) ** BANDS."""
+    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1 << 10):
+        np.minimum(least, (own[at : at + (1 << 10), None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        keys = mix(keys * PRIME ^ column)
+    return keys
+
+
+def with_shingles(df: DataFrame, n: int, sets: bool) -> DataFrame:
+    """df's columns but text, with id (a hash of the text's set of n-word shingles), size (of the set) and band keys, or with sets the set itself."""
+    names = [c for c in df.columns if c != "text"]
+    last = "shingles" if sets else "keys"
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "id long, size long", f"{last} array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                raw, starts, ends, bounds = shingle_spans(part.column("text"), n)
+                hashes = span_hashes(np.frombuffer(raw, np.uint8), starts, ends)
+                own = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
+                held = own if sets else [band_keys(x) for x in own]
+                ends = np.append(0, np.cumsum([len(x) for x in held])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(held).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids), pa.array([len(x) for x in own], pa.int64()), lists], [*names, "id", "size", last])
+
+    return df.mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of `similar` or more.
+
+    A set goes to as many of SALTS places as its pairs need, so a node with very many pairs isn't one task's work.
+    """
+    for x, y in ("ab", "ba"):
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(y), F.lit(SALTS)))
+        own = pairs.select(x, "salt").distinct().join(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")), x)
+        pairs = pairs.join(own, [x, "salt"])
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.where(both >= similar * (F.size("set_a") + F.size("set_b") - both) - 1e-9).select("a", "b")
+
+
+def similar_roots(index: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """id and root of each node of index (id, size, key), the same for all that are reachable by pairs of `similar` or more that share a key.
+
+    STARS times every node is compared with one node of each of its buckets, which makes one component of most large
+    groups. Then all pairs of different components are compared: only nodes outside a bucket's largest component are
+    paired with the rest of it, so that a large group costs its own size and not the square.
+    """
+    nodes = index.select("id").distinct()
+    roots = materialise(nodes.withColumn("root", F.col("id")), "roots")
+    for turn in range(STARS + 1):
+        live = index.join(roots, "id")
+        mixed = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root", "size"), F.xxhash64("id", F.lit(turn))).alias("o")).where("low < high")
+        if turn < STARS:
+            met = live.join(mixed.select("key", F.col("o.id").alias("o_id"), F.col("o.root").alias("o_root"), F.col("o.size").alias("o_size")), "key")
+        else:
+            live = materialise(live.join(mixed.select("key"), "key"), "mixed")
+            most = live.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+            met = live.join(live.join(most, "key").where("root <> most").select("key", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("size").alias("o_size")), "key")
+        alike = F.least("size", "o_size") >= similar * F.greatest("size", "o_size") - 1e-9
+        pairs = materialise(met.where((F.col("root") != F.col("o_root")) & alike).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
+        links = materialise(verified(pairs, sets, similar), "links")
+        ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+        steps = contract(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        roots = materialise(rooted(roots.withColumnRenamed("root", "start"), steps, "start").select("id", "root"), "roots")
+    return roots
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each near-duplicate group, the one of the smallest doc_id (null last; repeated ids: one row).
 
-    Shingles of five words and 256 bits: a Jaccard similarity of 0.8 is a cosine of 0.89, at which 38 bits differ on
-    average and 48 or fewer in 19 of 20 pairs; unrelated texts differ in 128. `radius` bounds the first lane's share
-    of them, by which pairs are found.
+    A link is a Jaccard similarity of `similar` or more of the sets of n-word shingles, computed exactly for every pair
+    that shares one of BANDS band keys (a pair of 0.8: 99.96 %). Groups are what links connect. Texts without words
+    are one group.
     """
     keyed = docs.withColumn("uid", F.monotonically_increasing_id())
-    groups = near_duplicate_groups(keyed.select("uid", "doc_id", "text"), n, radius, lanes, lane_radius)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")).select("first.uid")
+    marked = materialise(with_shingles(keyed.select("uid", "doc_id", "text"), n, sets=False), "bands")
+    nodes = materialise(marked.groupBy("id").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    index = nodes.select("id", "size", F.explode("keys").alias("key"))
+    index = materialise(index.join(index.groupBy("key").count().where("count > 1"), "key", "left_semi"), "index")
+    shared = materialise(nodes.select("id", "uid").join(index.select("id").distinct(), "id").select("uid"), "shared")
+    sets = materialise(with_shingles(keyed.select("uid", "text").join(shared, "uid", "left_semi"), n, sets=True).select("id", "shingles"), "sets")
+    groups = similar_roots(index, sets, similar)
+    rooted_rows = marked.select("uid", "doc_id", "id").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = rooted_rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")).select("first.uid")
     return keyed.join(materialise(first, "kept"), "uid", "left_semi").select(*docs.columns)
 
 

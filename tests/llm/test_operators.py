@@ -264,6 +264,34 @@ def test_linking_finds_every_link(spark, radius):
     assert [got[i] for i in range(len(values))] == brute_components(values, radius)
 
 
+def test_near_duplicates_are_pairs_of_the_jaccard_similarity(spark, documents):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfgaeiou") for _ in range(7))
+    base = [[word() for _ in range(r.randint(30, 90))] for _ in range(30)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for k in (1, 2, 3, 4):
+            texts.append(" ".join(word() if i in set(r.sample(range(len(b)), k)) else w for i, w in enumerate(b)))
+    lines = [" ".join(word() for _ in range(8)) for _ in range(3)]
+    texts += ["\n".join(lines[:1] * 90 + lines[1:2]), "\n".join(lines[:1] * 90 + [" ".join(word() for _ in range(30))]), *ODD]
+    cloud = [word() for _ in range(200)]
+    texts += [" ".join(word() if i == j else w for i, w in enumerate(cloud)) for j in range(0, 200, 2)]
+
+    def shingles(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = sorted(x["doc_id"] for x in simhash_dedup.without_near_duplicates(documents(texts)).collect())
+    assert got == sorted(set(root))
+
+
 def test_lattice_marginals_equal_enumeration():
     pieces = load_pieces()
     lattice = lm_scoring.PieceLattice(pieces)
