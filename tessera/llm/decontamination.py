@@ -1,13 +1,14 @@
 """Operator 4: benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased; tokens are runs of bytes other than white space and ASCII punctuation, compared by 64-bit
-hashes. SEED consecutive tokens that a document shares with a test item make them a pair (an equi-join of hashed
+Texts are lower-cased; tokens are runs of characters other than white space and punctuation, compared by 64-bit
+hashes; in scripts without spaces every character is a token. SEED consecutive tokens that a document shares with a test item make them a pair (an equi-join of hashed
 seeds). In each pair the longest common runs of tokens that overlap no tile yet are marked, again and again, down to
 MIN_MATCH tokens (running Karp-Rabin). A document is contaminated by an item if its tiles cover COVERAGE of the
 item's tokens, in whatever order they stand.
 
 A bitmap of fixed size of the items' seeds lets documents without any be passed over where they are; the join itself
-is exact. Items of fewer than MIN_MATCH tokens can't be tiled and are never found; null and empty texts have no tokens.
+is exact. An item of fewer than SEED tokens is one seed of its own length, which a document has whole or not at all.
+Null and empty texts have no tokens and match nothing. Every row of the benchmark is an item of its own, whatever its id.
 """
 
 from __future__ import annotations
@@ -27,16 +28,47 @@ SEED, MIN_MATCH, COVERAGE = 5, 5, 0.6
 BITMAP_BITS = 22
 GAP = SPACE.copy()
 GAP[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+# Code points (first, last) of white space and punctuation beyond ASCII, and of scripts without spaces.
+GAPS = [(0x80, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x1680, 0x1680), (0x2000, 0x200B), (0x200E, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+UNSPACED = [(0x0E01, 0x0EFF), (0x0F40, 0x0FBC), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x303C), (0x3041, 0x30FA), (0x30FC, 0x30FF), (0x3105, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+def between(points: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Which code points lie in any of the ascending ranges."""
+    first, last = np.array(ranges).T
+    at = np.searchsorted(first, points, "right") - 1
+    return (at >= 0) & (points <= last[at])
+
+
+def kinds_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of UTF-8 whether it lies in a gap, and whether it begins a character that is a token by itself."""
+    gap, alone = GAP[data], np.zeros(len(data), bool)
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.int64)
+    width = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    points = lead & (0x7F >> width)
+    for k in (1, 2, 3):
+        more = width > k
+        points[more] = points[more] << 6 | data[at[more] + k] & 0x3F
+    apart = between(points, GAPS)
+    for k in range(4):
+        gap[at[apart & (width > k)] + k] = True
+    alone[at[between(points, UNSPACED)]] = True
+    return gap, alone
 
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The token hashes of all texts and the bounds between texts."""
     data, offsets = utf8(pc.utf8_lower(pc.fill_null(texts, "")))
     n = len(data)
+    gaps, alone = kinds_of(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    edge[:n] |= alone
+    after = np.flatnonzero(alone)  # a token ends behind such a character
+    edge[after + np.where(data[after] >= 0xF0, 4, np.where(data[after] >= 0xE0, 3, 2))] = True
     gap = np.ones(n + 2, bool)
-    gap[1 : n + 1] = GAP[data]
+    gap[1 : n + 1] = gaps
     starts = np.flatnonzero(~gap[1 : n + 1] & (gap[:n] | edge[:n]))
     ends = np.flatnonzero(~gap[1 : n + 1] & (gap[2 : n + 2] | edge[1 : n + 1])) + 1
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
@@ -94,8 +126,11 @@ def longest_match(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, fre
     return low
 
 
-def seeded(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, tokens and distinct seeds of each text; with a bitmap only texts, and seeds, that it has."""
+def seeded(df: DataFrame, key: str, bitmap: np.ndarray | None = None, lengths: list[int] | None = None) -> DataFrame:
+    """key, tokens and distinct seeds of each text; with a bitmap only texts, and seeds, that it has.
+
+    lengths: the tokens of a seed, one or several; None: SEED or, in a shorter text, all of its tokens.
+    """
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +140,8 @@ def seeded(df: DataFrame, key: str, bitmap: np.ndarray | None = None) -> DataFra
                 hashes, bounds = token_hashes(part.column("text"))
                 rows, tokens, seeds = [], [], []
                 for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    own = run_hashes(hashes[a:b], SEED)
+                    sizes = lengths or ([min(SEED, b - a)] if b > a else [])
+                    own = np.concatenate([run_hashes(hashes[a:b], n) for n in sizes]) if sizes else np.zeros(0, np.uint64)
                     if bits is not None:
                         own = own[bits[own >> np.uint64(64 - BITMAP_BITS)]]
                         if not len(own):
@@ -132,12 +168,15 @@ def seed_bitmap(items: DataFrame) -> np.ndarray:
 def contaminations(docs: DataFrame, items: DataFrame, key: str = "uid", item_key: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
     """key, item_key, item_tokens, matched_tokens, n_tiles and coverage of each contaminated pair.
 
-    docs: (key, text) with distinct keys; items: (item_key, text). Items that repeat count once a key.
+    docs: (key, text) with distinct keys; items: (item_key, text), whose keys may be null or repeated: every distinct
+    row is an item, and gives a row of its own.
     """
-    items = materialise(seeded(items.dropDuplicates([item_key]), item_key), "items")
-    found = materialise(seeded(docs, key, seed_bitmap(items)), "candidates")
-    pairs = found.select(key, F.explode("seeds").alias("seed")).join(items.select(item_key, F.explode("seeds").alias("seed")), "seed").select(key, item_key).distinct()
-    both = pairs.join(items.select(item_key, F.col("tokens").alias("item")), item_key).join(found.select(key, "tokens"), key)
+    named = materialise(items.select(item_key, "text").distinct().withColumn("_item", F.monotonically_increasing_id()), "named")
+    items = materialise(seeded(named, "_item"), "items")
+    short = [r[0] for r in items.select(F.size("tokens")).where((F.size("tokens") > 0) & (F.size("tokens") < SEED)).distinct().collect()]  # under SEED rows
+    found = materialise(seeded(docs, key, seed_bitmap(items), [*short, SEED]), "candidates")
+    pairs = found.select(key, F.explode("seeds").alias("seed")).join(items.select("_item", F.explode("seeds").alias("seed")), "seed").select(key, "_item").distinct()
+    both = pairs.join(items.select("_item", F.col("tokens").alias("item")), "_item").join(found.select(key, "tokens"), key).join(named.select("_item", item_key), "_item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +184,7 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "uid", item_key
             items, texts = batch.column("item"), batch.column("tokens")
             for r in range(batch.num_rows):
                 item, text = (x[r].values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (items, texts))
-                tiles = greedy_tiles(item, text)
+                tiles = greedy_tiles(item, text, min(MIN_MATCH, len(item)))
                 rows.append((len(item), sum(t[2] for t in tiles), len(tiles)))
             if rows:
                 n, matched, tiles = (np.array(x, np.int64) for x in zip(*rows))

@@ -215,6 +215,20 @@ def test_decontamination(spark, documents):
     assert sorted(x["doc_id"] for x in decontamination.without_contaminated(docs, items).collect()) == [i for i in range(len(texts)) if i - n not in (1, 2, 4)]
 
 
+def test_decontamination_of_every_row_and_of_short_and_unspaced_items(spark, documents):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("bcdfgaeiou") for _ in range(6))
+    a, b, c, d = ([word() for _ in range(20)] for _ in range(4))
+    han = "人工智能正在改变世界各地的教育方式"
+    items = [(1, " ".join(a)), (1, " ".join(b)), (None, " ".join(c)), (None, " ".join(d)), (None, " ".join(d)), (2, "Zebra quagga okapi"), (3, han + "。"), (4, None), (5, "")]
+    texts = [" ".join([word(), *x, word()]) for x in (a, b, c, d)] + ["see zebra, quagga-okapi here", "zebra quagga and okapi", f"我们知道，{han[:12]}之变化", han[:5] + "是今天的问题", None, "", "\u3000", " ".join(word() for _ in range(30))]
+    docs = documents(texts)
+    rows = decontamination.contaminations(docs.select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string"), key="doc_id").collect()
+    got = sorted(((x["doc_id"], x["item_id"], x["item_tokens"], x["matched_tokens"]) for x in rows), key=lambda x: x[0])
+    assert got == [(0, 1, 20, 20), (1, 1, 20, 20), (2, None, 20, 20), (3, None, 20, 20), (4, 2, 3, 3), (6, 3, 17, 12)]
+    assert sorted(x["doc_id"] for x in decontamination.without_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()) == [5, 7, 8, 9, 10, 11]
+
+
 def test_greedy_tiles_take_the_longest_first():
     a = np.arange(20, dtype=np.uint64)
     text = np.concatenate([a[5:20], [99], a[:8]]).astype(np.uint64)
