@@ -42,6 +42,7 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>
 
 # HTML element names by their role.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "xmp", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "fieldset", "option", "input", "map", "frameset"}
@@ -75,7 +76,8 @@ class Element:
 def parse(page: str | None) -> Element:
     """The page as nested elements and block texts; texts are decoded, their white space made one space."""
     root = Element("html")
-    stack, words, raw = [root], [], ""
+    stack, words, at = [root], [], 0
+    page = page or ""
 
     def flush() -> None:
         if words:
@@ -83,18 +85,17 @@ def parse(page: str | None) -> Element:
                 stack[-1].kids.append(block)
             words.clear()
 
-    for m in TOKEN.finditer(page or ""):
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         end, tag, attributes, text = m.groups()
-        if raw:
-            if end and tag.lower() == raw:
-                raw = ""
-            continue
         if text is not None:
             words.append(text)
         elif tag:
             tag = tag.lower()
             if not end and tag in RAW and not attributes.rstrip().endswith("/"):
-                raw = tag
+                close = RAW_END[tag].search(page, at)  # nothing else is read as a tag inside
+                at = close.end() if close else len(page)
             elif tag in INLINE:
                 if tag in ("br", "img"):
                     words.append(" ")

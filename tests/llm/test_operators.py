@@ -113,6 +113,12 @@ def test_wrapper_extraction(spark, folder):
     assert [rows[i]["text"] for i in (100, 101, 102, 103)] == ["", "", "plain <text>", "cut o"]
 
 
+def test_raw_elements_end_at_their_own_end_tag():
+    for script in ("for(i=0;i<n;i++){s+=1}", "if(a<b)s='it", 'x=a<b?"</p>":"', "<!-- <a href='", "</scripty>"):
+        page = f"<head><title>a<b 'c</title></head><body><script>{script}</script><article><p>Kept <script>{script}</SCRIPT >text</p></article><script>var x='y'</script></body>"
+        assert wrappers.main_text(page, set()) == "Kept text"
+
+
 def test_wrapper_groups():
     a, b = (wrappers.wrapper_of(wrappers.parse(x)) for x in ("<div><p>same</p><p>a</p></div>", "<div><p>same</p><hr><section>z</section></div>"))
     assert wrappers.expression(wrappers.merge(a, b)) == "<html><div>(<p>#text</p>)+(<section>\"z\"</section>)?</div></html>"
