@@ -12,9 +12,12 @@ differing texts a free slot. Merging is associative enough to be done per task a
 pages into one wrapper a host, and only those are gathered, in two steps (host and salt, then host), so that a host
 with a third of all pages costs one row a task.
 
-Content is what the wrapper's text slots hold inside the main element, without the elements that never are (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) and without texts that the wrapper has as constants
-over MIN_PAGES pages or more while other slots of its main element are free.
+Content is what the wrapper's text slots hold inside the main element: free and repeated slots, not the texts that the
+wrapper has as constants over MIN_PAGES pages or more while other slots are free. Some elements never are content by
+their tag (nav, header, footer, aside, form, ..). Words of class, id and role (sidebar, comments, ..) only raise a
+doubt. Inside the main element the wrapper settles it on hosts of MIN_PAGES pages or more: an element with free or
+repeated slots that aren't links is content, less its texts that are links. The words decide on smaller hosts, outside
+a main element, and where they'd leave nothing they are passed over. An element that holds an article isn't doubted.
 """
 
 from __future__ import annotations
@@ -48,42 +51,58 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "fieldset", "option", "input", "map", "frameset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = ("article", "main")
+#: Elements whose id names a place in the text and not a part of the page.
+ANCHORS = {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figure", "table"}
 # Words of class, id and role attributes that mark what isn't the article, and what is.
 NOT_CONTENT = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pagination", "popup", "promo", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
 CONTENT = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The token of a start tag, whether it drops its element, and whether it names the main element."""
+def label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """The token of a start tag, whether it drops its element, whether its words cast doubt on it, and whether it names the main element."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
     marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
     words = set(re.findall(r"[a-z]+", marks))
     main = tag in MAIN or found.get("role") == "main" or bool(words & CONTENT)
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
-    dropped = tag in DROPPED or hidden or bool(words & NOT_CONTENT and tag not in (*MAIN, "body", "html"))
+    dropped = tag in DROPPED or hidden
+    named = " ".join(found.get(k, "") for k in ("class", "role")).lower() if tag in ANCHORS else marks
+    doubted = tag not in HEADINGS and bool(set(re.findall(r"[a-z]+", named)) & NOT_CONTENT)
     classes = ".".join(sorted(set(re.sub(r"\d+", "0", marks).split())))
-    return f"{tag}.{classes}" if classes else tag, dropped, main and not dropped
+    return f"{tag}.{classes}" if classes else tag, dropped, doubted, main and not dropped and (not doubted or tag in MAIN)
 
 
 class Element:
-    __slots__ = ("label", "dropped", "kids", "main", "tag")
+    __slots__ = ("doubted", "dropped", "kids", "label", "main", "tag")
 
-    def __init__(self, tag: str, label: str = "", dropped: bool = False, main: bool = False) -> None:
-        self.tag, self.label, self.dropped, self.main = tag, label or tag, dropped, main
+    def __init__(self, tag: str, label: str = "", dropped: bool = False, doubted: bool = False, main: bool = False) -> None:
+        self.tag, self.label, self.dropped, self.doubted, self.main = tag, label or tag, dropped, doubted, main
         self.kids: list[Element | str] = []
 
+    def holds_main(self) -> bool:
+        """Whether an article that isn't doubted itself lies inside."""
+        return any(isinstance(k, Element) and not k.dropped and (k.tag in MAIN and not k.doubted or k.holds_main()) for k in self.kids)
+
+
+class Link(str):
+    """A block text that is all links."""
+
+    __slots__ = ()
+
 
 def parse(page: str | None) -> Element:
     """The page as nested elements and block texts; texts are decoded, their white space made one space."""
     root = Element("html")
-    stack, words, at = [root], [], 0
+    stack, words, at, link, plain = [root], [], 0, False, False
     page = page or ""
 
     def flush() -> None:
+        nonlocal plain
         if words:
             if block := " ".join(html.unescape("".join(words)).split()):
-                stack[-1].kids.append(block)
+                stack[-1].kids.append(block if plain else Link(block))
             words.clear()
+        plain = False
 
     while at < len(page):
         m = TOKEN.match(page, at)
@@ -91,6 +110,7 @@ def parse(page: str | None) -> Element:
         end, tag, attributes, text = m.groups()
         if text is not None:
             words.append(text)
+            plain = plain or not link and any(c.isalnum() for c in (html.unescape(text) if "&" in text else text))
         elif tag:
             tag = tag.lower()
             if not end and tag in RAW and not attributes.rstrip().endswith("/"):
@@ -99,6 +119,8 @@ def parse(page: str | None) -> Element:
             elif tag in INLINE:
                 if tag in ("br", "img"):
                     words.append(" ")
+                elif tag == "a":
+                    link = not end and "href" in attributes.lower()
             else:
                 flush()
                 if end:
@@ -122,16 +144,27 @@ def parse(page: str | None) -> Element:
                     stack[-1].kids.append(element)
                     stack.append(element)
     flush()
+    for e in descendants(root):
+        if e.doubted and e.tag not in MAIN and e.holds_main():
+            e.doubted = False
     return root
 
 
+def descendants(e: Element) -> Iterator[Element]:
+    todo = [e]
+    while todo:
+        e = todo.pop()
+        todo += [k for k in e.kids if isinstance(k, Element)]
+        yield e
+
+
 # A wrapper is [label, repeated, optional, pages, text, kids]: text None for an element, "" for a free slot.
 
 
 def wrapper_of(e: Element) -> list:
     kids: list[list] = []
     for k in e.kids:
-        kids.append(["#", False, False, 1, k, []] if isinstance(k, str) else wrapper_of(k))
+        kids.append(["#a" if isinstance(k, Link) else "#", False, False, 1, k, []] if isinstance(k, str) else wrapper_of(k))
     return [e.label, False, False, 1, None, collapsed(kids)]
 
 
@@ -219,34 +252,60 @@ def constants(wrapper: list | None, least: int = MIN_PAGES) -> set[tuple[str, st
     return fixed if free else set()
 
 
-def main_text(page: str | None, fixed: set[tuple[str, str]]) -> str:
-    """The blocks of the page's main element, joined by two line feeds."""
+def verdicts(wrapper: list | None, least: int = MIN_PAGES) -> set[tuple[str, str | None]]:
+    """constants(), and with None as text the paths of elements with doubtful words that have free or repeated slots other than links; ("", None) tells that the wrapper decides."""
+    found: set[tuple[str, str | None]] = set(constants(wrapper, least))
+
+    def walk(w: list, path: str) -> bool:
+        here = path if w[0][0] == "(" else f"{path}/{w[0]}"
+        free = w[4] == "" and w[0] == "#"
+        for k in w[5]:
+            free = walk(k, here) or free
+        if free and w[4] is None and set(re.findall(r"[a-z]+", w[0].partition(".")[2])) & NOT_CONTENT:
+            found.add((here, None))
+        return free
+
+    if wrapper and wrapper[3] >= least:
+        walk(wrapper, "")
+        found.add(("", None))
+    return found
+
+
+def main_text(page: str | None, fixed: set[tuple[str, str | None]]) -> str:
+    """The blocks of the page's main element, joined by two line feeds. fixed: verdicts() of the host's wrapper."""
     root = parse(page)
+    decided = ("", None) in fixed
 
-    def blocks(e: Element, path: str) -> list[str]:
+    def blocks(e: Element, path: str, inside: bool, words: bool = True, links: bool = True) -> list[str]:
         here = f"{path}/{e.label}"
         out: list[str] = []
         for k in e.kids:
             if isinstance(k, str):
-                if (here, k) not in fixed:
+                if (here, k) not in fixed and (links or not isinstance(k, Link)):
                     out.append(k)
             elif not k.dropped:
-                out += blocks(k, here)
+                if not (k.doubted and words):
+                    out += blocks(k, here, inside, words, links)
+                elif inside and decided and (f"{here}/{k.label}", None) in fixed:
+                    out += blocks(k, here, inside, words, False)
             elif k.tag == "header" and e.main:  # an article's own header keeps its headings
-                out += [x for h in k.kids if isinstance(h, Element) and h.tag in HEADINGS for x in blocks(h, f"{here}/{k.label}")]
+                out += [x for h in k.kids if isinstance(h, Element) and h.tag in HEADINGS for x in blocks(h, f"{here}/{k.label}", inside, words)]
         return out
 
-    def mains(e: Element, path: str) -> list[tuple[Element, str]]:
+    def mains(e: Element, path: str, words: bool) -> list[tuple[Element, str]]:
         found: list[tuple[Element, str]] = []
         here = f"{path}/{e.label}"
         for k in e.kids:
-            if isinstance(k, Element) and not k.dropped:
-                found += [(k, here)] if k.main else mains(k, here)
+            if isinstance(k, Element) and not k.dropped and not (k.doubted and words):
+                found += [(k, here)] if k.main else mains(k, here, words)
         return found
 
-    chosen = [blocks(e, path) for e, path in mains(root, "")]
-    if not any(chosen):
-        return "\n\n".join(blocks(root, ""))
+    for words in (True, False):
+        chosen = [blocks(e, path, True) for e, path in mains(root, "", words)]
+        if not any(chosen):
+            chosen = [blocks(root, "", False, words)]
+        if any(chosen):
+            break
     return "\n\n".join(x for c in chosen for x in c)
 
 
@@ -326,7 +385,7 @@ def extracted(pages: DataFrame, page_key: str = "page_id", url: str = "url", htm
 
 def fixed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [json.dumps(sorted(constants(json.loads(w)))) for w in batch.column("wrapper").to_pylist()]
+        out = [json.dumps(sorted(verdicts(json.loads(w)), key=lambda x: (x[0], x[1] is not None, x[1]))) for w in batch.column("wrapper").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "fixed"])
 
 

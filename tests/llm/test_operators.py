@@ -119,6 +119,22 @@ def test_raw_elements_end_at_their_own_end_tag():
         assert wrappers.main_text(page, set()) == "Kept text"
 
 
+def test_words_of_classes_only_cast_doubt():
+    body = '<h2 id="related-work">Related work</h2><p id="search-results">Found.</p>'
+    for wrap in ('<div class="has-sidebar">{}</div>', '<div class="content-sidebar-wrap"><div><section id="ads">{}</section></div></div>'):
+        assert wrappers.main_text(wrap.format(f"<article>{body}</article>"), set()) == "Related work\n\nFound."
+    assert wrappers.main_text(f'<div class="content-sidebar-wrap">{body}</div>', set()) == "Related work\n\nFound."
+    assert wrappers.main_text('<article><p>Text.</p><div class="share">Share</div></article><div class="comments"><article class="comment"><p>Nice.</p></article></div>', set()) == "Text."
+
+
+def test_wrappers_decide_on_doubtful_elements(spark, folder):
+    page = lambda i: f'<article><h1>T{i}</h1><div class="notice"><p>Part {i} of it, <a href="/x">and more</a>.</p><p><a href="/{i}">next {i}</a></p></div><div class="share"><p>Tell others</p></div><div class="related"><ul><li><a href="/{i}">Other {i}</a></li><li><a href="/b{i}">Also {i}</a></li></ul></div></article><div class="sidebar">Free {i}</div>'
+    pages = [(i, "http://a.example/", page(i)) for i in range(10)] + [(50 + i, "http://small.example/", page(i)) for i in range(3)]
+    rows = {r["page_id"]: r["text"] for r in wrappers.op5_wrapper_extraction(spark, folder([], pages=pages)).collect()}
+    assert [rows[i] for i in range(10)] == [f"T{i}\n\nPart {i} of it, and more." for i in range(10)]
+    assert [rows[50 + i] for i in range(3)] == [f"T{i}" for i in range(3)]
+
+
 def test_wrapper_groups():
     a, b = (wrappers.wrapper_of(wrappers.parse(x)) for x in ("<div><p>same</p><p>a</p></div>", "<div><p>same</p><hr><section>z</section></div>"))
     assert wrappers.expression(wrappers.merge(a, b)) == "<html><div>(<p>#text</p>)+(<section>\"z\"</section>)?</div></html>"
