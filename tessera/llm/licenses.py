@@ -10,6 +10,10 @@ Null texts, and texts of copyright lines only, have no canonical form and match
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,55 @@ LICENSES: list[tuple[str, str]] = [
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
 
+# Whole texts of short licences below their copyright lines, paragraph by paragraph. Longer ones are in license_texts/.
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_MIT = next(t for i, t in LICENSES if i == "MIT" and t.startswith("Permission"))
+_ISC = next(t for i, t in LICENSES if i == "0BSD")
+_GRANT, _WARRANTY = _ISC.split(" THE SOFTWARE IS", 1)
+SHORT: list[tuple[str, list[str], list[str]]] = [
+    ("MIT", ["MIT License", "The MIT License", "The MIT License (MIT)"], re.split(r" (?=The above copyright|THE SOFTWARE IS)", _MIT, maxsplit=2)),
+    ("0BSD", ["BSD Zero Clause License", "Zero-Clause BSD"], [_GRANT, "THE SOFTWARE IS" + _WARRANTY]),
+    ("ISC", ["ISC License", "The ISC License"], [_GRANT.replace("granted.", "granted, provided that the above copyright notice and this permission notice appear in all copies."), "THE SOFTWARE IS" + _WARRANTY]),
+    ("BSD-2-Clause", ["BSD 2-Clause License", "The 2-Clause BSD License"], [_REDISTRIBUTION, "1. " + _SOURCE, "2. " + _BINARY, _DISCLAIMER]),
+    ("BSD-3-Clause", ["BSD 3-Clause License", "The 3-Clause BSD License"], [_REDISTRIBUTION, "1. " + _SOURCE, "2. " + _BINARY, "3. " + _NAMES, _DISCLAIMER]),
+]
+#: Letters and digits of a paragraph that stands for its licence, at least.
+PART = 60
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """SHORT and license_texts/ with and without title (and, where there is one, without the trailer), and the paragraphs that one licence alone has."""
+    rows: list[tuple[str, str]] = []
+    parts: dict[str, set[str]] = defaultdict(set)
+    texts: dict[str, str] = {}
+
+    def add_parts(license_id: str, paragraphs: list[str]) -> None:
+        for x in paragraphs:
+            plain = " ".join(re.findall(r"[a-z0-9]+", x.lower()))
+            if len(plain) >= PART:
+                parts[plain].add(license_id)
+                texts[plain] = x
+
+    for license_id, titles, paragraphs in SHORT:
+        for title in ["", *titles]:  # conditions may go without numbers, and the mark of rights reserved on a line of its own before them
+            for rights in ("", "All rights reserved."):
+                for body in (paragraphs, [re.sub(r"^\d\. ", "", x) for x in paragraphs]):
+                    rows.append((license_id, "\n\n".join(x for x in (title, rights, *body) if x)))
+        add_parts(license_id, paragraphs)
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text()
+        bodies = {text, re.split(r"\n\s*(?:END OF TERMS AND CONDITIONS|APPENDIX: How to apply)", text)[0], re.split(r"(?<=END OF TERMS AND CONDITIONS)", text)[0]}
+        for body in sorted(bodies):
+            paragraphs = re.split(r"\n(?:\s*\n)+", body.strip("\n"))
+            rows += [(path.stem, "\n\n".join(paragraphs[k:])) for k in (0, 1)]  # the first paragraph is the title
+        add_parts(path.stem, re.split(r"\n(?:\s*\n)+", text))
+    return rows + [(min(ids), texts[x]) for x, ids in parts.items() if len(ids) == 1]
+
+
 # Spellings that licence comparison treats as equal, to be applied in this order to words.
 SPELLINGS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
@@ -56,6 +109,8 @@ SPELLINGS: list[tuple[str, str]] = [
     ("v", "version"), ("ver", "version"), ("whilst", "while"), ("wilful", "wilfull"),
 ]
 
+LICENSES += whole_texts()
+
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)\s|©)[^\n]*$"
 
 

@@ -223,6 +223,17 @@ def test_licenses(spark, documents):
     assert got == {(n, "MIT", "text"), (n + 1, "Apache-2.0", "line"), (n + 2, "LicenseRef-all-rights-reserved", "text")}
 
 
+def test_whole_license_files(spark, documents):
+    mit = next(p for i, _, p in licenses.SHORT if i == "MIT")
+    bsd = next(p for i, _, p in licenses.SHORT if i == "BSD-3-Clause")
+    wrap = lambda x: "\n".join(re.findall(r".{1,70}(?:\s|$)", x))
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    texts = ["MIT License\n\nCopyright (c) 2021 A\n\n" + "\n\n".join(map(wrap, mit)), "BSD 3-Clause License\n\nCopyright (c) 2020, B\nAll rights reserved.\n\n" + "\n\n".join(map(wrap, bsd)), "x\n\n" + wrap(mit[0]) + "\n\ny", *[(folder / f"{x}.txt").read_text() for x in ("Apache-2.0", "GPL-3.0-only")]]
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scanned(documents(texts)).collect() if r["unit"] == "text"}
+    assert got == {(0, "MIT"), (1, "BSD-3-Clause"), (3, "Apache-2.0"), (4, "GPL-3.0-only")}
+    assert {(r["doc_id"], r["license_id"], r["unit"]) for r in licenses.scanned(documents(texts[:3])).collect()} >= {(2, "MIT", "paragraph")}
+
+
 def test_decontamination(spark, documents):
     r = random.Random(8)
     word = lambda: "".join(r.choice("bcdfgaeiou") for _ in range(6))
