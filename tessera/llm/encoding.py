@@ -1,21 +1,24 @@
 """Operator 7: SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into words (a run of marks, i.e. spaces, and what follows; line feeds stand alone), which no piece
-spans. The substrings of a word up to the longest piece are exploded and equi-joined to the piece table; the matching
-edges are grouped by word and folded with aggregate():
+Texts are cut into words (a run of marks, i.e. spaces, and what follows; line feeds stand alone), and words into units
+between characters that stand side by side in no piece: no edge of the lattice spans such a cut, so the ids of a text
+are those of its units in a row. The substrings of a unit up to the longest piece are exploded and equi-joined to the
+piece table; the edges that match are grouped by unit and folded with aggregate():
 
 * unigram model: Viterbi, the best score to every position by the edges that end there, earliest start on ties;
 * merge (BPE) model: its scores rank merges and are no log-probabilities, so the path of best total score is not the
   model's segmentation. The fold then merges, over the same edges, the adjacent pair of best rank (leftmost on ties)
-  until no pair is an edge.
+  until no pair is an edge. Its state is one number: bit i is set where a symbol starts.
 
 Characters without a piece become byte pieces (or the unknown piece). Both folds give the library's ids.
 
-The words most frequent in the corpus (CACHE_WORDS at most, so their encodings are broadcast) are folded once; every
-other word is folded where its document is read, in the stream of its partition, so texts are never exchanged. Words longer than LONG characters
-are segmented by the same rules in plain loops whose time is near linear in their length.
+The units most frequent in the corpus (CACHE_UNITS and CACHE_BYTES at most, so their ids are broadcast) are folded
+once. A text is encoded with them where it is read; units that aren't among them are folded in the stream of the
+text's partition and put in their places, so texts are never exchanged. Units longer than LONG characters, the bits of
+a state, are segmented by the same rules in plain loops whose time is near linear in their length.
 
-A null or empty text has no ids. decode() restores the text exactly, except that a literal mark U+2581 reads as a space.
+A null or empty text has no ids. decode() restores the text exactly, except that a literal mark U+2581 reads as a
+space. Rows may repeat and keep their ids. Columns of the input with the name of an output column are replaced.
 """
 
 from __future__ import annotations
@@ -23,59 +26,69 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from array import array
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.pieces import BROADCAST_PIECES, MARK, MODEL, Pieces, load_pieces
+from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
 from tessera.llm.staging import count_floor, materialise, tables
 from tessera.llm.textbytes import slices
 
-CACHE_WORDS = 1 << 18
-LONG = 64
+CACHE_UNITS, CACHE_BYTES = 1 << 19, 32 << 20
+#: Words whose ids a task keeps at hand.
+MEMO_WORDS = 1 << 17
+LONG = 62
+UNIT = "unit"
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+EDGE = {"s": pa.int32(), "l": pa.int32(), "id": pa.int32(), "score": pa.float64(), "ends": pa.int64(), "inner": pa.int64()}
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str | None) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words (uid, pos, word and any others, a (uid, pos) once) with edges (s, l, id, score) of each word.
+def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """units (uid, pos, unit and any others, a (uid, pos) once) with the edges of each unit, by falling score and rising start.
 
-    The exploded substrings of a word follow one another, and a broadcast join keeps them so; runs of one (uid, pos)
-    are then gathered as they stream by, without an exchange or a sort. A piece table too large to broadcast is
-    joined by an exchange, and the rows are dealt and sorted again. The empty word has no edges.
+    An edge has its start s (from 1), length l, piece id and score, and as bits the positions at its ends and those
+    inside. A character without a piece has an edge without an id. The empty unit has no edges.
+
+    The exploded substrings of a unit follow one another, and a hash join keeps the order of its streamed side; runs of
+    one (uid, pos) are then gathered as they stream by, without an exchange or a sort. A unit of which a position is
+    missing is an error.
     """
-    names = words.columns
-    n = F.length("word")
-    spans = words.withColumn("s", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1)))))
-    spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 1, 0).otherwise(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))))
-    spans = spans.withColumn("piece", F.expr("substring(word, s, l)"))
-    table = pieces.table(words.sparkSession)
-    if len(pieces.names) <= BROADCAST_PIECES:
-        edges = spans.join(F.broadcast(table), "piece")
-    else:
-        edges = spans.join(table, "piece").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid").sortWithinPartitions("uid", "pos", "s", "l")
-    edge = ["s", "l", "id", "score"]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields]
+    names = units.columns
+    n = F.length("unit")
+    spans = units.withColumn("s", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1)))))
+    spans = spans.withColumn("l", F.explode(F.when(n > 0, F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))).otherwise(F.array(F.lit(0)))))
+    spans = spans.withColumn("piece", F.expr("substring(unit, s, l)"))
+    edges = spans.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | (F.col("l") <= 1))
+    bits = {"ends": "shiftleft(1L, s - 1) | shiftleft(1L, s - 1 + l)", "inner": "shiftleft(shiftleft(1L, greatest(l - 1, 0)) - 1L, s)"}
+    edges = edges.select(*names, "s", "l", "id", F.coalesce("score", F.lit(0.0)).alias("score"), *[F.expr(x).alias(c) for c, x in bits.items()])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields]
 
     def gathered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         uid, pos, length = (rows.column(c).to_numpy() for c in ("uid", "pos", "l"))
         head = np.flatnonzero(np.append(True, (np.diff(uid) != 0) | (np.diff(pos) != 0)))
-        real = length > 0
-        sizes = np.add.reduceat(real, head, dtype=np.int64)
-        kept = rows.select(edge).filter(pa.array(real)).combine_chunks()
-        one = pa.StructArray.from_arrays([kept.column(c).combine_chunks() if kept.num_rows else pa.array([], kept.schema.field(c).type) for c in edge], edge)
+        first = rows.select(names).take(pa.array(head))
+        if not np.array_equal(np.add.reduceat(length == 1, head, dtype=np.int64), pc.utf8_length(first.column("unit")).to_numpy()):
+            raise RuntimeError("the edges of a unit didn't arrive together")
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(uid))))
+        order = np.lexsort((rows.column("s").to_numpy(), -rows.column("score").to_numpy(), group))
+        order = order[length[order] > 0]
+        sizes = np.add.reduceat(length > 0, head, dtype=np.int64)
+        kept = rows.select(list(EDGE)).take(pa.array(order)).combine_chunks()
+        one = pa.StructArray.from_arrays([kept.column(c).combine_chunks() if kept.num_rows else pa.array([], k) for c, k in EDGE.items()], list(EDGE))
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), one)
-        for x in rows.select(names).take(pa.array(head)).append_column("edges", lists).to_batches(max_chunksize=2048):
-            yield x
+        yield from first.append_column("edges", lists).to_batches(max_chunksize=2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -92,7 +105,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
         if held is not None and held.num_rows:
             yield from gathered(held)
 
-    return edges.select(*names, *edge).mapInArrow(run, ", ".join([*kinds, "edges array<struct<s:int,l:int,id:int,score:double>>"]))
+    return edges.mapInArrow(run, ", ".join([*kinds, "edges array<struct<s:int,l:int,id:int,score:double,ends:long,inner:long>>"]))
 
 
 def fallback_ids(char: Column, pieces: Pieces) -> Column:
@@ -102,72 +115,59 @@ def fallback_ids(char: Column, pieces: Pieces) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.byte_base))
 
 
-def edge_map(edges: Column) -> Column:
-    return F.map_from_entries(F.transform(edges, lambda e: F.struct((e.s * 256 + e.l).alias("key"), F.struct(e.id.alias("id"), e.score.alias("score")).alias("edge"))))
+def edge_ids(unit: Column, edge: Column, pieces: Pieces) -> Column:
+    return F.when(edge["id"].isNotNull(), F.array(edge["id"])).otherwise(fallback_ids(F.substring(unit, edge["s"], F.lit(1)), pieces))
 
 
-def merge_fold(word: Column, edges: Column, pieces: Pieces) -> Column:
-    """The ids of word by merges. State: starts of the symbols (and the end), and the edges by start and length."""
-    none = F.lit(1e300)
+def merge_fold(unit: Column, edges: Column, pieces: Pieces) -> Column:
+    """The ids of unit by merges. State: the bits of the positions where symbols start, and of the end."""
+    whole = lambda state, e: state.bitwiseAND(e["ends"]) == e["ends"]
 
     def step(state: Column, _: Column) -> Column:
-        cuts = state["cuts"]
-        cost = lambda i: F.coalesce(-F.try_element_at(state["edges"], F.element_at(cuts, i) * 256 + F.element_at(cuts, i + 2) - F.element_at(cuts, i))["score"], none)
-        pairs = F.transform(F.sequence(F.lit(1), F.size(cuts) - 2), lambda i: F.struct(cost(i).alias("cost"), i.alias("i")))
-        merged = lambda b: F.when(b["cost"] < none, F.concat(F.slice(cuts, F.lit(1), b["i"]), F.slice(cuts, b["i"] + 2, F.size(cuts)))).otherwise(cuts)
-        best = F.transform(F.array(F.array_min(pairs)), merged)
-        return F.struct(F.when(F.size(cuts) > 2, F.element_at(best, 1)).otherwise(cuts).alias("cuts"), state["edges"].alias("edges"))
+        # edges stand by falling score and rising start, so the first is the pair to merge
+        pair = F.get(F.filter(edges, lambda e: (F.bit_count(state.bitwiseAND(e["inner"])) == 1) & whole(state, e)), 0)
+        return F.coalesce(state.bitwiseAND(F.bitwise_not(pair["inner"])), state)
 
     def ids(state: Column) -> Column:
-        cuts = state["cuts"]
-
-        def symbol(i: Column) -> Column:
-            s, l = F.element_at(cuts, i), F.element_at(cuts, i + 1) - F.element_at(cuts, i)  # noqa: E741
-            own = F.try_element_at(state["edges"], s * 256 + l)["id"]
-            return F.when(own.isNotNull(), F.array(own)).otherwise(fallback_ids(F.substring(word, s, l), pieces))
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), symbol))
+        symbols = F.filter(edges, lambda e: (state.bitwiseAND(e["inner"]) == 0) & whole(state, e))
+        return F.flatten(F.transform(F.array_sort(symbols), lambda e: edge_ids(unit, e, pieces)))
 
-    n = F.length(word)
-    start = F.struct(F.sequence(F.lit(1), n + 1).alias("cuts"), edge_map(edges).alias("edges"))
+    n = F.length(unit)
+    start = F.expr(f"shiftrightunsigned(-1L, 63 - length({UNIT}))")
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, ids)).otherwise(F.array().cast("array<int>"))
 
 
-def viterbi_fold(word: Column, edges: Column, pieces: Pieces) -> Column:
-    """The ids of word by the best total score. State: for each position the best score, the edge's length and id."""
-    by_end = lambda j: F.array_sort(F.filter(edges, lambda e: e.s + e.l - 1 == j))  # noqa: E731  earliest start first
+def viterbi_fold(unit: Column, edges: Column, pieces: Pieces) -> Column:
+    """The ids of unit by the best total score. State: for each position the best score, and the edge that leads to it."""
 
     def step(state: Column, j: Column) -> Column:
-        ahead = F.transform(by_end(j), lambda e: F.struct((F.element_at(state["best"], e.s) + e.score).alias("score"), (-e.s).alias("order"), e.l.alias("l"), e.id.alias("id")))
-        unknown = F.struct((F.element_at(state["best"], j) + F.lit(pieces.unknown_score)).alias("score"), (-j).alias("order"), F.lit(1).alias("l"), F.lit(-1).alias("id"))
-        single = F.exists(by_end(j), lambda e: e.l == 1)
-        best = F.array_max(F.when(single, ahead).otherwise(F.concat(ahead, F.array(unknown))))
-        grown = F.transform(F.array(best), lambda b: F.struct(F.concat(state["best"], F.array(b["score"])).alias("best"), F.concat(state["l"], F.array(b["l"])).alias("l"), F.concat(state["id"], F.array(b["id"])).alias("id")))
-        return F.element_at(grown, 1)
+        score = lambda e: F.element_at(state["best"], e["s"]) + F.when(e["id"].isNull(), F.lit(pieces.unknown_score)).otherwise(e["score"])
+        ahead = F.transform(F.filter(edges, lambda e: e["s"] + e["l"] - 1 == j), lambda e: F.struct(score(e).alias("score"), (-e["s"]).alias("order"), e.alias("edge")))
+        grown = F.transform(F.array(F.array_max(ahead)), lambda b: F.struct(F.concat(state["best"], F.array(b["score"])).alias("best"), F.concat(state["edge"], F.array(b["edge"])).alias("edge")))
+        return F.get(grown, 0)
 
     def ids(state: Column) -> Column:
         def back(done: Column, j: Column) -> Column:
-            here = F.size(state["l"]) - j + 1
-            own = F.element_at(state["id"], here)
-            add = F.when(own >= 0, F.array(own)).otherwise(fallback_ids(F.substring(word, here, F.lit(1)), pieces))
-            return F.when(done["at"] == here, F.struct((here - F.element_at(state["l"], here)).alias("at"), F.concat(add, done["ids"]).alias("ids"))).otherwise(done)
+            here = F.size(state["edge"]) - j + 1
+            last = F.element_at(state["edge"], here)
+            return F.when(done["at"] == here, F.struct((here - last["l"]).alias("at"), F.concat(edge_ids(unit, last, pieces), done["ids"]).alias("ids"))).otherwise(done)
 
-        first = F.struct(F.size(state["l"]).alias("at"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(state["l"])), first, back, lambda d: d["ids"])
+        first = F.struct(F.size(state["edge"]).alias("at"), F.array().cast("array<int>").alias("ids"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(state["edge"])), first, back, lambda d: d["ids"])
 
-    n = F.length(word)
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<int>").alias("l"), F.array().cast("array<int>").alias("id"))
+    n = F.length(unit)
+    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.filter(edges, lambda e: F.lit(False)).alias("edge"))
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, ids)).otherwise(F.array().cast("array<int>"))
 
 
-def folded(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words (uid, pos, word and any others) with the ids of each word, in the same order."""
+def folded(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """units (uid, pos, unit of at most LONG characters, and any others) with the ids of each unit, in the same order."""
     fold = merge_fold if pieces.merges else viterbi_fold
-    return lattice(words, pieces).select(*words.columns, fold(F.col("word"), F.col("edges"), pieces).alias("ids"))
+    return lattice(units, pieces).select(*units.columns, fold(F.col(UNIT), F.col("edges"), pieces).alias("ids"))
 
 
-def long_word(word: str, pieces: Pieces) -> list[int]:
-    """The ids of one very long word."""
+def long_unit(word: str, pieces: Pieces) -> list[int]:
+    """The ids of one very long unit."""
     ids = pieces.ids
     n = len(word)
     if pieces.merges:
@@ -207,108 +207,181 @@ def long_word(word: str, pieces: Pieces) -> list[int]:
     return [x for a, b in out for x in ([ids[word[a:b]]] if word[a:b] in ids else [y for c in word[a:b] for y in pieces.fallback(c)])]
 
 
-def frequent_words(docs: DataFrame, most: int = CACHE_WORDS) -> DataFrame:
-    """The `most` words of the highest counts, of those seen three times or more in a task: what is worth a place in the cache.
-
-    The choice has no bearing on results.
-    """
+def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit, n of every distinct unit of at most LONG characters."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         seen: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            units, bounds = own.units(list(seen))
+            found: Counter[str] = Counter()
+            for u, n in zip(units, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.diff(bounds)).tolist()):
+                if len(u) <= LONG:
+                    found[u] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], [UNIT, "n"])
+
         for batch in batches:
             for part in slices(batch, "text"):
                 for text in part.column(0).to_pylist():
-                    if text:
-                        seen.update(words_of(text))
-                if len(seen) > 1 << 19:  # bounds the task's memory
-                    seen = Counter({w: n for w, n in seen.items() if n > 2})
-        rows = [(w, n) for w, n in seen.items() if n > 2 and len(w) <= LONG]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
-
-    counts = materialise(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
-    return counts.where(F.col("n") >= count_floor(counts, "n", most)).select("word")
-
-
-def encoded(docs: DataFrame, path: str = MODEL, cache_words: int = CACHE_WORDS, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
-    """docs' columns (or those in keep) with n_tokens and ids, and with digest decoded_sha256, that of the decoded ids. Rows may repeat."""
+                    seen.update(words_of(text))
+                if len(seen) > 1 << 18:  # bounds the task's memory; Spark adds the parts up
+                    yield rows()
+        yield rows()
+
+    return docs.select("text").mapInArrow(run, f"{UNIT} string, n long").groupBy(UNIT).agg(F.sum("n").alias("n"))
+
+
+class Cache:
+    """The ids of many units in a few buffers: found by a hash, then compared as strings."""
+
+    def __init__(self, units: pa.Array, ids: pa.Array) -> None:
+        keys = self.keys_of(units.to_pylist())
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.units, ids = units.take(pa.array(order)), ids.take(pa.array(order))
+        self.ends = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))) * 4
+        self.ids = ids.flatten().to_numpy().astype("<i4").tobytes()
+
+    @staticmethod
+    def keys_of(units: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(u) for u in units), np.uint64, len(units))
+
+    def find(self, units: list[str]) -> list[bytes | None]:
+        """The ids of each unit as 32-bit integers, or None."""
+        if not len(self.keys):
+            return [None] * len(units)
+        at = np.minimum(np.searchsorted(self.keys, self.keys_of(units)), len(self.keys) - 1)
+        same = pc.equal(self.units.take(pa.array(at)), pa.array(units, pa.string())).to_pylist()
+        return [self.ids[a:b] if x else None for x, a, b in zip(same, self.ends[at].tolist(), self.ends[at + 1].tolist())]
+
+
+def cached_units(docs: DataFrame, pieces: Pieces, most: int, most_bytes: int) -> Cache:
+    """The ids of the units of the highest counts; the choice has no bearing on results."""
+    counts = materialise(unit_counts(docs, pieces), "units")
+    top = counts.where(F.col("n") >= count_floor(counts, "n", most, F.octet_length(UNIT), most_bytes))
+    dealt = top.select(UNIT).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = folded(dealt.select(F.monotonically_increasing_id().alias("uid"), F.lit(0).alias("pos"), UNIT), pieces).select(UNIT, "ids")
+    found = materialise(rows, "unit-ids").toArrow().combine_chunks()  # at most `most` rows
+    return Cache(*(pa.concat_arrays([pa.array([], k), *c.chunks]) for c, k in zip(found.columns, (pa.string(), pa.list_(pa.field("element", pa.int32()))))))
+
+
+def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
+    """docs' columns (or those in keep) with n_tokens and ids, and with digest decoded_sha256, that of the decoded ids."""
     spark = docs.sparkSession
     pieces = load_pieces(path)
-    names = docs.columns
-    kept = names if keep is None else keep
-    frequent = frequent_words(docs, cache_words).select(F.monotonically_increasing_id().alias("uid"), F.lit(0).alias("pos"), "word")
-    cache = {r["word"]: tuple(r["ids"]) for r in folded(frequent, pieces).select("word", "ids").toLocalIterator()}  # at most cache_words rows
-    shared = spark.sparkContext.broadcast((cache, pieces))
+    made = ["n_tokens", "ids", *(["decoded_sha256"] if digest else [])]
+    kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in made]
+    shared = spark.sparkContext.broadcast((cached_units(docs, pieces, cache_units, CACHE_BYTES), pieces))
+    row = pa.list_(pa.int32())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each document one row (pos 0) with its ids, -k in the place of its k-th rare unit, then a row for each of those."""
+        cache, own = shared.value
+        memo: dict[str, bytes | list] = {}
+        uid = 0
+
+        def learn(words: list[str]) -> None:
+            units, bounds = own.units(words)
+            distinct = list(dict.fromkeys(units))
+            ids = dict(zip(distinct, cache.find(distinct)))
+            for u in distinct:
+                if len(u) > LONG:
+                    ids[u] = struct.pack(f"<{len(x := long_unit(u, own))}i", *x)
+            for w, a, b in zip(words, bounds[:-1].tolist(), bounds[1:].tolist()):
+                found = [ids[u] for u in units[a:b]]
+                memo[w] = b"".join(found) if None not in found else [u if x is None else x for u, x in zip(units[a:b], found)]
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [words_of(t) for t in part.column("text").to_pylist()]
+                if new := list({w for ws in texts for w in ws if w not in memo}):
+                    learn(new)
+                rows: list[tuple[int, int, str, int | None, bytes | None]] = []
+                for r, ws in enumerate(texts):
+                    found = [memo[w] for w in ws]
+                    rare: dict[str, int] = {}
+                    try:
+                        ids = b"".join(found)
+                    except TypeError:
+                        ids = b"".join([y if isinstance(y, bytes) else struct.pack("<i", -rare.setdefault(y, len(rare) + 1)) for x in found for y in ([x] if isinstance(x, bytes) else x)])
+                    rows.append((uid, 0, "", r, ids))
+                    rows += [(uid, k, u, None, None) for u, k in rare.items()]
+                    uid += 1
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                at = pa.array([r[3] for r in rows], pa.int64())
+                doc = pa.StructArray.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.zeros(part.num_rows, bool))], [*(f"_{i}" for i in range(len(kept))), "_"])
+                columns = [*(pa.array([r[i] for r in rows], k) for i, k in ((0, pa.int64()), (1, pa.int32()), (2, pa.string()))), doc.take(at), pa.array([r[4] for r in rows], pa.binary())]
+                yield from slices(pa.RecordBatch.from_arrays(columns, ["uid", "pos", UNIT, "doc", "own"]), "own", 4 << 20)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a document (pos 0, then its rare words) follow one another."""
-        known, own = shared.value
-        here: dict[str, list[int]] = {}
-        at: pa.Array | None = None  # the document that is being read
+        """Rows of a document (pos 0, then its rare units) follow one another."""
+        own = shared.value[1]
         done: list[pa.Array] = []
-        ids, ends = array("i"), array("i", [0])
+        ids: list[np.ndarray] = []
         digests: list[str] = []
-        size = 0
+        doc: pa.Array | None = None
+        mine, rare = np.zeros(0, np.int32), {}
 
         def finish() -> None:
-            nonlocal size
-            text = at.field("text")[0].as_py() or ""
-            for w in words_of(text):
-                ids.extend(known.get(w) or here.get(w) or long_word(w, own))
+            holes = np.flatnonzero(mine < 0)
+            if len(holes):
+                steps = [x for a, b in zip([-1, *holes.tolist()], [*holes.tolist(), len(mine)]) for x in (mine[a + 1 : b], rare[-int(mine[b])] if b < len(mine) else mine[:0])]
+                ids.append(np.concatenate(steps))
+            else:
+                ids.append(mine)
             if digest:
-                digests.append(hashlib.sha256(decode_ids(ids[ends[-1] :].tolist(), own).encode()).hexdigest())
-            done.append(at)
-            ends.append(len(ids))
-            size += len(text)
+                digests.append(hashlib.sha256(decode_ids(ids[-1].tolist(), own).encode()).hexdigest())
+            done.append(doc)
 
         def flushed() -> pa.RecordBatch:
-            nonlocal size
-            docs_ = pa.concat_arrays(done)
-            bounds = np.array(ends, np.int32)
-            columns = [*(docs_.field(c) for c in kept), pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.array(ids, np.int32)))]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array(digests)] if digest else columns, [*kept, "n_tokens", "ids", *(["decoded_sha256"] if digest else [])])
-            done.clear()
-            digests.clear()
-            del ids[:], ends[1:]
-            size = 0
+            rows = pa.concat_arrays(done)
+            sizes = np.array([len(x) for x in ids], np.int64)
+            values = pa.array(np.concatenate(ids), pa.int32())
+            columns = [*(rows.field(i) for i in range(len(kept))), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(digests)] if digest else columns, [*(f.name for f in kept), *made])
+            for x in (done, ids, digests):
+                x.clear()
             return out
 
+        size = 0
         for batch in batches:
-            doc = batch.column("doc")
-            for r, (pos, word, word_ids) in enumerate(zip(batch.column("pos").to_pylist(), batch.column("word").to_pylist(), batch.column("ids"))):
-                if pos == 0:
-                    if at is not None:
-                        finish()
-                        if size > 1 << 20:
-                            yield flushed()
-                    at, here = doc.slice(r, 1), {}
-                else:
-                    here[word] = word_ids.values.to_pylist()
-        if at is not None:
+            docs_, own_ids, found = (batch.column(c) for c in ("doc", "own", "ids"))
+            for r, pos in enumerate(batch.column("pos").to_pylist()):
+                if pos:
+                    rare[pos] = found[r].values.to_numpy()
+                    continue
+                if doc is not None:
+                    finish()
+                    size += len(ids[-1])
+                    if size > 1 << 18:
+                        yield flushed()
+                        size = 0
+                doc, mine, rare = docs_.slice(r, 1), np.frombuffer(own_ids[r].as_py(), "<i4"), {}
+        if doc is not None:
             finish()
         if done:
             yield flushed()
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    # one row for the document (its word is empty), then one for each word that isn't cached
-    known = F.broadcast(spark.createDataFrame([(w,) for w in cache], "word string"))
-    found = F.regexp_extract_all(F.concat(F.lit(MARK), F.replace("text", F.lit(" "), F.lit(MARK))), F.lit(WORD.pattern), F.lit(0))
-    rare = F.filter(F.array_distinct(found), lambda w: F.length(w) <= LONG)
-    row = F.concat(F.array(F.lit("")), F.coalesce(rare, F.array().cast("array<string>")))
-    spread = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(c) for c in names]).alias("doc"), F.posexplode(row).alias("pos", "word"))
-    spread = spread.select("uid", "pos", "word", F.when(F.col("pos") == 0, F.col("doc")).alias("doc")).join(known, "word", "left_anti")
-    return folded(spread, pieces).mapInArrow(assemble, ", ".join([*fields, "n_tokens long", "ids array<int>", *(["decoded_sha256 string"] if digest else [])]))
+    kinds = ", ".join([*(f"_{i}: {f.dataType.simpleString()}" for i, f in enumerate(kept)), "_: boolean"])
+    rows = docs.select("text", *[F.col(f"`{f.name}`") for f in kept if f.name != "text"]).mapInArrow(spread, f"uid long, pos int, {UNIT} string, doc struct<{kinds}>, own binary")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    return folded(rows, pieces).mapInArrow(assemble, ", ".join([*fields, "n_tokens long", "ids array<int>", *(["decoded_sha256 string"] if digest else [])]))
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
-    base = pieces.byte_base
-    raw = b"".join(bytes([i - base]) if pieces.kinds[i] == 6 else pieces.names[i].encode() for i in ids)
-    return raw.decode(errors="replace").replace(MARK, " ")[1:]
+    raw = pieces.raw
+    return b"".join([raw[i] for i in ids]).decode(errors="replace").replace(MARK, " ")[1:]
 
 
 def decoded(df: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """df with the text of its ids."""
+    """df with the text of its ids; a column called `name` is replaced."""
     pieces = load_pieces(path)
-    fields = df.schema.fields
+    fields = [f for f in df.schema.fields if f.name.lower() != name.lower()]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +389,7 @@ def decoded(df: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "dec
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [decode_ids(x.values.to_pylist(), pieces) if x.is_valid else None for x in part.column(ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(texts, pa.string())], [*(f.name for f in fields), name])
 
     return df.mapInArrow(run, schema)
 

@@ -6,11 +6,12 @@ import os
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: The public model of the tokenizer folder; every operator takes another path.
 MODEL = os.path.join(os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
-#: A vocabulary above this is not broadcast.
+#: The piece table is broadcast; a larger one is refused.
 BROADCAST_PIECES = 2_000_000
 MARK = "▁"
 
@@ -45,10 +46,44 @@ class Pieces:
     def fallback(self, char: str) -> list[int]:
         return [self.byte_base + b for b in char.encode()] if self.byte_base >= 0 else [self.unknown]
 
+    @cached_property
+    def raw(self) -> list[bytes]:
+        """What each id decodes to, before marks become spaces."""
+        return [bytes([i - self.byte_base]) if k == 6 else x.encode() for i, (x, k) in enumerate(zip(self.names, self.kinds))]
+
+    @cached_property
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """A class for every code point (0: in no piece of two characters or more), and which class may follow which inside a piece."""
+        longer = [x for x in self.ids if len(x) > 1]
+        chars = sorted({c for x in longer for c in x})
+        kinds = np.zeros(0x110000, np.int16 if len(chars) < 1 << 15 else np.int32)
+        kinds[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        pairs = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for x in longer:
+            codes = kinds[[ord(c) for c in x]]
+            pairs[codes[:-1], codes[1:]] = True
+        return kinds, pairs
+
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words cut between any two characters that stand side by side in no piece, and the bounds of each word's units.
+
+        No edge of a word's lattice spans such a cut, so the lattice of a word is the chain of its units' lattices.
+        """
+        text = "".join(words)
+        kinds, pairs = self.neighbours
+        codes = kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cut = np.append(~pairs[codes[:-1], codes[1:]], True) if len(codes) else np.zeros(0, bool)
+        cut[ends[ends > 0] - 1] = True
+        at = np.flatnonzero(cut) + 1
+        to = at.tolist()
+        return [text[a:b] for a, b in zip([0, *to], to)], np.append(0, np.searchsorted(at, ends, "right"))
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score) of the normal pieces, and the empty piece with id -1, which every word matches once."""
-        rows = [("", -1, 0.0), *((x, i, float(self.scores[i])) for x, i in self.ids.items())]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """(piece, id, score) of the normal pieces."""
+        if len(self.ids) > BROADCAST_PIECES:
+            raise ValueError(f"{len(self.ids)} pieces are more than the {BROADCAST_PIECES} that are broadcast")
+        return spark.createDataFrame([(x, i, float(self.scores[i])) for x, i in self.ids.items()], "piece string, id int, score double")
 
 
 def load_pieces(path: str = MODEL) -> Pieces:

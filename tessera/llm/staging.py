@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a new temporary folder."""
+    """The folder that the cluster shares, as the session names it in spark.checkpoint.dir."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        raise ValueError("set spark.checkpoint.dir, when the session starts, to a folder that the driver and all executors share")
     return place.rstrip("/")
 
 
@@ -30,8 +28,15 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def count_floor(counts: DataFrame, column: str, most: int) -> int:
-    """A count that at most `most` rows reach: the least power of 1.5 for which that holds, from one aggregate."""
-    steps = sorted({int(1.5**i) for i in range(80)})
-    row = counts.agg(*[F.count(F.when(F.col(column) >= t, 1)) for t in steps]).first()
-    return next((t for t, n in zip(steps, row) if n <= most), steps[-1])
+def count_floor(counts: DataFrame, column: str, most: int, weight: Column | None = None, most_weight: int = 0) -> int:
+    """A count that at most `most` rows reach, of at most `most_weight` in sum: a power of two or one half more, from one aggregate."""
+    step = F.floor(F.log2(F.col(column).cast("double")) * 2).cast("int")
+    heavy = F.lit(0) if weight is None else weight.cast("long")
+    rows = counts.where(F.col(column) >= 1).groupBy(step.alias("step")).agg(F.count("*"), F.sum(heavy), F.min(column)).collect()  # at most 126 rows
+    floor, n, total = 1 << 62, 0, 0
+    for _, here, own, least in sorted(rows, reverse=True):
+        n, total = n + here, total + own
+        if n > most or total > most_weight:
+            break
+        floor = least
+    return floor

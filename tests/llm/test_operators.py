@@ -213,7 +213,7 @@ def test_encoding_equals_the_library(spark, documents, tmp_path, merges):
             assert not merges and sum(pieces.scores[i] for i in r["ids"]) == pytest.approx(sum(pieces.scores[i] for i in want), rel=1e-6)
         assert r["decoded"] == (t or "").replace("▁", " ")
     for w in ("▁" + "abcabd" * 30, "▁日本x"):
-        assert encoding.long_word(w, pieces) == library.encode(w[1:])
+        assert encoding.long_unit(w, pieces) == library.encode(w[1:])
 
 
 def test_licenses(spark, documents):
