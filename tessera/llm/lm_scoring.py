@@ -1,19 +1,19 @@
 """Operator 10: language-model scores by subword lattice likelihood.
 
-The vocabulary is that of an existing piece model; its ranks give the first piece probabilities (Zipf's law). Each
-word is a lattice of pieces, and the log-space forward recursion sums over all its segmentations. ROUNDS rounds of
-expectation-maximisation over the word types of the training documents adapt the piece probabilities (the pieces
-themselves are never changed); a stop event ends every word, so the marginal L(word) is a distribution over words.
+The vocabulary and its scores are those of an existing piece model. A word is a lattice of pieces, of which each path
+is a segmentation; the log-space forward recursion sums the weights of all paths. Between two characters that stand
+side by side in no piece every path has a cut, so a word's marginal is the product of its units' (Pieces.units).
 
-A known word also is an edge that spans its whole lattice: with c occurrences in N training tokens of V types,
+Weights: vocabulary_logp() maps the vocabulary's scores to log-probabilities (scores of a unigram model are such,
+those of a merge model are ranks and follow Zipf's law). One pass over the training words takes the expected uses of
+every piece under these weights, and the weights become (PRIOR * p + uses) / (PRIOR + all uses): the model learns from
+the training texts, and the vocabulary's scores stay its prior. A stop event ends every word, so the marginal L(word)
+is a distribution over words. A text is a chain of tokens, of which ends / N are ends:
 
-    P(word) = max(c - d, 0) / N + d * V / N * L(word),   d = n1 / (n1 + 2 * n2)
+    log10 P(text) = log10(ends / N) + sum over its words of log10((1 - ends / N) * L(word))
 
-so the mass that discounting frees goes to the marginal over segmentations, which scores unseen words. The score of a
-text is the sum of log10 P over its words and one end.
-
-Words and their counts live in Spark tables; only piece probabilities (one row a piece) and the CACHE_WORDS most
-frequent words reach the driver.
+Words and their counts live in Spark tables; only piece probabilities (one row a piece) and the most frequent words
+(CACHE_WORDS and CACHE_BYTES at most) reach the driver.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
 from tessera.llm.staging import count_floor, materialise, tables
 from tessera.llm.textbytes import LOWER, mix, slices
 
-ROUNDS = 3
-CACHE_WORDS = 1 << 18
+#: The weight of the vocabulary's scores, in uses.
+PRIOR = 1e4
+CACHE_WORDS, CACHE_BYTES = 1 << 18, 16 << 20
 #: Cells (words x characters) of the lattices that are in memory at a time.
 CELLS = 1 << 17
 _LOWER = LOWER.tobytes()
@@ -75,27 +76,33 @@ class PieceLattice:
             out.append(np.where(keys[at] == h, ids[at], -1))
         return out
 
-    def first_logp(self) -> np.ndarray:
-        """Zipf's law by rank, with one event more, the stop at the end."""
-        ranks = np.arange(2, self.size + 2, dtype=float)
-        weight = 1 / ranks
-        return np.log(np.append(weight, 0.2 * weight.sum()) / (1.2 * weight.sum()))
-
-    def run(self, words: list[str], logp: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-        """ln L of each word; with counts, the expected uses of each piece are added to it."""
-        out = np.zeros(len(words))
+    def run(self, words: list[str], logp: np.ndarray, weights: np.ndarray | None = None, uses: np.ndarray | None = None) -> np.ndarray:
+        """ln L of each word; with weights (of the words), the expected uses of each piece are added to uses."""
+        units, bounds = self.pieces.units([MARK + w for w in words])
+        places = {u: i for i, u in enumerate(dict.fromkeys(units))}
+        at = np.fromiter((places[u] for u in units), np.int64, len(units))
+        times = None
+        if uses is not None:
+            times = np.bincount(at, np.repeat(weights, np.diff(bounds)), len(places))
+            uses[-1] += weights.sum()
+        found = self.chains(list(places), logp, times, uses)
+        return np.add.reduceat(found[at], bounds[:-1]) + logp[-1] if words else np.zeros(0)
+
+    def chains(self, units: list[str], logp: np.ndarray, times: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(len(units))
         by_length: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            by_length[len(w) + 1].append(i)
+        for i, u in enumerate(units):
+            by_length[len(u)].append(i)
         for n, rows in by_length.items():
             step = max(1, CELLS // n)
             for at in range(0, len(rows), step):
                 own = rows[at : at + step]
-                codes = np.frombuffer("".join(MARK + words[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
-                out[own] = self.one_length(codes, logp, counts)
+                codes = np.frombuffer("".join(units[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
+                out[own] = self.one_length(codes, logp, None if times is None else times[own], uses)
         return out
 
-    def one_length(self, codes: np.ndarray, logp: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    def one_length(self, codes: np.ndarray, logp: np.ndarray, times: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:
+        """ln of the summed weights of all segmentations of units of one length."""
         m, n = codes.shape
         ids = self.edges(codes)
         weights = [np.where(x >= 0, logp[x], -np.inf) for x in ids]
@@ -106,20 +113,33 @@ class PieceLattice:
         ahead[0] = 0
         for j in range(1, n + 1):
             ahead[j] = np.logaddexp.reduce([ahead[j - k] + weights[k - 1][:, j - k] for k in range(1, min(j, len(ids)) + 1)], axis=0)
-        total = ahead[n] + logp[-1]
-        if counts is not None:
+        if uses is not None:
             behind = np.full((n + 1, m), -np.inf)
             behind[n] = 0
             for s in range(n - 1, -1, -1):
                 behind[s] = np.logaddexp.reduce([behind[s + k] + weights[k - 1][:, s] for k in range(1, min(n - s, len(ids)) + 1)], axis=0)
             for k, x in enumerate(ids, 1):
-                share = np.exp(ahead[: n - k + 1].T + weights[k - 1] + behind[k:].T - ahead[n][:, None])
-                counts += np.bincount(x[x >= 0], share[x >= 0], minlength=len(counts))[: len(counts)]
+                share = np.exp(ahead[: n - k + 1].T + weights[k - 1] + behind[k:].T - ahead[n][:, None]) * times[:, None]
+                uses += np.bincount(x[x >= 0], share[x >= 0], minlength=len(uses))[: len(uses)]
                 if k == 1:
                     for i, s in unknown:
-                        np.add.at(counts, self.pieces.fallback(chr(codes[i, s])), share[i, s])
-            counts[-1] += m
-        return total
+                        np.add.at(uses, self.pieces.fallback(chr(codes[i, s])), share[i, s])
+        return ahead[n]
+
+
+def vocabulary_logp(pieces: Pieces) -> np.ndarray:
+    """ln of the probability of each id by the vocabulary's scores alone, and of the stop event (one sixth) at the end.
+
+    A unigram model's scores are log-probabilities. A merge model's are ranks: 1 / (rank + 2), ranks in order of ids.
+    Ids that aren't pieces (bytes, controls) have the least weight of a piece.
+    """
+    if pieces.merges:
+        weight = 1 / np.arange(2, len(pieces.names) + 2, dtype=float)
+    else:
+        score = np.array(pieces.scores)
+        normal = np.array(pieces.kinds) == 1
+        weight = np.exp(np.where(normal, score, score[normal].min()) - score[normal].max())
+    return np.log(np.append(weight, 0.2 * weight.sum()) / (1.2 * weight.sum()))
 
 
 def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
@@ -146,63 +166,59 @@ def word_counts(docs: DataFrame, trains: Column) -> DataFrame:
     return docs.select("text", trains.alias("trains")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def learned_pieces(counts: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
-    """ln of the piece probabilities after EM over the word types with c > 0."""
-    lattice = PieceLattice(pieces)
-    logp = lattice.first_logp()
-    spark = counts.sparkSession
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((pieces, logp))
+def texts_of(batch: pa.RecordBatch) -> list[str]:
+    return batch.column("word").cast(pa.string()).to_pylist()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, now = shared.value
-            use = np.zeros(len(now))
-            here = PieceLattice(own)
-            for batch in batches:
-                here.run([w.decode() for w in batch.column(0).to_pylist()], now, use)
-            used = np.flatnonzero(use)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(use[used])], ["id", "uses"])
 
-        uses = np.zeros(len(logp))
-        for i, x in counts.where("c > 0").select("word").mapInArrow(run, "id long, uses double").groupBy("id").agg(F.sum("uses")).collect():  # one row a piece
-            uses[i] = x
-        logp = np.log((uses + 0.1) / (uses + 0.1).sum())
-    return logp
+def learned_pieces(counts: DataFrame, pieces: Pieces, prior: float = PRIOR) -> np.ndarray:
+    """ln of the piece probabilities: the vocabulary's, and their expected uses in all occurrences of all words with c > 0."""
+    logp = vocabulary_logp(pieces)
+    shared = counts.sparkSession.sparkContext.broadcast((pieces, logp))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now = shared.value
+        uses = np.zeros(len(now))
+        lattice = PieceLattice(own)
+        for batch in batches:
+            lattice.run(texts_of(batch), now, batch.column("c").to_numpy().astype(float), uses)
+        used = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(uses[used])], ["id", "uses"])
+
+    uses = np.zeros(len(logp))
+    for i, x in counts.where("c > 0").select("word", "c").mapInArrow(run, "id long, uses double").groupBy("id").agg(F.sum("uses")).collect():  # one row a piece
+        uses[i] = x
+    return np.log((prior * np.exp(logp) + uses) / (prior + uses.sum()))
 
 
 def scored(docs: DataFrame, held_out: Column, path: str = MODEL, order: str = "doc_id") -> DataFrame:
     """Per row: order, held_out, n_tokens, n_known, train_tokens, base_score and score, learnt from the rows not held out.
 
-    Null texts are empty: their one token is the end. Without training rows N and V are 0 and score equals the
-    lattice's.
+    A null text is empty: its one token is the end. Rows may repeat, ids may be null. Without training rows N and V are
+    0, the pieces' weights are the vocabulary's, and half of the tokens count as ends. Columns other than order and text
+    aren't looked at.
     """
     spark = docs.sparkSession
     pieces = load_pieces(path)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(order).alias("doc_id"), "text", held_out.alias("held_out"))
+    key = docs.schema[order].dataType.simpleString()
+    rows = docs.select(F.col(order).alias("doc_id"), "text", held_out.alias("held_out"))
     counts = materialise(word_counts(rows, ~F.col("held_out")), "counts")
     ends = rows.where(~F.col("held_out")).count()
-    facts = counts.where("c > 0").agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    n, v, n1, n2 = (facts[0] or 0) + ends, facts[1] + (ends > 0), facts[2] + (ends == 1), facts[3] + (ends == 2)
-    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    facts = counts.where("c > 0").agg(F.sum("c"), F.count("*")).first()
+    n, v = (facts[0] or 0) + ends, facts[1] + (ends > 0)
+    share = ends / n if n > ends else 0.5
     shared = spark.sparkContext.broadcast((pieces, learned_pieces(counts, pieces)))
 
-    def one(c: np.ndarray, log_l: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        base = np.log10((c + 1) / (n + v + 1))
-        free = np.log(d * v / n) if n else 0.0
-        known = np.log(np.maximum(c - d, 0) / max(n, 1), where=c > 0, out=np.full(len(c), -np.inf))
-        return base, np.logaddexp(known, free + log_l) / math.log(10)
-
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, logp = shared.value
         lattice = PieceLattice(own)
         for batch in batches:
-            c = batch.column("c").to_numpy().astype(float)
-            base, score = one(c, lattice.run([w.decode() for w in batch.column("word").to_pylist()], logp))
+            base = np.log10((batch.column("c").to_numpy() + 1) / (n + v + 1))
+            score = (lattice.run(texts_of(batch), logp) + math.log1p(-share)) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(score)], ["word", "c", "base", "score"])
 
     words = materialise(counts.mapInArrow(weigh, "word binary, c long, base double, score double"), "words")
-    top = words.where(F.col("c") >= count_floor(words, "c", CACHE_WORDS)).toLocalIterator()  # at most CACHE_WORDS rows
-    end_base, end_score = (x[0] for x in one(np.array([float(ends)]), np.array([-np.inf if ends else 0.0])))
+    top = words.where(F.col("c") >= count_floor(words, "c", CACHE_WORDS, F.octet_length("word"), CACHE_BYTES)).toLocalIterator()
+    end_base, end_score = math.log10((ends + 1) / (n + v + 1)), math.log10(share)
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): (int(r["c"] > 0), r["base"], r["score"]) for r in top})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +238,12 @@ def scored(docs: DataFrame, held_out: Column, path: str = MODEL, order: str = "d
                     else:
                         out.append((uid, None, None, w, times, None, None, None))
                 out.append((uid, doc, held, None, total, seen, math.fsum(base), math.fsum(score)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             for at in range(0, len(out), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + (1 << 16)]), kinds)], ["uid", "doc_id", "held_out", "word", "times", "known", "base", "score"])
 
-    parts = materialise(rows.mapInArrow(split, "uid long, doc_id long, held_out boolean, word binary, times long, known long, base double, score double"), "parts")
+    numbered = rows.withColumn("uid", F.monotonically_increasing_id())  # evaluated once, for parts
+    parts = materialise(numbered.mapInArrow(split, f"uid long, doc_id {key}, held_out boolean, word binary, times long, known long, base double, score double"), "parts")
     rest = parts.where(F.col("word").isNotNull()).select("uid", "word", "times").join(words, "word").groupBy("uid")
     rest = rest.agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("score")).alias("s"))
     add = lambda a, b, zero: (F.col(a) + F.coalesce(b, F.lit(zero))).alias(a)

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, encoding, fingerprints, licenses, lm_scoring, queries, resharding, simhash_dedup, suffix_dedup, wrappers
 from tessera.llm.pieces import MODEL, load_pieces
@@ -188,24 +189,70 @@ def test_repeated_rows_and_null_ids_in_suffix_dedup(spark):
     assert rows == {(1, 7): long, (1, 8): long, (None, 9): "other " * 20, (2, 1): ""}
 
 
+def brute_ids(unit, pieces):
+    """Merges: the pair of best rank, leftmost first. Else the best of all segmentations."""
+    one = lambda x: [pieces.ids[x]] if x in pieces.ids else pieces.fallback(x)
+    if pieces.merges:
+        parts = list(unit)
+        while pairs := [(-pieces.scores[pieces.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in pieces.ids]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    else:
+        score = lambda x: pieces.scores[pieces.ids[x]] if x in pieces.ids else pieces.unknown_score
+        ways = lambda u: [[]] if not u else [[u[:k], *w] for k in range(1, len(u) + 1) if k == 1 or u[:k] in pieces.ids for w in ways(u[k:])]
+        parts = max(ways(unit), key=lambda w: sum(map(score, w)))
+    return [i for x in parts for i in one(x)]
+
+
+def unigram_model(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(MODEL, "rb").read())
+    model.trainer_spec.model_type = 1
+    for i, p in enumerate(model.pieces):
+        if p.type == 1:
+            p.score = -math.log(i + 2) - (i % 7) / 100
+    path = str(tmp_path / "unigram.model")
+    open(path, "wb").write(model.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("merges", [True, False])
+def test_folded_lattices_equal_brute_force(spark, tmp_path, merges):
+    pieces = load_pieces(MODEL if merges else unigram_model(tmp_path))
+    r = random.Random(4)
+    units = ["", "a", "▁the", "日", "▁international", "x" * (62 if merges else 12), "é😀", "▁" * 10]
+    units += ["".join(r.choice("▁abcdehinrst") for _ in range(r.randint(1, 30 if merges else 10))) for _ in range(120)]
+    rows = spark.createDataFrame([(i // 3, i % 3, u) for i, u in enumerate(units)], "uid long, pos int, unit string").coalesce(1)
+    got = {r["uid"] * 3 + r["pos"]: list(r["ids"]) for r in encoding.folded(rows, pieces).collect()}
+    assert [got[i] for i in range(len(units))] == [brute_ids(u, pieces) for u in units]
+
+
+def test_units_are_cut_where_no_piece_spans():
+    pieces = load_pieces()
+    words = ["▁don't", "▁a1b2", "", "▁日本x", "\n", "▁the,▁end"]
+    units, bounds = pieces.units(words)
+    assert ["".join(units[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] == words
+    pairs = {x[i : i + 2] for x in pieces.ids for i in range(len(x) - 1)}
+    assert all(u[i : i + 2] in pairs for u in units for i in range(len(u) - 1))
+    assert all(a[-1] + b[0] not in pairs for lo, hi in zip(bounds[:-1], bounds[1:]) for a, b in zip(units[lo:hi], units[lo + 1 : hi]))
+
+
+def test_encoding_of_an_empty_table_and_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "the end", 5, "x", 2)], "doc_id long, text string, ids int, uid string, unit int")
+    assert [r.asDict() for r in encoding.encoded(docs).collect()] == [{"doc_id": 1, "text": "the end", "uid": "x", "unit": 2, "n_tokens": 2, "ids": brute_ids("▁the", load_pieces()) + brute_ids("▁end", load_pieces())}]
+    assert encoding.encoded(docs.where("doc_id > 1")).count() == 0
+
+
+@pytest.mark.parametrize("few", [3, 1 << 19])
 @pytest.mark.parametrize("merges", [True, False])
-def test_encoding_equals_the_library(spark, documents, tmp_path, merges):
-    texts = texts_of(6, 10) + ["  two  spaces ", "\nfeed\n\n", "▁mark", "aaaa" * 40]
-    path = MODEL
-    if not merges:
-        from sentencepiece import sentencepiece_model_pb2
-
-        model = sentencepiece_model_pb2.ModelProto()
-        model.ParseFromString(open(MODEL, "rb").read())
-        model.trainer_spec.model_type = 1
-        for i, p in enumerate(model.pieces):
-            if p.type == 1:
-                p.score = -math.log(i + 2) - (i % 7) / 100
-        path = str(tmp_path / "unigram.model")
-        open(path, "wb").write(model.SerializeToString())
+def test_encoding_equals_the_library(spark, documents, tmp_path, merges, few):
+    texts = texts_of(6, 10) + ["  two  spaces ", "\nfeed\n\n", "▁mark", "aaaa" * 40, " " * 100 + "x"]
+    path = MODEL if merges else unigram_model(tmp_path)
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = load_pieces(path)
-    rows = sorted_rows(encoding.decoded(encoding.encoded(documents(texts), path)))
+    rows = sorted_rows(encoding.decoded(encoding.encoded(documents(texts), path, cache_units=few)))
     for r, t in zip(rows, texts):
         want = library.encode(t or "")
         assert r["n_tokens"] == len(r["ids"])
@@ -339,41 +386,66 @@ def test_near_duplicates_are_pairs_of_the_jaccard_similarity(spark, documents):
     assert got == sorted(set(root))
 
 
+def brute_marginal(word, pieces, logp, uses=None):
+    """ln of the sum over every segmentation, one by one; with uses, each piece's expected uses are added."""
+    cost = lambda x: logp[pieces.ids[x]] if x in pieces.ids else logp[pieces.fallback(x)].sum()
+    ways = lambda u: [[]] if not u else [[u[:k], *w] for k in range(1, len(u) + 1) if k == 1 or u[:k] in pieces.ids for w in ways(u[k:])]
+    paths = ways("▁" + word)
+    shares = np.array([math.exp(sum(map(cost, w))) for w in paths])
+    if uses is not None:
+        for w, p in zip(paths, shares / shares.sum()):
+            for x in w:
+                for i in [pieces.ids[x]] if x in pieces.ids else pieces.fallback(x):
+                    uses[i] += p
+        uses[-1] += 1
+    return math.log(shares.sum()) + logp[-1]
+
+
 def test_lattice_marginals_equal_enumeration():
     pieces = load_pieces()
     lattice = lm_scoring.PieceLattice(pieces)
-    logp = lattice.first_logp()
-
-    def total(w):
-        ways = [1.0] + [0.0] * len(w)
-        for j in range(1, len(w) + 1):
-            for i in range(max(0, j - pieces.longest), j):
-                k = pieces.ids.get(w[i:j])
-                p = math.exp(logp[k]) if k is not None else math.exp(logp[pieces.fallback(w[i])].sum()) if j == i + 1 else 0.0
-                ways[j] += ways[i] * p
-        return math.log(ways[-1]) + logp[-1]
-
-    for word in ("the", "internationalization", "日本\U0001f600", "a" * 40, "é"):
-        assert lattice.run([word], logp)[0] == pytest.approx(total("▁" + word))
-    uses = np.zeros(len(logp))
-    lattice.run(["the"], logp, uses)
-    assert uses[-1] == 1 and uses[pieces.ids["▁the"]] > 0
-
-
-def test_lm_scores(spark, folder, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "CACHE_WORDS", 5)
-    texts = texts_of(11)
+    logp = lm_scoring.vocabulary_logp(pieces)
+    words = ["the", "international", "日本\U0001f600", "a" * 12, "é", "don't,x1"]
+    assert lattice.run(words, logp) == pytest.approx([brute_marginal(w, pieces, logp) for w in words])
+    uses, want = np.zeros(len(logp)), np.zeros(len(logp))
+    lattice.run(words, logp, np.array([1.0, 2, 1, 1, 1, 3]), uses)
+    for w, n in zip(words, (1, 2, 1, 1, 1, 3)):
+        for _ in range(n):
+            brute_marginal(w, pieces, logp, want)
+    assert uses == pytest.approx(want)
+    assert np.exp(logp).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("few", [1, 1 << 18])
+def test_lm_scores(spark, folder, monkeypatch, few):
+    monkeypatch.setattr(lm_scoring, "CACHE_WORDS", few)
+    r = random.Random(11)
+    texts = [*(" ".join("".join(r.choice("abeé") for _ in range(r.randint(1, 8))) for _ in range(r.randint(1, 12))) for _ in range(25)), None, "", " \n ", "A a A", "A a A", "日本 \U0001f600"]
     rows = sorted_rows(lm_scoring.op10_subword_lattice_lm(spark, folder(texts)))
-    counts = Counter()
-    for i, t in enumerate(texts):
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update([*lm_scoring.tokens(t), None])
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    words = [[w.decode() for w in lm_scoring.tokens(t)] for t in texts]
+    counts = Counter(w for ws, h in zip(words, held) if not h for w in [*ws, None])
     n, v = sum(counts.values()), len(counts)
-    for i, (r, t) in enumerate(zip(rows, texts)):
-        w = [*lm_scoring.tokens(t), None]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
-        assert r["score"] < 0 and math.isfinite(r["score"])
+    pieces = load_pieces()
+    first = lm_scoring.vocabulary_logp(pieces)
+    uses = np.zeros(len(first))
+    for w, k in counts.items():
+        for _ in range(k if w is not None else 0):
+            brute_marginal(w, pieces, first, uses)
+    logp = np.log((lm_scoring.PRIOR * np.exp(first) + uses) / (lm_scoring.PRIOR + uses.sum()))
+    ends = counts[None] / n
+    for x, ws, h in zip(rows, words, held):
+        w = [*ws, None]
+        assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (h, len(w), sum(counts[y] > 0 for y in w), n)
+        assert x["base_score"] == pytest.approx(sum(math.log10((counts[y] + 1) / (n + v + 1)) for y in w))
+        assert x["score"] == pytest.approx(math.log10(ends) + sum((math.log(1 - ends) + brute_marginal(y, pieces, logp)) / math.log(10) for y in ws))
+
+
+def test_lm_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b", 1), ("x", "a b", 2), ("x", "a b", 2), ("y", None, 3)], "doc_id string, text string, word int")
+    rows = lm_scoring.scored(docs, F.lit(False)).collect()
+    assert sorted((x["doc_id"] or "", x["n_tokens"]) for x in rows) == [("", 3), ("x", 3), ("x", 3), ("y", 1)]
+    assert len({x["score"] for x in rows}) == 2
 
 
 def test_html_is_decoded_once():
