@@ -13,8 +13,8 @@ piece table; the edges that match are grouped by unit and folded with aggregate(
 Characters without a piece become byte pieces (or the unknown piece). Both folds give the library's ids.
 
 The units most frequent in the corpus (CACHE_UNITS and CACHE_BYTES at most, so their ids are broadcast) are folded
-once. A text is encoded with them where it is read; units that aren't among them are folded in the stream of the
-text's partition and put in their places, so texts are never exchanged. Units longer than LONG characters, the bits of
+once. Texts are encoded with them where they are read, some SLICE bytes at a time; the units of a slice that aren't
+among them are folded in the stream of its partition and put in their places, so texts are never exchanged. Units longer than LONG characters, the bits of
 a state, are segmented by the same rules in plain loops whose time is near linear in their length.
 
 A null or empty text has no ids. decode() restores the text exactly, except that a literal mark U+2581 reads as a
@@ -25,33 +25,43 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-import struct
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
 from tessera.llm.staging import count_floor, materialise, tables
-from tessera.llm.textbytes import slices
+from tessera.llm.textbytes import slices, strings, utf8
 
 CACHE_UNITS, CACHE_BYTES = 1 << 19, 32 << 20
-#: Words whose ids a task keeps at hand.
-MEMO_WORDS = 1 << 17
+SLICE = 4 << 20
 LONG = 62
 UNIT = "unit"
-WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 EDGE = {"s": pa.int32(), "l": pa.int32(), "id": pa.int32(), "score": pa.float64(), "ends": pa.int64(), "inner": pa.int64()}
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, in order and with a space before each text, and the bounds of each text's words.
+
+    A word is a run of spaces and what follows; line feeds stand alone. A literal mark is a space.
+    """
+    texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+    data, offsets = utf8(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, "")))
+    space, feed = data == 0x20, data == 0x0A
+    start = feed.copy()
+    start[1:] |= (space[1:] & ~space[:-1]) | feed[:-1]
+    at = np.union1d(np.flatnonzero(start), offsets)
+    return strings(at, data), np.searchsorted(at, offsets)
+
+
+def distinct(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values, and for each value the place of its like."""
+    found = values.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64)
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -213,60 +223,55 @@ def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        seen: Counter[str] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            units, bounds = own.units(list(seen))
-            found: Counter[str] = Counter()
-            for u, n in zip(units, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.diff(bounds)).tolist()):
-                if len(u) <= LONG:
-                    found[u] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], [UNIT, "n"])
-
         for batch in batches:
-            for part in slices(batch, "text"):
-                for text in part.column(0).to_pylist():
-                    seen.update(words_of(text))
-                if len(seen) > 1 << 18:  # bounds the task's memory; Spark adds the parts up
-                    yield rows()
-        yield rows()
+            for part in slices(batch, "text", SLICE):
+                words, at = distinct(words_of(part.column(0))[0])
+                units, bounds = own.units(marked(words))
+                units, place = distinct(units)
+                n = np.bincount(place, np.repeat(np.bincount(at, minlength=len(words)), np.diff(bounds)), len(units)).astype(np.int64)
+                rows = pa.RecordBatch.from_arrays([units, pa.array(n)], [UNIT, "n"])
+                yield rows.filter(pc.less_equal(pc.utf8_length(units), LONG))
 
     return docs.select("text").mapInArrow(run, f"{UNIT} string, n long").groupBy(UNIT).agg(F.sum("n").alias("n"))
 
 
-class Cache:
-    """The ids of many units in a few buffers: found by a hash, then compared as strings."""
+def marked(words: pa.Array) -> pa.Array:
+    return pc.replace_substring(words, " ", MARK)
 
-    def __init__(self, units: pa.Array, ids: pa.Array) -> None:
-        keys = self.keys_of(units.to_pylist())
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.units, ids = units.take(pa.array(order)), ids.take(pa.array(order))
-        self.ends = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))) * 4
-        self.ids = ids.flatten().to_numpy().astype("<i4").tobytes()
 
-    @staticmethod
-    def keys_of(units: list[str]) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(u) for u in units), np.uint64, len(units))
-
-    def find(self, units: list[str]) -> list[bytes | None]:
-        """The ids of each unit as 32-bit integers, or None."""
-        if not len(self.keys):
-            return [None] * len(units)
-        at = np.minimum(np.searchsorted(self.keys, self.keys_of(units)), len(self.keys) - 1)
-        same = pc.equal(self.units.take(pa.array(at)), pa.array(units, pa.string())).to_pylist()
-        return [self.ids[a:b] if x else None for x, a, b in zip(same, self.ends[at].tolist(), self.ends[at + 1].tolist())]
-
-
-def cached_units(docs: DataFrame, pieces: Pieces, most: int, most_bytes: int) -> Cache:
-    """The ids of the units of the highest counts; the choice has no bearing on results."""
+def cached_units(docs: DataFrame, pieces: Pieces, most: int, most_bytes: int) -> pa.RecordBatch:
+    """unit and ids of the units of the highest counts; the choice has no bearing on results."""
     counts = materialise(unit_counts(docs, pieces), "units")
     top = counts.where(F.col("n") >= count_floor(counts, "n", most, F.octet_length(UNIT), most_bytes))
     dealt = top.select(UNIT).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = folded(dealt.select(F.monotonically_increasing_id().alias("uid"), F.lit(0).alias("pos"), UNIT), pieces).select(UNIT, "ids")
-    found = materialise(rows, "unit-ids").toArrow().combine_chunks()  # at most `most` rows
-    return Cache(*(pa.concat_arrays([pa.array([], k), *c.chunks]) for c, k in zip(found.columns, (pa.string(), pa.list_(pa.field("element", pa.int32()))))))
+    found = materialise(rows, "unit-ids").toArrow()  # at most `most` rows
+    kinds = {UNIT: pa.string(), "ids": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([], k), *(x.cast(k) for x in found.column(c).chunks)]) for c, k in kinds.items()], list(kinds))
+
+
+def picked(lists: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists at `at` in a row, and the n + 1 offsets between them."""
+    found = lists.take(pa.array(at))
+    return found.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))).astype(np.int64)
+
+
+def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+
+
+def filled(values: np.ndarray, offsets: np.ndarray, rare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """values with the list number k of rare in the place of -1 - k, and the offsets moved with them."""
+    holes = np.flatnonzero(values < 0)
+    if not len(holes):
+        return values, offsets
+    found, bounds = picked(rare, -1 - values[holes].astype(np.int64))
+    sizes = np.ones(len(values), np.int64)
+    sizes[holes] = np.diff(bounds)
+    out = np.repeat(values, sizes)
+    ends = np.append(0, np.cumsum(sizes))
+    out[np.repeat(ends[holes] - bounds[:-1], np.diff(bounds)) + np.arange(len(found))] = found
+    return out, ends[offsets]
 
 
 def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
@@ -276,96 +281,69 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
     made = ["n_tokens", "ids", *(["decoded_sha256"] if digest else [])]
     kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in made]
     shared = spark.sparkContext.broadcast((cached_units(docs, pieces, cache_units, CACHE_BYTES), pieces))
-    row = pa.list_(pa.int32())
+    stored = ["uid", "pos", UNIT, "doc", "own"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document one row (pos 0) with its ids, -k in the place of its k-th rare unit, then a row for each of those."""
+        """Of each slice a row for every rare unit, then one for every document with its ids, -1 - k in the place of rare unit k."""
         cache, own = shared.value
-        memo: dict[str, bytes | list] = {}
         uid = 0
-
-        def learn(words: list[str]) -> None:
-            units, bounds = own.units(words)
-            distinct = list(dict.fromkeys(units))
-            ids = dict(zip(distinct, cache.find(distinct)))
-            for u in distinct:
-                if len(u) > LONG:
-                    ids[u] = struct.pack(f"<{len(x := long_unit(u, own))}i", *x)
-            for w, a, b in zip(words, bounds[:-1].tolist(), bounds[1:].tolist()):
-                found = [ids[u] for u in units[a:b]]
-                memo[w] = b"".join(found) if None not in found else [u if x is None else x for u, x in zip(units[a:b], found)]
-
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = [words_of(t) for t in part.column("text").to_pylist()]
-                if new := list({w for ws in texts for w in ws if w not in memo}):
-                    learn(new)
-                rows: list[tuple[int, int, str, int | None, bytes | None]] = []
-                for r, ws in enumerate(texts):
-                    found = [memo[w] for w in ws]
-                    rare: dict[str, int] = {}
-                    try:
-                        ids = b"".join(found)
-                    except TypeError:
-                        ids = b"".join([y if isinstance(y, bytes) else struct.pack("<i", -rare.setdefault(y, len(rare) + 1)) for x in found for y in ([x] if isinstance(x, bytes) else x)])
-                    rows.append((uid, 0, "", r, ids))
-                    rows += [(uid, k, u, None, None) for u, k in rare.items()]
-                    uid += 1
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                at = pa.array([r[3] for r in rows], pa.int64())
-                doc = pa.StructArray.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.zeros(part.num_rows, bool))], [*(f"_{i}" for i in range(len(kept))), "_"])
-                columns = [*(pa.array([r[i] for r in rows], k) for i, k in ((0, pa.int64()), (1, pa.int32()), (2, pa.string()))), doc.take(at), pa.array([r[4] for r in rows], pa.binary())]
-                yield from slices(pa.RecordBatch.from_arrays(columns, ["uid", "pos", UNIT, "doc", "own"]), "own", 4 << 20)
+            for part in slices(batch, "text", SLICE):
+                words, text_bounds = words_of(part.column("text"))
+                words, word_at = distinct(words)
+                units, bounds = own.units(marked(words))
+                units, unit_at = distinct(units)
+                place = pc.index_in(units, value_set=cache.column(UNIT))
+                lost = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+                long = [i for i in lost.tolist() if len(units[i].as_py()) > LONG]
+                rare = np.setdiff1d(lost, long)
+                # ids of cached units, then of long ones, then the places of rare ones
+                more = [*(long_unit(units[i].as_py(), own) for i in long), *([-1 - k] for k in range(len(rare)))]
+                lists = pa.concat_arrays([cache.column("ids"), pa.array(more, pa.list_(pa.int32()))])
+                where = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+                where[[*long, *rare.tolist()]] = np.arange(cache.num_rows, len(lists))
+                ids, ends = picked(lists, where[unit_at])
+                ids, ends = picked(list_array(ids, ends[bounds]), word_at)
+                ends = ends[text_bounds]
+                blank = pa.nulls(len(rare), pa.struct([(f"_{i}", part.column(f.name).type) for i, f in enumerate(kept)] + [("_", pa.bool_())]))
+                doc = pa.StructArray.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.zeros(part.num_rows, bool))], [f.name for f in blank.type])
+                raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(ids.astype("<i4")))])
+                columns = [
+                    pa.array(np.full(len(rare) + part.num_rows, uid)),
+                    pa.array(np.arange(len(rare) + part.num_rows, dtype=np.int32)),
+                    pa.concat_arrays([units.take(pa.array(rare)), pa.array([""] * part.num_rows, pa.string())]),
+                    pa.concat_arrays([blank, doc]),
+                    pa.concat_arrays([pa.nulls(len(rare), pa.binary()), raw.cast(pa.binary())]),
+                ]
+                uid += 1
+                for x in slices(pa.RecordBatch.from_arrays(columns, stored), "own", SLICE):
+                    for at in range(0, x.num_rows, 8192):
+                        yield x.slice(at, 8192)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a document (pos 0, then its rare units) follow one another."""
+        """Rows of a slice follow one another, its rare units first."""
         own = shared.value[1]
-        done: list[pa.Array] = []
-        ids: list[np.ndarray] = []
-        digests: list[str] = []
-        doc: pa.Array | None = None
-        mine, rare = np.zeros(0, np.int32), {}
-
-        def finish() -> None:
-            holes = np.flatnonzero(mine < 0)
-            if len(holes):
-                steps = [x for a, b in zip([-1, *holes.tolist()], [*holes.tolist(), len(mine)]) for x in (mine[a + 1 : b], rare[-int(mine[b])] if b < len(mine) else mine[:0])]
-                ids.append(np.concatenate(steps))
-            else:
-                ids.append(mine)
-            if digest:
-                digests.append(hashlib.sha256(decode_ids(ids[-1].tolist(), own).encode()).hexdigest())
-            done.append(doc)
-
-        def flushed() -> pa.RecordBatch:
-            rows = pa.concat_arrays(done)
-            sizes = np.array([len(x) for x in ids], np.int64)
-            values = pa.array(np.concatenate(ids), pa.int32())
-            columns = [*(rows.field(i) for i in range(len(kept))), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array(digests)] if digest else columns, [*(f.name for f in kept), *made])
-            for x in (done, ids, digests):
-                x.clear()
-            return out
-
-        size = 0
+        raw = pa.array(own.raw, pa.binary())
+        uid, rare = -1, []
         for batch in batches:
-            docs_, own_ids, found = (batch.column(c) for c in ("doc", "own", "ids"))
-            for r, pos in enumerate(batch.column("pos").to_pylist()):
-                if pos:
-                    rare[pos] = found[r].values.to_numpy()
+            for at, end in runs(batch.column("uid").to_numpy()):
+                part = batch.slice(at, end - at)
+                if (now := part.column("uid")[0].as_py()) != uid:
+                    uid, rare = now, []
+                is_doc = part.column("doc").is_valid()
+                if (units := part.column("ids").filter(pc.invert(is_doc))) and len(units):
+                    rare.append(units.cast(pa.list_(pa.int32())))
+                rows = part.filter(is_doc)
+                if not rows.num_rows:
                     continue
-                if doc is not None:
-                    finish()
-                    size += len(ids[-1])
-                    if size > 1 << 18:
-                        yield flushed()
-                        size = 0
-                doc, mine, rare = docs_.slice(r, 1), np.frombuffer(own_ids[r].as_py(), "<i4"), {}
-        if doc is not None:
-            finish()
-        if done:
-            yield flushed()
+                data, offsets = utf8(rows.column("own"))
+                values, ends = filled(np.frombuffer(data.tobytes(), "<i4"), offsets // 4, pa.concat_arrays(rare) if rare else pa.array([], pa.list_(pa.int32())))
+                columns = [*(rows.column("doc").field(i) for i in range(len(kept))), pa.array(np.diff(ends)), list_array(values, ends)]
+                if digest:
+                    body, at_byte = utf8(raw.take(pa.array(values)))
+                    body, at_byte = body.tobytes(), at_byte[ends].tolist()
+                    columns.append(pa.array([hashlib.sha256(plain(body[a:b]).encode()).hexdigest() for a, b in zip(at_byte, at_byte[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *made])
 
     kinds = ", ".join([*(f"_{i}: {f.dataType.simpleString()}" for i, f in enumerate(kept)), "_: boolean"])
     rows = docs.select("text", *[F.col(f"`{f.name}`") for f in kept if f.name != "text"]).mapInArrow(spread, f"uid long, pos int, {UNIT} string, doc struct<{kinds}>, own binary")
@@ -373,9 +351,19 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
     return folded(rows, pieces).mapInArrow(assemble, ", ".join([*fields, "n_tokens long", "ids array<int>", *(["decoded_sha256 string"] if digest else [])]))
 
 
+def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    cut = np.flatnonzero(np.diff(x)) + 1
+    return zip([0, *cut.tolist()], [*cut.tolist(), len(x)]) if len(x) else iter(())
+
+
+def plain(raw: bytes) -> str:
+    return raw.decode(errors="replace").replace(MARK, " ")[1:]
+
+
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
     raw = pieces.raw
-    return b"".join([raw[i] for i in ids]).decode(errors="replace").replace(MARK, " ")[1:]
+    return plain(b"".join([raw[i] for i in ids]))
 
 
 def decoded(df: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "decoded") -> DataFrame:

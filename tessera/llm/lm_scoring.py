@@ -78,14 +78,14 @@ class PieceLattice:
 
     def run(self, words: list[str], logp: np.ndarray, weights: np.ndarray | None = None, uses: np.ndarray | None = None) -> np.ndarray:
         """ln L of each word; with weights (of the words), the expected uses of each piece are added to uses."""
-        units, bounds = self.pieces.units([MARK + w for w in words])
-        places = {u: i for i, u in enumerate(dict.fromkeys(units))}
-        at = np.fromiter((places[u] for u in units), np.int64, len(units))
+        units, bounds = self.pieces.units(pa.array([MARK + w for w in words], pa.string()))
+        units = units.dictionary_encode()
+        at = units.indices.to_numpy()
         times = None
         if uses is not None:
-            times = np.bincount(at, np.repeat(weights, np.diff(bounds)), len(places))
+            times = np.bincount(at, np.repeat(weights, np.diff(bounds)), len(units.dictionary))
             uses[-1] += weights.sum()
-        found = self.chains(list(places), logp, times, uses)
+        found = self.chains(units.dictionary.to_pylist(), logp, times, uses)
         return np.add.reduceat(found[at], bounds[:-1]) + logp[-1] if words else np.zeros(0)
 
     def chains(self, units: list[str], logp: np.ndarray, times: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:

@@ -7,8 +7,11 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.textbytes import strings, utf8
+
 #: The public model of the tokenizer folder; every operator takes another path.
 MODEL = os.path.join(os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 #: The piece table is broadcast; a larger one is refused.
@@ -64,20 +67,18 @@ class Pieces:
             pairs[codes[:-1], codes[1:]] = True
         return kinds, pairs
 
-    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+    def units(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words cut between any two characters that stand side by side in no piece, and the bounds of each word's units.
 
         No edge of a word's lattice spans such a cut, so the lattice of a word is the chain of its units' lattices.
         """
-        text = "".join(words)
+        data, offsets = utf8(words)
         kinds, pairs = self.neighbours
-        codes = kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        cut = np.append(~pairs[codes[:-1], codes[1:]], True) if len(codes) else np.zeros(0, bool)
-        cut[ends[ends > 0] - 1] = True
-        at = np.flatnonzero(cut) + 1
-        to = at.tolist()
-        return [text[a:b] for a, b in zip([0, *to], to)], np.append(0, np.searchsorted(at, ends, "right"))
+        codes = kinds[np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        cuts = starts[1:][~pairs[codes[:-1], codes[1:]]] if len(starts) else starts
+        at = np.union1d(cuts, offsets)
+        return strings(at, data), np.searchsorted(at, offsets)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score) of the normal pieces."""

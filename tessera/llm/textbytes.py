@@ -48,6 +48,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
+def strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The strings between neighbouring offsets into UTF-8 bytes."""
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the number of words before it (n + 1 bounds)."""
     n = len(data)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -232,7 +233,8 @@ def test_folded_lattices_equal_brute_force(spark, tmp_path, merges):
 def test_units_are_cut_where_no_piece_spans():
     pieces = load_pieces()
     words = ["▁don't", "▁a1b2", "", "▁日本x", "\n", "▁the,▁end"]
-    units, bounds = pieces.units(words)
+    units, bounds = pieces.units(pa.array(words))
+    units = units.to_pylist()
     assert ["".join(units[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] == words
     pairs = {x[i : i + 2] for x in pieces.ids for i in range(len(x) - 1)}
     assert all(u[i : i + 2] in pairs for u in units for i in range(len(u) - 1))
