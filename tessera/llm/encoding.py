@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
 from tessera.llm.staging import count_floor, materialise, tables
-from tessera.llm.textbytes import slices, strings, utf8
+from tessera.llm.textbytes import slices, span_hashes, strings, utf8
 
 CACHE_UNITS, CACHE_BYTES = 1 << 19, 32 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
 LONG = 62
 UNIT = "unit"
 EDGE = {"s": pa.int32(), "l": pa.int32(), "id": pa.int32(), "score": pa.float64(), "ends": pa.int64(), "inner": pa.int64()}
@@ -231,6 +231,7 @@ def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 n = np.bincount(place, np.repeat(np.bincount(at, minlength=len(words)), np.diff(bounds)), len(units)).astype(np.int64)
                 rows = pa.RecordBatch.from_arrays([units, pa.array(n)], [UNIT, "n"])
                 yield rows.filter(pc.less_equal(pc.utf8_length(units), LONG))
+                pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(run, f"{UNIT} string, n long").groupBy(UNIT).agg(F.sum("n").alias("n"))
 
@@ -239,15 +240,31 @@ def marked(words: pa.Array) -> pa.Array:
     return pc.replace_substring(words, " ", MARK)
 
 
-def cached_units(docs: DataFrame, pieces: Pieces, most: int, most_bytes: int) -> pa.RecordBatch:
-    """unit and ids of the units of the highest counts; the choice has no bearing on results."""
+def keys_of(units: pa.Array) -> np.ndarray:
+    data, offsets = utf8(units)
+    return span_hashes(data, offsets[:-1], offsets[1:])
+
+
+def cached_units(docs: DataFrame, pieces: Pieces, most: int, most_bytes: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Hash (ascending), unit and ids of the units of the highest counts; the choice has no bearing on results."""
     counts = materialise(unit_counts(docs, pieces), "units")
     top = counts.where(F.col("n") >= count_floor(counts, "n", most, F.octet_length(UNIT), most_bytes))
     dealt = top.select(UNIT).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = folded(dealt.select(F.monotonically_increasing_id().alias("uid"), F.lit(0).alias("pos"), UNIT), pieces).select(UNIT, "ids")
     found = materialise(rows, "unit-ids").toArrow()  # at most `most` rows
-    kinds = {UNIT: pa.string(), "ids": pa.list_(pa.int32())}
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([], k), *(x.cast(k) for x in found.column(c).chunks)]) for c, k in kinds.items()], list(kinds))
+    units, ids = (pa.concat_arrays([pa.array([], k), *(x.cast(k) for x in found.column(c).chunks)]) for c, k in ((UNIT, pa.string()), ("ids", pa.list_(pa.int32()))))
+    keys = keys_of(units)
+    order = np.argsort(keys)
+    return keys[order], units.take(pa.array(order)), ids.take(pa.array(order))
+
+
+def found_in(cache: tuple[np.ndarray, pa.Array, pa.Array], units: pa.Array) -> np.ndarray:
+    """The place of each unit in the cache, or -1; places come from hashes, the strings decide."""
+    keys, known, _ = cache
+    if not len(keys) or not len(units):
+        return np.full(len(units), -1)
+    at = np.minimum(np.searchsorted(keys, keys_of(units)), len(keys) - 1)
+    return np.where(pc.equal(known.take(pa.array(at)), units).to_numpy(zero_copy_only=False), at, -1)
 
 
 def picked(lists: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,12 +297,12 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
     pieces = load_pieces(path)
     made = ["n_tokens", "ids", *(["decoded_sha256"] if digest else [])]
     kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in made]
-    shared = spark.sparkContext.broadcast((cached_units(docs, pieces, cache_units, CACHE_BYTES), pieces))
+    shared, common = spark.sparkContext.broadcast(cached_units(docs, pieces, cache_units, CACHE_BYTES)), spark.sparkContext.broadcast(pieces)
     stored = ["uid", "pos", UNIT, "doc", "own"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each slice a row for every rare unit, then one for every document with its ids, -1 - k in the place of rare unit k."""
-        cache, own = shared.value
+        cache, own = shared.value, common.value
         uid = 0
         for batch in batches:
             for part in slices(batch, "text", SLICE):
@@ -293,15 +310,15 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
                 words, word_at = distinct(words)
                 units, bounds = own.units(marked(words))
                 units, unit_at = distinct(units)
-                place = pc.index_in(units, value_set=cache.column(UNIT))
-                lost = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+                where = found_in(cache, units)
+                lost = np.flatnonzero(where < 0)
                 long = [i for i in lost.tolist() if len(units[i].as_py()) > LONG]
                 rare = np.setdiff1d(lost, long)
                 # ids of cached units, then of long ones, then the places of rare ones
                 more = [*(long_unit(units[i].as_py(), own) for i in long), *([-1 - k] for k in range(len(rare)))]
-                lists = pa.concat_arrays([cache.column("ids"), pa.array(more, pa.list_(pa.int32()))])
-                where = pc.fill_null(place, 0).to_numpy().astype(np.int64)
-                where[[*long, *rare.tolist()]] = np.arange(cache.num_rows, len(lists))
+                hits = np.flatnonzero(where >= 0)
+                lists = pa.concat_arrays([cache[2].take(pa.array(where[hits])), pa.array(more, pa.list_(pa.int32()))])
+                where[np.concatenate([hits, np.array(long, np.int64), rare])] = np.arange(len(units))
                 ids, ends = picked(lists, where[unit_at])
                 ids, ends = picked(list_array(ids, ends[bounds]), word_at)
                 ends = ends[text_bounds]
@@ -319,13 +336,15 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
                 for x in slices(pa.RecordBatch.from_arrays(columns, stored), "own", SLICE):
                     for at in range(0, x.num_rows, 8192):
                         yield x.slice(at, 8192)
+                pa.default_memory_pool().release_unused()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a slice follow one another, its rare units first."""
-        own = shared.value[1]
+        own = common.value
         raw = pa.array(own.raw, pa.binary())
         uid, rare = -1, []
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for at, end in runs(batch.column("uid").to_numpy()):
                 part = batch.slice(at, end - at)
                 if (now := part.column("uid")[0].as_py()) != uid:
