@@ -37,13 +37,10 @@ from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
 from tessera.llm.staging import count_floor, materialise, tables
 from tessera.llm.textbytes import slices, span_hashes, strings, utf8
 
-CACHE_UNITS, CACHE_BYTES = 1 << 19, 32 << 20
-SLICE = 1 << 20
+CACHE_UNITS, CACHE_BYTES = 1 << 20, 32 << 20
+SLICE, COUNT_SLICE = 1 << 20, 4 << 20
 LONG = 62
 UNIT = "unit"
-EDGE = {"s": pa.int32(), "l": pa.int32(), "id": pa.int32(), "score": pa.float64(), "ends": pa.int64(), "inner": pa.int64()}
-
-
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, in order and with a space before each text, and the bounds of each text's words.
 
@@ -65,14 +62,17 @@ def distinct(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """units (uid, pos, unit and any others, a (uid, pos) once) with the edges of each unit, by falling score and rising start.
+    """units (uid, pos, unit and any others, a (uid, pos) once) with the edges of each unit by start and length.
 
-    An edge has its start s (from 1), length l, piece id and score, and as bits the positions at its ends and those
-    inside. A character without a piece has an edge without an id. The empty unit has no edges.
+    Edges are parallel arrays: their ids (-1: a character without a piece), and
 
-    The exploded substrings of a unit follow one another, and a hash join keeps the order of its streamed side; runs of
-    one (uid, pos) are then gathered as they stream by, without an exchange or a sort. A unit of which a position is
-    missing is an error.
+    * for Viterbi their starts (from 1), sizes and scores;
+    * for merges, as bits, the positions that they span and those at their two ends; and pairs, what edges of two
+      characters or more span inside, by falling score and rising start.
+
+    The empty unit has no edges. The exploded substrings of a unit follow one another, and a hash join keeps the order
+    of its streamed side; runs of one (uid, pos) are then gathered as they stream by, without an exchange or a sort. A
+    unit whose positions don't come in order is an error.
     """
     names = units.columns
     n = F.length("unit")
@@ -80,25 +80,33 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     spans = spans.withColumn("l", F.explode(F.when(n > 0, F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))).otherwise(F.array(F.lit(0)))))
     spans = spans.withColumn("piece", F.expr("substring(unit, s, l)"))
     edges = spans.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | (F.col("l") <= 1))
-    bits = {"ends": "shiftleft(1L, s - 1) | shiftleft(1L, s - 1 + l)", "inner": "shiftleft(shiftleft(1L, greatest(l - 1, 0)) - 1L, s)"}
-    edges = edges.select(*names, "s", "l", "id", F.coalesce("score", F.lit(0.0)).alias("score"), *[F.expr(x).alias(c) for c, x in bits.items()])
+    edges = edges.select(*names, "s", "l", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields]
+    columns = ["ids array<int>", *(("spans array<long>", "ends array<long>", "pairs array<long>") if pieces.merges else ("starts array<int>", "sizes array<int>", "scores array<double>"))]
+    one = np.int64(1)
 
     def gathered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        uid, pos, length = (rows.column(c).to_numpy() for c in ("uid", "pos", "l"))
+        uid, pos, start, size, ids, score = (rows.column(c).to_numpy() for c in ("uid", "pos", "s", "l", "id", "score"))
         head = np.flatnonzero(np.append(True, (np.diff(uid) != 0) | (np.diff(pos) != 0)))
         first = rows.select(names).take(pa.array(head))
-        if not np.array_equal(np.add.reduceat(length == 1, head, dtype=np.int64), pc.utf8_length(first.column("unit")).to_numpy()):
-            raise RuntimeError("the edges of a unit didn't arrive together")
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(uid))))
-        order = np.lexsort((rows.column("s").to_numpy(), -rows.column("score").to_numpy(), group))
-        order = order[length[order] > 0]
-        sizes = np.add.reduceat(length > 0, head, dtype=np.int64)
-        kept = rows.select(list(EDGE)).take(pa.array(order)).combine_chunks()
-        one = pa.StructArray.from_arrays([kept.column(c).combine_chunks() if kept.num_rows else pa.array([], k) for c, k in EDGE.items()], list(EDGE))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), one)
-        yield from first.append_column("edges", lists).to_batches(max_chunksize=2048)
+        place = group * 4096 + start * 64 + size
+        if (np.diff(place) <= 0).any() or not np.array_equal(np.add.reduceat(size == 1, head, dtype=np.int64), pc.utf8_length(first.column("unit")).to_numpy()):
+            raise RuntimeError("the edges of a unit didn't arrive together and in order")
+        real = size > 0
+        group, start, size, ids, score = (x[real] for x in (group, start, size, ids, score))
+        if pieces.merges:
+            low, high = one << (start - 1), one << (start - 1 + size)
+            longer = np.flatnonzero(size > 1)
+            longer = longer[np.lexsort((-score[longer], group[longer]))]  # a stable sort
+            arrays = [(ids, group), (2 * high - low, group), (low | high, group), ((high - 2 * low)[longer], group[longer])]
+        else:
+            arrays = [(x, group) for x in (ids, start, size, score)]
+        for column, (values, own) in zip(columns, arrays):
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(head) + 1)).astype(np.int32)), pa.array(values))
+            first = first.append_column(column.split()[0], lists)
+        yield from first.to_batches(max_chunksize=2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -115,7 +123,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
         if held is not None and held.num_rows:
             yield from gathered(held)
 
-    return edges.mapInArrow(run, ", ".join([*kinds, "edges array<struct<s:int,l:int,id:int,score:double,ends:long,inner:long>>"]))
+    return edges.mapInArrow(run, ", ".join([*kinds, *columns]))
 
 
 def fallback_ids(char: Column, pieces: Pieces) -> Column:
@@ -125,55 +133,62 @@ def fallback_ids(char: Column, pieces: Pieces) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.byte_base))
 
 
-def edge_ids(unit: Column, edge: Column, pieces: Pieces) -> Column:
-    return F.when(edge["id"].isNotNull(), F.array(edge["id"])).otherwise(fallback_ids(F.substring(unit, edge["s"], F.lit(1)), pieces))
+def spelt(unit: Column, ids: Column, starts: Column, pieces: Pieces) -> Column:
+    """ids with those of its character in the place of each -1."""
+    own = F.transform(ids, lambda i, k: F.when(i >= 0, F.array(i)).otherwise(fallback_ids(F.substring(unit, F.get(starts, k), F.lit(1)), pieces)))
+    return F.when(F.exists(ids, lambda i: i < 0), F.flatten(own)).otherwise(ids)
 
 
-def merge_fold(unit: Column, edges: Column, pieces: Pieces) -> Column:
+def merge_fold(unit: Column, pieces: Pieces) -> Column:
     """The ids of unit by merges. State: the bits of the positions where symbols start, and of the end."""
-    whole = lambda state, e: state.bitwiseAND(e["ends"]) == e["ends"]
+    edge_ids, spans, ends, pairs = (F.col(c) for c in ("ids", "spans", "ends", "pairs"))
 
     def step(state: Column, _: Column) -> Column:
-        # edges stand by falling score and rising start, so the first is the pair to merge
-        pair = F.get(F.filter(edges, lambda e: (F.bit_count(state.bitwiseAND(e["inner"])) == 1) & whole(state, e)), 0)
-        return F.coalesce(state.bitwiseAND(F.bitwise_not(pair["inner"])), state)
+        def merges(inner: Column) -> Column:
+            both = F.shiftleft(inner, 1).bitwiseOR(F.shiftright(inner, 1)).bitwiseAND(F.bitwise_not(inner))
+            return (F.bit_count(state.bitwiseAND(inner)) == 1) & (state.bitwiseAND(both) == both)
+
+        return F.coalesce(state.bitwiseAND(F.bitwise_not(F.get(F.filter(pairs, merges), 0))), state)
 
     def ids(state: Column) -> Column:
-        symbols = F.filter(edges, lambda e: (state.bitwiseAND(e["inner"]) == 0) & whole(state, e))
-        return F.flatten(F.transform(F.array_sort(symbols), lambda e: edge_ids(unit, e, pieces)))
+        symbol = lambda k: state.bitwiseAND(F.get(spans, k)) == F.get(ends, k)
+        starts = lambda: F.transform(F.filter(ends, lambda e, k: symbol(k)), lambda e: F.bit_count(e.bitwiseAND(F.negate(e)) - 1).cast("int") + 1)
+        return spelt(unit, F.filter(edge_ids, lambda i, k: symbol(k)), starts(), pieces)
 
-    n = F.length(unit)
-    start = F.expr(f"shiftrightunsigned(-1L, 63 - length({UNIT}))")
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, ids)).otherwise(F.array().cast("array<int>"))
+    steps = F.least(F.length(unit) - 1, F.size(pairs))
+    start = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - F.length(unit))
+    none = F.array().cast("array<int>")
+    return F.when(F.length(unit) > 0, F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(none), start, step, ids)).otherwise(none)
 
 
-def viterbi_fold(unit: Column, edges: Column, pieces: Pieces) -> Column:
+def viterbi_fold(unit: Column, pieces: Pieces) -> Column:
     """The ids of unit by the best total score. State: for each position the best score, and the edge that leads to it."""
+    edges = F.arrays_zip("starts", "sizes", "ids", "scores")
 
     def step(state: Column, j: Column) -> Column:
-        score = lambda e: F.element_at(state["best"], e["s"]) + F.when(e["id"].isNull(), F.lit(pieces.unknown_score)).otherwise(e["score"])
-        ahead = F.transform(F.filter(edges, lambda e: e["s"] + e["l"] - 1 == j), lambda e: F.struct(score(e).alias("score"), (-e["s"]).alias("order"), e.alias("edge")))
+        score = lambda e: F.element_at(state["best"], e["starts"]) + e["scores"]
+        ahead = F.transform(F.filter(edges, lambda e: e["starts"] + e["sizes"] - 1 == j), lambda e: F.struct(score(e).alias("score"), (-e["starts"]).alias("order"), e.alias("edge")))
         grown = F.transform(F.array(F.array_max(ahead)), lambda b: F.struct(F.concat(state["best"], F.array(b["score"])).alias("best"), F.concat(state["edge"], F.array(b["edge"])).alias("edge")))
         return F.get(grown, 0)
 
-    def ids(state: Column) -> Column:
+    def path(state: Column) -> Column:
         def back(done: Column, j: Column) -> Column:
             here = F.size(state["edge"]) - j + 1
             last = F.element_at(state["edge"], here)
-            return F.when(done["at"] == here, F.struct((here - last["l"]).alias("at"), F.concat(edge_ids(unit, last, pieces), done["ids"]).alias("ids"))).otherwise(done)
+            return F.when(done["at"] == here, F.struct((here - last["sizes"]).alias("at"), F.concat(F.array(last), done["edges"]).alias("edges"))).otherwise(done)
 
-        first = F.struct(F.size(state["edge"]).alias("at"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(state["edge"])), first, back, lambda d: d["ids"])
+        first = F.struct(F.size(state["edge"]).alias("at"), F.filter(edges, lambda e: F.lit(False)).alias("edges"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(state["edge"])), first, back, lambda d: spelt(unit, F.transform(d["edges"], lambda e: e["ids"]), F.transform(d["edges"], lambda e: e["starts"]), pieces))
 
     n = F.length(unit)
     start = F.struct(F.array(F.lit(0.0)).alias("best"), F.filter(edges, lambda e: F.lit(False)).alias("edge"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, ids)).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, path)).otherwise(F.array().cast("array<int>"))
 
 
 def folded(units: DataFrame, pieces: Pieces) -> DataFrame:
     """units (uid, pos, unit of at most LONG characters, and any others) with the ids of each unit, in the same order."""
     fold = merge_fold if pieces.merges else viterbi_fold
-    return lattice(units, pieces).select(*units.columns, fold(F.col(UNIT), F.col("edges"), pieces).alias("ids"))
+    return lattice(units, pieces).select(*units.columns, fold(F.col(UNIT), pieces).alias("ids"))
 
 
 def long_unit(word: str, pieces: Pieces) -> list[int]:
@@ -224,7 +239,7 @@ def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", COUNT_SLICE):
                 words, at = distinct(words_of(part.column(0))[0])
                 units, bounds = own.units(marked(words))
                 units, place = distinct(units)
@@ -322,9 +337,10 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
                 ids, ends = picked(lists, where[unit_at])
                 ids, ends = picked(list_array(ids, ends[bounds]), word_at)
                 ends = ends[text_bounds]
+                kind = np.dtype("<i2" if len(own.names) + len(rare) < 1 << 15 else "<i4")
                 blank = pa.nulls(len(rare), pa.struct([(f"_{i}", part.column(f.name).type) for i, f in enumerate(kept)] + [("_", pa.bool_())]))
-                doc = pa.StructArray.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.zeros(part.num_rows, bool))], [f.name for f in blank.type])
-                raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(ids.astype("<i4")))])
+                doc = pa.StructArray.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.full(part.num_rows, kind.itemsize > 2))], [f.name for f in blank.type])
+                raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends * kind.itemsize), pa.py_buffer(ids.astype(kind))])
                 columns = [
                     pa.array(np.full(len(rare) + part.num_rows, uid)),
                     pa.array(np.arange(len(rare) + part.num_rows, dtype=np.int32)),
@@ -356,7 +372,8 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
                 if not rows.num_rows:
                     continue
                 data, offsets = utf8(rows.column("own"))
-                values, ends = filled(np.frombuffer(data.tobytes(), "<i4"), offsets // 4, pa.concat_arrays(rare) if rare else pa.array([], pa.list_(pa.int32())))
+                kind = np.dtype("<i4" if rows.column("doc").field(len(kept))[0].as_py() else "<i2")
+                values, ends = filled(np.frombuffer(data.tobytes(), kind), offsets // kind.itemsize, pa.concat_arrays(rare) if rare else pa.array([], pa.list_(pa.int32())))
                 columns = [*(rows.column("doc").field(i) for i in range(len(kept))), pa.array(np.diff(ends)), list_array(values, ends)]
                 if digest:
                     body, at_byte = utf8(raw.take(pa.array(values)))
