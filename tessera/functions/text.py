@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import datetime
 import re
-from decimal import Decimal, InvalidOperation
+import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
@@ -30,27 +28,37 @@ def document_date(created: Column, modified: Column, name: Column) -> Column:
     return F.when((F.length(raw) >= 10) & (F.length(digits) >= 8), day).when(year != "", year).otherwise("unknown")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def stripped(x: Column, also: str = "") -> Column:
+    """x without white space (and the characters in `also`) at its ends."""
+    return F.regexp_replace(x, rf"(?U)\A[\s{also}]+|[\s{also}]+\z", "")
+
+
 def clean_question(raw: Column) -> Column:
-    """The first non-empty line without thoughts, numbering, labels and quotes; null unless it ends with '?'."""
-    text = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
-    line = F.try_element_at(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), F.lit(1))
-    bare = F.regexp_replace(line, r"^(?i)(?:\d+[.)]\s*)?(?:question\s*:\s*)?", "")
-    bare = F.regexp_replace(bare, "^[\"'“”« ]+|[\"'“”» ]+$", "")
-    return F.when(bare.endswith("?"), bare)
+    """The first line with text: without thoughts before it, one number or label ('2.', 'Q:', 'Question -'), and quotes; null unless it ends with '?'."""
+    lines = F.split(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""), r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]")
+    bare = lambda x: stripped(F.regexp_replace(stripped(stripped(F.regexp_replace(stripped(x), r"(?iU)\A(?:\d+[.)]\s*|q(?:uestion)?\s*[:.-]\s*)", ""))), "(?U)\\A[\"']+|[\"']+\\z", ""))
+    line = F.get(F.filter(F.transform(lines, bare), lambda x: x != ""), F.lit(0))
+    return F.when(line.endswith("?"), line)
 
 
 def article(raw: Column) -> Column:
-    """'Article 6', 8 or 9: the first of them, in this order, that the text has."""
+    """'Article 6', 8 or 9: the first of these numbers, in this order, that the text has."""
     return F.when(raw.contains("6"), "Article 6").when(raw.contains("8"), "Article 8").when(raw.contains("9"), "Article 9")
 
 
-GRADES = {"A": 4.0, "A-": 3.5, "B": 3.0, "B-": 2.5, "C": 2.0, "C-": 1.5, "D": 1.0, "D-": 0.5, "F": 0.0}
+# The number of each letter grade.
+GRADES = {"A": 4.0, "A-": 3.7, "B": 3.0, "B-": 2.7, "C": 2.0, "D": 1.0, "E": 0.5, "F": 0.0}
 
 
 def grade_score(grade: Column) -> Column:
-    """The number of a letter grade, else the value itself if it is a number."""
+    """The number of a letter grade (capitals), else the value itself if it is a number."""
     table = F.create_map(*[x for k, v in GRADES.items() for x in (F.lit(k), F.lit(v))])
-    own = F.upper(F.trim(grade))
+    own = stripped(grade)
     number = own.try_cast("double")
     return F.coalesce(F.try_element_at(table, own), F.when(~F.isnan(number), number))
 
@@ -71,35 +79,53 @@ def prompt(question: Column, hits: Column, limit: int = 500) -> Column:
     return F.concat(F.array_join(parts, "\n\n"), F.lit("\n\nQuestion: "), question)
 
 
+def markdown_cell(text: Column) -> Column:
+    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), "\n", " ")
+
+
+def page_list(pages: Column) -> Column:
+    """'source p1, source p2' of structs (source, page), or '(none)'."""
+    joined = F.array_join(F.transform(pages, lambda p: F.concat(p["source"].cast("string"), F.lit(" p"), p["page"].cast("string"))), ", ")
+    return F.when(F.coalesce(F.size(pages), F.lit(0)) == 0, "(none)").otherwise(joined)
+
+
+def stamp(time: Column) -> Column:
+    return F.date_format(time, "yyyyMMdd'T'HHmmss")
+
+
+def question_prompt(passage: Column) -> Column:
+    """Asks for one question that a passage answers."""
+    return F.concat(F.lit("Write one specific question that only the passage below answers. Name its subject, don't copy a sentence of it, and reply with the question alone, on one line.\n\nPassage:\n"), passage)
+
+
+def citations(hits: Column) -> Column:
+    """A line for each of the ordered hits: 'Source: name, Page n (similarity: 0.00)'."""
+    return F.array_join(F.transform(hits, lambda h: F.format_string("Source: %s, Page %s (similarity: %.2f)", h["source"].cast("string"), h["page"].cast("string"), h["similarity"].cast("double"))), "\n")
+
+
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *parts), 256)
 
 
-# Month names in English and French, by number.
-MONTHS = {m: i for names in ("january february march april may june july august september october november december", "janvier février mars avril mai juin juillet août septembre octobre novembre décembre") for i, m in enumerate(names.split(), 1)}
-_NAMES = "|".join(MONTHS)
-_DATES = re.compile(rf"\b(?P<y1>\d{{4}})-(?P<m1>\d{{2}})-(?P<d1>\d{{2}})\b|\b(?P<d2>\d{{1,2}})(?:er|st|nd|rd|th)?\s+(?:of\s+)?(?P<m2>{_NAMES})\s+(?P<y2>\d{{4}})\b|\b(?P<m3>{_NAMES})\s+(?P<d3>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y3>\d{{4}})\b", re.I)
+# Month names in English and French, with and without accents, by number.
+MONTHS = {m: i for names in ("january february march april may june july august september october november december", "janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre") for i, m in enumerate(names.split(), 1)}
+_NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
+# every place of a text at which a date starts, as a look-ahead, so that dates may overlap
+_DATES = rf"(?iuU)(?=(\b(?:{_NAMES})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b|\b\d{{1,2}}(?:er|st|nd|rd|th)?\s+(?:{_NAMES})\s+\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b))"
 
 
-def dates_in(text: str | None) -> list[datetime.date]:
-    """Full dates in order of position, each once; impossible ones are skipped."""
-    out: list[datetime.date] = []
-    for m in _DATES.finditer(text or ""):
-        g = m.groupdict()
-        k = next(i for i in "123" if g[f"y{i}"])
-        month = MONTHS.get(g[f"m{k}"].lower()) or int(g[f"m{k}"])
-        try:
-            day = datetime.date(int(g[f"y{k}"]), month, int(g[f"d{k}"]))
-        except ValueError:
-            continue
-        if day not in out:
-            out.append(day)
-    return out
+def exact_dates(text: Column) -> Column:
+    """Full dates (day, month and year) in order of position, each once; impossible ones are skipped. Null: null."""
+    months = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
 
+    def date(found: Column) -> Column:
+        month = F.try_element_at(months, F.lower(F.regexp_extract(found, rf"(?iu)({_NAMES})", 1)))
+        year, day = F.right(found, F.lit(4)), F.regexp_extract(found, r"(?U)(?<!\d)(\d{1,2})(?!\d)", 1)
+        named = F.concat_ws("-", year, month.cast("string"), day)
+        return F.when(month.isNotNull(), F.try_to_date(named, "yyyy-M-d")).otherwise(F.try_to_date(found, "yyyy-MM-dd"))
 
-@F.pandas_udf(T.ArrayType(T.DateType()))
-def exact_dates(text: pd.Series) -> pd.Series:
-    return text.map(dates_in)
+    dates = F.transform(F.regexp_extract_all(text, F.lit(_DATES), F.lit(1)), date)
+    return F.array_distinct(F.filter(dates, lambda d: d.isNotNull() & (F.year(d) >= 1)))
 
 
 def covers(dates: Column, start: Column, end: Column) -> Column:
@@ -107,42 +133,56 @@ def covers(dates: Column, start: Column, end: Column) -> Column:
     return F.coalesce(F.exists(dates, lambda d: (d >= start) & (d <= end)), F.lit(False))
 
 
-_SPACES = "\u00a0\u202f\u2009"
-_FIGURE = re.compile(rf"(?<![\w.,])[-+]?\d(?:[\d.,'{_SPACES}]*\d)?(?P<unit>\s*(?:%|percent|million|billion|thousand|bn|m\b|€|\$|£|eur|usd))?", re.I)
+# Characters that group digits, and words and signs that make a figure of a single digit.
+_SPACES = " \u00a0\u202f\u2009"
+_MAGNITUDES = "thousand|million|billion|trillion|bn|mn|mille|milliers?|millions?|milliards?"
+_CURRENCIES = r"€|\$|£|\bUSD|\bEUR|\bGBP"
+_NUMBER = rf"(?<![\w.,])(\d{{1,3}}(?:[{_SPACES}]\d{{3}})+(?:[.,]\d+)?|\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d{{1,3}}(?:\.\d{{3}})+(?:,\d+)?|\d+(?:[.,]\d+)?)(?!\d)"
+# groups: 1 an open bracket before, 2 a currency before, 3 the number, 4 a percent sign, 5 a magnitude, 6 a closing bracket after
+_FIGURE = rf"(?U)(?:(?<=(\[))|)(?:(?<=((?:{_CURRENCIES})\s{{0,5}}))|){_NUMBER}(?=([ \u00a0\u202f]?%)?)(?=(\s*(?i:{_MAGNITUDES})\b)?)(?=(\])?)"
+
+
+def readings(raw: Column) -> Column:
+    """The plain decimal numbers that a written number can mean, if '.' or ',' is the decimal mark and the other, or a space, groups thousands."""
+    bare = F.regexp_replace(raw, f"[{_SPACES}]", "")
+    out = []
+    for mark, group in ((".", ","), (",", ".")):
+        plain = F.translate(bare, f"{mark}{group}", ".")
+        plain = F.regexp_replace(F.regexp_replace(plain, r"^0+(?=\d)", ""), r"(\.\d*?)0+$", "$1")
+        out.append(F.when(bare.rlike(rf"^\d+(?:\{group}\d{{3}})*(?:\{mark}\d+)?$"), F.regexp_replace(plain, r"\.$", "")))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def numbers(text: Column) -> Column:
+    """All numbers of a text as written."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){_NUMBER}"), F.lit(1))
 
 
-def readings(raw: str) -> set[str]:
-    """The values that a figure can mean when '.' or ',' is the decimal mark or groups thousands."""
-    bare = re.sub(rf"[{_SPACES}' ]", "", raw).lstrip("+")
-    out = set()
-    for decimal, group in ((".", ","), (",", ".")):
-        text = bare.replace(group, "")
-        grouped = bare.split(decimal)[0].lstrip("-").split(group)
-        if len(grouped) > 1 and not (0 < len(grouped[0]) <= 3 and all(len(x) == 3 for x in grouped[1:])):
-            continue
-        try:
-            value = Decimal(text.replace(decimal, "."))
-        except InvalidOperation:
-            continue
-        out.add(format(value.normalize(), "f"))
-    return out
+def figures(text: Column) -> Column:
+    """The figures of an answer, each meaning once, as structs (text, readings). [n] marks are none, nor are single digits without percent sign, magnitude or currency."""
+    names = ("open", "currency", "number", "percent", "magnitude", "close")
+    groups = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FIGURE), F.lit(i)) for i in range(1, 7)]
+    found = F.transform(F.arrays_zip(*groups), lambda x: F.struct(*[x[str(i)].alias(c) for i, c in enumerate(names)]))
+    told = lambda x: (F.length(x["number"]) > 1) | (F.concat(x["currency"], x["percent"], x["magnitude"]) != "")
+    kept = F.filter(found, lambda x: ~((x["open"] != "") & (x["close"] != "")) & told(x))
+    read = F.transform(kept, lambda x: F.struct(F.concat(x["number"], x["percent"]).alias("text"), F.array_sort(readings(x["number"])).alias("readings")))
+    return let(read, lambda all_: let(F.transform(all_, lambda x: x["readings"]), lambda keys: F.filter(all_, lambda x, i: F.array_position(keys, x["readings"]) == i + 1)))
 
 
-def figures(text: str | None) -> list[str]:
-    """Figures of an answer; [n] marks and bare single digits are none."""
-    bare = re.sub(r"\[\d+\]", " ", text or "")
-    return [re.sub(rf"[^\d.,'{_SPACES}+-]", "", m.group().removesuffix(m.group("unit") or "")) for m in _FIGURE.finditer(bare) if m.group("unit") or sum(map(str.isdigit, m.group())) > 1]
+def grounding(answer: Column, sources: Column) -> Column:
+    """(checked, unsupported): how many distinct figures the answer has, and those, as written, of which no reading is in the sources. Null texts are empty."""
+    known = F.flatten(F.transform(numbers(sources), readings))
+    both = F.struct(figures(answer).alias("own"), F.array_distinct(known).alias("known"))
+    lost = lambda x: F.transform(F.filter(x["own"], lambda f: ~F.arrays_overlap(f["readings"], x["known"])), lambda f: f["text"])
+    return let(both, lambda x: F.struct(F.size(x["own"]).alias("checked"), lost(x).alias("unsupported")))
 
 
-def unsupported(answer: str | None, sources: str | None) -> tuple[int, list[str]]:
-    """How many distinct figures the answer has, and those of which no reading is in the sources."""
-    known = {r for f in _FIGURE.finditer(sources or "") for r in readings(re.sub(rf"[^\d.,'{_SPACES}+-]", "", f.group().removesuffix(f.group("unit") or "")))}
-    seen: dict[frozenset, str] = {}
-    for f in figures(answer):
-        seen.setdefault(frozenset(readings(f)), f)
-    return len(seen), [f for r, f in seen.items() if not r & known]
+_WORD = re.compile(r"\w+")
 
 
-@F.pandas_udf(T.StructType([T.StructField("checked", T.IntegerType()), T.StructField("unsupported", T.ArrayType(T.StringType()))]))
-def grounding(answer: pd.Series, sources: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([unsupported(a, s) for a, s in zip(answer, sources)], columns=["checked", "unsupported"])
+def tokens_of(text: str | None) -> list[str]:
+    """Lower-case words without accents: compatibility forms are taken apart and combining marks dropped."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+    return _WORD.findall(low)

@@ -56,8 +56,9 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFr
 
 
 def replace_sources(target: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """target with all chunks of the batch's sources replaced by the batch."""
-    return target.join(batch.select("source").distinct(), "source", "left_anti").select(*target.columns).unionByName(batch.select(*target.columns))
+    """target with the batch's rows in place of its own of the same key, and without other chunks of the batch's sources."""
+    old = target.join(batch.select("source").distinct(), "source", "left_anti").join(batch.select(key), key, "left_anti")
+    return old.select(*target.columns).unionByName(batch.select(*target.columns))
 
 
 def replacement_counts(target: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -88,6 +89,23 @@ def manifest_difference(manifest: DataFrame, target: DataFrame) -> DataFrame:
     return m.join(t, "source", "full_outer").select("source", state.alias("state"))
 
 
+def manifest_report(manifest: DataFrame, target: DataFrame) -> DataFrame:
+    """(source, state, updated) by lower-case name: the difference, and how many chunks of each applied source the manifest changes."""
+    chunks = target.groupBy("source").agg(F.count("*").alias("n"))
+    rows = manifest_difference(manifest, target).join(chunks, "source", "left")
+    return rows.select("source", "state", F.when(F.col("state") == "applied", F.col("n")).otherwise(0).alias("updated")).orderBy(F.lower("source"), "source")
+
+
+def migrated(target: DataFrame, legacy: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """target with all of legacy's chunks; doing it again changes nothing, and legacy stays."""
+    return upsert(target, legacy, key)
+
+
+def emptied(target: DataFrame) -> DataFrame:
+    """The schema of target without rows."""
+    return target.where(F.lit(False))
+
+
 def page_kind(text: Column, n_images: Column, thin: int = 200) -> Column:
     size = F.length(F.trim(F.coalesce(text, F.lit(""))))
     return F.when((size == 0) & (n_images > 0), "image_only").when(size == 0, "blank").when((size < thin) & (n_images > 0), "thin").otherwise("text")
@@ -101,6 +119,11 @@ def text_coverage(pages: DataFrame, share: float = 0.5) -> DataFrame:
     return per.withColumn("likely_scanned", F.col("image_only") / F.col("pages") >= share)
 
 
+def coverage_totals(per_source: DataFrame) -> DataFrame:
+    """One row over text_coverage(): sources, pages of each kind, and sources that look scanned."""
+    return per_source.agg(F.count("*").alias("sources"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", "blank", "image_only", "thin", "text")], F.count_if("likely_scanned").alias("scanned"))
+
+
 def stratified(chunks: DataFrame, stratum: str, n: int, seed: str = "0", key: str = "chunk_id", least: int = 200) -> DataFrame:
     """At most n chunks of a stratum, of at least `least` characters, by the order of a keyed digest."""
     order = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256))

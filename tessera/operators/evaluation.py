@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,10 +60,61 @@ def spreads(scores: DataFrame, keys: Sequence[str], value: str = "score") -> Dat
 
 
 def latencies(df: DataFrame, key: str, value: str) -> DataFrame:
-    """p50 (interpolated) and p95 (the value at index floor(0.95 n) of the sorted list)."""
-    from pyspark.sql import Window
+    """p50 (interpolated) and p95 (the value at index floor(0.95 n) of the sorted list).
+
+    Approximate percentiles first bound each wanted place from both sides; then only the distinct values between the
+    bounds are put in order, so no key's rows meet in one task.
+    """
+    at = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    edges = F.percentile_approx("v", F.array(*map(F.lit, (0.498, 0.502, 0.948, 0.952))), 10000)
+    facts = at.groupBy("k").agg(F.count("*").alias("n"), edges.alias("e"))
+    both = at.join(facts.withColumnRenamed("k", "own"), F.col("k").eqNullSafe(F.col("own"))).select("k", "v", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col("e")[i].alias("low"), F.col("e")[i + 1].alias("high")) for i, p in ((0, 50), (2, 95))])).alias("x"))
+    inside = F.when(F.col("v") >= F.col("x.low"), F.col("v"))
+    counts = both.where(F.col("v") <= F.col("x.high")).groupBy("k", "n", F.col("x.p").alias("p"), inside.alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("k", "p").orderBy(F.col("v").asc_nulls_first()))
+    placed = counts.withColumns({"to": upto, "from": upto - F.col("c")})
+    middle = (F.col("n") - 1) * 0.5
+    holds = lambda i: (F.col("from") <= i) & (i < F.col("to"))
+    pick = lambda p, i: F.max(F.when((F.col("p") == p) & holds(i), F.col("v")))
+    low, high = pick(50, F.floor(middle)), pick(50, F.ceil(middle))
+    p95 = pick(95, F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))
+    return placed.groupBy("k", "n").agg((low + (high - low) * (middle - F.floor(middle))).alias("p50"), p95.alias("p95")).select(F.col("k").alias(key), "p50", "p95")
+
+
+def repeat_summary(spread: DataFrame, passes: int) -> DataFrame:
+    """One row over spreads() of the keys that every pass scored: how many, how many without spread, its maximum and mean, and how many above 0.05 and 0.2."""
+    full = spread.where(F.col("passes") == passes)
+    over = lambda x: F.count_if(F.col("spread") > x)
+    return full.agg(F.count("*").alias("pairs"), F.count_if(F.col("spread") == 0).alias("identical"), F.max("spread").alias("max_spread"), F.avg("spread").alias("mean_spread"), over(0.05).alias("over_005"), over(0.2).alias("over_02"))
+
+
+def top1_changes(lists: DataFrame) -> DataFrame:
+    """query_id of the questions whose first (source, page) isn't the same in every pass; lists (pass, query_id, source, page, rank). A pass without a list counts as another answer."""
+    first = lists.where("rank = 1").select("pass", "query_id", F.struct("source", "page").alias("top"))
+    passes = lists.agg(F.count_distinct("pass").alias("passes"))
+    seen = first.groupBy("query_id").agg(F.count_distinct("top").alias("tops"), F.count_distinct("pass").alias("n"))
+    return seen.join(F.broadcast(passes)).where((F.col("tops") > 1) | (F.col("n") < F.col("passes"))).select("query_id")
+
+
+def gained_lost(lists: DataFrame, gold: DataFrame, base: str, sizes: Sequence[int]) -> DataFrame:
+    """(method, n, query_id, change): questions with a gold page among a method's first n that the base method hasn't (gained), and the other way round (lost)."""
+    hit = lists.join(gold.select("query_id", "source", "page").distinct(), ["query_id", "source", "page"], "left_semi")
+    best = hit.groupBy("method", "query_id").agg(F.min("rank").alias("best"))
+    found = best.select("method", "query_id", "best", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where("best <= n").select("method", "n", "query_id")
+    methods = lists.select("method").distinct().where(F.col("method") != base)
+    own = found.where(F.col("method") == base).select("n", "query_id").join(methods).withColumn("in_base", F.lit(1))
+    other = found.where(F.col("method") != base).withColumn("in_method", F.lit(1))
+    both = own.join(other, ["method", "n", "query_id"], "full_outer").where(F.col("in_base").isNull() | F.col("in_method").isNull())
+    return both.select("method", "n", "query_id", F.when(F.col("in_base").isNull(), "gained").otherwise("lost").alias("change"))
+
+
+def index_totals(exact: DataFrame, index: DataFrame, exact_pages: DataFrame, index_pages: DataFrame, floor: float = 0.35) -> DataFrame:
+    """One row: questions, those with a gap, missed chunks, and questions whose page lists (in order) are the same."""
+    gaps = index_gaps(exact, index, floor)
+    pages = lambda df, c: df.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source", "page"))), lambda x: F.struct(x["source"], x["page"])).alias(c))
+    both = gaps.join(pages(exact_pages, "a"), "query_id", "left").join(pages(index_pages, "b"), "query_id", "left")
+    return both.agg(F.count("*").alias("questions"), F.count_if(F.col("missed") > 0).alias("with_gap"), F.coalesce(F.sum("missed"), F.lit(0)).alias("missed_chunks"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("equal_pages"))
+
 
-    at = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
-    placed = at.withColumns({"i": F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1, "n": F.count("*").over(Window.partitionBy("k"))})
-    p95 = F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1), F.col("v")))
-    return placed.groupBy(F.col("k").alias(key)).agg(F.percentile("v", F.lit(0.5)).alias("p50"), p95.alias("p95"))
+def provenance_counts(gold: DataFrame) -> DataFrame:
+    return gold.groupBy("provenance").agg(F.count("*").alias("n")).orderBy("provenance")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.text import tokens_of
+from tessera.staging import materialise
 
 #: Query vectors that are sent to all tasks at a time.
 QUERY_BLOCK = 4096
@@ -39,6 +44,15 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix, kind = shared.value
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query number, chunk, similarity
+
+            def pruned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                q, chunk, sims = (np.concatenate(x) for x in zip(*best))
+                order = np.lexsort((chunk, -sims, q))
+                q = q[order]
+                order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+                return np.concatenate([b[0] for b in best])[order], chunk[order], sims[order]
+
             for x in frames:
                 for at in range(0, len(x), 2048):
                     f = x.iloc[at : at + 2048]
@@ -48,10 +62,13 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None
                     if kind is not None:
                         off |= kind[:, None] != f[same].to_numpy()[None, :]
                     sims[off] = -np.inf
-                    order = np.lexsort((np.broadcast_to(chunk, sims.shape), -sims), axis=1)[:, :k]
-                    best = np.take_along_axis(sims, order, 1)
-                    keep = np.isfinite(best)
-                    yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "chunk_id": chunk[order[keep]], "similarity": best[keep]})
+                    floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k] if k < len(chunk) else -np.inf  # ties stay
+                    q, c = np.nonzero((sims >= floor) & (sims > -np.inf))
+                    best.append((q, chunk[c], sims[q, c]))
+                    best = [pruned()]
+            if best:
+                q, chunk, sims = best[0]
+                yield pd.DataFrame({"query_id": ids[q], "chunk_id": chunk, "similarity": sims})
 
         return corpus.select("chunk_id", "embedding", *([same] if same else [])).mapInPandas(run, schema)
 
@@ -107,23 +124,48 @@ def retrieve(hits: DataFrame, k: int = 5, floor: float = 0.35, score: Column | N
     return distinct_pages(out, k)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+#: Query terms above this aren't sent to the tasks; all postings are then counted and joined.
+TERMS = 1 << 20
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def tokens(text: pd.Series) -> pd.Series:
+    """Lower-case words without accents."""
+    return text.map(tokens_of)
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, len, term, f): a document's number of words and how often it has each query term; one row with a null term for every document."""
+    known = [r[0] for r in terms.select("term").distinct().limit(TERMS + 1).toLocalIterator()]
+    shared = docs.sparkSession.sparkContext.broadcast(set(known) if len(known) <= TERMS else None)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = shared.value
+        for x in frames:
+            out = []
+            for key, text in zip(x["chunk_id"], x["text"]):
+                words = tokens_of(text)
+                out.append((key, len(words), None, 0))
+                counts = Counter(w for w in words if w in wanted) if wanted is not None else Counter(words)
+                out += [(key, len(words), w, f) for w, f in counts.items()]
+            yield pd.DataFrame(out, columns=["chunk_id", "len", "term", "f"])
+
+    found = docs.select("chunk_id", "text").mapInPandas(run, f"chunk_id {docs.schema['chunk_id'].dataType.simpleString()}, len long, term string, f long")
+    return found if len(known) <= TERMS else found.where(F.col("term").isNull()).unionByName(found.join(terms.select("term").distinct(), "term", "left_semi").select("chunk_id", "len", "term", "f"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of queries (query_id, text) over docs (chunk_id, text).
+    """(query_id, chunk_id, score, rank) of queries (query_id, text) over docs (chunk_id, text; a null text is empty).
 
-    Only postings of query terms are counted: terms join before the counts, lengths are one number a document.
+    Documents are read once; their words are counted where they are, and only counts of query terms leave the task.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sized = docs.select("chunk_id", tokens(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    facts = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    postings = sized.select("chunk_id", "len", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("f"))
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(facts)).select("term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    counted = materialise(postings(docs, terms), "postings")
+    facts = counted.where(F.col("term").isNull()).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    hits = counted.where(F.col("term").isNotNull())
+    idf = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(facts)).select("term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scores = terms.join(idf, "term").join(postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    scores = terms.join(idf, "term").join(hits, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
     return ranked(scores, F.desc("score"), "chunk_id").where(F.col("rank") <= k)
 
 
@@ -146,3 +188,22 @@ def interleaved(*lists: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Round-robin union: by rank, then list; repeats dropped."""
     first = union_lists(*lists, carry=carry).groupBy("query_id", "chunk_id", *carry).agg(F.min(F.struct("rank", "list_no")).alias("_first"))
     return ranked(first, "_first").drop("_first")
+
+
+def hybrid(first: DataFrame, second: DataFrame, score: Column, k: int, head: int = 10, covers: Column | None = None, merge: str = "hybrid", carry: tuple[str, ...] = ("source", "page")) -> DataFrame:
+    """Two ranked pools (query_id, chunk_id, rank and carried columns) to at most k pages a query.
+
+    The pools are fused ("hybrid": reciprocal ranks, "union": round robin), the head is re-ranked by `score`, chunks
+    that `covers` go first, and each page stays once. There's neither a floor nor a filter.
+    """
+    pool = rrf(first, second, carry=carry) if merge == "hybrid" else interleaved(first, second, carry=carry)
+    out = rerank_head(pool, score, head)
+    if covers is not None:
+        out = covering_first(out, covers)
+    return distinct_pages(out, k)
+
+
+def gold_rank(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, gold_rank): the rank of the first gold page among the distinct pages of each list; null if none is there."""
+    pages = distinct_pages(hits).join(gold.select("query_id", "source", "page").distinct().withColumn("_gold", F.lit(1)), ["query_id", "source", "page"], "left")
+    return pages.groupBy("query_id").agg(F.min(F.when(F.col("_gold") == 1, F.col("rank"))).alias("gold_rank"))

@@ -28,7 +28,7 @@ def pool(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
     c = chunks(spark, sf_dir)
     hits = R.vector_topk(queries_of(c), c, k)
     q = queries_of(c).select("query_id", F.col("source").alias("query_source"))
-    return hits.join(c.select("chunk_id", "source", "page"), "chunk_id").join(F.broadcast(q), "query_id")
+    return hits.join(c.select("chunk_id", "source", "page"), "chunk_id").join(q, "query_id")
 
 
 def fake_score() -> Column:
@@ -80,9 +80,28 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def index_of(hits: DataFrame, k: int = 10) -> DataFrame:
-    """A lossy list: what is left of the exact one after the pages' first chunks only."""
-    return R.distinct_pages(hits).where(F.col("rank") <= k)
+BUCKETS = 6
+
+
+def index_of(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
+    """The pool of an approximate index: a chunk is found only in the bucket of the query, by the signs of its first BUCKETS - 1 numbers, or one sign away."""
+    c = chunks(spark, sf_dir)
+    bits = lambda e: sum((F.col(e)[i] > 0).cast("int") * 2**i for i in range(BUCKETS - 1))
+    near = F.array(F.col("bucket"), *[F.col("bucket").bitwiseXOR(F.lit(2**i)) for i in range(BUCKETS - 1)])
+    placed = c.withColumn("bucket", bits("embedding"))
+    probes = queries_of(c).withColumn("bucket", bits("embedding")).select("query_id", F.explode(near).alias("bucket"))
+    found = probes.join(placed.select("bucket", "chunk_id"), "bucket").where("query_id <> chunk_id").select("query_id", "chunk_id")
+    return R.ranked(pool(spark, sf_dir, k).drop("rank").join(found, ["query_id", "chunk_id"]), F.desc("similarity"), "chunk_id")
+
+
+def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool ranked twice: as it is, and re-ranked at the head."""
+    page = ["query_id", "source", "page", "rank"]
+    return pool(spark, sf_dir).select(F.lit(1).alias("pass"), *page).unionByName(R.rerank_head(pool(spark, sf_dir), fake_score(), 3).select(F.lit(2).alias("pass"), *page))
+
+
+def event_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.spreads(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "value")
 
 
 QUERIES = {
@@ -96,13 +115,19 @@ QUERIES = {
     "eval_per_question": lambda s, d: rounded(scores(s, d)),
     "eval_aggregate": lambda s, d: rounded(E.aggregate(scores(s, d))),
     "worst_questions": lambda s, d: rounded(E.worst(scores(s, d), 5)),
-    "index_check": lambda s, d: E.index_gaps(pool(s, d), index_of(pool(s, d)), 0.2),
-    "unknown_gold_refs": lambda s, d: E.unknown_refs(gold(s, d), index_of(pool(s, d))),
+    "index_check": lambda s, d: E.index_gaps(pool(s, d), index_of(s, d), 0.2),
+    "index_check_totals": lambda s, d: E.index_totals(pool(s, d), index_of(s, d), R.distinct_pages(pool(s, d), K), R.distinct_pages(index_of(s, d), K), 0.2),
+    "unknown_gold_refs": lambda s, d: E.unknown_refs(gold(s, d), index_of(s, d)),
+    "gold_ranks": lambda s, d: R.gold_rank(pool(s, d), gold(s, d)),
+    "hybrid_retrieve": lambda s, d: R.hybrid(pool(s, d), second_list(pool(s, d)), fake_score(), K, covers=(F.col("source") == F.col("query_source")), carry=("source", "page", "query_source")).select("query_id", "chunk_id", "source", "page", "rank"),
+    "gained_lost": lambda s, d: E.gained_lost(methods(s, d), gold(s, d), "embedding", (1, 5)),
+    "repeat_summary": lambda s, d: rounded(E.repeat_summary(event_spreads(s, d), 2)),
+    "top1_changes": lambda s, d: E.top1_changes(passes(s, d)),
     "bm25_topk": lambda s, d: rounded(bm25_hits(s, d)),
     "rrf_fuse": lambda s, d: rounded(R.rrf(pool(s, d), second_list(pool(s, d)))),
     "union_interleave": lambda s, d: R.interleaved(pool(s, d), second_list(pool(s, d))),
     "pool_recall": lambda s, d: E.pool_recall(methods(s, d), gold(s, d), (5, 10)),
-    "score_spread": lambda s, d: rounded(E.spreads(s.read.parquet(f"{d}/events.parquet"), ["user_id", "event_type"], "value")),
+    "score_spread": lambda s, d: rounded(event_spreads(s, d)),
     "latency_percentiles": lambda s, d: rounded(E.latencies(s.read.parquet(f"{d}/events.parquet"), "event_type", "value")),
 }
 
@@ -130,6 +155,13 @@ _LISTS = f"{_POOL}, b AS {_head('pool', POOL)}, lists AS (SELECT query_id, chunk
 _RRF = "(SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score, min((list_no, rank)) AS first FROM lists GROUP BY ALL))"
 _UNION = "(SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM (SELECT query_id, chunk_id, min((rank, list_no)) AS first FROM lists GROUP BY ALL))"
 
+_BITS = " + ".join(f"({{0}}[{i + 1}] > 0)::INT * {2**i}" for i in range(BUCKETS - 1))
+_INDEX = f"""b1 AS (SELECT chunk_id, {_BITS.format("e")} AS bucket FROM c), hit AS (SELECT p.*, bit_count(xor(q.bucket, x.bucket)) AS off FROM pool p JOIN b1 q ON q.chunk_id = p.query_id JOIN b1 x ON x.chunk_id = p.chunk_id),
+    idx AS (SELECT * EXCLUDE (rank, off), row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM hit WHERE off <= 1)"""
+_FUSED = f"(SELECT f.query_id, f.chunk_id, p.source, p.page, p.query_source, f.rank FROM {_RRF} f JOIN pool p ON p.query_id = f.query_id AND p.chunk_id = f.chunk_id)"
+_METHODS = f"""m AS (SELECT 'embedding' AS method, query_id, chunk_id, rank FROM pool UNION ALL SELECT 'rescored', query_id, chunk_id, rank FROM b UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM {_RRF} UNION ALL SELECT 'union', query_id, chunk_id, rank FROM {_UNION}),
+    best AS (SELECT method, m.query_id, min(m.rank) AS low FROM m JOIN pool p ON p.query_id = m.query_id AND p.chunk_id = m.chunk_id JOIN gold g ON g.query_id = p.query_id AND g.source = p.source AND g.page = p.page GROUP BY ALL)"""
+
 ORACLE = {
     "exact_topk": f"WITH {_POOL} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM pool WHERE rank <= {K}",
     "exact_topk_filtered": f"WITH {_POOL} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM sims WHERE source = query_source) WHERE rank <= {K}",
@@ -142,18 +174,25 @@ ORACLE = {
     "eval_per_question": f"WITH {_EVAL} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _COLS)} FROM scores",
     "eval_aggregate": f"WITH {_EVAL} SELECT count(*) AS n_questions, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _COLS)} FROM scores",
     "worst_questions": f"WITH {_EVAL} SELECT query_id, round(recall_5, 6) AS recall_5, round(rr, 6) AS rr FROM scores ORDER BY scores.recall_5, scores.rr, query_id LIMIT 5",
-    "index_check": f"WITH {_POOL}, i AS {_pages('pool', 10)} SELECT query_id, count(*) FILTER (similarity >= 0.2 AND chunk_id NOT IN (SELECT chunk_id FROM i WHERE i.query_id = pool.query_id)) AS missed FROM pool GROUP BY query_id",
-    "unknown_gold_refs": f"WITH {_POOL}, {_GOLD}, i AS {_pages('pool', 10)} SELECT query_id, source, page FROM gold WHERE (source, page) NOT IN (SELECT (source, page) FROM i)",
-    "bm25_topk": f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark), d AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents),
+    "index_check": f"WITH {_POOL}, {_INDEX} SELECT query_id, count(*) FILTER (similarity >= 0.2 AND off > 1) AS missed FROM hit GROUP BY query_id",
+    "index_check_totals": f"""WITH {_POOL}, {_INDEX}, g AS (SELECT query_id, count(*) FILTER (similarity >= 0.2 AND off > 1) AS missed FROM hit GROUP BY query_id),
+        a AS (SELECT query_id, list((source, page) ORDER BY rank) AS l FROM {_pages("pool", K)} GROUP BY 1), i AS (SELECT query_id, list((source, page) ORDER BY rank) AS l FROM {_pages("idx", K)} GROUP BY 1)
+        SELECT count(*) AS questions, count(*) FILTER (missed > 0) AS with_gap, sum(missed)::BIGINT AS missed_chunks, count(*) FILTER (a.l IS NOT DISTINCT FROM i.l) AS equal_pages FROM g LEFT JOIN a USING (query_id) LEFT JOIN i USING (query_id)""",
+    "unknown_gold_refs": f"WITH {_POOL}, {_GOLD}, {_INDEX} SELECT query_id, source, page FROM gold WHERE (source, page) NOT IN (SELECT (source, page) FROM idx)",
+    "gold_ranks": f"WITH {_POOL}, {_GOLD} SELECT h.query_id, min(h.rank) FILTER (g.query_id IS NOT NULL) AS gold_rank FROM {_pages('pool', 1000)} h LEFT JOIN gold g ON g.query_id = h.query_id AND g.source = h.source AND g.page = h.page GROUP BY 1",
+    "hybrid_retrieve": f"""WITH {_LISTS}, f AS {_FUSED}, h AS {_head("f", 10)}, o AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY source = query_source DESC, rank) AS rank FROM h) SELECT query_id, chunk_id, source, page, rank FROM {_pages("o", K)}""",
+    "gained_lost": f"""WITH {_LISTS}, {_GOLD}, {_METHODS}, f AS (SELECT method, n, query_id FROM best, (VALUES (1), (5)) t(n) WHERE low <= n), o AS (SELECT x.method, f.n, f.query_id FROM f, (SELECT DISTINCT method FROM m WHERE method <> 'embedding') x WHERE f.method = 'embedding'), g AS (SELECT * FROM f WHERE method <> 'embedding')
+        SELECT *, 'gained' AS change FROM (SELECT * FROM g EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'lost' FROM (SELECT * FROM o EXCEPT SELECT * FROM g)""",
+    "repeat_summary": "SELECT count(*) AS pairs, count(*) FILTER (s = 0) AS identical, round(max(s), 6) AS max_spread, round(avg(s), 6) AS mean_spread, count(*) FILTER (s > 0.05) AS over_005, count(*) FILTER (s > 0.2) AS over_02 FROM (SELECT max(value) - min(value) AS s FROM events GROUP BY user_id, event_type HAVING count(*) = 2)",
+    "top1_changes": f"WITH {_POOL}, b AS {_head('pool', 3)} SELECT x.query_id FROM pool x JOIN b USING (query_id) WHERE x.rank = 1 AND b.rank = 1 AND (x.source, x.page) <> (b.source, b.page)",
+    "bm25_topk": f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM benchmark), d AS (SELECT doc_id AS chunk_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]+') AS words FROM documents),
         facts AS (SELECT count(*) AS n, avg(len(words)) AS a FROM d), p AS (SELECT chunk_id, len, term, count(*) AS f FROM (SELECT chunk_id, len(words) AS len, unnest(words) AS term FROM d) GROUP BY ALL),
         idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf, a FROM p, facts GROUP BY term, n, a),
         s AS (SELECT query_id, chunk_id, round(sum(idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 9) AS score FROM q JOIN idf USING (term) JOIN p USING (term) GROUP BY ALL)
         SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= {K}""",
     "rrf_fuse": f"WITH {_LISTS} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {_RRF}",
     "union_interleave": f"WITH {_LISTS} SELECT query_id, chunk_id, rank FROM {_UNION}",
-    "pool_recall": f"""WITH {_LISTS}, {_GOLD}, m AS (SELECT 'embedding' AS method, query_id, chunk_id, rank FROM pool UNION ALL SELECT 'rescored', query_id, chunk_id, rank FROM b UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM {_RRF} UNION ALL SELECT 'union', query_id, chunk_id, rank FROM {_UNION}),
-        best AS (SELECT method, m.query_id, min(rank) AS best FROM m JOIN pool p ON p.query_id = m.query_id AND p.chunk_id = m.chunk_id JOIN gold g ON g.query_id = p.query_id AND g.source = p.source AND g.page = p.page GROUP BY ALL)
-        SELECT method, n, count(*) FILTER (low <= n) AS found FROM best, (VALUES (5), (10)) t(n) GROUP BY ALL""".replace("min(rank) AS best", "min(m.rank) AS low"),
+    "pool_recall": f"WITH {_LISTS}, {_GOLD}, {_METHODS} SELECT method, n, count(*) FILTER (low <= n) AS found FROM best, (VALUES (5), (10)) t(n) GROUP BY ALL",
     "score_spread": "SELECT user_id, event_type, round(max(value) - min(value), 6) AS spread, count(*) AS passes FROM events GROUP BY ALL",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(list_sort(list(value))[least(floor(count(*) * 0.95::DOUBLE)::BIGINT, count(*) - 1) + 1], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY ALL",
 }

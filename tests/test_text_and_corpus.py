@@ -1,29 +1,91 @@
 import datetime
 
+import pytest
+
 from tessera.functions import text as X
 from tessera.operators import corpus as C
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
 from tessera.sources import providers as P
+from tessera.sources import specs as S
 
 
-def test_dates():
-    d = datetime.date
-    assert X.dates_in("On March 31, 2026 and le 1er avril 2025; 2024-02-30 never, 2024-02-29 yes") == [d(2026, 3, 31), d(2025, 4, 1), d(2024, 2, 29)]
-    assert X.dates_in(None) == []
+def each(spark, texts, f):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", f(X.F.col("x")).alias("y")).orderBy("i")
+    return [r["y"] for r in rows.collect()]
 
 
-def test_figures():
-    assert X.readings("134,803") == {"134803", "134.803"}
-    assert X.unsupported("Growth was 12.5% [1] in 3 steps", "It grew by 12,5 %") == (1, [])
-    assert X.unsupported("It fell by 13.5%", "It fell by 12.5%") == (1, ["13.5"])
-    assert X.unsupported("1\u00a0234\u00a0567 euros", "1,234,567 EUR")[1] == []
+def test_dates(spark):
+    d = datetime.date
+    texts = {
+        "On March 31, 2026 and le 1er avril 2025; 2024-02-30 never, 2024-02-29 yes": [d(2026, 3, 31), d(2025, 4, 1), d(2024, 2, 29)],
+        "31 fevrier 2024, 12 août 2023, 3 AOUT 2022 and 3 décembre 2021": [d(2023, 8, 12), d(2022, 8, 3), d(2021, 12, 3)],
+        "31 March 2026-04-01": [d(2026, 3, 31), d(2026, 4, 1)],
+        "2026-03-31 and March 31st 2026": [d(2026, 3, 31)],
+        "in April 2025": [],
+        "0000-01-01": [],
+        "": [],
+    }
+    assert each(spark, texts, X.exact_dates) == list(texts.values())
+    assert each(spark, [None], X.exact_dates) == [None]
+
+
+SOURCE = (
+    "[1] Source: bdf_rapport_annuel_2024.pdf, Page: 155\nAu 31 décembre 2024, la Banque de France comptait 8 813 salariés (en équivalent temps plein). "
+    "Le nombre de dossiers déposés est de 134 803, soit une hausse de 10,8 % par rapport à 2023.\n[2] Source: amf_ra_2024_veng.pdf, Page: 74\n"
+    "The Enforcement Committee imposed fines totalling €590,000. BNP PARIBAS weight 4.98%. Crypto market capitalisation breached the USD 4 trillion mark. Unemployment 7,6 %."
+)
+
+
+def test_figures(spark):
+    cases = {
+        "La Banque de France comptait 8 813 salariés au 31 décembre 2024.": (3, []),
+        "134,803 files were filed in 2024, up 10.8% on 2023.": (4, []),
+        "Les dossiers déposés : 134803.": (1, []),
+        "The fines totalled €590,000 [2].": (1, []),
+        "BNP Paribas weighed 4.98 % (Page 74).": (2, []),
+        "The unemployment rate was 7.6%.": (1, []),
+        "It passed USD 4 trillion.": (1, []),
+        "Selon le document [1], page 155, l'effectif était de 8813.": (2, []),
+        "La Banque de France comptait 8 959 salariés.": (1, ["8 959"]),
+        "134 802 dossiers ont été déposés.": (1, ["134 802"]),
+        "The fines totalled €950,000.": (1, ["950,000"]),
+        "BNP Paribas weighed 5.86%.": (1, ["5.86%"]),
+        "Unemployment was 7.4%.": (1, ["7.4%"]),
+        "In 2022 the figure was lower.": (1, ["2022"]),
+        "There are 3 reasons, see [1] and [2]; point 4 matters.": (0, []),
+        "The AMF asked AFEP and MEDEF to look into it.": (0, []),
+        "9 999 then 9 999 again, and 8 813.": (2, ["9 999"]),
+        "€5, 3 milliards, 7 bn and -4.98": (4, ["5", "3", "7"]),
+        "8\u00a0813 and 1.234.567,80 but 1.234.56": (4, ["1.234.567,80", "1.234", "56"]),
+        "": (0, []),
+    }
+    got = each(spark, cases, lambda x: X.grounding(x, X.F.lit(SOURCE)))
+    assert [(g["checked"], g["unsupported"]) for g in got][:18] == list(cases.values())[:18]
+    assert (got[-1]["checked"], each(spark, [None], lambda x: X.grounding(x, x))[0]["checked"]) == (0, 0)
+    assert each(spark, ["134,803", "12,5", "7.50", "0012", "1.234.567"], X.readings) == [["134.803", "134803"][::-1], ["12.5"], ["7.5"], ["12"], ["1234567"]]
 
 
 def test_clean_question(spark):
-    raw = ["<think>hm</think>\n2. Question: \"What is it?\"", "no question", "", "- What?"]
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").select("i", X.clean_question(X.F.col("raw")).alias("q")).orderBy("i").collect()
-    assert [r["q"] for r in rows[:3]] == ["What is it?", None, None]
+    cases = {
+        "What is it?": "What is it?", "<think>hm\n</think>\n2. \"What is it?\"": "What is it?", "Q: What is it?": "What is it?", "Question:\nWhat then?": "What then?",
+        "q - 'Who?'": "Who?", "1) How?\r\nmore": "How?", "no question": None, "First.\nSecond?": None, "": None, " \n\t": None, "Quarterly what?": "Quarterly what?",
+    }
+    assert each(spark, cases, X.clean_question) == list(cases.values())
+
+
+def test_tokens_lose_accents():
+    assert X.tokens_of("L'été français à Zürich, \ufb01n x_1") == ["l", "ete", "francais", "a", "zurich", "fin", "x_1"]
+    assert X.tokens_of(None) == []
+
+
+def test_grades_and_formats(spark):
+    assert each(spark, ["A", " A- ", "B-", "E", "C-", "2.5", "n/a", "nan", None], X.grade_score) == [4.0, 3.7, 2.7, 0.5, None, 2.5, None, None, None]
+    assert each(spark, ["a|b\nc"], X.markdown_cell) == ["a\\|b c"]
+    hits = X.F.array(X.F.struct(X.F.lit("a.pdf").alias("source"), X.F.lit(3).alias("page"), X.F.lit(0.904).alias("similarity")))
+    assert each(spark, ["x"], lambda _: X.citations(hits)) == ["Source: a.pdf, Page 3 (similarity: 0.90)"]
+    assert each(spark, ["x"], lambda _: X.page_list(hits)) == ["a.pdf p3"]
+    assert each(spark, ["2024-03-05 06:07:08"], lambda x: X.stamp(x.cast("timestamp"))) == ["20240305T060708"]
 
 
 def test_chunk_boundaries(spark):
@@ -39,6 +101,9 @@ def test_duplicates_and_replacement(spark):
     new = spark.createDataFrame([("a", 2, "x y", "3"), ("a", 3, "z", "5")], chunks.schema)
     assert C.replacement_counts(chunks, new).first().asDict() == {"source": "a", "added": 2, "removed": 3}
     assert sorted(r["chunk_id"] for r in C.replace_sources(chunks, new).collect()) == ["3", "5"]
+    moved = spark.createDataFrame([("b", 1, "x y", "1")], chunks.schema)  # a chunk that goes to another source
+    assert sorted((r["source"], r["chunk_id"]) for r in C.replace_sources(chunks, moved).collect()) == [("a", "2"), ("a", "3"), ("a", "4"), ("b", "1")]
+    assert C.emptied(chunks).count() == 0 and C.migrated(C.migrated(chunks, moved), moved).count() == 4
 
 
 def test_retrieval_order(spark):
@@ -62,6 +127,57 @@ def test_payloads(spark):
     assert P.find_column(["x", "Fund ISIN"], ["isin"]) == "Fund ISIN"
 
 
+def test_nested_series_payload(spark):
+    body = '{"dataSets": [{"series": {"0:0:0:0:0:0:0": {"observations": {"0": [4.5], "1": [4.25], "9": [1]}}}}], "structure": {"dimensions": {"observation": [{"values": [{"id": "2024-06-12", "name": "2024-06-12"}, {"id": "2024-09-18", "name": "2024-09-18"}]}]}}}'
+    df = spark.createDataFrame([("r", body), ("x", "{}"), ("y", None)], "series_id string, payload string")
+    assert [(str(r["date"]), r["value"]) for r in P.sdmx(df).orderBy("date").collect()] == [("2024-06-12", 4.5), ("2024-09-18", 4.25)]
+    assert P.fetch(df, "sdmx", ["r"]).count() == 2
+    with pytest.raises(ValueError, match="no data for x"):
+        P.fetch(df, "sdmx", ["r", "x"])
+
+
+def test_constituents_and_prices(spark):
+    item = '[{"ticker": "", "symbol": "S", "weight": 0, "indexWeight": 9}, {"isin": "I", "indexWeight": 2.5}, {"ticker": "T", "weight": "x"}, {"ticker": "N", "weight": null, "indexWeight": 3}]'
+    for body in (item, f'{{"data": {item}}}', f'{{"instruments": {item}}}'):
+        got = P.constituents(spark.createDataFrame([("c", body)], "series_id string, payload string")).collect()
+        assert sorted((r["ticker"], r["weight"]) for r in got) == [("I", 2.5), ("N", 0.0), ("S", 0.0)]
+    bodies = ['{"lastPrice": 0, "price": "7.5"}', '[{"price": 3}]', '[{"value": 3}]', '{"value": 2}', "[]"]
+    got = P.latest_price(spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "series_id string, payload string")).collect()
+    assert sorted((r["series_id"], r["value"]) for r in got) == [("0", 7.5), ("1", 3.0), ("3", 2.0)]
+
+
+def test_specifications(spark, tmp_path):
+    (tmp_path / "p.toml").write_text('name="x"\nbenchmark="b"\nstart="2024-01-01"\nend="2024-12-31"\n[[sleeve]]\nname="Growth"\nweight=0.6\nholding=[{ticker="MC.PA",weight=0.5},{ticker="AIR.PA",weight=0.5}]\n[[sleeve]]\nname="Defensive"\nweight=0.4\nholding=[{ticker="SAN.PA",weight=1.0}]\n')
+    fields, holdings = S.load_portfolio(spark, str(tmp_path / "p.toml"))
+    assert fields["currency"] == "EUR" and sorted((r["ticker"], round(r["weight"], 9)) for r in S.portfolio_weights(holdings).collect()) == [("AIR.PA", 0.3), ("MC.PA", 0.3), ("SAN.PA", 0.4)]
+    (tmp_path / "q.toml").write_text('name="x"\nbenchmark="b"\nstart="a"\nend="b"\nholding=[{ticker="A",weight=0.5}]\n')
+    with pytest.raises(ValueError, match="must sum to 1.0"):
+        S.load_portfolio(spark, str(tmp_path / "q.toml"))
+    (tmp_path / "manifest.toml").write_text('[[document]]\nsource="a.pdf"\nperiod_start=2024-01-01\nperiod_end=2024-12-31\n')
+    assert S.load_manifest(spark, S.find_manifest(str(tmp_path / "p.toml"))).count() == 1
+    (tmp_path / "manifest.toml").write_text('[[document]]\nsource="a.pdf"\nperiod_start=2024-02-01\nperiod_end=2024-01-01\n')
+    with pytest.raises(ValueError, match="a.pdf.*after"):
+        S.load_manifest(spark, S.find_manifest(str(tmp_path)))
+
+
+def test_gold_sets(spark, tmp_path):
+    row = '{"id": "%s", "question": "q?", "gold": [{"source": "a", "page": 1}], "provenance": "%s"}'
+    place = tmp_path / "g.jsonl"
+    place.write_text("\ufeff" + row % (1, "hand-written") + "\n\n" + row % (2, "hand-written") + "\n")
+    assert S.load_gold(spark, str(place)).count() == 2
+    for bad, say in ((row % (1, "hand-written"), ":3: duplicate id"), (row % (3, "synthetic-draft"), ":3: not human-accepted"), ("{", ":3: not JSON"), (row.replace("1}", "null}") % (3, "hand-written"), ":3: no gold page")):
+        place.write_text(row % (1, "hand-written") + "\n\n" + bad)
+        with pytest.raises(ValueError, match=say):
+            S.load_gold(spark, str(place))
+    place.write_text("\n")
+    with pytest.raises(ValueError, match="no gold rows"):
+        S.load_gold(spark, str(place))
+    S.write_gold(spark.createDataFrame([("a",)], "id string"), str(tmp_path / "out"))
+    assert S.saved_row(spark, str(tmp_path / "out"), "id string", "a").count() == 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        S.write_gold(spark.createDataFrame([("a",)], "id string"), str(tmp_path / "out"))
+
+
 def test_streamed_bars_equal_batch_bars(spark, sf_dir, tmp_path):
     from tessera.streaming.bars import daily_bars, write_bars
 
