@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
-from tessera.llm.staging import count_floor, materialise, tables
+from tessera.llm.staging import count_floor, lent, materialise, tables
 from tessera.llm.textbytes import LOWER, mix, slices
 
 #: The weight of the vocabulary's scores, in uses.
@@ -209,12 +209,12 @@ def scored(docs: DataFrame, held_out: Column, path: str = MODEL, order: str = "d
     shared = spark.sparkContext.broadcast((pieces, learned_pieces(counts, pieces)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logp = shared.value
-        lattice = PieceLattice(own)
-        for batch in batches:
-            base = np.log10((batch.column("c").to_numpy() + 1) / (n + v + 1))
-            score = (lattice.run(texts_of(batch), logp) + math.log1p(-share)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(score)], ["word", "c", "base", "score"])
+        with lent(shared) as (own, logp):
+            lattice = PieceLattice(own)
+            for batch in batches:
+                base = np.log10((batch.column("c").to_numpy() + 1) / (n + v + 1))
+                score = (lattice.run(texts_of(batch), logp) + math.log1p(-share)) / math.log(10)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(score)], ["word", "c", "base", "score"])
 
     words = materialise(counts.mapInArrow(weigh, "word binary, c long, base double, score double"), "words")
     top = words.where(F.col("c") >= count_floor(words, "c", CACHE_WORDS, F.octet_length("word"), CACHE_BYTES)).toLocalIterator()
@@ -223,24 +223,24 @@ def scored(docs: DataFrame, held_out: Column, path: str = MODEL, order: str = "d
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents, summed over frequent words, and (word not null) rows of their other words."""
-        known = frequent.value
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            out: list[tuple] = []
-            for uid, doc, held, text in zip(*(batch.column(x).to_pylist() for x in ("uid", "doc_id", "held_out", "text"))):
-                own = Counter(tokens(text))
-                total, seen, base, score = 1, int(ends > 0), [end_base], [end_score]
-                for w, times in own.items():
-                    total += times
-                    if (x := known.get(w)) is not None:
-                        seen += times * x[0]
-                        base.append(times * x[1])
-                        score.append(times * x[2])
-                    else:
-                        out.append((uid, None, None, w, times, None, None, None))
-                out.append((uid, doc, held, None, total, seen, math.fsum(base), math.fsum(score)))
-            kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            for at in range(0, len(out), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + (1 << 16)]), kinds)], ["uid", "doc_id", "held_out", "word", "times", "known", "base", "score"])
+        with lent(frequent) as known:
+            for batch in (part for whole in batches for part in slices(whole, "text")):
+                out: list[tuple] = []
+                for uid, doc, held, text in zip(*(batch.column(x).to_pylist() for x in ("uid", "doc_id", "held_out", "text"))):
+                    own = Counter(tokens(text))
+                    total, seen, base, score = 1, int(ends > 0), [end_base], [end_score]
+                    for w, times in own.items():
+                        total += times
+                        if (x := known.get(w)) is not None:
+                            seen += times * x[0]
+                            base.append(times * x[1])
+                            score.append(times * x[2])
+                        else:
+                            out.append((uid, None, None, w, times, None, None, None))
+                    out.append((uid, doc, held, None, total, seen, math.fsum(base), math.fsum(score)))
+                kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                for at in range(0, len(out), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + (1 << 16)]), kinds)], ["uid", "doc_id", "held_out", "word", "times", "known", "base", "score"])
 
     numbered = rows.withColumn("uid", F.monotonically_increasing_id())  # evaluated once, for parts
     parts = materialise(numbered.mapInArrow(split, f"uid long, doc_id {key}, held_out boolean, word binary, times long, known long, base double, score double"), "parts")

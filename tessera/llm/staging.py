@@ -1,33 +1,53 @@
-"""Tables that cut lineage, in the folder that the cluster shares."""
+"""Tables of a folder, and bounds for what is gathered from them."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.staging import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as the session names it in spark.checkpoint.dir."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        raise ValueError("set spark.checkpoint.dir, when the session starts, to a folder that the driver and all executors share")
-    return place.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lost executors then cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["count_floor", "lent", "materialise", "shared_dir", "shielded", "stable", "tables"]
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def lent(shared: Broadcast) -> Iterator[Any]:
+    """The value of a broadcast variable in a task. A Python worker that waits for its next task then holds no copy of it."""
+    try:
+        yield shared.value
+    finally:
+        vars(shared).pop("_value", None)  # would be read again from the worker's file
+        pa.default_memory_pool().release_unused()
+
+
+def shielded(docs: DataFrame, kept: tuple[str, ...] = ("doc_id", "text"), made: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with every column but `kept` under a name that no operator uses, and a function that gives the names back (and adds columns).
+
+    Columns of docs called like one of `made`, which the operator adds, are left out.
+    """
+    names = [c for c in docs.columns if c.lower() not in {m.lower() for m in made}]
+    own = {c: c if c in kept else f"own{i}_" for i, c in enumerate(names)}
+    safe = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()])
+    return safe, lambda out, *more: out.select(*[F.col(o).alias(c) for c, o in own.items()], *more)
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """docs, such that rows can be numbered by the plan: as it is if it only reads files, selects and filters; else written first."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    kinds = {line.lstrip(" :+-").split("(")[0].split(" ")[0] for line in plan.splitlines() if line.strip()}
+    return docs if kinds <= {"Project", "Filter", "Relation"} and docs.inputFiles() else materialise(docs, "rows")
+
+
 def count_floor(counts: DataFrame, column: str, most: int, weight: Column | None = None, most_weight: int = 0) -> int:
     """A count that at most `most` rows reach, of at most `most_weight` in sum: a power of two or one half more, from one aggregate."""
     step = F.floor(F.log2(F.col(column).cast("double")) * 2).cast("int")
