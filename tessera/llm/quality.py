@@ -5,8 +5,12 @@ edges, hashed to 2 ** 18 learned vectors. A document is the average of its vecto
 and layer are trained by stochastic gradient descent in numpy.
 
 Training takes the labelled rows of a bounded sample (TRAIN_ROWS, by a hash of the id), turned into feature counts
-where the documents are and fitted in one task; the bound keeps that task the same at any size of the corpus. With two
+where the documents are and fitted in one task; that bound, and one of all their features (TRAIN_FEATURES), keep the
+task the same at any size of the corpus and whatever the lengths of its texts. With two
 classes the trained model is one number a feature, which every task gets; whole texts are scored where they are.
+
+A null or empty text has no features and gets the bias's score. Rows that repeat or have a null id are scored like any
+other; a label without a document, or a null one, is left out. Without labels every score is one half.
 """
 
 from __future__ import annotations
@@ -22,40 +26,63 @@ from tessera.llm.staging import tables
 from tessera.llm.textbytes import PRIME, mix, powers, slices
 
 BUCKETS, DIM, GRAMS = 1 << 18, 16, (3, 4, 5)
-TRAIN_ROWS, EPOCHS, RATE = 6000, 6, 0.5
-#: Features of one training text are the counts of at most all its n-grams; texts are hashed in chunks of this many characters.
+#: The training task takes at most so many rows, and of these in the order of their keys what fits into so many distinct features in sum.
+TRAIN_ROWS, TRAIN_FEATURES = 6000, 1 << 26
+EPOCHS, RATE = 6, 0.5
+#: Texts are hashed in parts of about so many characters, cut at white space; the features are those of the whole text.
 CHUNK = 1 << 18
 
 
-def features(chars: np.ndarray) -> np.ndarray:
-    """The feature ids of one text's code points, repeats included."""
+def spaces_of(chars: np.ndarray) -> np.ndarray:
+    return (chars == 0x20) | ((chars >= 9) & (chars <= 13)) | (chars == 0xA0)
+
+
+def features(chars: np.ndarray, size: int | None = None, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The feature ids, repeats included, of the first `size` code points (all) of a text, and the hash of their last word.
+
+    What follows those only completes n-grams. before: the hash of the word that stands before.
+    """
+    size = len(chars) if size is None else size
+    before = np.zeros(0, np.uint64) if before is None else before
     n = len(chars)
     if not n:
-        return np.zeros(0, np.int64)
-    space = (chars == 0x20) | ((chars >= 9) & (chars <= 13)) | (chars == 0xA0)
+        return np.zeros(0, np.int64), before
+    space = spaces_of(chars)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    edge = np.concatenate([[True], space, [True]])
+    edge = np.concatenate([[True], space[:size], [True]])
     starts = np.flatnonzero(~edge[1:-1] & edge[:-2])
     ends = np.flatnonzero(~edge[1:-1] & edge[2:]) + 1
-    word = mix((total[ends] - total[starts]) * down[starts], 1)
+    own = mix((total[ends] - total[starts]) * down[starts], 1)
+    word = np.concatenate([before, own])
     pair = np.where(word[1:] == word[:-1], np.uint64(0), mix(word[:-1] * PRIME + word[1:], 2))  # a word twice is one feature, whatever the word
-    out = [word, pair]
+    out = [own, pair]
     spaces = np.concatenate([[0], np.cumsum(space)])
     for k in GRAMS:
         if n < k:
             break
         inside = spaces[k - 1 : n] - spaces[1 : n - k + 2]  # white space between the first and the last character
-        at = np.flatnonzero(inside == 0)
+        at = np.flatnonzero(inside[:size] == 0)
         out.append(mix((total[at + k] - total[at]) * down[at], k))
-    return (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int64)
+    return (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int64), word[-1:]
 
 
 def chunks(text: str | None) -> Iterator[np.ndarray]:
-    chars = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
-    for at in range(0, len(chars), CHUNK):
-        yield features(chars[at : at + CHUNK + GRAMS[-1] - 1])
+    """The feature ids of a text, part by part; a word longer than CHUNK stays whole."""
+    chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    at, before = 0, None
+    while at < len(chars):
+        to = min(at + CHUNK, len(chars))
+        if to < len(chars):
+            near = np.flatnonzero(spaces_of(chars[at:to]))
+            while not len(near) and to < len(chars):
+                near = np.flatnonzero(spaces_of(chars[to : to + CHUNK])) + (to - at)
+                to = min(to + CHUNK, len(chars)) if not len(near) else to
+            to = at + int(near[-1 if near[-1] < CHUNK else 0]) + 1 if len(near) else len(chars)
+        ids, before = features(chars[at : to + GRAMS[-1] - 1], to - at, before)
+        yield ids
+        at = to
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +121,16 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int = 2, epochs
 
 
 def trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "label", "ids", "shares")))), key=lambda r: r[:2])
-    data = [(label, np.frombuffer(ids, np.int32), np.frombuffer(shares, np.float32)) for _, label, ids, shares in rows]
+    """Rows sorted by key -> the model. A row that doesn't fit into what is left of TRAIN_FEATURES is passed over."""
+    data, room = [], TRAIN_FEATURES
+    for batch in batches:
+        for label, ids, shares in zip(*(batch.column(c) for c in ("label", "ids", "shares"))):
+            own = np.frombuffer(ids.as_py(), np.int32)
+            if len(own) <= room:
+                data.append((label.as_py(), own, np.frombuffer(shares.as_py(), np.float32)))
+                room -= len(own)
+    if not data:
+        return
     vectors, weights, bias = fit(data)
     turn = weights[:, 1] - weights[:, 0]
     yield pa.RecordBatch.from_arrays([pa.array([(vectors @ turn).astype(np.float32).tobytes()]), pa.array([float(bias[1] - bias[0])])], ["weights", "bias"])
@@ -105,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
     """One weight a feature and a bias. docs (doc_id, text); labels (doc_id, label 0 or 1), of which `most` are taken."""
     taken = labels.where(F.col("label").isNotNull()).select("doc_id", "label", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id", "label").limit(most)
     rows = docs.join(F.broadcast(taken), "doc_id").select("key", F.col("label").cast("int").alias("label"), "text")
-    model = rows.mapInArrow(counted, "key long, label int, ids binary, shares binary").repartition(1).mapInArrow(trainer, "weights binary, bias double").first()
+    model = rows.mapInArrow(counted, "key long, label int, ids binary, shares binary").repartition(1).sortWithinPartitions("key", "label", "ids").mapInArrow(trainer, "weights binary, bias double").first()
     if model is None:  # no labelled rows
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(model["weights"], np.float32), model["bias"]
