@@ -10,6 +10,7 @@ themselves never leave Spark.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,35 +105,46 @@ def plan_blocks(blocks: list[tuple[int, int, int, int]], new_shards: int, stay:
 
 
 def resharded(docs: DataFrame, old_shard: Column, size: Column, group: Column, row: Column, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """docs with old_shard, shard and slot (gapless from 0 in each shard, by block and then by `row`).
+    """docs with old_shard, shard and slot (gapless from 0 in each shard, by block, part of a block and `row`).
 
-    Rows of one group share a shard, unless the group exceeds GROUP_SHARE of a shard.
+    Rows of one group share a shard, unless the group exceeds GROUP_SHARE of a shard. The old shard and the size must
+    not be null; group and row may, and rows may repeat. Columns of docs called old_shard, shard or slot are replaced.
     """
     spark = docs.sparkSession
     per_shard = max(1, blocks // max(1, OLD_SHARDS))
-    keyed = docs.withColumns({"_old": old_shard.cast("int"), "_size": size.cast("long"), "_group": group, "_row": F.xxhash64(row)}).withColumn("_block", F.pmod(F.xxhash64("_group"), F.lit(per_shard)).cast("int"))
+    made = ("old_shard", "shard", "slot")
+    own = [c for c in docs.columns if c.lower() not in made]
+    doc = F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias("_")).alias("_doc")
+    keyed = docs.select(doc, old_shard.cast("int").alias("_old"), size.cast("long").alias("_size"), F.coalesce(F.xxhash64(group), F.lit(0)).alias("_group"), F.xxhash64(row).alias("_row"), row.alias("_order"))
+    keyed = keyed.withColumn("_block", F.pmod(F.xxhash64("_group"), F.lit(per_shard)).cast("int"))
     whole = keyed.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows"))
     sizes = whole.collect()  # at most `blocks` rows
     most = max(1.0, sum(r["bytes"] for r in sizes) / new_shards * SPLIT_SHARE)
-    parts = {(r["_old"], r["_block"]): min(r["rows"], int(r["bytes"] / most) + 1) for r in sizes if r["bytes"] > most and r["rows"] > 1}
-    split = spark.createDataFrame([(o, b, n) for (o, b), n in parts.items()], "_old int, _block int, _parts int")
+    most_rows = max(1.0, sum(r["rows"] for r in sizes) / new_shards * SPLIT_SHARE)
+    parts = [(r["_old"], r["_block"], min(r["rows"], max(int(r["bytes"] / most) if r["bytes"] > most else 0, int(r["rows"] / most_rows)) + 1), int(r["rows"] / most_rows) + 1) for r in sizes if r["rows"] > 1 and (r["bytes"] > most or r["rows"] > most_rows)]
+    split = spark.createDataFrame(parts, "_old int, _block int, _parts int, _runs int")
     # fewer than new_shards / GROUP_SHARE groups can each exceed the share
     heavy = keyed.join(F.broadcast(split), ["_old", "_block"], "left_semi").groupBy("_group").agg(F.sum("_size").alias("b")).where(F.col("b") > most / SPLIT_SHARE * GROUP_SHARE).select(F.col("_group").alias("_heavy"))
     keyed = keyed.join(F.broadcast(split), ["_old", "_block"], "left").join(F.broadcast(heavy), F.col("_group") == F.col("_heavy"), "left")
     salt = F.when(F.col("_heavy").isNotNull(), F.col("_row")).otherwise(F.xxhash64("_group", F.lit("part")))
     keyed = keyed.withColumn("_part", F.pmod(salt, F.coalesce("_parts", F.lit(1)).cast("long")).cast("int"))
-    # at most `blocks` rows and 1 / SPLIT_SHARE more for each new shard
-    table = [tuple(r) for r in keyed.groupBy("_old", "_block", "_part").agg(F.sum("_size"), F.count("*")).collect()]
-    shard_of = plan_blocks([t[:4] for t in table], new_shards)
+    # a group of very many rows is numbered in several runs, though it stays in one shard
+    keyed = keyed.withColumn("_run", F.pmod(F.xxhash64("_row"), F.coalesce("_runs", F.lit(1)).cast("long")).cast("int"))
+    # at most `blocks` rows, and 1 / SPLIT_SHARE more by bytes and by rows for each new shard
+    table = [tuple(r) for r in keyed.groupBy("_old", "_block", "_part", "_run").agg(F.sum("_size"), F.count("*")).collect()]
+    bytes_of: Counter[tuple[int, int, int]] = Counter()
+    for o, b, p, _, size_, _ in table:
+        bytes_of[o, b, p] += size_
+    shard_of = plan_blocks([(*k, n) for k, n in bytes_of.items()], new_shards)
     base, plan = [0] * new_shards, []
-    for o, b, p, _, rows in sorted(table, key=lambda t: t[:3]):
+    for o, b, p, run, _, rows in sorted(table, key=lambda t: t[:4]):
         j = shard_of[o, b, p]
-        plan.append((o, b, p, j, base[j]))
+        plan.append((o, b, p, run, j, base[j]))
         base[j] += rows
-    plan_df = spark.createDataFrame(plan, "_old int, _block int, _part int, shard int, _base long")
-    within = Window.partitionBy("_old", "_block", "_part").orderBy(row, "_row")
-    out = keyed.select("*").join(F.broadcast(plan_df), ["_old", "_block", "_part"])
-    return out.withColumn("slot", F.col("_base") + F.row_number().over(within) - 1).withColumnRenamed("_old", "old_shard").drop("_block", "_part", "_parts", "_base", "_row", "_size", "_group", "_heavy")
+    plan_df = spark.createDataFrame(plan, "_old int, _block int, _part int, _run int, shard int, _base long")
+    within = Window.partitionBy("_old", "_block", "_part", "_run").orderBy("_order", "_row")
+    out = keyed.join(F.broadcast(plan_df), ["_old", "_block", "_part", "_run"]).withColumn("slot", F.col("_base") + F.row_number().over(within) - 1)
+    return out.select(*[F.col("_doc")[c].alias(c) for c in own], F.col("_old").alias("old_shard"), "shard", "slot")
 
 
 def rewrite_affected(placed: DataFrame, path: str) -> DataFrame:
@@ -149,7 +161,11 @@ def rewrite_affected(placed: DataFrame, path: str) -> DataFrame:
 
 
 def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents from 16 old shards (by the text's checksum) into 24 of near equal bytes, moving the fewest."""
+    """All documents from 16 old shards (by the text's checksum) into 24 of near equal bytes, moving the fewest.
+
+    A null text counts as empty. Null and repeated ids are placed like any other row; equal texts share a shard unless
+    they exceed GROUP_SHARE of one.
+    """
     text = F.coalesce("text", F.lit(""))
     docs = tables(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
     placed = resharded(docs, F.pmod("text_crc32", F.lit(OLD_SHARDS)), F.col("size"), F.col("text_hash"), F.col("doc_id"))
