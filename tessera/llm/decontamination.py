@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import materialise, tables
+from tessera.llm.staging import materialise, shielded, stable, tables
 from tessera.llm.textbytes import SPACE, mix, powers, slices, span_hashes, utf8
 
 SEED, MIN_MATCH, COVERAGE = 5, 5, 0.6
@@ -86,32 +86,49 @@ def run_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Tiles (start in item, start in text, tokens): longest first, none overlapping another in either."""
+    """Tiles (start in item, start in text, tokens): longest first, then by their places, none overlapping another in either."""
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
     size = longest_match(item, text, free_item, free_text, least, len(item))
     while size >= least:
-        for i, j in matches(item, text, free_item, free_text, size):
-            if free_item[i : i + size].all() and free_text[j : j + size].all():
+        starts, places = matches(item, text, free_item, free_text, size)
+        n = len(tiles)
+        for i, hash_ in starts:
+            if not free_item[i : i + size].all():
+                continue
+            later = places[hash_]  # ascending from the end; a place that isn't free any more is never tried again
+            skipped = []
+            while later:
+                j = later.pop()
+                if not free_text[j : j + size].all():
+                    continue
+                if (item[i : i + size] != text[j : j + size]).any():  # equal hashes of unlike runs
+                    skipped.append(j)
+                    continue
                 free_item[i : i + size] = False
                 free_text[j : j + size] = False
                 tiles.append((i, j, size))
-        size = longest_match(item, text, free_item, free_text, least, size)
+                break
+            later.extend(reversed(skipped))
+        size = longest_match(item, text, free_item, free_text, least, size if len(tiles) > n else size - 1)
     return tiles
 
 
-def matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Where unmarked runs of n tokens of both are equal, in order of both."""
-    a, b = run_hashes(item, n), run_hashes(text, n)
-    if not len(a) or not len(b):
-        return []
-    open_a = np.convolve(free_item, np.ones(n, int), "valid") == n
-    open_b = np.convolve(free_text, np.ones(n, int), "valid") == n
-    at = np.flatnonzero(open_b & np.isin(b, a[open_a]))
-    where: dict[int, list[int]] = {}
-    for j in at.tolist():
-        where.setdefault(int(b[j]), []).append(j)
-    return [(i, j) for i in np.flatnonzero(open_a).tolist() for j in where.get(int(a[i]), ()) if (item[i : i + n] == text[j : j + n]).all()]
+def open_runs(tokens: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the runs of n tokens without a marked one."""
+    marked = np.append(0, np.cumsum(~free))
+    at = np.flatnonzero(marked[n:] == marked[: len(tokens) - n + 1]) if len(tokens) >= n else np.zeros(0, np.int64)
+    return at, run_hashes(tokens, n)[at]
+
+
+def matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, n: int) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
+    """(start, hash) of the unmarked runs of n tokens of item that text has unmarked, and the places of each hash in text, last first."""
+    (i, a), (j, b) = open_runs(item, free_item, n), open_runs(text, free_text, n)
+    keep = np.isin(b, a)
+    places: dict[int, list[int]] = {}
+    for at, hash_ in zip(j[keep][::-1].tolist(), b[keep][::-1].tolist()):
+        places.setdefault(hash_, []).append(at)
+    return [(at, hash_) for at, hash_ in zip(i.tolist(), a.tolist()) if hash_ in places], places
 
 
 def longest_match(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, least: int, most: int) -> int:
@@ -119,7 +136,7 @@ def longest_match(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, fre
     low, high = least - 1, most
     while low < high:
         mid = (low + high + 1) // 2
-        if matches(item, text, free_item, free_text, mid):
+        if np.isin(open_runs(item, free_item, mid)[1], open_runs(text, free_text, mid)[1]).any():
             low = mid
         else:
             high = mid - 1
@@ -127,7 +144,7 @@ def longest_match(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, fre
 
 
 def seeded(df: DataFrame, key: str, bitmap: np.ndarray | None = None, lengths: list[int] | None = None) -> DataFrame:
-    """key, tokens and distinct seeds of each text; with a bitmap only texts, and seeds, that it has.
+    """key, tokens, distinct seeds and how often each stands in the text; with a bitmap only texts, and seeds, that it has.
 
     lengths: the tokens of a seed, one or several; None: SEED or, in a shorter text, all of its tokens.
     """
@@ -138,7 +155,7 @@ def seeded(df: DataFrame, key: str, bitmap: np.ndarray | None = None, lengths: l
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, bounds = token_hashes(part.column("text"))
-                rows, tokens, seeds = [], [], []
+                rows, tokens, seeds, times = [], [], [], []
                 for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                     sizes = lengths or ([min(SEED, b - a)] if b > a else [])
                     own = np.concatenate([run_hashes(hashes[a:b], n) for n in sizes]) if sizes else np.zeros(0, np.uint64)
@@ -148,12 +165,14 @@ def seeded(df: DataFrame, key: str, bitmap: np.ndarray | None = None, lengths: l
                             continue
                     rows.append(r)
                     tokens.append(hashes[a:b].view(np.int64))
-                    seeds.append(np.unique(own).view(np.int64))
+                    distinct, n = np.unique(own, return_counts=True)
+                    seeds.append(distinct.view(np.int64))
+                    times.append(n.astype(np.int64))
                 if rows:
                     lists = lambda x: pa.ListArray.from_arrays(np.append(0, np.cumsum([len(y) for y in x])).astype(np.int32), np.concatenate(x))
-                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(rows)), lists(tokens), lists(seeds)], [key, "tokens", "seeds"])
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(rows)), lists(tokens), lists(seeds), lists(times)], [key, "tokens", "seeds", "times"])
 
-    return df.select(key, "text").mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokens array<long>, seeds array<long>")
+    return df.select(key, "text").mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokens array<long>, seeds array<long>, times array<long>")
 
 
 def seed_bitmap(items: DataFrame) -> np.ndarray:
@@ -165,6 +184,21 @@ def seed_bitmap(items: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def rarer_seeds(items: DataFrame, spread: DataFrame, coverage: float) -> DataFrame:
+    """(_item, seed): each item's seeds less the most frequent of the documents', as far as they can be spared.
+
+    Tiles of SEED tokens or more that cover `coverage` of an item's n tokens hold a fifth of those or more as starts
+    of seeds. A document that shares so many starts (`need`) still shares one if all seeds of the need - 1 starts that
+    are most frequent are left out. So a phrase that very many documents and items have brings no pairs by itself.
+    """
+    need = F.ceil(F.size("tokens") * F.lit(coverage) / SEED - 1e-9)
+    starts = items.select("_item", need.alias("need"), F.explode(F.arrays_zip("seeds", "times")).alias("x")).select("_item", "need", F.col("x.seeds").alias("seed"), F.col("x.times").alias("times"))
+    often = spread.join(starts.select("seed").distinct(), "seed").groupBy("seed").agg(F.count("*").alias("docs"))
+    order = Window.partitionBy("_item").orderBy(F.desc("docs"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = starts.join(often, "seed").withColumn("sofar", F.sum("times").over(order))
+    return ranked.where(F.col("sofar") >= F.col("need")).select("_item", "seed")
+
+
 def contaminations(docs: DataFrame, items: DataFrame, key: str = "uid", item_key: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
     """key, item_key, item_tokens, matched_tokens, n_tiles and coverage of each contaminated pair.
 
@@ -174,8 +208,9 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "uid", item_key
     named = materialise(items.select(item_key, "text").distinct().withColumn("_item", F.monotonically_increasing_id()), "named")
     items = materialise(seeded(named, "_item"), "items")
     short = [r[0] for r in items.select(F.size("tokens")).where((F.size("tokens") > 0) & (F.size("tokens") < SEED)).distinct().collect()]  # under SEED rows
-    found = materialise(seeded(docs, key, seed_bitmap(items), [*short, SEED]), "candidates")
-    pairs = found.select(key, F.explode("seeds").alias("seed")).join(items.select("_item", F.explode("seeds").alias("seed")), "seed").select(key, "_item").distinct()
+    found = materialise(seeded(docs, key, seed_bitmap(items), [*short, SEED]).drop("times"), "candidates")
+    spread = found.select(key, F.explode("seeds").alias("seed"))
+    pairs = spread.join(rarer_seeds(items, spread, coverage), "seed").select(key, "_item").distinct()
     both = pairs.join(items.select("_item", F.col("tokens").alias("item")), "_item").join(found.select(key, "tokens"), key).join(named.select("_item", item_key), "_item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +230,15 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "uid", item_key
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs less the rows that any item contaminates."""
+    """docs less the rows that any item contaminates. Columns may have any names; rows that repeat stay or go together."""
+    docs, named = shielded(stable(docs))
     keyed = docs.withColumn("uid", F.monotonically_increasing_id())
     bad = materialise(contaminations(keyed.select("uid", "text"), items).select("uid").distinct(), "contaminated")
-    return keyed.join(bad, "uid", "left_anti").select(*docs.columns)
+    return named(keyed.join(bad, "uid", "left_anti"))
 
 
 def op4_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of a document and a benchmark item that it contains."""
+    """Every pair of a document and a benchmark item that it contains; a document that repeats gives its rows as often."""
     docs = tables(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     pairs = contaminations(docs.select(F.struct("uid", "doc_id").alias("uid"), "text"), tables(spark, sf_dir, "benchmark"))
     return pairs.select("uid.doc_id", "item_id", "item_tokens", "matched_tokens", "n_tiles", "coverage")
