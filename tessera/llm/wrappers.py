@@ -12,12 +12,16 @@ differing texts a free slot. Merging is associative enough to be done per task a
 pages into one wrapper a host, and only those are gathered, in two steps (host and salt, then host), so that a host
 with a third of all pages costs one row a task.
 
-Content is what the wrapper's text slots hold inside the main element: free and repeated slots, not the texts that the
-wrapper has as constants over MIN_PAGES pages or more while other slots are free. Some elements never are content by
+Content is what the wrapper's text slots hold: in a main element all of them, else the free and repeated ones, not the
+texts that the wrapper has as constants over MIN_PAGES pages or more while other slots are free. Some elements never are content by
 their tag (nav, header, footer, aside, form, ..). Words of class, id and role (sidebar, comments, ..) only raise a
 doubt. Inside the main element the wrapper settles it on hosts of MIN_PAGES pages or more: an element with free or
 repeated slots that aren't links is content, less its texts that are links. The words decide on smaller hosts, outside
 a main element, and where they'd leave nothing they are passed over. An element that holds an article isn't doubted.
+
+A null or empty page has an empty text, a null url is a host of its own; pages that repeat, and ties between alignments
+(the first of the two sequences goes first), have no bearing on which texts are found. Elements nested deeper than DEPTH
+keep their texts in order, as part of the element at that depth.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +41,10 @@ from tessera.llm.staging import materialise, tables
 MIN_PAGES = 8
 #: Elements in a repeated group at most; longer ones stay sequences.
 GROUP = 4
+#: Elements nested deeper than this give their texts and elements to the one at this depth, those that drop or name a part of the page at twice this depth.
+DEPTH = 64
+#: The most cells of an alignment's table.
+CELLS = 1 << 18
 SALTS = 16
 #: Wrappers above this are joined by host instead of being broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -73,11 +82,12 @@ def label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
 
 
 class Element:
-    __slots__ = ("doubted", "dropped", "kids", "label", "main", "tag")
+    __slots__ = ("depth", "doubted", "dropped", "kids", "label", "main", "tag")
 
     def __init__(self, tag: str, label: str = "", dropped: bool = False, doubted: bool = False, main: bool = False) -> None:
         self.tag, self.label, self.dropped, self.doubted, self.main = tag, label or tag, dropped, doubted, main
         self.kids: list[Element | str] = []
+        self.depth = 0
 
     def holds_main(self) -> bool:
         """Whether an article that isn't doubted itself lies inside."""
@@ -141,7 +151,12 @@ def parse(page: str | None) -> Element:
                     elif stack[-1].tag == "p":
                         stack.pop()
                     element = Element(tag, *label(tag, attributes))
-                    stack[-1].kids.append(element)
+                    depth = stack[-1].depth
+                    if depth < DEPTH or (depth < 2 * DEPTH and (element.dropped or element.doubted or element.main)):
+                        stack[-1].kids.append(element)
+                        element.depth = depth + 1
+                    else:  # nested too deep: what is in it belongs to the element around it
+                        element.kids, element.depth = stack[-1].kids, depth
                     stack.append(element)
     flush()
     for e in descendants(root):
@@ -203,6 +218,8 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
 def aligned(a: list[list], b: list[list], same_page: bool) -> list[list]:
     if [k[0] for k in a] == [k[0] for k in b]:
         return [merge(x, y, same_page) for x, y in zip(a, b)]
+    if len(a) * len(b) > CELLS:
+        return collapsed(beside(a, b, same_page))
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -222,6 +239,25 @@ def aligned(a: list[list], b: list[list], same_page: bool) -> list[list]:
     return collapsed(out)
 
 
+def beside(a: list[list], b: list[list], same_page: bool) -> list[list]:
+    """As aligned(), each element of a with the next of its label in b that isn't used up; for sequences too long for a table."""
+    places: dict[str, list[int]] = {}
+    for j, k in enumerate(b):
+        places.setdefault(k[0], []).append(j)
+    out: list[list] = []
+    at = 0
+    for k in a:
+        own = places.get(k[0], [])
+        n = bisect_left(own, at)
+        if n == len(own):
+            out.append([*k[:2], True, *k[3:]])
+        else:
+            out += [[*x[:2], True, *x[3:]] for x in b[at : own[n]]]
+            out.append(merge(k, b[own[n]], same_page))
+            at = own[n] + 1
+    return out + [[*x[:2], True, *x[3:]] for x in b[at:]]
+
+
 def expression(w: list) -> str:
     """The wrapper as a regular expression, for people."""
     if w[4] is not None:
@@ -281,7 +317,7 @@ def main_text(page: str | None, fixed: set[tuple[str, str | None]]) -> str:
         out: list[str] = []
         for k in e.kids:
             if isinstance(k, str):
-                if (here, k) not in fixed and (links or not isinstance(k, Link)):
+                if (inside or (here, k) not in fixed) and (links or not isinstance(k, Link)):
                     out.append(k)
             elif not k.dropped:
                 if not (k.doubted and words):
