@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import contract, rooted
-from tessera.llm.staging import materialise, tables
+from tessera.llm.staging import materialise, shielded, stable, tables
 from tessera.llm.textbytes import LOWER, PRIME, SPACE, mix, slices, span_hashes, utf8, words
 
 BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
@@ -305,6 +305,7 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similar: float = SIMILA
     that shares one of BANDS band keys (a pair of 0.8: 99.96 %). Groups are what links connect. Texts without words
     are one group.
     """
+    docs, named = shielded(stable(docs))
     keyed = docs.withColumn("uid", F.monotonically_increasing_id())
     marked = materialise(with_shingles(keyed.select("uid", "doc_id", "text"), n, sets=False), "bands")
     nodes = materialise(marked.groupBy("id").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
@@ -315,7 +316,7 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similar: float = SIMILA
     groups = similar_roots(index, sets, similar)
     rooted_rows = marked.select("uid", "doc_id", "id").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = rooted_rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")).select("first.uid")
-    return keyed.join(materialise(first, "kept"), "uid", "left_semi").select(*docs.columns)
+    return named(keyed.join(materialise(first, "kept"), "uid", "left_semi"))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

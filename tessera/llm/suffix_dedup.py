@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import materialise, tables
+from tessera.llm.staging import materialise, shielded, stable, tables
 from tessera.llm.textbytes import mix, powers, slices, utf8
 
 LENGTH, GRAM = 50, 26
@@ -323,7 +323,9 @@ def runs_of(gone: np.ndarray) -> int:
 
 
 def with_removals(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with copy (a smaller document has the whole text) and spots, masks: the marked windows.
+    """docs with copy (a smaller document has the whole text) and marks (spot, mask): the marked windows.
+
+    docs must give its rows in the same order whenever it is read, as tables do (see stable()).
 
     Null texts are empty. Rows of equal doc_id don't remove from one another; a null doc_id counts as the smallest.
     """
@@ -383,7 +385,12 @@ def removed_bytes(n: int, marks: list[dict] | None, copy: bool) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the removed bytes cut from text. A character goes only if all of its bytes are removed."""
+    """docs with the removed bytes cut from text. A character goes only if all of its bytes are removed.
+
+    Columns may have any names. Rows may repeat: those of equal doc_id don't remove from one another. A null or empty
+    text stays as it is.
+    """
+    docs, named = shielded(stable(docs))
     fields = docs.schema.fields
     names = [f.name for f in fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -402,7 +409,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return with_removals(docs).select(*names, "copy", "marks").mapInArrow(run, schema)
+    return named(with_removals(docs).select(*names, "copy", "marks").mapInArrow(run, schema))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
