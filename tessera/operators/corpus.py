@@ -38,12 +38,23 @@ def exact_duplicates(chunks: DataFrame) -> DataFrame:
 
 
 def contained_tails(chunks: DataFrame, most_words: int | None = None) -> DataFrame:
-    """Chunks whose content a longer chunk of the same (source, page) contains."""
-    size = F.size(F.split("content", r"(?U)\s+"))
-    small = chunks.where(size <= most_words) if most_words else chunks
-    longer = chunks.select(F.col("source").alias("s"), F.col("page").alias("p"), F.col("content").alias("c"))
-    match = (F.col("source") == F.col("s")) & (F.col("page") == F.col("p")) & (F.length("c") > F.length("content")) & F.col("c").contains(F.col("content"))
-    return small.join(longer, match, "left_semi")
+    """Chunks whose content a longer chunk of the same (source, page) contains.
+
+    The words of a content but its first and last stand whole in whatever contains it, so candidates must have three
+    of them in a row, or one where there are fewer; only contents of one or two words are held against all longer ones
+    of their page.
+    """
+    words = F.split("content", r"(?U)\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    key = F.when(F.size(inner) >= 3, F.array_join(F.slice(inner, 1, 3), " ")).when(F.size(inner) > 0, inner[0]).otherwise("")
+    small = (chunks.where(F.size(words) <= most_words) if most_words else chunks).withColumn("_key", key)
+    rows = chunks.select(F.col("source").alias("_s"), F.col("page").alias("_p"), F.col("content").alias("_c"), words.alias("_w"))
+    shared = chunks.groupBy(F.col("source").alias("_s"), F.col("page").alias("_p")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = rows.join(shared, ["_s", "_p"], "left_semi")
+    threes = F.when(F.size("_w") > 2, F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.array_join(F.slice("_w", i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    longer = rows.select("_s", "_p", "_c", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.col("_w"), threes))).alias("_k"))
+    match = (F.col("source") == F.col("_s")) & (F.col("page") == F.col("_p")) & (F.col("_key") == F.col("_k")) & (F.length("_c") > F.length("content")) & F.col("_c").contains(F.col("content"))
+    return small.join(longer, match, "left_semi").drop("_key")
 
 
 def first_of(batch: DataFrame, key: str, *order: Column | str) -> DataFrame:
