@@ -98,7 +98,7 @@ def whole_texts() -> list[tuple[str, str]]:
     return rows + [(min(ids), texts[x]) for x, ids in parts.items() if len(ids) == 1]
 
 
-# Spellings that licence comparison treats as equal, to be applied in this order to words.
+# Spellings that licence comparison treats as equal.
 SPELLINGS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
     ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("emphasised", "emphasized"),
@@ -106,7 +106,7 @@ SPELLINGS: list[tuple[str, str]] = [
     ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("maximise", "maximize"), ("modelled", "modeled"),
     ("modelling", "modeling"), ("noncommercial", "non commercial"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sublicence", "sublicense"), ("utilisation", "utilization"),
-    ("v", "version"), ("ver", "version"), ("whilst", "while"), ("wilful", "wilfull"),
+    ("v", "version"), ("ver", "version"), ("whilst", "while"), ("wilful", "willful"),
 ]
 
 LICENSES += whole_texts()
@@ -115,8 +115,8 @@ COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)\s|©)[^\n]*$"
 
 
 def marked(text: Column) -> Column:
-    """The text in canonical words between single spaces, its line feeds kept as words; one pass for all of its parts."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), r"[^\p{L}\p{N}\n]+", " ")
+    """The text in canonical words, each between two spaces of its own, its line feeds kept as words; one pass for all of its parts."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), r"[^\p{L}\p{N}\n]+", "  ")
     words = F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
         words = F.replace(words, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -154,13 +154,13 @@ def scanned(docs: DataFrame, licenses: DataFrame | None = None, key: str = "doc_
 
 
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licences of every document that has any."""
+    """The licences of every document that has any; null and repeated ids give rows of their own."""
     return scanned(tables(spark, sf_dir, "documents"))
 
 
 def _sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    form = r"' ' || replace(regexp_replace(regexp_replace(lower(text), '^[^\p{L}\p{N}\n]*(copyright\b|\(c\)\s|©)[^\n]*$', '', 'gm'), '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+    form = r"' ' || replace(regexp_replace(regexp_replace(lower(text), '^[^\p{L}\p{N}\n]*(copyright\b|\(c\)\s|©)[^\n]*$', '', 'gm'), '[^\p{L}\p{N}\n]+', '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
     for a, b in SPELLINGS:
         form = f"replace({form}, ' {a} ', ' {b} ')"
     canon = "trim(regexp_replace({0}, '[ \\n]+', ' ', 'g'))"

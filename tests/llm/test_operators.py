@@ -54,6 +54,36 @@ def test_fingerprints(spark, folder):
     assert np.mean([r["near_edited"] > r["near_next"] for r in rows[:40]]) > 0.9
 
 
+def test_fingerprint_votes_and_near_counts(spark, folder):
+    from tessera.llm.textbytes import LOWER, span_hashes, utf8, words
+
+    texts = ["b a a c " * k + "x" * (k % 3) for k in range(1, 7)] * 40 + [None, "", "same same"]
+    rows = sorted_rows(fingerprints.op1_simhash_fingerprints(spark, folder(texts)))
+    data, offsets = utf8(pa.array(texts[:12]))
+    starts, ends, bounds = words(LOWER[data], offsets)
+    hashes = span_hashes(LOWER[data], starts, ends).tolist()
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        votes = [0.0] * 128
+        for h, n in Counter(hashes[a:b]).items():
+            weight = round(64 * (1 + math.log(n)))
+            for half, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+                own = np.unpackbits(fingerprints.mix(np.array([h], np.uint64), salt).view(np.uint8))
+                for k in range(64):
+                    votes[64 * half + k] += weight if own[k] else -weight
+        assert rows[i]["fingerprint"] == np.packbits(np.array(votes) > 0).tobytes().hex()
+    prints = {int(r["fingerprint"], 16) for r in rows}
+    for r in rows:
+        own = int(r["fingerprint"], 16)
+        assert r["n_near"] == (sum(0 < (own ^ p).bit_count() <= 3 for p in prints) if r["doc_id"] % 100 == 0 else None)
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (2, "a b"), (2, "a b"), (1, None)], "doc_id long, text string")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = fingerprints.beside_next(fingerprints.with_fingerprint(docs), ["text"]).collect()
+    assert sorted((r["doc_id"] or 0, r["next_text"]) for r in rows) == [(0, ""), (1, "a b"), (2, "a b"), (2, "a b")]
+
+
 def test_block_tables_find_all_pairs(spark):
     r = random.Random(3)
     values = [r.getrandbits(128) for _ in range(60)]
@@ -415,6 +445,21 @@ def test_whole_license_files(spark, documents):
     assert {(r["doc_id"], r["license_id"], r["unit"]) for r in licenses.scanned(documents(texts[:3])).collect()} >= {(2, "MIT", "paragraph")}
 
 
+def test_canonical_form_equals_a_plain_one(spark):
+    r = random.Random(2)
+    spellings = dict(licenses.SPELLINGS)
+    assert not set(spellings) & set(spellings.values())
+    words = [*list(spellings)[:12], "v", "wilful", "Copyright", "(c)", "©", "THE", "a", "é1", "--", "\n", "\n", "."]
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", ", ", "\t", "-"]) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["v v v v", "", "Copyright 2020 X", "wilful WILFUL\n\nlicence"]
+
+    def plain(text):
+        kept = [x for x in text.lower().split("\n") if not re.match(r"[^\w\n]*(copyright\b|\(c\)\s|©)", x)]
+        return " ".join(spellings.get(w, w) for w in re.findall(r"[^\W_]+", "\n".join(kept)))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", licenses.canonical(licenses.marked(F.col("text"))).alias("form")).orderBy("i").collect()
+    assert [x["form"] for x in rows] == list(map(plain, texts))
+
+
 def test_decontamination(spark, documents):
     r = random.Random(8)
     word = lambda: "".join(r.choice("bcdfgaeiou") for _ in range(6))
