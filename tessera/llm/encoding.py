@@ -34,10 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
-from tessera.llm.staging import count_floor, lent, materialise, tables
+from tessera.llm.staging import bounded_memory, count_floor, lent, materialise, tables
 from tessera.llm.textbytes import slices, span_hashes, strings, utf8
 
 CACHE_UNITS, CACHE_BYTES = 1 << 20, 32 << 20
+#: A unit seen less often isn't worth a place among them.
+SEEN = 3
 SLICE, COUNT_SLICE = 1 << 20, 4 << 20
 LONG = 62
 UNIT = "unit"
@@ -263,7 +265,7 @@ def keys_of(units: pa.Array) -> np.ndarray:
 def cached_units(docs: DataFrame, pieces: Pieces, most: int, most_bytes: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Hash (ascending), unit and ids of the units of the highest counts; the choice has no bearing on results."""
     counts = materialise(unit_counts(docs, pieces), "units")
-    top = counts.where(F.col("n") >= count_floor(counts, "n", most, F.octet_length(UNIT), most_bytes))
+    top = counts.where(F.col("n") >= max(SEEN, count_floor(counts, "n", most, F.octet_length(UNIT), most_bytes)))
     dealt = top.select(UNIT).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = folded(dealt.select(F.monotonically_increasing_id().alias("uid"), F.lit(0).alias("pos"), UNIT), pieces).select(UNIT, "ids")
     found = materialise(rows, "unit-ids").toArrow()  # at most `most` rows
@@ -309,6 +311,7 @@ def filled(values: np.ndarray, offsets: np.ndarray, rare: pa.Array) -> tuple[np.
 def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
     """docs' columns (or those in keep) with n_tokens and ids, and with digest decoded_sha256, that of the decoded ids."""
     spark = docs.sparkSession
+    bounded_memory(spark)
     pieces = load_pieces(path)
     made = ["n_tokens", "ids", *(["decoded_sha256"] if digest else [])]
     kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in made]

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from tessera.staging import materialise, shared_dir
 
-__all__ = ["count_floor", "lent", "materialise", "shared_dir", "shielded", "stable", "tables"]
+__all__ = ["bounded_memory", "count_floor", "lent", "materialise", "shared_dir", "shielded", "stable", "tables"]
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, in a session of bounded_memory()."""
+    bounded_memory(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +32,21 @@ def lent(shared: Broadcast) -> Iterator[Any]:
         pa.default_memory_pool().release_unused()
 
 
+#: The bytes of an Arrow batch where rows carry whole documents through several Python stages of a task.
+BATCH_BYTES = 4 << 20
+#: Settings of the C allocator of Python workers, which wait for their next tasks with what they don't give back.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def bounded_memory(spark: SparkSession) -> None:
+    """Lower the session's bound of the bytes of an Arrow batch to BATCH_BYTES, and let its Python workers give back what they freed; no result depends on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    for variable, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(variable, value)
+
+
 def shielded(docs: DataFrame, kept: tuple[str, ...] = ("doc_id", "text"), made: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """docs with every column but `kept` under a name that no operator uses, and a function that gives the names back (and adds columns).
 
