@@ -14,9 +14,11 @@ with a third of all pages costs one row a task.
 
 Content is what the wrapper's text slots hold: in a main element all of them, else the free and repeated ones, not the
 texts that the wrapper has as constants over MIN_PAGES pages or more while other slots are free. Some elements never are content by
-their tag (nav, header, footer, aside, form, ..). Words of class, id and role (sidebar, comments, ..) only raise a
-doubt. Inside the main element the wrapper settles it on hosts of MIN_PAGES pages or more: an element with free or
-repeated slots that aren't links is content, less its texts that are links. The words decide on smaller hosts, outside
+their tag (nav, header, footer, aside, form, ..). An article or main element is the main one; without, on hosts of
+MIN_PAGES pages or more, the wrapper's innermost element with SHARE of all free text, and on smaller ones what class
+words name. Words of class, id and role (sidebar, notice, ..) only raise a doubt. Inside the main element the wrapper
+settles it on hosts of MIN_PAGES pages or more: an element with free or repeated slots that aren't links is content,
+less its texts that are links, unless it is named an advert or comments. The words decide on smaller hosts, outside
 a main element, and where they'd leave nothing they are passed over. An element that holds an article isn't doubted.
 
 A null or empty page has an empty text, a null url is a host of its own; pages that repeat, and ties between alignments
@@ -30,7 +32,7 @@ import html
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,8 @@ MIN_PAGES = 8
 GROUP = 4
 #: Elements nested deeper than this give their texts and elements to the one at this depth, those that drop or name a part of the page at twice this depth.
 DEPTH = 64
+#: The share of a host's free text that the part of the page with the article has at least.
+SHARE = 0.7
 #: The most cells of an alignment's table.
 CELLS = 1 << 18
 SALTS = 16
@@ -64,6 +68,8 @@ MAIN = ("article", "main")
 ANCHORS = {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figure", "table"}
 # Words of class, id and role attributes that mark what isn't the article, and what is.
 NOT_CONTENT = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pagination", "popup", "promo", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
+#: Of these, what is free text by its nature, so that no wrapper can tell it from an article.
+NEVER = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "disqus", "promo", "reply", "replies", "respond", "sponsor", "sponsored"}
 CONTENT = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
 
@@ -173,14 +179,14 @@ def descendants(e: Element) -> Iterator[Element]:
         yield e
 
 
-# A wrapper is [label, repeated, optional, pages, text, kids]: text None for an element, "" for a free slot.
+# A wrapper is [label, repeated, optional, pages, text, kids, characters]: text None for an element, "" for a free slot.
 
 
 def wrapper_of(e: Element) -> list:
     kids: list[list] = []
     for k in e.kids:
-        kids.append(["#a" if isinstance(k, Link) else "#", False, False, 1, k, []] if isinstance(k, str) else wrapper_of(k))
-    return [e.label, False, False, 1, None, collapsed(kids)]
+        kids.append(["#a" if isinstance(k, Link) else "#", False, False, 1, k, [], len(k)] if isinstance(k, str) else wrapper_of(k))
+    return [f"-{e.label}" if e.dropped else e.label, False, False, 1, None, collapsed(kids), 0]
 
 
 def collapsed(kids: list[list]) -> list[list]:
@@ -199,11 +205,11 @@ def collapsed(kids: list[list]) -> list[list]:
             unit = out[-n:]
             name = "(" + " ".join(x[0] for x in unit) + ")"
             if len(out) > n and out[-n - 1][0] == name:
-                out[-n - 1 :] = [merge(out[-n - 1], [name, True, False, unit[0][3], None, unit], same_page=True)]
+                out[-n - 1 :] = [merge(out[-n - 1], [name, True, False, unit[0][3], None, unit, 0], same_page=True)]
                 break
             if len(out) >= 2 * n and [x[0] for x in out[-2 * n : -n]] == [x[0] for x in unit]:
                 pair = [merge(x, y, same_page=True) for x, y in zip(out[-2 * n : -n], unit)]
-                out[-2 * n :] = [[name, True, False, unit[0][3], None, pair]]
+                out[-2 * n :] = [[name, True, False, unit[0][3], None, pair, 0]]
                 break
     return out
 
@@ -212,7 +218,7 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
     """The wrapper of all that a or b is a wrapper of."""
     pages = max(a[3], b[3]) if same_page else a[3] + b[3]
     text = a[4] if a[4] == b[4] else ""
-    return [a[0], a[1] or b[1], a[2] or b[2], pages, text, aligned(a[5], b[5], same_page)]
+    return [a[0], a[1] or b[1], a[2] or b[2], pages, text, aligned(a[5], b[5], same_page), a[6] + b[6]]
 
 
 def aligned(a: list[list], b: list[list], same_page: bool) -> list[list]:
@@ -264,7 +270,8 @@ def expression(w: list) -> str:
         inner = "#text" if w[4] == "" else json.dumps(w[4], ensure_ascii=False)
     else:
         inner = "".join(map(expression, w[5]))
-        inner = inner if w[0][0] == "(" else f"<{w[0]}>{inner}</{w[0].split('.')[0]}>"
+        tag = w[0].lstrip("-")
+        inner = inner if w[0][0] == "(" else f"<{tag}>{inner}</{tag.split('.')[0]}>"
     return f"({inner}){'+' if w[1] else ''}{'?' if w[2] else ''}" if w[1] or w[2] else inner
 
 
@@ -275,7 +282,7 @@ def constants(wrapper: list | None, least: int = MIN_PAGES) -> set[tuple[str, st
 
     def walk(w: list, path: str) -> None:
         nonlocal free
-        here = path if w[0][0] == "(" else f"{path}/{w[0]}"
+        here = path if w[0][0] == "(" else f"{path}/{w[0].lstrip('-')}"
         if w[4] == "":
             free = free or w[3] >= least
         elif w[4] is not None and w[3] >= least:
@@ -288,29 +295,57 @@ def constants(wrapper: list | None, least: int = MIN_PAGES) -> set[tuple[str, st
     return fixed if free else set()
 
 
+def words_in(label: str) -> set[str]:
+    return set(re.findall(r"[a-z]+", label.partition(".")[2]))
+
+
 def verdicts(wrapper: list | None, least: int = MIN_PAGES) -> set[tuple[str, str | None]]:
-    """constants(), and with None as text the paths of elements with doubtful words that have free or repeated slots other than links; ("", None) tells that the wrapper decides."""
+    """constants(); with None as text the paths of elements with doubtful words that have free or repeated slots other than links; and ("", path) of the part of the page with the article, where path "" tells that the wrapper decides, but not on such a part."""
     found: set[tuple[str, str | None]] = set(constants(wrapper, least))
 
     def walk(w: list, path: str) -> bool:
-        here = path if w[0][0] == "(" else f"{path}/{w[0]}"
+        here = path if w[0][0] == "(" else f"{path}/{w[0].lstrip('-')}"
         free = w[4] == "" and w[0] == "#"
         for k in w[5]:
             free = walk(k, here) or free
-        if free and w[4] is None and set(re.findall(r"[a-z]+", w[0].partition(".")[2])) & NOT_CONTENT:
+        own = words_in(w[0])
+        if free and w[4] is None and own & NOT_CONTENT and not own & NEVER:
             found.add((here, None))
         return free
 
     if wrapper and wrapper[3] >= least:
         walk(wrapper, "")
-        found.add(("", None))
+        found.add(("", article_path(wrapper)))
     return found
 
 
+def free_chars(w: list) -> int:
+    """Characters in free slots that aren't links, outside dropped elements, adverts and comments."""
+    if w[0][0] == "-" or words_in(w[0]) & NEVER:
+        return 0
+    return w[6] if w[4] == "" and w[0] == "#" else sum(map(free_chars, w[5]))
+
+
+def article_path(wrapper: list) -> str:
+    """The path of the innermost element with SHARE of the free text; paragraphs, headings and the page itself aren't such."""
+    total, path, here, at = free_chars(wrapper), f"/{wrapper[0]}", "", wrapper
+    while total:
+        most = max(at[5], key=free_chars, default=None)
+        if most is None or free_chars(most) < SHARE * total:
+            break
+        tag = most[0].partition(".")[0]
+        if most[4] is not None or tag in HEADINGS or tag in ANCHORS:
+            break
+        at = most
+        if most[0][0] != "(":
+            path = here = f"{path}/{most[0]}"
+    return here
+
+
 def main_text(page: str | None, fixed: set[tuple[str, str | None]]) -> str:
     """The blocks of the page's main element, joined by two line feeds. fixed: verdicts() of the host's wrapper."""
     root = parse(page)
-    decided = ("", None) in fixed
+    decided = [text for path, text in fixed if not path]
 
     def blocks(e: Element, path: str, inside: bool, words: bool = True, links: bool = True) -> list[str]:
         here = f"{path}/{e.label}"
@@ -322,22 +357,29 @@ def main_text(page: str | None, fixed: set[tuple[str, str | None]]) -> str:
             elif not k.dropped:
                 if not (k.doubted and words):
                     out += blocks(k, here, inside, words, links)
-                elif inside and decided and (f"{here}/{k.label}", None) in fixed:
+                elif inside and (f"{here}/{k.label}", None) in fixed:
                     out += blocks(k, here, inside, words, False)
             elif k.tag == "header" and e.main:  # an article's own header keeps its headings
                 out += [x for h in k.kids if isinstance(h, Element) and h.tag in HEADINGS for x in blocks(h, f"{here}/{k.label}", inside, words)]
         return out
 
-    def mains(e: Element, path: str, words: bool) -> list[tuple[Element, str]]:
+    def mains(e: Element, path: str, words: bool, wanted: Callable[[Element, str], bool]) -> list[tuple[Element, str]]:
         found: list[tuple[Element, str]] = []
         here = f"{path}/{e.label}"
         for k in e.kids:
             if isinstance(k, Element) and not k.dropped and not (k.doubted and words):
-                found += [(k, here)] if k.main else mains(k, here, words)
+                found += [(k, here)] if wanted(k, here) else mains(k, here, words, wanted)
         return found
 
+    # the elements that tell by their tag; else what the wrapper tells; else, on small hosts at once, what class words tell
+    ways: list[tuple[bool, Callable[[Element, str], bool]]] = [(True, lambda k, _: k.main)]
+    if decided:
+        ways = [(True, lambda k, _: k.main and k.tag in MAIN), (False, lambda k, here: f"{here}/{k.label}" in decided), *ways]
     for words in (True, False):
-        chosen = [blocks(e, path, True) for e, path in mains(root, "", words)]
+        for inside, wanted in ways:
+            chosen = [blocks(e, path, inside) for e, path in mains(root, "", words, wanted)]
+            if any(chosen):
+                break
         if not any(chosen):
             chosen = [blocks(root, "", False, words)]
         if any(chosen):

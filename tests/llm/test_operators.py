@@ -241,6 +241,23 @@ def test_texts_that_all_pages_share_stay_in_the_article(spark, folder):
     assert len(rows) == 24 and all(r["text"] == f"Summary\n\nText {r['page_id']}" for r in rows)
 
 
+def test_the_wrapper_finds_the_article_without_its_tag(spark, folder):
+    def page(i):
+        story = "".join(f"<p>Sentence {k} of story {i} says {i * k}.</p>" for k in range(4))
+        return f'<body><div class="content"><p>Welcome to our site, dear reader, it is good to see you here</p></div><div class="k"><h2>Title {i}</h2><div class="ad">Buy {i}</div><div class="notice">Corrected on day {i}</div>{story}<div class="comments"><p>I like {i}</p></div></div><div class="z">Imprint</div></body>'
+
+    rows = {r["page_id"]: r["text"] for r in wrappers.op5_wrapper_extraction(spark, folder([], pages=[(i, "http://a.example/", page(i)) for i in range(12)] + [(50, "http://lone.example/", page(50))])).collect()}
+    for i in range(12):
+        assert rows[i].split("\n\n") == [f"Title {i}", *(f"Sentence {k} of story {i} says {i * k}." for k in range(4))]
+    assert rows[50].startswith("Welcome")  # a lone page has only its class words
+
+
+def test_adverts_and_comments_inside_an_article_are_left_out(spark, folder):
+    page = lambda i: f'<article><h1>T{i}</h1><p>Text {i}</p><div class="ad">Buy {i}</div><div class="info-sidebar"><p>Note {i}</p></div><div id="comments"><p>So {i}</p></div></article>'
+    rows = wrappers.op5_wrapper_extraction(spark, folder([], pages=[(i, "http://a.example/", page(i)) for i in range(12)])).collect()
+    assert {r["text"] for r in rows} == {f"T{i}\n\nText {i}\n\nNote {i}" for i in range(12)}
+
+
 def test_deep_and_long_pages():
     deep = "".join(f"<div>t{i}" for i in range(20000)) + "</div>" * 20000
     assert wrappers.main_text(f"<nav>x</nav><article>{deep}</article>", set()).split("\n\n") == [f"t{i}" for i in range(20000)]
@@ -258,7 +275,7 @@ def test_alignment_is_a_longest_common_subsequence():
     for _ in range(60):
         a, b = (["".join(r.choice("abc")) for _ in range(r.randint(0, 7))] for _ in range(2))
         a, b = ([x for i, x in enumerate(s) if not i or s[i - 1] != x] for s in (a, b))  # no repeats to fold
-        node = lambda x: [x, False, False, 1, None, []]
+        node = lambda x: [x, False, False, 1, None, [], 0]
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
