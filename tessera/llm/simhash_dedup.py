@@ -36,8 +36,8 @@ BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
 ROW_COST = 40.0
 #: The pipeline's near duplicates: least Jaccard similarity; minima in a band key, and band keys of a text.
 SIMILAR, BAND, BANDS = 0.8, 5, 20
-#: Rounds in which a bucket's nodes are compared with one of them; places that a node's pairs are dealt to.
-STARS, SALTS = 2, 64
+#: Rounds in which every node is compared with one other of its buckets; places that a node's pairs are dealt to.
+STARS, SALTS = 4, 64
 _FACTORS = mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64), SEED) | np.uint64(1)
 _OFFSETS = mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64), SEED + 1)
 
@@ -226,22 +226,22 @@ def near_duplicate_groups(docs: DataFrame, n: int = SHINGLE, radius: int = RADIU
     return marked.join(named, prints)
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of hashes; two sets of Jaccard similarity s share one with chance 1 - (1 - s ** BAND) ** BANDS."""
+def band_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys of a set of hashes, and 16 bits of each of its minimum hashes; two sets of Jaccard similarity s share a key with chance 1 - (1 - s ** BAND) ** BANDS."""
     least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 1 << 10):
         np.minimum(least, (own[at : at + (1 << 10), None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least.reshape(BANDS, BAND).T:
         keys = mix(keys * PRIME ^ column)
-    return keys
+    return keys, mix(least).astype(np.uint16)
 
 
 def with_shingles(df: DataFrame, n: int, sets: bool) -> DataFrame:
-    """df's columns but text, with id (a hash of the text's set of n-word shingles), size (of the set) and band keys, or with sets the set itself."""
+    """df's columns but text, with id (a hash of the text's set of n-word shingles), size (of the set), band keys and marks (bits of the minimum hashes), or with sets the set itself."""
     names = [c for c in df.columns if c != "text"]
     last = "shingles" if sets else "keys"
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "id long, size long", f"{last} array<long>"])
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "id long, size long", f"{last} array<long>", *([] if sets else ["marks array<smallint>"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +250,9 @@ def with_shingles(df: DataFrame, n: int, sets: bool) -> DataFrame:
                 hashes = span_hashes(np.frombuffer(raw, np.uint8), starts, ends)
                 own = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
-                held = own if sets else [band_keys(x) for x in own]
-                ends = np.append(0, np.cumsum([len(x) for x in held])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, np.concatenate(held).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids), pa.array([len(x) for x in own], pa.int64()), lists], [*names, "id", "size", last])
+                held = [own] if sets else list(zip(*map(band_keys, own)))
+                lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(y) for y in x])).astype(np.int32), np.concatenate(x).view(kind)) for x, kind in zip(held, (np.int64, np.int16))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids), pa.array([len(x) for x in own], pa.int64()), *lists], [*names, "id", "size", last, *([] if sets else ["marks"])])
 
     return df.mapInArrow(run, schema)
 
@@ -271,11 +270,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return pairs.where(both >= similar * (F.size("set_a") + F.size("set_b") - both) - 1e-9).select("a", "b")
 
 
-def similar_roots(index: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def likely(pairs: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) that may be similar; sets are exchanged only for these.
+
+    They have in common the minimum hashes that sets of the least similarity are expected to, less five standard deviations.
+    """
+    n = BAND * BANDS
+    common = n * similar - 5 * (n * similar * (1 - similar)) ** 0.5
+    for x in "ab":
+        pairs = pairs.join(marks.select(F.col("id").alias(x), F.col("marks").alias(f"marks_{x}")), x)
+    same = F.size(F.filter(F.zip_with("marks_a", "marks_b", lambda m, n: m == n), lambda equal: equal))
+    return pairs.where(same >= common).select("a", "b")
+
+
+def similar_roots(index: DataFrame, sets: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
     """id and root of each node of index (id, size, key), the same for all that are reachable by pairs of `similar` or more that share a key.
 
-    STARS times every node is compared with one node of each of its buckets, which makes one component of most large
-    groups. Then all pairs of different components are compared: only nodes outside a bucket's largest component are
+    STARS times every node is compared with one node, the first of all its buckets in an order of the round, which makes
+    one component of most large groups. Then all pairs of different components are compared: only nodes outside a bucket's largest component are
     paired with the rest of it, so that a large group costs its own size and not the square.
     """
     nodes = index.select("id").distinct()
@@ -290,8 +302,11 @@ def similar_roots(index: DataFrame, sets: DataFrame, similar: float) -> DataFram
             most = live.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
             met = live.join(live.join(most, "key").where("root <> most").select("key", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("size").alias("o_size")), "key")
         alike = F.least("size", "o_size") >= similar * F.greatest("size", "o_size") - 1e-9
-        pairs = materialise(met.where((F.col("root") != F.col("o_root")) & alike).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
-        links = materialise(verified(pairs, sets, similar), "links")
+        met = met.where((F.col("root") != F.col("o_root")) & alike)
+        if turn < STARS:
+            met = met.groupBy("id").agg(F.min_by("o_id", F.xxhash64("o_id", F.lit(turn))).alias("o_id"))
+        pairs = materialise(met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
+        links = materialise(verified(materialise(likely(pairs, marks, similar), "likely"), sets, similar), "links")
         ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
         steps = contract(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         roots = materialise(rooted(roots.withColumnRenamed("root", "start"), steps, "start").select("id", "root"), "roots")
@@ -308,12 +323,12 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similar: float = SIMILA
     docs, named = shielded(stable(docs))
     keyed = docs.withColumn("uid", F.monotonically_increasing_id())
     marked = materialise(with_shingles(keyed.select("uid", "doc_id", "text"), n, sets=False), "bands")
-    nodes = materialise(marked.groupBy("id").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialise(marked.groupBy("id").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "nodes")
     index = nodes.select("id", "size", F.explode("keys").alias("key"))
     index = materialise(index.join(index.groupBy("key").count().where("count > 1"), "key", "left_semi"), "index")
     shared = materialise(nodes.select("id", "uid").join(index.select("id").distinct(), "id").select("uid"), "shared")
     sets = materialise(with_shingles(keyed.select("uid", "text").join(shared, "uid", "left_semi"), n, sets=True).select("id", "shingles"), "sets")
-    groups = similar_roots(index, sets, similar)
+    groups = similar_roots(index, sets, nodes.select("id", "marks"), similar)
     rooted_rows = marked.select("uid", "doc_id", "id").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = rooted_rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")).select("first.uid")
     return named(keyed.join(materialise(first, "kept"), "uid", "left_semi"))
