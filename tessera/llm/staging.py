@@ -35,7 +35,7 @@ def lent(shared: Broadcast) -> Iterator[Any]:
 #: The bytes of an Arrow batch where rows carry whole documents through several Python stages of a task.
 BATCH_BYTES = 4 << 20
 #: Settings of the C allocator of Python workers, which wait for their next tasks with what they don't give back.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "16777216", "MALLOC_TRIM_THRESHOLD_": "16777216"}
 
 
 def bounded_memory(spark: SparkSession) -> None:
