@@ -24,14 +24,16 @@ alone. Columns but doc_id and text aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +57,14 @@ _HEAD = struct.Struct("<4sIQQQ")
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
-#: A worker keeps the ids of so many units, none longer than UNIT characters.
+#: A worker keeps the ids of so many units, and of as many that it used before those; none is longer than UNIT characters.
 UNITS, UNIT = 1 << 17, 48
 _CUT, _BETWEEN = re.compile(r"(?= \S)"), re.compile(r"\s (?=\s|\Z)")
+#: A word of Latin letters with ASCII punctuation after it, two tokens of the pre-tokenizer. Apostrophes may begin a suffix.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)")
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from U+0100 on.
+_LETTERS = dict(zip([*_PLAIN, *(b for b in range(256) if b not in set(_PLAIN))], map(chr, [*_PLAIN, *range(0x100, 0x200)])))
 
 
 class Encoder:
@@ -66,36 +73,65 @@ class Encoder:
     The pre-tokenizer (byte level) starts a token at every space that other characters than white space surround, and
     at every space before such a character: no token of it reaches over those places. Texts cut there have units of one
     word, mostly, whose ids one after the other are those of the text. White space as Python knows it includes the
-    library's, so that doubtful places aren't cut. Texts with a special token are encoded whole.
+    library's, so that doubtful places aren't cut. Plain words go to the library's model without its pre-tokenizer, as
+    they are tokens already. Texts with a special token, and all texts if the tokenizer isn't of this kind, are encoded
+    whole.
     """
 
     def __init__(self, path: str, end: int = END) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run beside each other
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        about = json.loads(self.library.to_str())
+        pre = about["pre_tokenizer"] or {}
+        self.cuts = about["normalizer"] is None and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str]:
-        if any(s in text for s in self.special):
+        if not self.cuts or any(s in text for s in self.special):
             return [text]
         if "\0" in text or _BETWEEN.search(text):
             return _CUT.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
+    def token(self, text: str) -> bytes:
+        """The ids of a text that is one token of the pre-tokenizer."""
+        found = self.known.get(text) or self.before.get(text)
+        if found is None:
+            plain = text.replace(" ", _LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+            found = array("I", [t.id for t in self.library.model.tokenize(plain)]).tobytes()
+            if len(text) <= UNIT:
+                self.known[text] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian 32-bit numbers."""
-        known, cut = self.known, [self.units(t) for t in texts]
-        new = [*{u for units in cut for u in units if u not in known}]
-        for u, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[u] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([known[u] for u in units]) + self.end for units in cut]
-        if len(known) > UNITS:
-            known.clear()
-        for u in new:
+        cut = [self.units(t) for t in texts]
+        others, long = [], []
+        for u in set(chain.from_iterable(cut)) - self.known.keys():
+            if found := self.before.get(u):
+                self.known[u] = found
+                continue
+            word = _WORD.fullmatch(u) if self.cuts else None
+            if word is None:
+                others.append(u)
+            elif end := word[2]:
+                self.known[u] = self.token(word[1]) + self.token(end)
+            else:
+                self.known[u] = self.token(u)
             if len(u) > UNIT:
-                known.pop(u, None)
+                long.append(u)
+        for u, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
+            self.known[u] = array("I", e.ids).tobytes()
+        out = [b"".join(map(self.known.__getitem__, units)) + self.end for units in cut]
+        for u in long:
+            del self.known[u]
+        if len(self.known) > UNITS:
+            self.known, self.before = {}, self.known
         return out
 
 
@@ -109,14 +145,15 @@ def encoder(path: str, end: int = END) -> Encoder:
 
 def build(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The bytes of a shard: documents with their ids and numbers of token ids, and the token ids of all."""
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=1).compress
     planes = max(1, int(ids.max(initial=0)).bit_length())
     nulls = sum(d is None for d in doc_ids)
     own = np.array([0 if d is None else d for d in doc_ids], "<i8")
     documents = pack(struct.pack("<Q", nulls) + np.diff(own, prepend=np.int64(0)).astype("<i8").tobytes() + np.array(counts, "<i8").tobytes())
-    directory, body, now = [], [], ids.astype(np.uint32)
+    kind = np.uint16 if planes <= 16 else np.uint32
+    directory, body, now = [], [], ids.astype(kind)
     for level in range(planes):
-        bits = (now >> np.uint32(planes - 1 - level)) & np.uint32(1) == 1
+        bits = (now & kind(1 << (planes - 1 - level))) != 0
         ends, ones, parts = [], [], []
         for at in range(0, len(bits), block):
             own_bits = bits[at : at + block]
@@ -235,15 +272,16 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids in their order: from the last plane up, each undoes its sorting."""
-        now = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        now = np.zeros(self.size, kind)
         for level in reversed(range(self.planes)):
             raw = [self.raw_bits(level, b) for b in range(self.blocks)]
             bits = np.unpackbits(np.concatenate(raw) if raw else np.zeros(0, np.uint8), bitorder="little")[: self.size] == 1
-            z, out = int(self.zeros[level]), np.empty(self.size, np.uint32)
+            z, out = int(self.zeros[level]), np.empty(self.size, kind)
             out[~bits] = now[:z]
-            out[bits] = now[z:] | np.uint32(1 << (self.planes - 1 - level))
+            out[bits] = now[z:] | kind(1 << (self.planes - 1 - level))
             now = out
-        return now
+        return now.astype(np.uint32)
 
 
 # --- tables of shards -----------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tessera.llm import wavelet_shards as V
 
@@ -19,7 +20,7 @@ def ids_of(texts):
 
 def odd_texts(seed, n=300):
     r = random.Random(seed)
-    parts = ["a", "It's", "we'll", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "12", "3.5", "é", "日本", "!?", "\x1c", " ", " ", "\x85", "\0", "'s", "…", "ﬁ", "<|endoftext|>"]
+    parts = ["a", "It's", "été,", " straße.", " Öl…", "naïve'", "x_y", "$$$", " ¿qué?", "ÿ×÷ɏ", "ª", "we'll", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "12", "3.5", "é", "日本", "!?", "\x1c", " ", " ", "\x85", "\0", "'s", "…", "ﬁ", "<|endoftext|>"]
     return ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(n)]
 
 
@@ -32,6 +33,15 @@ def test_units_give_the_ids_of_whole_texts(monkeypatch, few):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == ids_of(texts)
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    library = Tokenizer.from_file(V.TOKENIZER)
+    library.pre_tokenizer = ByteLevel(add_prefix_space=True)
+    library.save(str(tmp_path / "t.json"))
+    texts = odd_texts(7, 50)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist()[:-1] for x in V.Encoder(str(tmp_path / "t.json")).encode(texts)] == want
+
+
 @pytest.mark.parametrize(("top", "n", "block"), [(1, 0, 8), (1, 5, 8), (2, 300, 64), (50257, 2000, 512), (7, 4096, 512), (1 << 31, 100, 64)])
 def test_shard_equals_a_list(top, n, block):
     r = random.Random(n)
