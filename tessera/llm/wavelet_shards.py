@@ -58,8 +58,8 @@ _HEAD = struct.Struct("<4sIQQQ")
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 #: A worker keeps the ids of so many units, and of as many that it used before those; none is longer than UNIT characters.
-UNITS, UNIT = 1 << 17, 48
-_CUT, _BETWEEN = re.compile(r"(?= \S)"), re.compile(r"\s (?=\s|\Z)")
+UNITS, UNIT = 1 << 18, 48
+_CUT, _BETWEEN, _LINES = re.compile(r"(?= \S)"), re.compile(r"\s (?=\s|\Z)"), re.compile(r"\s\n|\n\s")
 #: A word of Latin letters with ASCII punctuation after it, two tokens of the pre-tokenizer. Apostrophes may begin a suffix.
 _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)")
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,7 +71,8 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct unit of a text encoded once.
 
     The pre-tokenizer (byte level) starts a token at every space that other characters than white space surround, and
-    at every space before such a character: no token of it reaches over those places. Texts cut there have units of one
+    at every space before such a character: no token of it reaches over those places. A line break between other
+    characters is a token. Texts cut there have units of one
     word, mostly, whose ids one after the other are those of the text. White space as Python knows it includes the
     library's, so that doubtful places aren't cut. Plain words go to the library's model without its pre-tokenizer, as
     they are tokens already. Texts with a special token, and all texts if the tokenizer isn't of this kind, are encoded
@@ -87,6 +88,7 @@ class Encoder:
         pre = about["pre_tokenizer"] or {}
         self.cuts = about["normalizer"] is None and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.tokenize = self.library.model.tokenize
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -96,18 +98,23 @@ class Encoder:
             return [text]
         if "\0" in text or _BETWEEN.search(text):
             return _CUT.split(text)
+        if not _LINES.search(text):
+            text = text.replace("\n", "\0\n\0")
         return text.replace(" ", "\0 ").split("\0")
 
     def token(self, text: str) -> bytes:
         """The ids of a text that is one token of the pre-tokenizer."""
         found = self.known.get(text) or self.before.get(text)
         if found is None:
-            plain = text.replace(" ", _LETTERS[32]) if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
-            found = array("I", [t.id for t in self.library.model.tokenize(plain)]).tobytes()
+            found = self.model(text.encode().decode("latin-1").translate(_LETTERS))
             if len(text) <= UNIT:
                 self.known[text] = found
         return found
 
+    def model(self, letters: str) -> bytes:
+        """The ids of one token of the pre-tokenizer, given in the letters of the vocabulary."""
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian 32-bit numbers."""
         cut = [self.units(t) for t in texts]
@@ -116,6 +123,9 @@ class Encoder:
             if found := self.before.get(u):
                 self.known[u] = found
                 continue
+            if self.cuts and u[:1] == " " and len(u) <= UNIT and u[1:].isalpha() and u.isascii():
+                self.known[u] = self.model(_LETTERS[32] + u[1:])
+                continue
             word = _WORD.fullmatch(u) if self.cuts else None
             if word is None:
                 others.append(u)
