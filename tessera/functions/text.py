@@ -110,22 +110,37 @@ def cache_key(*parts: Column) -> Column:
 # Month names in English and French, with and without accents, by number.
 MONTHS = {m: i for names in ("january february march april may june july august september october november december", "janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre") for i, m in enumerate(names.split(), 1)}
 _NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
-# every place of a text at which a date starts, as a look-ahead, so that dates may overlap
-_DATES = rf"(?iuU)(?=(\b(?:{_NAMES})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b|\b\d{{1,2}}(?:er|st|nd|rd|th)?\s+(?:{_NAMES})\s+\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b))"
+_YEAR = r"(?U)\b(\d{4})\b"
+_BEFORE_YEAR = rf"(?iuU)\b(?:(?:{_NAMES})\s+\d{{1,2}}(?:st|nd|rd|th)?,?|\d{{1,2}}(?:er|st|nd|rd|th)?\s+(?:{_NAMES}))\s+\z"
+
+
+def between(text: Column, pattern: str) -> Column:
+    """A struct of the matches of a pattern's first group, found, and the texts around them, around, one more."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("found"), F.split(text, pattern).alias("around"))
 
 
 def exact_dates(text: Column) -> Column:
-    """Full dates (day, month and year) in order of position, each once; impossible ones are skipped. Null: null."""
+    """Full dates (day, month and year) in order of position, each once; impossible ones are skipped. Null: null.
+
+    Every date has a year of four digits, before which stand a month and a day, or after which these do; so only texts
+    around such numbers are looked at. Where the text before a year begins after another, a digit stands for that.
+    """
     months = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
 
-    def date(found: Column) -> Column:
+    def named(before: Column, year: Column) -> Column:
+        found = F.regexp_extract(before, f"({_BEFORE_YEAR})", 1)
         month = F.try_element_at(months, F.lower(F.regexp_extract(found, rf"(?iu)({_NAMES})", 1)))
-        year, day = F.right(found, F.lit(4)), F.regexp_extract(found, r"(?U)(?<!\d)(\d{1,2})(?!\d)", 1)
-        named = F.concat_ws("-", year, month.cast("string"), day)
-        return F.when(month.isNotNull(), F.try_to_date(named, "yyyy-M-d")).otherwise(F.try_to_date(found, "yyyy-MM-dd"))
+        return F.try_to_date(F.concat_ws("-", year, month.cast("string"), F.regexp_extract(found, r"(?U)(\d{1,2})", 1)), "yyyy-M-d")
+
+    def dates(x: Column) -> Column:
+        def both(year: Column, i: Column) -> Column:
+            before = F.concat(F.when(i > 0, "0").otherwise(""), F.get(x["around"], i))
+            after = F.regexp_extract(F.get(x["around"], i + 1), r"(?U)\A(-\d{2}-\d{2})\b", 1)
+            return F.array(named(before, year), F.when(after != "", F.try_to_date(F.concat(year, after), "yyyy-MM-dd")))
+
+        return F.array_distinct(F.filter(F.flatten(F.transform(x["found"], both)), lambda d: d.isNotNull() & (F.year(d) >= 1)))
 
-    dates = F.transform(F.regexp_extract_all(text, F.lit(_DATES), F.lit(1)), date)
-    return F.array_distinct(F.filter(dates, lambda d: d.isNotNull() & (F.year(d) >= 1)))
+    return F.when(text.isNull(), None).when(text.rlike(_YEAR), let(between(text, _YEAR), dates)).otherwise(F.array().cast("array<date>"))
 
 
 def covers(dates: Column, start: Column, end: Column) -> Column:
@@ -133,13 +148,11 @@ def covers(dates: Column, start: Column, end: Column) -> Column:
     return F.coalesce(F.exists(dates, lambda d: (d >= start) & (d <= end)), F.lit(False))
 
 
-# Characters that group digits, and words and signs that make a figure of a single digit.
+# Characters that group digits, the forms of a number, and words and signs that make a figure of a single digit.
 _SPACES = " \u00a0\u202f\u2009"
 _MAGNITUDES = "thousand|million|billion|trillion|bn|mn|mille|milliers?|millions?|milliards?"
 _CURRENCIES = r"€|\$|£|\bUSD|\bEUR|\bGBP"
-_NUMBER = rf"(?<![\w.,])(\d{{1,3}}(?:[{_SPACES}]\d{{3}})+(?:[.,]\d+)?|\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d{{1,3}}(?:\.\d{{3}})+(?:,\d+)?|\d+(?:[.,]\d+)?)(?!\d)"
-# groups: 1 an open bracket before, 2 a currency before, 3 the number, 4 a percent sign, 5 a magnitude, 6 a closing bracket after
-_FIGURE = rf"(?U)(?:(?<=(\[))|)(?:(?<=((?:{_CURRENCIES})\s{{0,5}}))|){_NUMBER}(?=([ \u00a0\u202f]?%)?)(?=(\s*(?i:{_MAGNITUDES})\b)?)(?=(\])?)"
+_NUMBER = rf"(?U)(?<![\w.,])(\d{{1,3}}(?:[{_SPACES}]\d{{3}})+(?:[.,]\d+)?|\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d{{1,3}}(?:\.\d{{3}})+(?:,\d+)?|\d+(?:[.,]\d+)?)(?!\d)"
 
 
 def readings(raw: Column) -> Column:
@@ -155,17 +168,30 @@ def readings(raw: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """All numbers of a text as written."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){_NUMBER}"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_NUMBER), F.lit(1))
 
 
 def figures(text: Column) -> Column:
-    """The figures of an answer, each meaning once, as structs (text, readings). [n] marks are none, nor are single digits without percent sign, magnitude or currency."""
-    names = ("open", "currency", "number", "percent", "magnitude", "close")
-    groups = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FIGURE), F.lit(i)) for i in range(1, 7)]
-    found = F.transform(F.arrays_zip(*groups), lambda x: F.struct(*[x[str(i)].alias(c) for i, c in enumerate(names)]))
-    told = lambda x: (F.length(x["number"]) > 1) | (F.concat(x["currency"], x["percent"], x["magnitude"]) != "")
-    kept = F.filter(found, lambda x: ~((x["open"] != "") & (x["close"] != "")) & told(x))
-    read = F.transform(kept, lambda x: F.struct(F.concat(x["number"], x["percent"]).alias("text"), F.array_sort(readings(x["number"])).alias("readings")))
+    """The figures of an answer, each meaning once, as structs (text, readings). [n] marks are none, nor are single digits without percent sign, magnitude or currency.
+
+    What stands around a number is looked for in the texts between numbers, so each is read once.
+    """
+
+    def kept(x: Column) -> Column:
+        def about(number: Column, i: Column) -> Column:
+            before, after = F.concat(F.when(i > 0, "0").otherwise(""), F.get(x["around"], i)), F.get(x["around"], i + 1)
+            return F.struct(
+                number.alias("number"),
+                F.regexp_extract(after, r"\A([ \u00a0\u202f]?%)", 1).alias("percent"),
+                (before.endswith("[") & after.startswith("]")).alias("mark"),
+                (before.rlike(rf"(?U)(?:{_CURRENCIES})\s*\z") | after.rlike(rf"(?U)\A\s*(?i:{_MAGNITUDES})\b")).alias("sized"),
+            )
+
+        told = lambda y: (F.length(y["number"]) > 1) | (y["percent"] != "") | y["sized"]
+        return F.filter(F.transform(x["found"], about), lambda y: ~y["mark"] & told(y))
+
+    all_kept = let(between(F.coalesce(text, F.lit("")), _NUMBER), kept)
+    read = F.transform(all_kept, lambda x: F.struct(F.concat(x["number"], x["percent"]).alias("text"), F.array_sort(readings(x["number"])).alias("readings")))
     return let(read, lambda all_: let(F.transform(all_, lambda x: x["readings"]), lambda keys: F.filter(all_, lambda x, i: F.array_position(keys, x["readings"]) == i + 1)))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.staging import materialise
+
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
 
 
@@ -40,21 +42,40 @@ def exact_duplicates(chunks: DataFrame) -> DataFrame:
 def contained_tails(chunks: DataFrame, most_words: int | None = None) -> DataFrame:
     """Chunks whose content a longer chunk of the same (source, page) contains.
 
-    The words of a content but its first and last stand whole in whatever contains it, so candidates must have three
-    of them in a row, or one where there are fewer; only contents of one or two words are held against all longer ones
-    of their page.
+    The inner words of a content (all but the first and the last) stand whole in whatever contains it, so a longer chunk
+    must have any three of them in a row, one where there are fewer, and of contents without inner words any four
+    characters. Each content asks for the rarest of these; (id, gram) hashes alone are exchanged for that, and contents
+    only for the pairs that share one.
     """
+    same = ["source", "page"]
     words = F.split("content", r"(?U)\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    key = F.when(F.size(inner) >= 3, F.array_join(F.slice(inner, 1, 3), " ")).when(F.size(inner) > 0, inner[0]).otherwise("")
-    small = (chunks.where(F.size(words) <= most_words) if most_words else chunks).withColumn("_key", key)
-    rows = chunks.select(F.col("source").alias("_s"), F.col("page").alias("_p"), F.col("content").alias("_c"), words.alias("_w"))
-    shared = chunks.groupBy(F.col("source").alias("_s"), F.col("page").alias("_p")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(shared, ["_s", "_p"], "left_semi")
-    threes = F.when(F.size("_w") > 2, F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.array_join(F.slice("_w", i, 3), " "))).otherwise(F.array().cast("array<string>"))
-    longer = rows.select("_s", "_p", "_c", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.col("_w"), threes))).alias("_k"))
-    match = (F.col("source") == F.col("_s")) & (F.col("page") == F.col("_p")) & (F.col("_key") == F.col("_k")) & (F.length("_c") > F.length("content")) & F.col("_c").contains(F.col("content"))
-    return small.join(longer, match, "left_semi").drop("_key")
+    texts = chunks.where("content IS NOT NULL").select(*same, "content").distinct()
+    groups = texts.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    held = materialise(texts.join(groups, same, "left_semi").select("*", F.xxhash64(*same, "content").alias("id"), words.alias("w")), "contents")
+    key = lambda kind, gram: F.xxhash64(*same, F.lit(kind), gram)
+    steps = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    of = lambda kind, n, gram: F.transform(steps(n), lambda i: key(kind, gram(i)))
+    size, inner = F.size("w"), F.size("w") - 2
+    run = lambda width, skip=0: lambda i: F.array_join(F.slice("w", i + skip, width), " ")
+    letters = lambda width: lambda i: F.substring("content", i, F.lit(width))
+    short = held.where(size <= most_words) if most_words else held
+    length = F.length("content")
+    own = F.when(inner >= 3, of(3, inner - 2, run(3, 1))).when(inner >= 1, of(1, inner, run(1, 1)))
+    for width in (4, 3, 2, 1):
+        own = own.when(length >= width, of(-width, length - width + 1, letters(width)))
+    asks = short.select("id", F.explode(F.array_distinct(own)).alias("gram"))
+    bare = short.where(inner < 1).groupBy(*same).agg(F.max(F.least(length, F.lit(4))).alias("_most"))  # pages where characters are asked for
+    by_words = held.select("id", F.explode(F.array_distinct(F.concat(of(3, size - 2, run(3)), of(1, size, run(1))))).alias("gram"))
+    each = F.array_distinct(F.concat(*[of(-x, length - x + 1, letters(x)) for x in (1, 2, 3, 4)]))
+    by_letters = held.join(bare, same, "left_semi").select("id", F.explode(each).alias("gram"))
+    offers = by_words.unionByName(by_letters)
+    counts = offers.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asks.join(counts, "gram").groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    pairs = rarest.join(offers.withColumnRenamed("id", "other"), "gram").where("id <> other").select("id", "other")
+    texts_of = lambda i, c: held.select(F.col("id").alias(i), F.col("content").alias(c))
+    found = pairs.join(texts_of("id", "_c"), "id").join(texts_of("other", "_o"), "other").where((F.length("_o") > F.length("_c")) & F.col("_o").contains(F.col("_c")))
+    inside = held.join(found.select("id").distinct(), "id", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in (*same, "content")])
+    return chunks.join(inside, (F.col("source") == F.col("_source")) & (F.col("page") == F.col("_page")) & (F.col("content") == F.col("_content")), "left_semi")
 
 
 def first_of(batch: DataFrame, key: str, *order: Column | str) -> DataFrame:

@@ -25,6 +25,18 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def best_pairs(q: np.ndarray, x: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, row of x and similarity of at least the k most similar x of each q, ties included, where `off` is false.
+
+    A product of matrices finds them; the similarities are then computed pair by pair, so that equal vectors tie.
+    """
+    sims = q @ x.T
+    sims[off] = -np.inf
+    floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k] - 1e-9 if k < x.shape[0] else -np.inf
+    at, to = np.nonzero((sims >= floor) & (sims > -np.inf))
+    return at, to, np.concatenate([np.einsum("ij,ij->i", q[at[i : i + 65536]], x[to[i : i + 65536]]) for i in range(0, len(at), 65536)] or [np.zeros(0)])
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): exact cosine top k, ties by chunk_id, a chunk never matches itself.
 
@@ -57,14 +69,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None
                 for at in range(0, len(x), 2048):
                     f = x.iloc[at : at + 2048]
                     chunk = f["chunk_id"].to_numpy()
-                    sims = matrix @ unit_rows(f["embedding"]).T
                     off = ids[:, None] == chunk[None, :]
                     if kind is not None:
                         off |= kind[:, None] != f[same].to_numpy()[None, :]
-                    sims[off] = -np.inf
-                    floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k] if k < len(chunk) else -np.inf  # ties stay
-                    q, c = np.nonzero((sims >= floor) & (sims > -np.inf))
-                    best.append((q, chunk[c], sims[q, c]))
+                    q, c, sims = best_pairs(matrix, unit_rows(f["embedding"]), off, k)
+                    best.append((q, chunk[c], sims))
                     best = [pruned()]
             if best:
                 q, chunk, sims = best[0]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import over_blocks, with_before, with_position
+
 TRADING_DAYS = 252
 RISK_FREE = 0.03
 
@@ -43,27 +45,46 @@ def portfolio_returns(prices: DataFrame, weights: dict[str, float], fill: str =
     return total.where(F.col("n") == len(weights)).select("date", "ret")
 
 
-def _running(keys: Sequence[str]) -> tuple[Window, Window]:
-    by_date = Window.partitionBy(*keys).orderBy("date")
-    return by_date.rowsBetween(Window.unboundedPreceding, 0), by_date
+def _spans(returns: DataFrame, span: str) -> DataFrame:
+    return returns.withColumn("_span", F.date_trunc(span, "date"))
+
+
+def cumulative(returns: DataFrame, keys: Sequence[str] = (), span: str = "year") -> DataFrame:
+    """cum: the product of 1 + ret to each date.
+
+    Each key's dates are cut at calendar spans (of a year, or another unit of date_trunc): running products of a span
+    are multiplied by the product of the spans before it.
+    """
+    own = _spans(returns, span)
+    run = Window.partitionBy(*keys, "_span").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    totals = own.groupBy(*keys, "_span").agg(F.product(1 + F.col("ret")).alias("_product"))
+    times = lambda a, x: F.when(a.isNull(), x["_product"]).otherwise(a * F.coalesce(x["_product"], F.lit(1.0)))
+    placed = with_before(own.withColumn("_local", F.product(1 + F.col("ret")).over(run)), totals, keys, "_span", F.lit(None).cast("double"), times, "_before")
+    cum = F.when(F.col("_before").isNull(), F.col("_local")).otherwise(F.col("_before") * F.coalesce("_local", F.lit(1.0)))
+    return placed.withColumn("cum", cum).drop("_span", "_local", "_before")
 
 
-def cumulative(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """cum: the product of 1 + ret to each date."""
-    return returns.withColumn("cum", F.product(1 + F.col("ret")).over(_running(keys)[0]))
+def drawdowns(returns: DataFrame, keys: Sequence[str] = (), span: str = "year") -> DataFrame:
+    """drawdown from the running peak of cum, which starts at the first value; peaks are taken in spans and over the spans before, as in cumulative()."""
+    own = _spans(cumulative(returns, keys, span), span)
+    run = Window.partitionBy(*keys, "_span").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    totals = own.groupBy(*keys, "_span").agg(F.max("cum").alias("_top"))
+    placed = with_before(own.withColumn("_local", F.max("cum").over(run)), totals, keys, "_span", F.lit(None).cast("double"), lambda a, x: F.greatest(a, x["_top"]), "_before")
+    return placed.withColumn("peak", F.greatest("_before", "_local")).withColumn("drawdown", (F.col("cum") - F.col("peak")) / F.col("peak")).drop("_span", "_local", "_before")
 
 
-def drawdowns(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """drawdown from the running peak of cum, which starts at the first value."""
-    run = _running(keys)[0]
-    return cumulative(returns, keys).withColumn("peak", F.max("cum").over(run)).withColumn("drawdown", (F.col("cum") - F.col("peak")) / F.col("peak"))
+def rolling_sharpe(returns: DataFrame, window: int = 63, rf: float = RISK_FREE, keys: Sequence[str] = (), span: str = "year") -> DataFrame:
+    """sharpe over the last `window` rows; null until there are so many, or where they don't vary.
+
+    Rows get their number from counts of calendar spans, and frames are taken in blocks of rows that overlap.
+    """
 
+    def sharpe(frame: Window) -> dict[str, Column]:
+        mean, spread = F.avg(F.col("ret") - rf / TRADING_DAYS).over(frame), F.stddev_samp("ret").over(frame)
+        return {"sharpe": F.when((F.count("ret").over(frame) == window) & (spread > 0), mean / spread * F.sqrt(F.lit(float(TRADING_DAYS))))}
 
-def rolling_sharpe(returns: DataFrame, window: int = 63, rf: float = RISK_FREE, keys: Sequence[str] = ()) -> DataFrame:
-    """sharpe over the last `window` rows; null until there are so many, or where they don't vary."""
-    frame = _running(keys)[1].rowsBetween(1 - window, 0)
-    mean, spread = F.avg(F.col("ret") - rf / TRADING_DAYS).over(frame), F.stddev_samp("ret").over(frame)
-    return returns.withColumn("sharpe", F.when((F.count("ret").over(frame) == window) & (spread > 0), mean / spread * F.sqrt(F.lit(float(TRADING_DAYS)))))
+    placed = with_position(_spans(returns, span), ["date"], keys, "_span", "_position")
+    return over_blocks(placed, "_position", keys, window - 1, max(4 * window, 1024), sharpe).drop("_span", "_position")
 
 
 def risk_aggregates(rf: float = RISK_FREE) -> list[Column]:

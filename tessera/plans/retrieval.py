@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
+from tessera.operators import text_index as I
+from tessera.operators import vector_index as V
+from tessera.staging import materialise, scratch
 
 K, POOL = 5, 20
 
@@ -65,6 +68,13 @@ def bm25_hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return R.bm25(q, d, k)
 
 
+def bm25_from_index(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    """The same rows from a persisted index of the documents."""
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    return I.search_text(q, I.build_text_index(d, scratch(spark, "text-index")), k)
+
+
 def second_list(hits: DataFrame) -> DataFrame:
     return R.rerank_head(hits, fake_score(), POOL)
 
@@ -80,18 +90,24 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-BUCKETS = 6
+#: Queries that calibrate an index, and the share of their exact hits that must lie in the probed cells.
+CALIBRATION, TARGET = 64, 0.95
 
 
 def index_of(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
-    """The pool of an approximate index: a chunk is found only in the bucket of the query, by the signs of its first BUCKETS - 1 numbers, or one sign away."""
+    """The pool of a persisted inverted-file index, with as many probes as its calibration asks for."""
     c = chunks(spark, sf_dir)
-    bits = lambda e: sum((F.col(e)[i] > 0).cast("int") * 2**i for i in range(BUCKETS - 1))
-    near = F.array(F.col("bucket"), *[F.col("bucket").bitwiseXOR(F.lit(2**i)) for i in range(BUCKETS - 1)])
-    placed = c.withColumn("bucket", bits("embedding"))
-    probes = queries_of(c).withColumn("bucket", bits("embedding")).select("query_id", F.explode(near).alias("bucket"))
-    found = probes.join(placed.select("bucket", "chunk_id"), "bucket").where("query_id <> chunk_id").select("query_id", "chunk_id")
-    return R.ranked(pool(spark, sf_dir, k).drop("rank").join(found, ["query_id", "chunk_id"]), F.desc("similarity"), "chunk_id")
+    index = V.build_index(c, scratch(spark, "vector-index"), attributes=("source",))
+    some = queries_of(c).orderBy(F.sha2(F.col("query_id").cast("string"), 256)).limit(CALIBRATION)
+    probes = V.calibrated(some, R.vector_topk(some, c, k), index, TARGET)
+    hits = materialise(V.search(queries_of(c), index, k, probes), "index-hits")
+    q = queries_of(c).select("query_id", F.col("source").alias("query_source"))
+    return hits.join(c.select("chunk_id", "source", "page"), "chunk_id").join(q, "query_id")
+
+
+def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact, found = pool(spark, sf_dir), index_of(spark, sf_dir)
+    return E.index_totals(exact, found, R.distinct_pages(exact, K), R.distinct_pages(found, K), 0.2)
 
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +132,9 @@ QUERIES = {
     "eval_aggregate": lambda s, d: rounded(E.aggregate(scores(s, d))),
     "worst_questions": lambda s, d: rounded(E.worst(scores(s, d), 5)),
     "index_check": lambda s, d: E.index_gaps(pool(s, d), index_of(s, d), 0.2),
-    "index_check_totals": lambda s, d: E.index_totals(pool(s, d), index_of(s, d), R.distinct_pages(pool(s, d), K), R.distinct_pages(index_of(s, d), K), 0.2),
+    "index_check_totals": index_totals,
+    "ann_topk": lambda s, d: rounded(index_of(s, d).select("query_id", "chunk_id", "similarity", "rank")),
+    "ann_recall": lambda s, d: rounded(V.recall(pool(s, d), index_of(s, d))),
     "unknown_gold_refs": lambda s, d: E.unknown_refs(gold(s, d), index_of(s, d)),
     "gold_ranks": lambda s, d: R.gold_rank(pool(s, d), gold(s, d)),
     "hybrid_retrieve": lambda s, d: R.hybrid(pool(s, d), second_list(pool(s, d)), fake_score(), K, covers=(F.col("source") == F.col("query_source")), carry=("source", "page", "query_source")).select("query_id", "chunk_id", "source", "page", "rank"),
@@ -124,6 +142,7 @@ QUERIES = {
     "repeat_summary": lambda s, d: rounded(E.repeat_summary(event_spreads(s, d), 2)),
     "top1_changes": lambda s, d: E.top1_changes(passes(s, d)),
     "bm25_topk": lambda s, d: rounded(bm25_hits(s, d)),
+    "bm25_index_topk": lambda s, d: rounded(bm25_from_index(s, d)),
     "rrf_fuse": lambda s, d: rounded(R.rrf(pool(s, d), second_list(pool(s, d)))),
     "union_interleave": lambda s, d: R.interleaved(pool(s, d), second_list(pool(s, d))),
     "pool_recall": lambda s, d: E.pool_recall(methods(s, d), gold(s, d), (5, 10)),
@@ -155,9 +174,24 @@ _LISTS = f"{_POOL}, b AS {_head('pool', POOL)}, lists AS (SELECT query_id, chunk
 _RRF = "(SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score, min((list_no, rank)) AS first FROM lists GROUP BY ALL))"
 _UNION = "(SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM (SELECT query_id, chunk_id, min((rank, list_no)) AS first FROM lists GROUP BY ALL))"
 
-_BITS = " + ".join(f"({{0}}[{i + 1}] > 0)::INT * {2**i}" for i in range(BUCKETS - 1))
-_INDEX = f"""b1 AS (SELECT chunk_id, {_BITS.format("e")} AS bucket FROM c), hit AS (SELECT p.*, bit_count(xor(q.bucket, x.bucket)) AS off FROM pool p JOIN b1 q ON q.chunk_id = p.query_id JOIN b1 x ON x.chunk_id = p.chunk_id),
-    idx AS (SELECT * EXCLUDE (rank, off), row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM hit WHERE off <= 1)"""
+_UNIT = "list_transform({0}, lambda x: x / sqrt(list_inner_product({0}, {0})))"
+
+
+def _lloyd(i: int) -> str:
+    """The centroids after round i: unit sums of the vectors nearest to each centroid before it."""
+    return f"""a{i} AS (SELECT cell, v FROM (SELECT o.cell, u.v, row_number() OVER (PARTITION BY u.chunk_id ORDER BY list_inner_product(u.v, o.v) DESC, o.cell) AS n FROM u, c{i - 1} o) WHERE n = 1),
+    s{i} AS (SELECT cell, list(x ORDER BY i) AS v FROM (SELECT cell, i, sum(x) AS x FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY ALL) GROUP BY cell),
+    c{i} AS (SELECT o.cell, CASE WHEN s.v IS NULL THEN o.v ELSE {_UNIT.format("s.v")} END AS v FROM c{i - 1} o LEFT JOIN s{i} s USING (cell))"""
+
+
+_INDEX = f"""u AS (SELECT chunk_id, {_UNIT.format("e")} AS v FROM c),
+    c0 AS (SELECT cell, v FROM (SELECT row_number() OVER (ORDER BY sha256(chunk_id::VARCHAR)) - 1 AS cell, v FROM u) WHERE cell < (SELECT greatest(1, round(sqrt(count(*)))) FROM c)), {_lloyd(1)}, {_lloyd(2)},
+    near AS (SELECT u.chunk_id, o.cell, row_number() OVER (PARTITION BY u.chunk_id ORDER BY list_inner_product(u.v, o.v) DESC, o.cell) AS probe FROM u, c2 o),
+    far AS (SELECT s.*, q.probe FROM sims s JOIN near h ON h.chunk_id = s.chunk_id AND h.probe = 1 JOIN near q ON q.chunk_id = s.query_id AND q.cell = h.cell),
+    few AS (SELECT chunk_id FROM c WHERE chunk_id % 100 = 0 ORDER BY sha256(chunk_id::VARCHAR) LIMIT {CALIBRATION}),
+    got AS (SELECT probe, sum(count(*)) OVER (ORDER BY probe) AS upto, sum(count(*)) OVER () AS total FROM far JOIN pool USING (query_id, chunk_id) WHERE query_id IN (SELECT chunk_id FROM few) GROUP BY probe),
+    idx AS (SELECT * EXCLUDE (probe) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM far WHERE probe <= (SELECT min(probe) FROM got WHERE upto >= {TARGET} * total)) WHERE rank <= {POOL}),
+    hit AS (SELECT p.*, i.chunk_id IS NULL AS off FROM pool p LEFT JOIN idx i ON i.query_id = p.query_id AND i.chunk_id = p.chunk_id)"""
 _FUSED = f"(SELECT f.query_id, f.chunk_id, p.source, p.page, p.query_source, f.rank FROM {_RRF} f JOIN pool p ON p.query_id = f.query_id AND p.chunk_id = f.chunk_id)"
 _METHODS = f"""m AS (SELECT 'embedding' AS method, query_id, chunk_id, rank FROM pool UNION ALL SELECT 'rescored', query_id, chunk_id, rank FROM b UNION ALL SELECT 'rrf', query_id, chunk_id, rank FROM {_RRF} UNION ALL SELECT 'union', query_id, chunk_id, rank FROM {_UNION}),
     best AS (SELECT method, m.query_id, min(m.rank) AS low FROM m JOIN pool p ON p.query_id = m.query_id AND p.chunk_id = m.chunk_id JOIN gold g ON g.query_id = p.query_id AND g.source = p.source AND g.page = p.page GROUP BY ALL)"""
@@ -174,10 +208,12 @@ ORACLE = {
     "eval_per_question": f"WITH {_EVAL} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _COLS)} FROM scores",
     "eval_aggregate": f"WITH {_EVAL} SELECT count(*) AS n_questions, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _COLS)} FROM scores",
     "worst_questions": f"WITH {_EVAL} SELECT query_id, round(recall_5, 6) AS recall_5, round(rr, 6) AS rr FROM scores ORDER BY scores.recall_5, scores.rr, query_id LIMIT 5",
-    "index_check": f"WITH {_POOL}, {_INDEX} SELECT query_id, count(*) FILTER (similarity >= 0.2 AND off > 1) AS missed FROM hit GROUP BY query_id",
-    "index_check_totals": f"""WITH {_POOL}, {_INDEX}, g AS (SELECT query_id, count(*) FILTER (similarity >= 0.2 AND off > 1) AS missed FROM hit GROUP BY query_id),
+    "index_check": f"WITH {_POOL}, {_INDEX} SELECT query_id, count(*) FILTER (similarity >= 0.2 AND off) AS missed FROM hit GROUP BY query_id",
+    "index_check_totals": f"""WITH {_POOL}, {_INDEX}, g AS (SELECT query_id, count(*) FILTER (similarity >= 0.2 AND off) AS missed FROM hit GROUP BY query_id),
         a AS (SELECT query_id, list((source, page) ORDER BY rank) AS l FROM {_pages("pool", K)} GROUP BY 1), i AS (SELECT query_id, list((source, page) ORDER BY rank) AS l FROM {_pages("idx", K)} GROUP BY 1)
         SELECT count(*) AS questions, count(*) FILTER (missed > 0) AS with_gap, sum(missed)::BIGINT AS missed_chunks, count(*) FILTER (a.l IS NOT DISTINCT FROM i.l) AS equal_pages FROM g LEFT JOIN a USING (query_id) LEFT JOIN i USING (query_id)""",
+    "ann_topk": f"WITH {_POOL}, {_INDEX} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM idx",
+    "ann_recall": f"WITH {_POOL}, {_INDEX} SELECT query_id, count(*) AS n, count(*) FILTER (NOT off) AS found, round(count(*) FILTER (NOT off) / count(*), 6) AS recall FROM hit GROUP BY 1",
     "unknown_gold_refs": f"WITH {_POOL}, {_GOLD}, {_INDEX} SELECT query_id, source, page FROM gold WHERE (source, page) NOT IN (SELECT (source, page) FROM idx)",
     "gold_ranks": f"WITH {_POOL}, {_GOLD} SELECT h.query_id, min(h.rank) FILTER (g.query_id IS NOT NULL) AS gold_rank FROM {_pages('pool', 1000)} h LEFT JOIN gold g ON g.query_id = h.query_id AND g.source = h.source AND g.page = h.page GROUP BY 1",
     "hybrid_retrieve": f"""WITH {_LISTS}, f AS {_FUSED}, h AS {_head("f", 10)}, o AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY source = query_source DESC, rank) AS rank FROM h) SELECT query_id, chunk_id, source, page, rank FROM {_pages("o", K)}""",
@@ -196,3 +232,4 @@ ORACLE = {
     "score_spread": "SELECT user_id, event_type, round(max(value) - min(value), 6) AS spread, count(*) AS passes FROM events GROUP BY ALL",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(list_sort(list(value))[least(floor(count(*) * 0.95::DOUBLE)::BIGINT, count(*) - 1) + 1], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY ALL",
 }
+ORACLE["bm25_index_topk"] = ORACLE["bm25_topk"]
