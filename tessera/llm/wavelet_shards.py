@@ -59,7 +59,7 @@ _HEAD = struct.Struct("<4sIQQQ")
 
 #: A worker keeps the ids of so many units, and of as many that it used before those; none is longer than UNIT characters.
 UNITS, UNIT = 1 << 18, 48
-_CUT, _BETWEEN, _LINES = re.compile(r"(?= \S)"), re.compile(r"\s (?=\s|\Z)"), re.compile(r"\s\n|\n\s")
+_CUT, _BETWEEN, _LINES = re.compile(r"(?= \S)"), re.compile(r"\s (?=\s|\Z)"), re.compile(r"\n(?:(?=\s)|(?<=\s\n))")
 #: A word of Latin letters with ASCII punctuation after it, two tokens of the pre-tokenizer. Apostrophes may begin a suffix.
 _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)")
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
