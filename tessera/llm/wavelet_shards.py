@@ -33,10 +33,11 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -93,14 +94,15 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def units(self, text: str) -> list[str]:
-        if not self.cuts or any(s in text for s in self.special):
-            return [text]
-        if "\0" in text or _BETWEEN.search(text):
-            return _CUT.split(text)
+    def cut(self, text: str) -> str:
+        """The text with a NUL between its units; one that has a NUL itself isn't cut."""
+        if not self.cuts or "\0" in text or any(s in text for s in self.special):
+            return text
+        if _BETWEEN.search(text):
+            return _CUT.sub("\0", text)
         if not _LINES.search(text):
             text = text.replace("\n", "\0\n\0")
-        return text.replace(" ", "\0 ").split("\0")
+        return text.replace(" ", "\0 ")
 
     def token(self, text: str) -> bytes:
         """The ids of a text that is one token of the pre-tokenizer."""
@@ -115,33 +117,48 @@ class Encoder:
         """The ids of one token of the pre-tokenizer, given in the letters of the vocabulary."""
         return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
+    def lookup(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units."""
+        known, out, others = self.known, [], []
+        for i, u in enumerate(units):
+            found = known.get(u)
+            if found is None:
+                found = self.before.get(u)
+                if found is None:
+                    word = _WORD.fullmatch(u) if self.cuts else None
+                    if word is None:
+                        others.append(i)
+                        found = b""
+                    elif end := word[2]:
+                        found = self.token(word[1]) + self.token(end)
+                    else:
+                        found = self.model(_LETTERS[32] + u[1:] if u.isascii() and u[0] == " " else u.encode().decode("latin-1").translate(_LETTERS))
+                if len(u) <= UNIT:
+                    known[u] = found
+            out.append(found)
+        for i, e in zip(others, self.library.encode_batch_fast([units[i] for i in others], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+            if units[i] in known:
+                known[units[i]] = out[i]
+        if len(known) > UNITS:
+            self.known, self.before = {}, known
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian 32-bit numbers."""
-        cut = [self.units(t) for t in texts]
-        others, long = [], []
-        for u in set(chain.from_iterable(cut)) - self.known.keys():
-            if found := self.before.get(u):
-                self.known[u] = found
-                continue
-            if self.cuts and u[:1] == " " and len(u) <= UNIT and u[1:].isalpha() and u.isascii():
-                self.known[u] = self.model(_LETTERS[32] + u[1:])
-                continue
-            word = _WORD.fullmatch(u) if self.cuts else None
-            if word is None:
-                others.append(u)
-            elif end := word[2]:
-                self.known[u] = self.token(word[1]) + self.token(end)
-            else:
-                self.known[u] = self.token(u)
-            if len(u) > UNIT:
-                long.append(u)
-        for u, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
-            self.known[u] = array("I", e.ids).tobytes()
-        out = [b"".join(map(self.known.__getitem__, units)) + self.end for units in cut]
-        for u in long:
-            del self.known[u]
-        if len(self.known) > UNITS:
-            self.known, self.before = {}, self.known
+        whole = [i for i, t in enumerate(texts) if "\0" in t]
+        cut = pc.split_pattern(pa.array(["" if "\0" in t else self.cut(t) for t in texts], pa.large_string()), "\0")
+        units = cut.flatten().dictionary_encode()
+        found = self.lookup(units.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        body, at = np.frombuffer(b"".join(found), "<u4"), units.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = body[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy()].tolist()
+        out = [ids[a:b].tobytes() + self.end for a, b in zip(bounds[:-1], bounds[1:])]
+        for i in whole:
+            out[i] = array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes() + self.end
         return out
 
 
@@ -326,7 +343,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END, mos
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 22):
                 yield from zip(part.column("doc_id").to_pylist(), encoder(tokenizer, end).encode([t or "" for t in part.column("text").to_pylist()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
