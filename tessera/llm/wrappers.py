@@ -18,8 +18,8 @@ their tag (nav, header, footer, aside, form, ..). An article or main element is
 MIN_PAGES pages or more, the wrapper's innermost element with SHARE of all free text, and on smaller ones what class
 words name. Words of class, id and role (sidebar, notice, ..) only raise a doubt. Inside the main element the wrapper
 settles it on hosts of MIN_PAGES pages or more: an element with free or repeated slots that aren't links is content,
-less its texts that are links, unless it is named an advert or comments. The words decide on smaller hosts, outside
-a main element, and where they'd leave nothing they are passed over. An element that holds an article isn't doubted.
+less its texts that are links, unless it is named an advert or comments. The words decide on smaller hosts (but an
+element named the head of something stays, as it may hold the title and the lead), outside a main element, and where they'd leave nothing they are passed over. An element that holds an article isn't doubted.
 
 A null or empty page has an empty text, a null url is a host of its own; pages that repeat, and ties between alignments
 (the first of the two sequences goes first), have no bearing on which texts are found. Elements nested deeper than DEPTH
@@ -53,14 +53,14 @@ SALTS = 16
 #: Wrappers above this are joined by host instead of being broadcast.
 BROADCAST_BYTES = 64 << 20
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))")
 
 # HTML element names by their role.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "xmp", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "xmp", "iframe", "svg", "annotation", "object", "canvas", "audio", "video"}
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "maction", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "fieldset", "option", "input", "map", "frameset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = ("article", "main")
@@ -68,13 +68,15 @@ MAIN = ("article", "main")
 ANCHORS = {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figure", "table"}
 # Words of class, id and role attributes that mark what isn't the article, and what is.
 NOT_CONTENT = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pagination", "popup", "promo", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
+#: Of these, what names the head of a page, but inside an article that of the article.
+HEADS = {"banner", "header", "masthead"}
 #: Of these, what is free text by its nature, so that no wrapper can tell it from an article.
 NEVER = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "disqus", "promo", "reply", "replies", "respond", "sponsor", "sponsored"}
 CONTENT = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """The token of a start tag, whether it drops its element, whether its words cast doubt on it, and whether it names the main element."""
+def label(tag: str, attributes: str) -> tuple[str, bool, int, bool]:
+    """The token of a start tag, whether it drops its element, whether its words cast doubt on it (1: outside an article only), and whether it names the main element."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
     marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
     words = set(re.findall(r"[a-z]+", marks))
@@ -82,7 +84,8 @@ def label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
     dropped = tag in DROPPED or hidden
     named = " ".join(found.get(k, "") for k in ("class", "role")).lower() if tag in ANCHORS else marks
-    doubted = tag not in HEADINGS and bool(set(re.findall(r"[a-z]+", named)) & NOT_CONTENT)
+    doubts = set(re.findall(r"[a-z]+", named)) & NOT_CONTENT if tag not in HEADINGS else set()
+    doubted = (2 if doubts - HEADS else 1) if doubts else 0
     classes = ".".join(sorted(set(re.sub(r"\d+", "0", marks).split())))
     return f"{tag}.{classes}" if classes else tag, dropped, doubted, main and not dropped and (not doubted or tag in MAIN)
 
@@ -90,7 +93,7 @@ def label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
 class Element:
     __slots__ = ("depth", "doubted", "dropped", "kids", "label", "main", "tag")
 
-    def __init__(self, tag: str, label: str = "", dropped: bool = False, doubted: bool = False, main: bool = False) -> None:
+    def __init__(self, tag: str, label: str = "", dropped: bool = False, doubted: int = 0, main: bool = False) -> None:
         self.tag, self.label, self.dropped, self.doubted, self.main = tag, label or tag, dropped, doubted, main
         self.kids: list[Element | str] = []
         self.depth = 0
@@ -167,7 +170,7 @@ def parse(page: str | None) -> Element:
     flush()
     for e in descendants(root):
         if e.doubted and e.tag not in MAIN and e.holds_main():
-            e.doubted = False
+            e.doubted = 0
     return root
 
 
@@ -355,7 +358,7 @@ def main_text(page: str | None, fixed: set[tuple[str, str | None]]) -> str:
                 if (inside or (here, k) not in fixed) and (links or not isinstance(k, Link)):
                     out.append(k)
             elif not k.dropped:
-                if not (k.doubted and words):
+                if not (k.doubted > inside and words):
                     out += blocks(k, here, inside, words, links)
                 elif inside and (f"{here}/{k.label}", None) in fixed:
                     out += blocks(k, here, inside, words, False)
