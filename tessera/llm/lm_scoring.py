@@ -5,9 +5,10 @@ is a segmentation; the log-space forward recursion sums the weights of all paths
 side by side in no piece every path has a cut, so a word's marginal is the product of its units' (Pieces.units).
 
 Weights: vocabulary_logp() maps the vocabulary's scores to log-probabilities (scores of a unigram model are such,
-those of a merge model are ranks and follow Zipf's law). One pass over the training words takes the expected uses of
-every piece under these weights, and the weights become (PRIOR * p + uses) / (PRIOR + all uses): the model learns from
-the training texts, and the vocabulary's scores stay its prior. A stop event ends every word, so the marginal L(word)
+those of a merge model are ranks and follow Zipf's law). A pass over the training words takes the expected uses of
+every piece under these weights, and the weights become (PRIOR * p + uses) / (PRIOR + all uses); passes are repeated,
+over the distinct units of the words with their counts, until the score settles: the model learns from the training
+texts, and the vocabulary's scores stay its prior. A stop event ends every word, so the marginal L(word)
 is a distribution over words. A text is a chain of tokens, of which ends / N are ends:
 
     log10 P(text) = log10(ends / N) + sum over its words of log10((1 - ends / N) * L(word))
@@ -33,6 +34,8 @@ from tessera.llm.textbytes import LOWER, mix, slices
 
 #: The weight of the vocabulary's scores, in uses.
 PRIOR = 1e4
+#: Passes at most, and the gain a word (ln) below which they end.
+ROUNDS, SETTLED = 8, 0.01
 CACHE_WORDS, CACHE_BYTES = 1 << 18, 16 << 20
 #: Cells (words x characters) of the lattices that are in memory at a time.
 CELLS = 1 << 17
@@ -170,24 +173,57 @@ def texts_of(batch: pa.RecordBatch) -> list[str]:
     return batch.column("word").cast(pa.string()).to_pylist()
 
 
-def learned_pieces(counts: DataFrame, pieces: Pieces, prior: float = PRIOR) -> np.ndarray:
-    """ln of the piece probabilities: the vocabulary's, and their expected uses in all occurrences of all words with c > 0."""
-    logp = vocabulary_logp(pieces)
-    shared = counts.sparkSession.sparkContext.broadcast((pieces, logp))
+def unit_counts(counts: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit, times: how often each unit stands in the training texts, over all words with c > 0."""
+    shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now = shared.value
+        with lent(shared) as own:
+            for batch in batches:
+                units, bounds = own.units(pa.array([MARK + w for w in texts_of(batch)], pa.string()))
+                known = units.dictionary_encode()
+                times = np.bincount(known.indices.to_numpy(), np.repeat(batch.column("c").to_numpy(), np.diff(bounds)), len(known.dictionary))
+                yield pa.RecordBatch.from_arrays([known.dictionary.cast(pa.string()), pa.array(times.astype(np.int64))], ["unit", "times"])
+
+    return counts.where("c > 0").select("word", "c").mapInArrow(run, "unit string, times long").groupBy("unit").agg(F.sum("times").alias("times"))
+
+
+def learned_pieces(counts: DataFrame, pieces: Pieces, prior: float = PRIOR, rounds: int = ROUNDS, settled: float = SETTLED) -> np.ndarray:
+    """ln of the piece probabilities by expectation maximisation: the vocabulary's, as `prior` uses, and the expected uses in all occurrences of all words with c > 0.
+
+    Rounds go over the table of distinct units, written once, until a round gains less than `settled` (ln) a word, or
+    `rounds` are done.
+    """
+    first = now = vocabulary_logp(pieces)
+    spark = counts.sparkSession
+    words = counts.where("c > 0").agg(F.sum("c")).first()[0] or 0
+    if not words:
+        return now
+    units = materialise(unit_counts(counts, pieces), "units")
+    before = -math.inf
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((pieces, now))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with lent(shared) as (own, logp):  # noqa: B023
+                lattice, uses, total = PieceLattice(own), np.zeros(len(logp)), 0.0
+                for batch in batches:
+                    times = batch.column("times").to_numpy().astype(float)
+                    total += float(times @ lattice.chains(batch.column("unit").to_pylist(), logp, times, uses))
+                used = np.flatnonzero(uses)
+                yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()]), pa.array([total, *uses[used].tolist()])], ["id", "uses"])
+
         uses = np.zeros(len(now))
-        lattice = PieceLattice(own)
-        for batch in batches:
-            lattice.run(texts_of(batch), now, batch.column("c").to_numpy().astype(float), uses)
-        used = np.flatnonzero(uses)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(uses[used])], ["id", "uses"])
-
-    uses = np.zeros(len(logp))
-    for i, x in counts.where("c > 0").select("word", "c").mapInArrow(run, "id long, uses double").groupBy("id").agg(F.sum("uses")).collect():  # one row a piece
-        uses[i] = x
-    return np.log((prior * np.exp(logp) + uses) / (prior + uses.sum()))
+        rows = dict(tuple(r) for r in units.mapInArrow(run, "id long, uses double").groupBy("id").agg(F.sum("uses")).collect())  # one row a piece
+        score = rows.pop(-1, 0.0) / words + now[-1]
+        for i, x in rows.items():
+            uses[i] = x
+        uses[-1] += words
+        now = np.log((prior * np.exp(first) + uses) / (prior + uses.sum()))
+        if score - before < settled:
+            break
+        before = score
+    return now
 
 
 def scored(docs: DataFrame, held_out: Column, path: str = MODEL, order: str = "doc_id") -> DataFrame:

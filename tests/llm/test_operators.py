@@ -690,12 +690,18 @@ def test_lm_scores(spark, folder, monkeypatch, few):
     counts = Counter(w for ws, h in zip(words, held) if not h for w in [*ws, None])
     n, v = sum(counts.values()), len(counts)
     pieces = load_pieces()
-    first = lm_scoring.vocabulary_logp(pieces)
-    uses = np.zeros(len(first))
-    for w, k in counts.items():
-        for _ in range(k if w is not None else 0):
-            brute_marginal(w, pieces, first, uses)
-    logp = np.log((lm_scoring.PRIOR * np.exp(first) + uses) / (lm_scoring.PRIOR + uses.sum()))
+    first = logp = lm_scoring.vocabulary_logp(pieces)
+    before, words_only = -math.inf, {w: k for w, k in counts.items() if w is not None and k}
+    for _ in range(lm_scoring.ROUNDS):  # until a round gains nothing
+        uses, total = np.zeros(len(first)), 0.0
+        for w, k in words_only.items():
+            for _ in range(k):
+                total += brute_marginal(w, pieces, logp, uses)
+        logp = np.log((lm_scoring.PRIOR * np.exp(first) + uses) / (lm_scoring.PRIOR + uses.sum()))
+        score = total / sum(words_only.values())
+        if score - before < lm_scoring.SETTLED:
+            break
+        before = score
     ends = counts[None] / n
     for x, ws, h in zip(rows, words, held):
         w = [*ws, None]
@@ -711,5 +717,50 @@ def test_lm_of_null_and_repeated_ids(spark):
     assert len({x["score"] for x in rows}) == 2
 
 
+def test_further_rounds_gain_nothing(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("ab c de e i nst".split()) for _ in range(r.randint(1, 5))) for _ in range(300)]
+    counts = spark.createDataFrame([(w.encode(), k) for w, k in Counter(words).items()], "word binary, c long")
+    pieces = load_pieces()
+    lattice, weights = lm_scoring.PieceLattice(pieces), np.array([*Counter(words).values()])
+    score = lambda logp: weights @ lattice.run([*Counter(words)], logp) / weights.sum()
+    by_rounds = [score(lm_scoring.learned_pieces(counts, pieces, 10.0, rounds=n, settled=-1.0)) for n in (1, 2, 4, 12)]
+    assert by_rounds == sorted(by_rounds) and by_rounds[1] > by_rounds[0] + 0.01
+    settled = score(lm_scoring.learned_pieces(counts, pieces, 10.0, rounds=50))
+    assert by_rounds[-1] - settled < 5 * lm_scoring.SETTLED
+    none = spark.createDataFrame([], "word binary, c long")
+    assert np.array_equal(lm_scoring.learned_pieces(none, pieces), lm_scoring.vocabulary_logp(pieces))
+
+
+def test_quotes_open_after_an_equals_sign_only():
+    cases = {
+        "<article><p data-x=it's>Hello world</p><p>More</p></article>": "Hello world\n\nMore",
+        '<article><p title="a"b">x</p><p>y</p></article>': "x\n\ny",
+        '<article><p title = "a>b" c>x</p></article>': "x",
+        "<article><p a='\"' b=\">'\">x</p></article>": "x",
+        '<article><p class=a/>u</p><p ">v</p></article>': "u\n\nv",
+    }
+    assert {k: wrappers.main_text(k, set()) for k in cases} == cases
+
+
+def test_heads_and_formulas_of_an_article_stay(spark, folder):
+    for inner in ('<div class="entry-header"><h1>Title</h1><p>Lead.</p></div>', '<div class="intro-banner"><h1>Title</h1><p>Lead.</p></div>', '<section id="masthead"><h1>Title</h1><p>Lead.</p></section>'):
+        assert wrappers.main_text(f'<div class="header">Site</div><article>{inner}<div class="sidebar-header">More news</div><p>Body</p></article>', set()) == "Title\n\nLead.\n\nBody"
+    assert wrappers.main_text("<article><p>A <math><mi>x</mi><mo>+</mo><annotation>x+</annotation></math> B</p></article>", set()) == "A x+ B"
+    # the same on hosts of seven and of eight pages
+    page = lambda i: f'<article><div class="intro-banner"><p>Lead number {i} is free</p></div><p>Body {i}</p></article>'
+    for n in (7, 8):
+        rows = wrappers.op5_wrapper_extraction(spark, folder([], pages=[(i, f"http://h{n}.example/{i}", page(i)) for i in range(n)])) if n == 7 else None
+        texts = {r["page_id"]: r["text"] for r in rows.collect()} if rows is not None else {i: wrappers.main_text(page(i), wrappers.verdicts(many(page, n))) for i in range(n)}
+        assert texts == {i: f"Lead number {i} is free\n\nBody {i}" for i in range(n)}
+
+
+def many(page, n):
+    out = wrappers.wrapper_of(wrappers.parse(page(0)))
+    for i in range(1, n):
+        out = wrappers.merge(out, wrappers.wrapper_of(wrappers.parse(page(i))))
+    return out
+
+
 def test_html_is_decoded_once():
     assert wrappers.main_text("<p>&amp;lt; &#233;</p>", set()) == "&lt; é" == html.unescape("&amp;lt; &#233;")
