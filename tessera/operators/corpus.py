@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import clean_question
+from tessera.operators.prefix import numbered
 from tessera.staging import materialise
 
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
@@ -156,6 +158,34 @@ def coverage_totals(per_source: DataFrame) -> DataFrame:
     return per_source.agg(F.count("*").alias("sources"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", "blank", "image_only", "thin", "text")], F.count_if("likely_scanned").alias("scanned"))
 
 
+def coverage_report(pages: DataFrame) -> DataFrame:
+    """text_coverage() of every source and, in the row without a source, of all: one pass by rollup. Sources with most image-only pages first, then by name, the totals last.
+
+    Pages without a source count under the empty name.
+    """
+    kinds = ("blank", "image_only", "thin", "text")
+    named = pages.select(F.coalesce("source", F.lit("")).alias("source"), page_kind(F.col("text"), F.col("n_images")).alias("kind"))
+    per = named.rollup("source").agg(F.count("*").alias("pages"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.grouping("source").alias("_all"))
+    return per.where((F.col("_all") == 0) | (F.col("pages") > 0)).orderBy("_all", F.desc("image_only"), "source").drop("_all")
+
+
+def drafts(chunks: DataFrame, raw: Column, *order: Column | str) -> DataFrame:
+    """Gold drafts (id, question, source, page, note, provenance) of the chunks whose raw answer is a question, numbered draft001, .. in order.
+
+    order must tell all chunks apart. Numbers are given range by range, so there is no window over all drafts.
+    """
+    asked = chunks.withColumn("question", clean_question(raw)).where(F.col("question").isNotNull())
+    n = F.col("number").cast("string")
+    note = F.concat(F.lit("drafted from chunk "), F.substring(F.col("chunk_id").cast("string"), 1, 12))
+    out = numbered(asked, *order)
+    return out.select(F.concat(F.lit("draft"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)).alias("id"), "question", "source", "page", note.alias("note"), F.lit("synthetic-draft").alias("provenance"))
+
+
+def reset(path: str, like: DataFrame) -> None:
+    """Empty the table at `path`: an overwrite with no rows of the columns of `like`."""
+    emptied(like).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+
+
 def stratified(chunks: DataFrame, stratum: str, n: int, seed: str = "0", key: str = "chunk_id", least: int = 200) -> DataFrame:
     """At most n chunks of a stratum, of at least `least` characters, by the order of a keyed digest."""
     order = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256))

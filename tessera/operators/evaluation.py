@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -118,3 +118,29 @@ def index_totals(exact: DataFrame, index: DataFrame, exact_pages: DataFrame, ind
 
 def provenance_counts(gold: DataFrame) -> DataFrame:
     return gold.groupBy("provenance").agg(F.count("*").alias("n")).orderBy("provenance")
+
+
+#: Unknown gold pages that an error names.
+SHOWN = 5
+
+
+def evaluate(hits: DataFrame, gold: DataFrame, corpus: DataFrame, path: str, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """Write the scores of every question to path/scores and return the run's one row of means, read from path/totals.
+
+    Gold pages that the corpus (source, page) lacks stop the run before anything is written. The means are observed in
+    the pass that writes the scores, so these are computed once; a path that is there isn't overwritten.
+    """
+    spark = hits.sparkSession
+    unknown = unknown_refs(gold, corpus).orderBy("query_id", "source", "page")
+    if first := unknown.limit(SHOWN).collect():
+        more = unknown.count() - len(first)
+        named = "; ".join(f"{r['query_id']}: {r['source']} p{r['page']}" for r in first)
+        raise ValueError(f"the corpus lacks gold pages: {named}" + (f"; and {more} more" if more else ""))
+    scores, seen = per_question(hits, gold, ks), Observation("scores")
+    names = [c for c in scores.columns if c != "query_id"]
+    watched = scores.observe(seen, F.count("*").alias("n_questions"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names])
+    watched.write.mode("errorifexists").parquet(f"{path}/scores")
+    totals = seen.get
+    row = [(totals["n_questions"], *[totals[c] for c in names])]
+    spark.createDataFrame(row, "n_questions long, " + ", ".join(f"{c} double" for c in names)).coalesce(1).write.mode("errorifexists").parquet(f"{path}/totals")
+    return spark.read.parquet(f"{path}/totals")

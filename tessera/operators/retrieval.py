@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -95,6 +95,15 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, same: str | None
     return ranked(found, F.desc("similarity"), "chunk_id").where(F.col("rank") <= k)
 
 
+def having(corpus: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """The chunks that have all of the metadata values; to be taken before similarities. Null equals nothing; an unknown key is an error."""
+    if unknown := [c for c in values if c not in corpus.columns]:
+        raise ValueError(f"chunks have no {', '.join(unknown)}")
+    for c, v in values.items():
+        corpus = corpus.where(F.lit(False) if v is None else F.col(c) == F.lit(v))
+    return corpus
+
+
 def ranked(df: DataFrame, *order: Column | str, key: str = "query_id", name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 

@@ -135,6 +135,11 @@ def weight_tree(holdings: DataFrame) -> DataFrame:
     return leaves.unionByName(roots)
 
 
+def weight_totals(holdings: DataFrame) -> DataFrame:
+    """(sleeve, ticker, weight) of every holding, of every sleeve (ticker null) and of all (both null), in one pass by rollup. Names must not be null."""
+    return holdings.rollup("sleeve", "ticker").agg(F.sum("weight").alias("weight"))
+
+
 def weight_checks(holdings: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Per sleeve the sum of its holdings' weights and whether it is 1 within the tolerance."""
     total = F.sum("weight")

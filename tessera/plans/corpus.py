@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import corpus as C
 from tessera.operators import evaluation as E
+from tessera.sources import cache as CA
 from tessera.sources import specs as SP
+from tessera.staging import scratch
+from tessera.streaming import upserts as U
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +106,66 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", X.grade_score(grade).alias("score"))
 
 
+def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index kept by a stream of three files: all documents, their labelled ones anew, and these once more."""
+    place = scratch(spark, "upsert-stream")
+    first = index(spark, sf_dir).withColumn("seq", F.col("chunk_id"))
+    again = batch(spark, sf_dir).withColumn("seq", F.col("chunk_id"))
+    columns = ["chunk_id", "source", "doc_type", "seq"]
+    for i, rows in enumerate((first, again, again)):
+        rows.select(*columns).write.parquet(f"{place}/in/{i}")
+        stream = spark.readStream.schema(first.select(*columns).schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+        U.keep_chunks(stream, f"{place}/table", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return U.chunk_table(spark, f"{place}/table", first.select(*columns)).drop("seq")
+
+
+def ids_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of events and users as ids of a stream, each once."""
+    place = scratch(spark, "id-stream")
+    rows = _read(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", "user_id").alias("chunk_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+    writer = U.chunks_once(stream, lateness="10000 days").writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/out").select("chunk_id")
+
+
+def cached_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily mean prices of the order priorities through the result cache: half of the requests first, then all."""
+    o = _read(spark, sf_dir, "orders")
+    asked = CA.with_key(o.select("o_orderpriority").distinct().select(F.lit("orders").alias("provider"), F.col("o_orderpriority").alias("series_id")), "provider", "series_id")
+    rows = lambda missing: o.join(missing, F.col("o_orderpriority") == F.col("series_id")).groupBy("cache_key", "provider", "series_id", F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("value"))
+    schema = rows(asked).schema
+    place, now = scratch(spark, "cache"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    for some in (asked.where("series_id < '3'"), asked):
+        out = CA.through(place, some, rows, schema, "1 hour", now)
+    return out.select("series_id", "date", F.round("value", 6).alias("value"))
+
+
+def cached_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a model (length and words of a text) through the embedding cache, twice."""
+    items = _read(spark, sf_dir, "benchmark").select("item_id", "text")
+    embed = lambda missing: missing.select("cache_key", F.array(F.length("text").cast("float"), F.size(F.split("text", " ")).cast("float")).alias("embedding"))
+    place = scratch(spark, "embedding-cache")
+    CA.embedded(place, items.where("item_id % 2 = 0"), "stand-in", embed)
+    out = CA.embedded(place, items, "stand-in", embed)
+    return out.select("item_id", F.col("embedding")[0].cast("double").alias("n_chars"), F.col("embedding")[1].cast("double").alias("n_words"))
+
+
+def draft_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as answers of a model: those that end with a question mark are drafts, numbered in order."""
+    t = turns(spark, sf_dir).join(_read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), "conv_id", "turn"), "chunk_id")
+    raw = F.concat(F.lit("Q: "), F.regexp_replace("content", "\n", " "), F.when(F.col("turn") % 2 == 0, "?").otherwise("."))
+    return C.drafts(t, raw, "conv_id", "turn").select("id", F.col("source").alias("conv_id"), "note")
+
+
 QUERIES = {
+    "upsert_stream": upsert_stream,
+    "ids_once": ids_once,
+    "cached_rates": cached_rates,
+    "cached_embeddings": cached_embeddings,
+    "draft_ids": draft_ids,
+    "coverage_report": lambda s, d: C.coverage_report(pages(s, d)),
     "chunk_ids": lambda s, d: pages(s, d).select("page", C.chunk_id(F.col("source"), F.col("page"), F.col("text")).alias("chunk_id")),
     "chunk_windows": lambda s, d: C.chunk_windows(pages(s, d)).select("page", "chunk_no", "chunk_id", F.length("content").alias("n_chars")),
     "exact_duplicates": lambda s, d: C.exact_duplicates(copies(s, d)).select("doc_id"),
@@ -144,6 +206,12 @@ _MANIFEST = "man AS (SELECT 'src' || s_suppkey AS source, n_name AS doc_type, ro
 _KIND = "CASE WHEN length(trim(text)) = 0 AND n_chars % 3 > 0 THEN 'image_only' WHEN length(trim(text)) = 0 THEN 'blank' WHEN length(trim(text)) < 200 AND n_chars % 3 > 0 THEN 'thin' ELSE 'text' END"
 
 ORACLE = {
+    "upsert_stream": f"WITH {_INDEX}, {_BATCH} SELECT * FROM idx WHERE chunk_id NOT IN (SELECT chunk_id FROM bat) UNION ALL SELECT chunk_id, source, doc_type FROM bat",
+    "ids_once": "SELECT DISTINCT event_type || ':' || user_id AS chunk_id FROM events",
+    "cached_rates": "SELECT o_orderpriority AS series_id, o_orderdate::DATE AS date, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY ALL",
+    "cached_embeddings": "SELECT item_id, length(text)::DOUBLE AS n_chars, len(string_split(text, ' '))::DOUBLE AS n_words FROM benchmark",
+    "draft_ids": "SELECT 'draft' || CASE WHEN n < 100 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS id, conv_id, 'drafted from chunk ' || left(conv_id || ':' || turn, 12) AS note FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations WHERE turn % 2 = 0)",
+    "coverage_report": f"SELECT source, count(*) AS pages, count(*) FILTER (k = 'blank') AS blank, count(*) FILTER (k = 'image_only') AS image_only, count(*) FILTER (k = 'thin') AS thin, count(*) FILTER (k = 'text') AS text FROM (SELECT source, {_KIND} AS k FROM documents) GROUP BY ROLLUP (source)",
     "chunk_ids": "SELECT doc_id AS page, sha256(source || ':' || doc_id || ':' || text) AS chunk_id FROM documents",
     "chunk_windows": """WITH w AS (SELECT source, doc_id AS page, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS words FROM documents), f AS (SELECT *, CASE WHEN len(words) < 512 THEN 0 ELSE (len(words) - 512) // 448 + 1 END AS n FROM w),
         c AS (SELECT source, page, words, unnest(range(n + (len(words) - n * 448 > CASE WHEN n > 0 THEN 64 ELSE 0 END)::INT)) AS chunk_no FROM f), t AS (SELECT source, page, chunk_no, array_to_string(list_slice(words, chunk_no * 448 + 1, chunk_no * 448 + 512), ' ') AS content FROM c)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import series as S
+from tessera.staging import scratch
+from tessera.streaming import drawdown as D
 
 WEIGHTS = {"A": 0.3, "N": 0.3, "R": 0.4}
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -48,7 +52,27 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("total", F.sum("n").over(S.Window.partitionBy("sleeve"))).select("sleeve", "ticker", (F.col("n") / F.col("total")).alias("weight"))
 
 
+def drawdown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running drawdowns of each event type's daily returns, as a stream whose files come in no order of time."""
+    rows = S.pct_change(daily(spark, sf_dir)).where(F.col("ret").isNotNull()).select("ticker", F.col("date").cast("timestamp").alias("ts"), "ret")
+    place = scratch(spark, "drawdown-stream")
+    rows.withColumn("part", F.pmod(F.datediff("ts", F.lit("2000-01-01")), F.lit(3))).repartition("part").write.partitionBy("part").parquet(f"{place}/in")
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, D.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+        writer = D.running_drawdowns(stream, "7 days").writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        # a row long after the others lets the watermark pass them
+        spark.createDataFrame([("", datetime.datetime(2999, 1, 1), 0.0)], rows.schema).write.parquet(f"{place}/in/end")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(D.SCHEMA).parquet(f"{place}/out").where("ticker <> ''").select(F.to_date("ts").alias("date"), "ticker", "drawdown")
+
+
 QUERIES = {
+    "drawdown_stream": lambda s, d: r(drawdown_stream(s, d), "drawdown"),
     "risk_report": lambda s, d: r(S.risk_report(returns(s, d), benchmark(s, d)), "volatility", "sharpe", "var_95", "cagr", "max_drawdown", "beta", "alpha"),
     "portfolio_returns": lambda s, d: r(returns(s, d), "ret"),
     "portfolio_returns_gappy_pad": lambda s, d: r(S.portfolio_returns(gappy(s, d), dict.fromkeys(PRIORITIES, 0.2)), "ret"),
@@ -63,6 +87,7 @@ QUERIES = {
     "cagr": lambda s, d: r(returns(s, d).agg(*S.risk_aggregates()).select("cagr"), "cagr"),
     "correlation_matrix": lambda s, d: r(S.correlations(daily(s, d)), "corr"),
     "weight_tree": lambda s, d: r(S.weight_tree(holdings(s, d)), "value"),
+    "weight_totals": lambda s, d: r(S.weight_totals(holdings(s, d)), "weight"),
     "weight_checks": lambda s, d: r(S.weight_checks(holdings(s, d)), "total"),
     "latest_value": lambda s, d: r(S.latest(gappy(s, d)), "value"),
     "pct_change_by_series": lambda s, d: r(S.pct_change(daily(s, d)), "value", "ret"),
@@ -96,6 +121,8 @@ _HOLD = """WITH c AS (SELECT r_name AS sleeve, n_name AS ticker, count(*) AS n F
     holdings AS (SELECT sleeve, ticker, n / sum(n) OVER (PARTITION BY sleeve) AS weight FROM c)"""
 
 ORACLE = {
+    "drawdown_stream": f"""WITH {_DAILY}, rets AS (SELECT * FROM (SELECT date, ticker, value / lag(value) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM panel) WHERE ret IS NOT NULL),
+        cum AS (SELECT date, ticker, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM rets) SELECT date, ticker, round(cum / max(cum) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM cum""",
     "risk_report": f"{_CUM}, {_BENCH} SELECT round(volatility, 6) AS volatility, round(sharpe, 6) AS sharpe, round(var_95, 6) AS var_95, round(cagr, 6) AS cagr, round(max_drawdown, 6) AS max_drawdown, round(beta, 6) AS beta, round(alpha, 6) AS alpha FROM {_AGG}, (SELECT min(drawdown) AS max_drawdown FROM dd), {_BA}",
     "portfolio_returns": f"{_P} SELECT date, round(ret, 6) AS ret FROM port",
     "portfolio_returns_gappy_pad": f"WITH {_GAPPY}, {_port(_FIVE, 5)} SELECT date, round(ret, 6) AS ret FROM port",
@@ -112,6 +139,7 @@ ORACLE = {
         days AS (SELECT date FROM rets GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) FROM rets))
         SELECT x.ticker AS a, y.ticker AS b, round(corr(x.ret, y.ret), 6) AS corr FROM rets x JOIN rets y USING (date) JOIN days USING (date) GROUP BY ALL""",
     "weight_tree": f"{_HOLD} SELECT ticker AS node, sleeve AS parent, round(weight, 6) AS value FROM holdings UNION ALL SELECT DISTINCT sleeve, '', 0.0::DOUBLE FROM holdings",
+    "weight_totals": f"{_HOLD} SELECT sleeve, ticker, round(sum(weight), 6) AS weight FROM holdings GROUP BY ROLLUP (sleeve, ticker)",
     "weight_checks": f"{_HOLD} SELECT sleeve, round(sum(weight), 6) AS total, abs(sum(weight) - 1) <= 0.01 AS ok FROM holdings GROUP BY sleeve",
     "latest_value": f"WITH {_GAPPY} SELECT ticker, max(date) AS date, round(max_by(value, date), 6) AS value FROM panel GROUP BY ticker",
     "pct_change_by_series": f"WITH {_DAILY} SELECT date, ticker, round(value, 6) AS value, round(value / lag(value) OVER (PARTITION BY ticker ORDER BY date) - 1, 6) AS ret FROM panel",

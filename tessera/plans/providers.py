@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources import providers as P
+from tessera.sources import saved as V
+from tessera.staging import scratch
 from tessera.streaming.bars import daily_bars
 
 
@@ -82,7 +84,8 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_name").alias("Company name"), F.col("n_name").alias("Country"), F.year("o_orderdate").cast("string").alias("Reporting year"), F.element_at(F.array(*map(F.lit, ("A", "B-", "n/a", "1.25", "E"))), (F.substring("o_orderpriority", 1, 1)).cast("int")).alias("Score band"))
 
 
-YEARS = (1990, 2030)
+YEARS = (1993, 1996)
+COUNTRY = "nation_1"
 AS_OF = "1995-06-30"
 
 
@@ -92,7 +95,16 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("value"))
 
 
+def from_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads saved to a folder and loaded by the data source, from a day on."""
+    place = scratch(spark, "payloads")
+    as_observations(spark, sf_dir).write.parquet(place)
+    V.register(spark)
+    return spark.read.format("saved_series").option("provider", "observations").load(place).where(F.col("date") >= F.lit(AS_OF).cast("date"))
+
+
 QUERIES = {
+    "saved_source": from_source,
     "sdmx_series_parse": lambda s, d: P.sdmx(as_series(s, d)),
     "latest_price": lambda s, d: P.latest_price(as_prices(s, d)),
     "fund_articles": lambda s, d: P.fund_articles(funds(s, d), funds(s, d).select(F.upper(F.trim("Fund ISIN")).alias("isin")).distinct(), "Fund ISIN", "SFDR article", "p_partkey"),
@@ -103,12 +115,13 @@ QUERIES = {
     "jsonstat_parse": lambda s, d: P.json_stat(as_json_stat(s, d)),
     "sdmx_parse": lambda s, d: P.sdmx(as_sdmx(s, d)),
     "constituents_parse": lambda s, d: P.constituents(as_constituents(s, d)),
-    "score_table": lambda s, d: P.score_table(score_rows(s, d), "customer", years=YEARS),
+    "score_table": lambda s, d: P.score_table(score_rows(s, d), "customer", COUNTRY, YEARS),
     "daily_bars": lambda s, d: daily_bars(s.read.parquet(f"{d}/events.parquet")),
 }
 
 _DAYS = "SELECT max(o_orderdate)::DATE AS date, max(o_totalprice) AS value, o_custkey::VARCHAR AS series_id, '{0}' AS source FROM orders GROUP BY o_custkey, o_orderdate::DATE"
 ORACLE = {
+    "saved_source": f"SELECT * FROM ({_DAYS.format('observations')}) WHERE date >= DATE '{AS_OF}'",
     "observations_parse": _DAYS.format("observations"),
     "records_parse": _DAYS.format("records"),
     "jsonstat_parse": _DAYS.format("json_stat"),
@@ -120,6 +133,6 @@ ORACLE = {
     "wire_records": "SELECT o_custkey::VARCHAR AS series_id, count(DISTINCT o_orderdate::DATE)::INT AS records, count(DISTINCT o_orderdate::DATE)::INT AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS first FROM orders GROUP BY 1",
     "constituents_parse": "SELECT p_brand AS series_id, CASE WHEN p_size % 3 = 0 THEN 'P' || p_partkey ELSE p_name END AS ticker, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN p_size ELSE p_retailprice END::DOUBLE AS weight FROM part",
     "score_table": """SELECT * FROM (SELECT make_date(year(o_orderdate), 1, 1) AS date, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 4.0 WHEN '2' THEN 2.7 WHEN '4' THEN 1.25 WHEN '5' THEN 0.5 END::DOUBLE AS value, c_name AS series_id
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'france') AND contains(lower(c_name), 'customer') AND year(o_orderdate) BETWEEN {0} AND {1}) WHERE value IS NOT NULL""".format(*YEARS),
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), '{2}') AND contains(lower(c_name), 'customer') AND year(o_orderdate) BETWEEN {0} AND {1}) WHERE value IS NOT NULL""".format(*YEARS, COUNTRY),
     "daily_bars": "SELECT ts::DATE AS date, event_type AS ticker, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL",
 }

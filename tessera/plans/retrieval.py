@@ -110,6 +110,47 @@ def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.index_totals(exact, found, R.distinct_pages(exact, K), R.distinct_pages(found, K), 0.2)
 
 
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.evaluate(R.distinct_pages(pool(spark, sf_dir), 10), gold(spark, sf_dir), chunks(spark, sf_dir), scratch(spark, "evaluation"))
+
+
+WHERE = {"half": 0, "source": 3}
+
+
+def halves(c: DataFrame) -> DataFrame:
+    return c.withColumn("half", (F.col("chunk_id") % 2).cast("int"))
+
+
+def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top k among chunks with two metadata values."""
+    c = halves(chunks(spark, sf_dir))
+    return R.vector_topk(queries_of(c), R.having(c, WHERE), K)
+
+
+def filtered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the index, with all cells probed."""
+    c = halves(chunks(spark, sf_dir))
+    index = V.build_index(c, scratch(spark, "vector-index"), attributes=tuple(WHERE))
+    return V.search(queries_of(c), index, K, index.cells, where=WHERE)
+
+
+WORDS = 8
+
+
+def both_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a vector, found by it and by words: a query is a document's vector and its first words, and never finds itself."""
+    c = chunks(spark, sf_dir)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text").join(c.select("chunk_id"), "chunk_id", "left_semi")
+    q = d.where(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, WORDS), " ").alias("text"))
+    index = I.build_text_index(d, scratch(spark, "text-index"))
+    words = I.search_text(q, index, POOL + 1).where("query_id <> chunk_id").withColumnRenamed("rank", "_r")
+    about = c.select("chunk_id", "source", "page")
+    words = R.ranked(words, "_r").where(F.col("rank") <= POOL).select("query_id", "chunk_id", "rank").join(about, "chunk_id")
+    vectors = R.vector_topk(queries_of(c), c, POOL).select("query_id", "chunk_id", "rank").join(about, "chunk_id")
+    # a vector without a document has no words to be found by
+    return R.hybrid(vectors, words, fake_score(), K).select("query_id", "chunk_id", "source", "page", "rank")
+
+
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool ranked twice: as it is, and re-ranked at the head."""
     page = ["query_id", "source", "page", "rank"]
@@ -122,6 +163,10 @@ def event_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "exact_topk": lambda s, d: rounded(pool(s, d, K).select("query_id", "chunk_id", "similarity", "rank")),
+    "exact_topk_where": lambda s, d: rounded(filtered(s, d)),
+    "ann_topk_where": lambda s, d: rounded(filtered_index(s, d)),
+    "hybrid_pools": both_pools,
+    "evaluation_run": lambda s, d: rounded(evaluation_run(s, d)),
     "exact_topk_filtered": lambda s, d: rounded(R.vector_topk(queries_of(chunks(s, d)), chunks(s, d), K, same="source")),
     "retrieve_floor": lambda s, d: rounded(R.above_floor(pool(s, d), 0.2).select("query_id", "chunk_id", "similarity", "rank")),
     "retrieve_distinct_pages": lambda s, d: R.distinct_pages(pool(s, d), K).select("query_id", "chunk_id", "source", "page", "rank"),
@@ -233,3 +278,15 @@ ORACLE = {
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(list_sort(list(value))[least(floor(count(*) * 0.95::DOUBLE)::BIGINT, count(*) - 1) + 1], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY ALL",
 }
 ORACLE["bm25_index_topk"] = ORACLE["bm25_topk"]
+ORACLE["evaluation_run"] = ORACLE["eval_aggregate"]
+ORACLE["exact_topk_where"] = ORACLE["ann_topk_where"] = f"WITH {_POOL} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM sims WHERE chunk_id % 2 = {WHERE['half']} AND source = {WHERE['source']}) WHERE rank <= {K}"
+_TOKENS = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}_]+')"
+ORACLE["hybrid_pools"] = f"""WITH {_POOL}, t AS (SELECT doc_id AS chunk_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+    w AS (SELECT chunk_id AS query_id, unnest(list_distinct({_TOKENS.format(f"array_to_string(string_split(text, ' ')[1:{WORDS}], ' ')")})) AS term FROM t WHERE chunk_id % 100 = 0), d AS (SELECT chunk_id, {_TOKENS.format("text")} AS words FROM t),
+    facts AS (SELECT count(*) AS n, avg(len(words)) AS a FROM d), p AS (SELECT chunk_id, len, term, count(*) AS f FROM (SELECT chunk_id, len(words) AS len, unnest(words) AS term FROM d) GROUP BY ALL),
+    idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf, a FROM p, facts GROUP BY term, n, a),
+    s AS (SELECT query_id, chunk_id, round(sum(idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 9) AS score FROM w JOIN idf USING (term) JOIN p USING (term) GROUP BY ALL),
+    top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s),
+    b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM top WHERE rank <= {POOL + 1} AND query_id <> chunk_id),
+    lists AS (SELECT query_id, chunk_id, rank, 0 AS list_no FROM pool UNION ALL SELECT query_id, chunk_id, rank, 1 FROM b WHERE rank <= {POOL}),
+    f AS (SELECT x.query_id, x.chunk_id, c.source, c.page, x.rank FROM {_RRF} x JOIN c ON c.chunk_id = x.chunk_id), h AS {_head("f", 10)} SELECT query_id, chunk_id, source, page, rank FROM {_pages("h", K)}"""
