@@ -7,7 +7,8 @@ MIN_MATCH tokens (running Karp-Rabin). A document is contaminated by an item if
 item's tokens, in whatever order they stand.
 
 A bitmap of fixed size of the items' seeds lets documents without any be passed over where they are; the join itself
-is exact. An item of fewer than SEED tokens is one seed of its own length, which a document has whole or not at all.
+is exact. An item of fewer than SEED tokens is one seed of its own length, which a document has whole or not at all; so
+an item of one common word contaminates every text with it.
 Null and empty texts have no tokens and match nothing. Every row of the benchmark is an item of its own, whatever its id.
 """
 

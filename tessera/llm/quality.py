@@ -10,7 +10,8 @@ task the same at any size of the corpus and whatever the lengths of its texts. W
 classes the trained model is one number a feature, which every task gets; whole texts are scored where they are.
 
 A null or empty text has no features and gets the bias's score. Rows that repeat or have a null id are scored like any
-other; a label without a document, or a null one, is left out. Without labels every score is one half.
+other; a label without a document, or one that is neither 0 nor 1 (null included), is left out. Without labels every
+score is one half.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """One weight a feature and a bias. docs (doc_id, text); labels (doc_id, label 0 or 1), of which `most` are taken."""
-    taken = labels.where(F.col("label").isNotNull()).select("doc_id", "label", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id", "label").limit(most)
+    taken = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id", "label").limit(most)
     rows = docs.join(F.broadcast(taken), "doc_id").select("key", F.col("label").cast("int").alias("label"), "text")
     model = rows.mapInArrow(counted, "key long, label int, ids binary, shares binary").repartition(1).sortWithinPartitions("key", "label", "ids").mapInArrow(trainer, "weights binary, bias double").first()
     if model is None:  # no labelled rows

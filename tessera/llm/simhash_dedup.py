@@ -7,8 +7,8 @@ of probe rows and candidates. Every fingerprint is stored once a part under its
 all values within T_i bits; candidates that meet are verified on all 64 bits.
 
 Copies are made one node first. Before probing, neighbours in the sorted order of each part's buckets are linked and
-contracted, so that in a cloud of near copies the probes only have to return pairs that still lie in different
-components: a group of k costs k rows, not k * k.
+contracted, so that in a cloud of near copies the probes only return pairs that still lie in different components.
+(The join of a bucket still meets all pairs of a cloud of k in it before it drops those of one component.)
 
 The pipeline's near duplicates are pairs of an exact Jaccard similarity: fingerprint bits can't decide near the
 threshold, and within 17 of 64 bits, which a pair of 0.8 needs to be found in 99 %, probing is near all pairs. Their

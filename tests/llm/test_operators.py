@@ -762,5 +762,13 @@ def many(page, n):
     return out
 
 
+def test_quality_labels_other_than_0_and_1_are_left_out(spark, documents):
+    docs = documents(["good words here", "bad words there"] * 8)
+    right = [(i, i % 2) for i in range(12)]
+    odd = [(12, 2), (13, -1), (14, None), (None, 1), (99, 7)]
+    both = [quality.train(docs.select("doc_id", "text"), spark.createDataFrame(rows, "doc_id long, label int")) for rows in (right, right + odd)]
+    assert np.array_equal(both[0][0], both[1][0]) and both[0][1] == both[1][1]
+
+
 def test_html_is_decoded_once():
     assert wrappers.main_text("<p>&amp;lt; &#233;</p>", set()) == "&lt; é" == html.unescape("&amp;lt; &#233;")
