@@ -39,6 +39,11 @@ class TextIndex:
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.path}/{name}")
 
+    def facts(self, spark: SparkSession) -> tuple[int, Column, int]:
+        """The number of documents, their average number of words and the number of blocks: one row."""
+        row = self.read(spark, "facts").first()
+        return row["n"], F.lit(row["avg"]).cast("double"), row["blocks"]
+
 
 def impact(f: Column, length: Column, avg: Column) -> Column:
     """What a posting adds to a score, but for its term's idf."""
@@ -63,10 +68,10 @@ def build_text_index(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -
     forward = materialise(counted(docs), "counted")
     facts = forward.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), F.greatest(F.ceil(F.count("*") / block_docs), F.lit(1)).alias("blocks"))
     facts.coalesce(1).write.parquet(f"{path}/facts")
-    facts = F.broadcast(index.read(spark, "facts"))  # one row
-    block = F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")
-    each = forward.join(facts).select(block.alias("block"), "chunk_id", "len", "avg", F.explode("terms").alias("t"))
-    rows = each.select("block", "t.term", "chunk_id", "t.f", "len", impact(F.col("t.f"), F.col("len"), F.col("avg")).alias("i"))
+    _, avg, blocks = index.facts(spark)
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
+    each = forward.select(block.alias("block"), "chunk_id", "len", F.explode("terms").alias("t"))
+    rows = each.select("block", "t.term", "chunk_id", "t.f", "len", impact(F.col("t.f"), F.col("len"), avg).alias("i"))
     grouped = rows.groupBy("term", "block").agg(F.max("i").alias("top"), F.collect_list(F.struct("chunk_id", "f", "len")).alias("postings"))  # the documents of a block at most
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     materialise(grouped, "postings").repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
@@ -80,9 +85,8 @@ def weights(queries: DataFrame, index: TextIndex) -> DataFrame:
     spark = queries.sparkSession
     own = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     own = materialise(own, "query-terms")
-    facts = F.broadcast(index.read(spark, "facts"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return own.join(pushed(index.read(spark, "terms"), own), "term").join(facts).select("query_id", "term", idf.alias("idf"))
+    idf = F.log(1 + (index.facts(spark)[0] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return own.join(pushed(index.read(spark, "terms"), own), "term").select("query_id", "term", idf.alias("idf"))
 
 
 def pushed(table: DataFrame, own: DataFrame) -> DataFrame:
@@ -102,8 +106,8 @@ def scored(wanted: DataFrame, weighted: DataFrame, index: TextIndex) -> DataFram
     spark = wanted.sparkSession
     asked = wanted.select("query_id", "block").join(weighted, "query_id")
     hits = pushed(index.read(spark, "postings"), weighted).select("term", "block", "postings").join(asked, ["term", "block"])
-    rows = hits.select("query_id", "idf", F.explode("postings").alias("p")).join(F.broadcast(index.read(spark, "facts").select("avg")))
-    part = F.col("idf") * impact(F.col("p.f"), F.col("p.len"), F.col("avg"))
+    rows = hits.select("query_id", "idf", F.explode("postings").alias("p"))
+    part = F.col("idf") * impact(F.col("p.f"), F.col("p.len"), index.facts(spark)[1])
     return rows.groupBy("query_id", F.col("p.chunk_id").alias("chunk_id")).agg(F.round(F.sum(part), 9).alias("score"))
 
 

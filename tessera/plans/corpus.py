@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -159,6 +159,14 @@ def draft_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.drafts(t, raw, "conv_id", "turn").select("id", F.col("source").alias("conv_id"), "note")
 
 
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of the first three turns of every conversation; others are left out before turns meet."""
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    t = _read(spark, sf_dir, "conversations").withColumn("n", first).where("n <= 3")
+    hits = F.sort_array(F.collect_list(F.struct("turn", F.col("conv_id").alias("source"), F.col("turn").alias("page"), F.col("text").alias("content"))))
+    return t.groupBy("conv_id").agg(hits.alias("hits")).select("conv_id", F.sha2(X.prompt(F.lit("What was said?"), F.col("hits")), 256).alias("prompt_sha256"))
+
+
 QUERIES = {
     "upsert_stream": upsert_stream,
     "ids_once": ids_once,
@@ -196,7 +204,7 @@ QUERIES = {
     "exact_dates": lambda s, d: dated(s, d).select("o_orderkey", F.array_join(F.transform(X.exact_dates(F.col("text")), lambda x: x.cast("string")), ",").alias("dates")),
     "date_cover": lambda s, d: dated(s, d).select("o_orderkey", X.covers(X.exact_dates(F.col("text")), F.lit("1995-01-01").cast("date"), F.lit("1995-12-31").cast("date")).alias("covered")),
     "figure_grounding": lambda s, d: amounts(s, d).select("l_orderkey", "l_linenumber", X.grounding(F.col("answer"), F.col("sources")).alias("g")).select("l_orderkey", "l_linenumber", "g.checked", F.array_join("g.unsupported", " ").alias("unsupported")),
-    "answer_prompts": lambda s, d: _read(s, d, "conversations").groupBy("conv_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", F.col("conv_id").alias("source"), F.col("turn").alias("page"), F.col("text").alias("content")))), 1, 3).alias("hits")).select("conv_id", F.sha2(X.prompt(F.lit("What was said?"), F.col("hits")), 256).alias("prompt_sha256")),
+    "answer_prompts": prompts,
     "cache_keys": lambda s, d: _read(s, d, "orders").select("o_orderkey", X.cache_key(F.lit("orders"), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("key")),
 }
 
