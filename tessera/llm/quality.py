@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import tables
+from tessera.llm.staging import tables, tidy
 from tessera.llm.textbytes import PRIME, mix, powers, slices
 
 BUCKETS, DIM, GRAMS = 1 << 18, 16, (3, 4, 5)
@@ -166,7 +166,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "te
                     out.append(1 / (1 + np.exp(-np.clip(total / max(n, 1) + bias, -700, 700))))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(out, pa.float64())], [*(f.name for f in fields), name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

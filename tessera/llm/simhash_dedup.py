@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import contract, rooted
-from tessera.llm.staging import materialise, shielded, stable, tables
+from tessera.llm.staging import materialise, shielded, stable, tables, tidy
 from tessera.llm.textbytes import LOWER, PRIME, SPACE, mix, slices, span_hashes, utf8, words
 
 BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
@@ -245,7 +245,7 @@ def with_shingles(df: DataFrame, n: int, sets: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 18):
                 raw, starts, ends, bounds = shingle_spans(part.column("text"), n)
                 hashes = span_hashes(np.frombuffer(raw, np.uint8), starts, ends)
                 own = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
@@ -254,7 +254,7 @@ def with_shingles(df: DataFrame, n: int, sets: bool) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(y) for y in x])).astype(np.int32), np.concatenate(x).view(kind)) for x, kind in zip(held, (np.int64, np.int16))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids), pa.array([len(x) for x in own], pa.int64()), *lists], [*names, "id", "size", last, *([] if sets else ["marks"])])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:

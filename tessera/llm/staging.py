@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.staging import materialise, shared_dir
 
-__all__ = ["bounded_memory", "count_floor", "lent", "materialise", "shared_dir", "shielded", "stable", "tables"]
+__all__ = ["bounded_memory", "count_floor", "give_back", "lent", "materialise", "shared_dir", "shielded", "stable", "tables", "tidy"]
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,27 @@ def lent(shared: Broadcast) -> Iterator[Any]:
         yield shared.value
     finally:
         vars(shared).pop("_value", None)  # would be read again from the worker's file
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it may wait long for its next task. Only the GNU C library has a call for that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of batches, which gives its memory back when a task ends."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 #: The bytes of an Arrow batch where rows carry whole documents through several Python stages of a task.
