@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_question
+from tessera.functions.text import clean_question, let
 from tessera.operators.prefix import numbered
 from tessera.staging import materialise
 
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
+WINDOW = 16
 
 
 def chunk_id(source: Column, page: Column, text: Column) -> Column:
@@ -46,38 +47,43 @@ def contained_tails(chunks: DataFrame, most_words: int | None = None) -> DataFra
 
     The inner words of a content (all but the first and the last) stand whole in whatever contains it, so a longer chunk
     must have any three of them in a row, one where there are fewer, and of contents without inner words any four
-    characters. Each content asks for the rarest of these; (id, gram) hashes alone are exchanged for that, and contents
-    only for the pairs that share one.
+    characters. Of WINDOW threes one after the other only the one of the least hash counts, which is the same in both
+    contents; all threes and words are looked at on pages that have shorter contents alone. Each content asks for the
+    rarest of its grams; (id, gram) hashes alone are exchanged for that, and contents only for the pairs that share one.
     """
     same = ["source", "page"]
-    words = F.split("content", r"(?U)\s+")
-    texts = chunks.where("content IS NOT NULL").select(*same, "content").distinct()
-    groups = texts.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    held = materialise(texts.join(groups, same, "left_semi").select("*", F.xxhash64(*same, "content").alias("id"), words.alias("w")), "contents")
-    key = lambda kind, gram: F.xxhash64(*same, F.lit(kind), gram)
+    hashes = F.transform(F.split("content", r"(?U)\s+"), lambda w: F.xxhash64(w))
+    own = chunks.where("content IS NOT NULL").select(*same, "content", F.xxhash64(*same, "content").alias("id"), F.xxhash64(*same).alias("place"), hashes.alias("w"))
+    held = materialise(own, "contents")
+    groups = held.select(*same, "id").distinct().groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")  # null pages have no tails
+    held = held.join(groups, same, "left_semi")
+    size, length = F.size("w"), F.length("content")
     steps = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    of = lambda kind, n, gram: F.transform(steps(n), lambda i: key(kind, gram(i)))
-    size, inner = F.size("w"), F.size("w") - 2
-    run = lambda width, skip=0: lambda i: F.array_join(F.slice("w", i + skip, width), " ")
+    of = lambda kind, n, *parts: F.transform(steps(n), lambda i: F.xxhash64("place", F.lit(kind), *[x(i) for x in parts]))
+    word = lambda at: lambda i: F.get("w", i + at)
     letters = lambda width: lambda i: F.substring("content", i, F.lit(width))
+    threes = lambda first, n: of(3, n, *[word(first + k) for k in range(3)])
     short = held.where(size <= most_words) if most_words else held
-    length = F.length("content")
-    own = F.when(inner >= 3, of(3, inner - 2, run(3, 1))).when(inner >= 1, of(1, inner, run(1, 1)))
+    inner = size - 2
+    least = lambda grams: let(grams, lambda g: F.array_distinct(F.transform(steps(F.size(g) - WINDOW + 1), lambda i: F.xxhash64(F.array_min(F.slice(g, i, WINDOW))))))
+    asked = F.when(inner - 2 >= WINDOW, least(threes(0, inner - 2))).when(inner >= 3, threes(0, inner - 2)).when(inner >= 1, of(1, inner, word(0)))
     for width in (4, 3, 2, 1):
-        own = own.when(length >= width, of(-width, length - width + 1, letters(width)))
-    asks = short.select("id", F.explode(F.array_distinct(own)).alias("gram"))
-    bare = short.where(inner < 1).groupBy(*same).agg(F.max(F.least(length, F.lit(4))).alias("_most"))  # pages where characters are asked for
-    by_words = held.select("id", F.explode(F.array_distinct(F.concat(of(3, size - 2, run(3)), of(1, size, run(1))))).alias("gram"))
+        asked = asked.when(length >= width, of(-width, length - width + 1, letters(width)))
+    asks = short.select("id", F.explode(F.array_distinct(asked)).alias("gram")).distinct()
+    bare = short.where(inner < 1).select(*same).distinct()  # pages where characters are asked for
+    few = short.where((inner >= 1) & (inner - 2 < WINDOW)).select(*same).distinct()  # pages where all threes and words are
+    by_windows = held.select("id", F.explode(least(threes(-1, size - 2))).alias("gram"))
+    by_words = held.join(few, same, "left_semi").select("id", F.explode(F.array_distinct(F.concat(threes(-1, size - 2), of(1, size, word(-1))))).alias("gram"))
     each = F.array_distinct(F.concat(*[of(-x, length - x + 1, letters(x)) for x in (1, 2, 3, 4)]))
     by_letters = held.join(bare, same, "left_semi").select("id", F.explode(each).alias("gram"))
-    offers = by_words.unionByName(by_letters)
+    offers = by_windows.unionByName(by_words).unionByName(by_letters)
     counts = offers.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asks.join(counts, "gram").groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    pairs = rarest.join(offers.withColumnRenamed("id", "other"), "gram").where("id <> other").select("id", "other")
-    texts_of = lambda i, c: held.select(F.col("id").alias(i), F.col("content").alias(c))
+    pairs = rarest.join(offers.withColumnRenamed("id", "other"), "gram").where("id <> other").select("id", "other").distinct()
+    texts_of = lambda i, c: held.groupBy(F.col("id").alias(i)).agg(F.first("content").alias(c))
     found = pairs.join(texts_of("id", "_c"), "id").join(texts_of("other", "_o"), "other").where((F.length("_o") > F.length("_c")) & F.col("_o").contains(F.col("_c")))
-    inside = held.join(found.select("id").distinct(), "id", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in (*same, "content")])
-    return chunks.join(inside, (F.col("source") == F.col("_source")) & (F.col("page") == F.col("_page")) & (F.col("content") == F.col("_content")), "left_semi")
+    inside = found.select("id").distinct()
+    return chunks.withColumn("_id", F.xxhash64(*same, "content")).join(inside.withColumnRenamed("id", "_id"), "_id", "left_semi").drop("_id")
 
 
 def first_of(batch: DataFrame, key: str, *order: Column | str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Evaluation runs, rollups, drafts, resets and metadata filters."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,14 @@ def test_metadata_filters(spark):
 def test_contained_tails_of_all_kinds(spark):
     long = "one two three four five six seven eight nine"
     rows = [("s", 1, long, "long"), ("s", 1, "wo three four five", "inner"), ("s", 1, "o thr", "two words"), ("s", 1, "ive", "one word"), ("s", 1, "ne", "short"), ("s", 1, "e", "letter"), ("s", 1, "three  four", "other space"), ("s", 1, "four three", "order"), ("s", 2, "two three four", "other page"), (None, 1, "x y z", "n1"), (None, 1, "x y", "n2"), ("s", 1, long, "copy"), ("s", 1, None, "null"), ("s", 1, "", "empty")]
+    r = random.Random(8)
+    for page in range(10, 16):
+        words = [r.choice("ab cd ef gh ij kl mn op".split()) for _ in range(70)]
+        rows.append(("t", page, " ".join(words), f"t{page}"))
+        for k in (1, 2, 3, 5, 17, 18, 19, 20, 21, 40):
+            at = r.randint(0, 70 - k)
+            text = " ".join(words[at : at + k])
+            rows += [("t", page, text, f"t{page}-{k}"), ("t", page, text[1:-1], f"t{page}-{k} cut"), ("t", page, text + "x", f"t{page}-{k} more")]
     chunks = spark.createDataFrame(rows, "source string, page int, content string, chunk_id string")
     content = {r[3]: r for r in rows}
     want = sorted(k for k, (s, p, c, _) in content.items() if c and s and any(s == t and p == q and d and len(d) > len(c) and c in d for t, q, d, _ in rows))
