@@ -10,9 +10,9 @@ Copies are made one node first. Before probing, neighbours in the sorted order o
 contracted, so that in a cloud of near copies the probes only return pairs that still lie in different components.
 (The join of a bucket still meets all pairs of a cloud of k in it before it drops those of one component.)
 
-The pipeline's near duplicates are pairs of an exact Jaccard similarity: fingerprint bits can't decide near the
-threshold, and within 17 of 64 bits, which a pair of 0.8 needs to be found in 99 %, probing is near all pairs. Their
-candidates share a band of minimum hashes of their shingles.
+The pipeline's near duplicates are pairs of an exact Jaccard similarity, checked in the groups of this linking, since
+fingerprint bits can't decide near the threshold. Pairs of 0.8 that lie further apart than the radius (within 17 of 64
+bits, which 99 % of them need, probing is near all pairs) are candidates by a band of minimum hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -238,10 +238,10 @@ def band_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_shingles(df: DataFrame, n: int, sets: bool) -> DataFrame:
-    """df's columns but text, with id (a hash of the text's set of n-word shingles), size (of the set), band keys and marks (bits of the minimum hashes), or with sets the set itself."""
+    """df's columns but text, with id (a hash of the text's set of n-word shingles), size (of the set), band keys, marks (bits of the minimum hashes) and fp (the set's fingerprint), or with sets the set itself."""
     names = [c for c in df.columns if c != "text"]
     last = "shingles" if sets else "keys"
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "id long, size long", f"{last} array<long>", *([] if sets else ["marks array<smallint>"])])
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "id long, size long", f"{last} array<long>", *([] if sets else ["marks array<smallint>, fp long"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +252,8 @@ def with_shingles(df: DataFrame, n: int, sets: bool) -> DataFrame:
                 ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], np.uint64).view(np.int64)
                 held = [own] if sets else list(zip(*map(band_keys, own)))
                 lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum([len(y) for y in x])).astype(np.int32), np.concatenate(x).view(kind)) for x, kind in zip(held, (np.int64, np.int16))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids), pa.array([len(x) for x in own], pa.int64()), *lists], [*names, "id", "size", last, *([] if sets else ["marks"])])
+                prints = [] if sets else [pa.array(np.array([majority(x) for x in own], np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids), pa.array([len(x) for x in own], pa.int64()), *lists, *prints], [*names, "id", "size", last, *([] if sets else ["marks", "fp"])])
 
     return df.mapInArrow(tidy(run), schema)
 
@@ -283,6 +284,15 @@ def likely(pairs: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
     return pairs.where(same >= common).select("a", "b")
 
 
+def candidate_index(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(id, size, key) of the nodes (id, size, fp, keys) that share a key with others: the group that links of at most `radius` bits connect, and the band keys."""
+    groups = materialise(linked(nodes.select("id", "fp"), radius), "groups")
+    held = groups.join(groups.groupBy("root").count().where("count > 1"), "root", "left_semi").select("id", F.xxhash64("root", F.lit(SEED)).alias("key"))
+    bands = nodes.select("id", "size", F.explode("keys").alias("key"))
+    bands = bands.join(bands.groupBy("key").count().where("count > 1"), "key", "left_semi").select("id", "size", "key")
+    return bands.unionByName(nodes.select("id", "size").join(held, "id"))
+
+
 def similar_roots(index: DataFrame, sets: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
     """id and root of each node of index (id, size, key), the same for all that are reachable by pairs of `similar` or more that share a key.
 
@@ -317,15 +327,14 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, similar: float = SIMILA
     """docs with one row of each near-duplicate group, the one of the smallest doc_id (null last; repeated ids: one row).
 
     A link is a Jaccard similarity of `similar` or more of the sets of n-word shingles, computed exactly for every pair
-    that shares one of BANDS band keys (a pair of 0.8: 99.96 %). Groups are what links connect. Texts without words
-    are one group.
+    of one group of fingerprints (linked(), within RADIUS bits) and, for pairs further apart, for every pair that shares
+    one of BANDS band keys (a pair of 0.8: 99.96 %). Groups are what links connect. Texts without words are one group.
     """
     docs, named = shielded(stable(docs))
     keyed = docs.withColumn("uid", F.monotonically_increasing_id())
     marked = materialise(with_shingles(keyed.select("uid", "doc_id", "text"), n, sets=False), "bands")
-    nodes = materialise(marked.groupBy("id").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "nodes")
-    index = nodes.select("id", "size", F.explode("keys").alias("key"))
-    index = materialise(index.join(index.groupBy("key").count().where("count > 1"), "key", "left_semi"), "index")
+    nodes = materialise(marked.groupBy("id").agg(F.min("uid").alias("uid"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("fp").alias("fp")), "nodes")
+    index = materialise(candidate_index(nodes), "index")
     shared = materialise(nodes.select("id", "uid").join(index.select("id").distinct(), "id").select("uid"), "shared")
     sets = materialise(with_shingles(keyed.select("uid", "text").join(shared, "uid", "left_semi"), n, sets=True).select("id", "shingles"), "sets")
     groups = similar_roots(index, sets, nodes.select("id", "marks"), similar)

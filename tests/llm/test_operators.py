@@ -649,6 +649,16 @@ def test_near_duplicates_are_pairs_of_the_jaccard_similarity(spark, documents):
     assert got == sorted(set(root))
 
 
+def test_near_duplicates_come_from_fingerprint_groups_and_bands(spark):
+    """Nodes whose fingerprints are linked share a key, by way of others too; so do nodes of one band, however far apart."""
+    rows = [(1, 10, 0, [1, 2]), (2, 10, 0b111, [3, 4]), (3, 10, 0b111111, [5, 6]), (4, 10, -1, [7, 8]), (5, 10, 0x0F0F0F0F, [9, 8]), (6, 10, 0x33333333 << 20, [10, 11])]
+    index = simhash_dedup.candidate_index(spark.createDataFrame(rows, "id long, size long, fp long, keys array<long>")).collect()
+    holders = {}
+    for x in index:
+        holders.setdefault(x["key"], set()).add(x["id"])
+    assert sorted(map(sorted, holders.values())) == [[1, 2, 3], [4, 5]]
+
+
 def brute_marginal(word, pieces, logp, uses=None):
     """ln of the sum over every segmentation, one by one; with uses, each piece's expected uses are added."""
     cost = lambda x: logp[pieces.ids[x]] if x in pieces.ids else logp[pieces.fallback(x)].sum()
