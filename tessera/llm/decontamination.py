@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import materialise, shielded, stable, tables
+from tessera.llm.staging import materialise, shielded, stable, tables, tidy
 from tessera.llm.textbytes import SPACE, mix, powers, slices, span_hashes, utf8
 
 SEED, MIN_MATCH, COVERAGE = 5, 5, 0.6
@@ -173,7 +173,7 @@ def seeded(df: DataFrame, key: str, bitmap: np.ndarray | None = None, lengths: l
                     lists = lambda x: pa.ListArray.from_arrays(np.append(0, np.cumsum([len(y) for y in x])).astype(np.int32), np.concatenate(x))
                     yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(rows)), lists(tokens), lists(seeds), lists(times)], [key, "tokens", "seeds", "times"])
 
-    return df.select(key, "text").mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokens array<long>, seeds array<long>, times array<long>")
+    return df.select(key, "text").mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, tokens array<long>, seeds array<long>, times array<long>")
 
 
 def seed_bitmap(items: DataFrame) -> np.ndarray:
@@ -227,7 +227,7 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "uid", item_key
                 yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(item_key), *map(pa.array, (n, matched, tiles, matched / n))], [key, item_key, "item_tokens", "matched_tokens", "n_tiles", "coverage"])
 
     kinds = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in (key, item_key))
-    return both.select(key, item_key, "item", "tokens").mapInArrow(run, f"{kinds}, item_tokens long, matched_tokens long, n_tiles long, coverage double").where(F.col("coverage") >= coverage)
+    return both.select(key, item_key, "item", "tokens").mapInArrow(tidy(run), f"{kinds}, item_tokens long, matched_tokens long, n_tiles long, coverage double").where(F.col("coverage") >= coverage)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

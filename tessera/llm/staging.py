@@ -12,6 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.textbytes import forget
 from tessera.staging import materialise, shared_dir
 
 __all__ = ["bounded_memory", "count_floor", "give_back", "lent", "materialise", "shared_dir", "shielded", "stable", "tables", "tidy"]
@@ -35,6 +36,7 @@ def lent(shared: Broadcast) -> Iterator[Any]:
 
 def give_back() -> None:
     """Return what a Python worker has freed to the system: it may wait long for its next task. Only the GNU C library has a call for that."""
+    forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import materialise, shielded, stable, tables
+from tessera.llm.staging import materialise, shielded, stable, tables, tidy
 from tessera.llm.textbytes import mix, powers, slices, utf8
 
 LENGTH, GRAM = 50, 26
@@ -343,13 +343,13 @@ def with_removals(docs: DataFrame, order: str = "doc_id", text: str = "text") ->
     at_home = keyed.repartition(width, "uid")
     settled = at_home.join(copies.hint("merge"), "uid", "left")
     fresh = settled.where(F.col("copy").isNull()).select(*keyed.columns, doc.alias("doc"))
-    grams = fresh.mapInArrow(send_grams(buckets, text), "bucket int, grams binary, uids binary, runs binary, times binary")
-    flags = grams.repartition(max(width, total // BUCKET_TEXT + 1), "bucket").sortWithinPartitions("bucket").mapInArrow(repeated_grams, "uid long, grams binary")
+    grams = fresh.mapInArrow(tidy(send_grams(buckets, text)), "bucket int, grams binary, uids binary, runs binary, times binary")
+    flags = grams.repartition(max(width, total // BUCKET_TEXT + 1), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(repeated_grams), "uid long, grams binary")
     listed = flags.groupBy("uid").agg(F.collect_list("grams").alias("grams"))
     kinds = "kind int, gram long, doc long, uid long, spot long, before int, mask int, body binary"
-    found = fresh.join(listed.hint("merge"), "uid").mapInArrow(send_occurrences(text), kinds)
+    found = fresh.join(listed.hint("merge"), "uid").mapInArrow(tidy(send_occurrences(text)), kinds)
     key = F.when(F.col("kind") == 1, F.xxhash64("uid")).otherwise(F.xxhash64("gram"))
-    marks = found.repartition(width, key).sortWithinPartitions("gram", "doc").mapInArrow(mark_occurrences, "uid long, spot long, mask int")
+    marks = found.repartition(width, key).sortWithinPartitions("gram", "doc").mapInArrow(tidy(mark_occurrences), "uid long, spot long, mask int")
     gathered = marks.groupBy("uid").agg(F.collect_list(F.struct("spot", "mask")).alias("marks"))
     return settled.join(gathered.hint("merge"), "uid", "left")
 
@@ -367,7 +367,7 @@ def span_report(removals: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removals.select("doc_id", "text", "copy", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removals.select("doc_id", "text", "copy", "marks").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed_bytes(n: int, marks: list[dict] | None, copy: bool) -> np.ndarray:
@@ -409,7 +409,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return named(with_removals(docs).select(*names, "copy", "marks").mapInArrow(run, schema))
+    return named(with_removals(docs).select(*names, "copy", "marks").mapInArrow(tidy(run), schema))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

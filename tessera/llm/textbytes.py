@@ -79,6 +79,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][0][:n], _powers[0][1][:n]
 
 
+def forget() -> None:
+    """Let the kept powers go; they take 16 bytes a byte of the longest text."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ np.uint64(salt)

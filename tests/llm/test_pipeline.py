@@ -73,6 +73,19 @@ def test_near_duplicates_are_found(spark, sf_dir):
     assert gone and len(gone - got) >= 0.99 * len(gone) and not want - got
 
 
+def test_workers_keep_no_powers_between_tasks():
+    """What a task kept to hash long texts is gone when it has ended, so workers that wait hold nothing of it."""
+    from tessera.llm import textbytes
+    from tessera.llm.staging import tidy
+
+    def hashes(batches):
+        for batch in batches:
+            textbytes.powers(1 << 18)
+            yield batch
+
+    assert list(tidy(hashes)([1, 2])) == [1, 2] and not textbytes._powers
+
+
 def test_stages_of_an_empty_table(spark, folder):
     assert corpus_pipeline.run(spark, folder([])).count() == 0
 
