@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MARK, MODEL, Pieces, load_pieces
-from tessera.llm.staging import bounded_memory, count_floor, lent, materialise, tables
+from tessera.llm.staging import bounded_memory, count_floor, lent, materialise, tables, tidy
 from tessera.llm.textbytes import slices, span_hashes, strings, utf8
 
 CACHE_UNITS, CACHE_BYTES = 1 << 20, 32 << 20
 #: A unit seen less often isn't worth a place among them.
 SEEN = 3
 SLICE, COUNT_SLICE = 1 << 20, 4 << 20
+#: Edges that are gathered at a time.
+GATHERED = 1 << 16
 LONG = 62
 UNIT = "unit"
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -70,7 +73,8 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
 
     * for Viterbi their starts (from 1), sizes and scores;
     * for merges, as bits, the positions that they span and those at their two ends; and pairs, what edges of two
-      characters or more span inside, by falling score and rising start.
+      characters or more span inside, by falling score and rising start; regular, whether all edges are regular pieces;
+      whole, whether all have a piece.
 
     The empty unit has no edges. The exploded substrings of a unit follow one another, and a hash join keeps the order
     of its streamed side; runs of one (uid, pos) are then gathered as they stream by, without an exchange or a sort. A
@@ -82,50 +86,62 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     spans = spans.withColumn("l", F.explode(F.when(n > 0, F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s") + 1))).otherwise(F.array(F.lit(0)))))
     spans = spans.withColumn("piece", F.expr("substring(unit, s, l)"))
     edges = spans.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | (F.col("l") <= 1))
-    edges = edges.select(*names, "s", "l", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"))
+    score = [] if pieces.merges else [F.coalesce("score", F.lit(pieces.unknown_score)).alias("score")]
+    edges = edges.select(*names, (F.col("s") * 64 + F.col("l")).alias("place"), F.coalesce("id", F.lit(-1)).alias("id"), *score)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields]
-    columns = ["ids array<int>", *(("spans array<long>", "ends array<long>", "pairs array<long>") if pieces.merges else ("starts array<int>", "sizes array<int>", "scores array<double>"))]
-    one = np.int64(1)
+    columns = ["ids array<int>", *(("spans array<long>", "ends array<long>", "pairs array<long>", "regular boolean", "whole boolean") if pieces.merges else ("starts array<int>", "sizes array<int>", "scores array<double>"))]
+    one, merges = np.int64(1), pieces.merges
+    odd, ranks = (np.array(sorted(pieces.irregular), np.int32), np.unique(-np.array(pieces.scores), return_inverse=True)[1]) if merges else (None, None)
 
     def gathered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        uid, pos, start, size, ids, score = (rows.column(c).to_numpy() for c in ("uid", "pos", "s", "l", "id", "score"))
+        uid, pos, place, ids = (rows.column(c).to_numpy() for c in ("uid", "pos", "place", "id"))
         head = np.flatnonzero(np.append(True, (np.diff(uid) != 0) | (np.diff(pos) != 0)))
         first = rows.select(names).take(pa.array(head))
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(uid))))
-        place = group * 4096 + start * 64 + size
-        if (np.diff(place) <= 0).any() or not np.array_equal(np.add.reduceat(size == 1, head, dtype=np.int64), pc.utf8_length(first.column("unit")).to_numpy()):
+        start, size = place >> 6, (place & 63).astype(np.int64)
+        if (np.diff(group * 4096 + place) <= 0).any() or not np.array_equal(np.add.reduceat(size == 1, head, dtype=np.int64), pc.utf8_length(first.column("unit")).to_numpy()):
             raise RuntimeError("the edges of a unit didn't arrive together and in order")
         real = size > 0
-        group, start, size, ids, score = (x[real] for x in (group, start, size, ids, score))
-        if pieces.merges:
+        group, start, size, ids = (x[real] for x in (group, start, size, ids))
+        if merges:
             low, high = one << (start - 1), one << (start - 1 + size)
             longer = np.flatnonzero(size > 1)
-            longer = longer[np.lexsort((-score[longer], group[longer]))]  # a stable sort
+            longer = longer[np.argsort(group[longer] * len(ranks) + ranks[ids[longer]], kind="stable")]
             arrays = [(ids, group), (2 * high - low, group), (low | high, group), ((high - 2 * low)[longer], group[longer])]
         else:
-            arrays = [(x, group) for x in (ids, start, size, score)]
+            arrays = [(x, group) for x in (ids, start, size.astype(np.int32), rows.column("score").to_numpy()[real])]
         for column, (values, own) in zip(columns, arrays):
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(head) + 1)).astype(np.int32)), pa.array(values))
             first = first.append_column(column.split()[0], lists)
+        if merges:
+            for column, own in ("regular", group[np.isin(ids, odd)]), ("whole", group[ids < 0]):
+                flags = np.ones(len(head), bool)
+                flags[own] = False
+                first = first.append_column(column, pa.array(flags))
         yield from first.to_batches(max_chunksize=2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
+        held: list[pa.Table] = []
+
+        def ended(last: bool) -> Iterator[pa.RecordBatch]:
+            """The units of held that can't go on in the next batch."""
+            rows = pa.concat_tables(held)
             uid, pos = (rows.column(c).to_numpy() for c in ("uid", "pos"))
-            cut = int(np.flatnonzero((uid != uid[-1]) | (pos != pos[-1]))[-1]) + 1 if (uid[0], pos[0]) != (uid[-1], pos[-1]) else 0
-            if cut:
-                yield from gathered(rows.slice(0, cut))
-            held = rows.slice(cut)
-        if held is not None and held.num_rows:
-            yield from gathered(held)
+            on = len(uid) if last else int(np.flatnonzero(np.append(True, (np.diff(uid) != 0) | (np.diff(pos) != 0)))[-1])
+            held[:] = [rows.slice(on)] if on < len(uid) else []
+            if on:
+                yield from gathered(rows.slice(0, on))
 
-    return edges.mapInArrow(run, ", ".join([*kinds, *columns]))
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+                if sum(x.num_rows for x in held) >= GATHERED or sum(x.nbytes for x in held) >= SLICE:
+                    yield from ended(False)
+        if held:
+            yield from ended(True)
+
+    return edges.mapInArrow(tidy(run), ", ".join([*kinds, *columns]))
 
 
 def fallback_ids(char: Column, pieces: Pieces) -> Column:
@@ -152,15 +168,22 @@ def merge_fold(unit: Column, pieces: Pieces) -> Column:
 
         return F.coalesce(state.bitwiseAND(F.bitwise_not(F.get(F.filter(pairs, merges), 0))), state)
 
+    def pair(state: Column, inner: Column) -> Column:
+        span = F.shiftleft(inner, 1).bitwiseOR(F.shiftright(inner, 1))
+        rest = state.bitwiseAND(F.bitwise_not(inner))
+        return F.when((F.bit_count(state.bitwiseAND(inner)) == 1) & (rest.bitwiseAND(span.bitwiseOR(inner)) == span.bitwiseAND(F.bitwise_not(inner))), rest).otherwise(state)
+
     def ids(state: Column) -> Column:
         symbol = lambda k: state.bitwiseAND(F.get(spans, k)) == F.get(ends, k)
         starts = lambda: F.transform(F.filter(ends, lambda e, k: symbol(k)), lambda e: F.bit_count(e.bitwiseAND(F.negate(e)) - 1).cast("int") + 1)
-        return spelt(unit, F.filter(edge_ids, lambda i, k: symbol(k)), starts(), pieces)
+        found = F.filter(edge_ids, lambda i, k: symbol(k))
+        return F.when(F.col("whole"), found).otherwise(spelt(unit, found, starts(), pieces))
 
     steps = F.least(F.length(unit) - 1, F.size(pairs))
     start = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - F.length(unit))
     none = F.array().cast("array<int>")
-    return F.when(F.length(unit) > 0, F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(none), start, step, ids)).otherwise(none)
+    general = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(none), start, step, ids)
+    return F.when(F.length(unit) == 0, none).when(F.col("regular"), F.aggregate(pairs, start, pair, ids)).otherwise(general)
 
 
 def viterbi_fold(unit: Column, pieces: Pieces) -> Column:
@@ -359,8 +382,8 @@ def encoded(docs: DataFrame, path: str = MODEL, cache_units: int = CACHE_UNITS,
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a slice follow one another, its rare units first."""
-        with lent(common) as own:
-            raw = pa.array(own.raw, pa.binary())
+        with lent(common) if digest else nullcontext() as own:
+            raw = pa.array(own.raw, pa.binary()) if digest else None
             uid, rare = -1, []
             for batch in batches:
                 pa.default_memory_pool().release_unused()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -54,6 +55,27 @@ class Pieces:
         """What each id decodes to, before marks become spaces."""
         return [bytes([i - self.byte_base]) if k == 6 else x.encode() for i, (x, k) in enumerate(zip(self.names, self.kinds))]
 
+    @cached_property
+    def irregular(self) -> set[int]:
+        """The pieces of a merge model that share their score with another, or that one pass over their pairs by rank doesn't make of their characters.
+
+        In a text whose edges are all regular one pass makes all merges: a pair X that only a later merge made possible
+        would have been merged at its own turn, since until then nothing reached over its ends, and X by itself is made
+        at its turn.
+        """
+        times = Counter(self.scores[i] for x, i in self.ids.items() if len(x) > 1)
+        return {i for x, i in self.ids.items() if len(x) > 1 and (times[self.scores[i]] > 1 or not self.made_at_once(x))}
+
+    def made_at_once(self, piece: str) -> bool:
+        n, ids = len(piece), self.ids
+        pairs = sorted((-self.scores[k], i, j) for i in range(n) for j in range(i + 2, n + 1) if (k := ids.get(piece[i:j])) is not None)
+        state = (2 << n) - 1
+        for _, i, j in pairs:
+            inner = (1 << j) - (2 << i)
+            if state >> i & 1 and state >> j & 1 and (state & inner).bit_count() == 1:
+                state &= ~inner
+        return state == 1 | 1 << n
+
     @cached_property
     def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
         """A class for every code point (0: in no piece of two characters or more), and which class may follow which inside a piece."""

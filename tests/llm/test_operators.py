@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, encoding, fingerprints, licenses, lm_scoring, quality, queries, resharding, simhash_dedup, suffix_dedup, wrappers
-from tessera.llm.pieces import MODEL, load_pieces
+from tessera.llm.pieces import MODEL, Pieces, load_pieces
 
 ODD = [None, "", " \n ", "a", "a", "Ab ab AB " * 4000, "é ü ñ \U0001f600 日本 ▁x", "x" * 3000, "The quick brown fox jumps over the lazy dog.\n" * 3, "\t\x0b\x0c"]
 
@@ -594,6 +594,22 @@ def brute_components(prints, radius):
     return [find(i) for i in range(len(prints))]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merges_of_regular_and_irregular_pieces(spark, seed):
+    """One pass over the pairs by rank where all pieces are regular, steps elsewhere: the ids of a merge at a time."""
+    r = random.Random(seed)
+    longer = sorted({"".join(r.choice("abcd") for _ in range(r.randint(2, 4))) for _ in range(40)})
+    scores = [0.0] * 5 + [-float(r.randint(1, 200)) for _ in longer]
+    pieces = Pieces(["<unk>", *"abcd", *longer], scores, [2] + [1] * (len(scores) - 1), merges=True)
+    assert 0 < len(pieces.irregular) < len(longer)
+    units = ["".join(r.choice("abcde") for _ in range(r.randint(1, 12))) for _ in range(300)]
+    rows = spark.createDataFrame([(0, i, u) for i, u in enumerate(units)], "uid long, pos int, unit string").coalesce(1)
+    lattice = encoding.lattice(rows, pieces).collect()
+    assert 0 < sum(x["regular"] and len(x["unit"]) > 3 for x in lattice) < len(lattice)
+    got = {x["pos"]: x["ids"] for x in encoding.folded(rows, pieces).collect()}
+    assert [got[i] for i in range(len(units))] == [encoding.long_unit(u, pieces) for u in units]
+
+
 def test_simhash_components(spark, folder):
     import xxhash
 
