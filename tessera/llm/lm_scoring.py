@@ -39,6 +39,8 @@ ROUNDS, SETTLED = 8, 0.01
 CACHE_WORDS, CACHE_BYTES = 1 << 18, 16 << 20
 #: Cells (words x characters) of the lattices that are in memory at a time.
 CELLS = 1 << 17
+#: Likelihoods below are summed as logarithms; what is lost of larger ones is less than a part in 10 ** 50.
+LEAST = 1e-250
 _LOWER = LOWER.tobytes()
 
 
@@ -53,11 +55,16 @@ class PieceLattice:
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
         self.size = len(pieces.names)
-        by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for name, i in pieces.ids.items():
-            codes = np.array([list(map(ord, name))], np.uint32)
-            by_length[len(name)].append((int(self.hashes(codes)[-1][0, 0]), i))
-        self.keys = {n: (np.array([k for k, _ in rows], np.uint64), np.array([i for _, i in rows])) for n, rows in ((n, sorted(x)) for n, x in by_length.items())}
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for name in pieces.ids:
+            by_length[len(name)].append(name)
+        self.keys = {}
+        for n, names in by_length.items():
+            codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(names), n)
+            own = self.hashes(codes)[-1][:, 0]
+            order = np.argsort(own)
+            self.keys[n] = own[order], np.array([pieces.ids[x] for x in names])[order]
+        self.logp, self.p = None, np.zeros(0)
 
     def hashes(self, codes: np.ndarray, most: int | None = None) -> list[np.ndarray]:
         """For l = 1, 2, ..: the hashes of all substrings of l characters."""
@@ -106,6 +113,41 @@ class PieceLattice:
 
     def one_length(self, codes: np.ndarray, logp: np.ndarray, times: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:
         """ln of the summed weights of all segmentations of units of one length."""
+        if self.logp is not logp:
+            self.logp, self.p = logp, np.append(np.exp(logp), 0.0)  # the last stands for no piece
+        n = codes.shape[1]
+        ids = [np.ascontiguousarray(x.T) for x in self.edges(codes)]
+        weights = [self.p[x] for x in ids]
+        unknown = np.argwhere(ids[0] < 0)
+        for s, i in unknown:  # characters without a piece are spelt in byte pieces
+            weights[0][s, i] = math.exp(logp[self.pieces.fallback(chr(codes[i, s]))].sum())
+        ahead = np.zeros((n + 1, len(codes)))
+        ahead[0] = 1
+        for j in range(1, n + 1):
+            for k in range(1, min(j, len(ids)) + 1):
+                ahead[j] += ahead[j - k] * weights[k - 1][j - k]
+        small = ahead[n] < LEAST
+        if small.any():
+            out = np.zeros(len(codes))
+            for rows, f in (small, self.in_logs), (~small, self.one_length):
+                out[rows] = f(codes[rows], logp, None if times is None else times[rows], uses) if rows.any() else 0
+            return out
+        if uses is not None:
+            behind = np.zeros((n + 1, len(codes)))
+            behind[n] = 1
+            for s in range(n - 1, -1, -1):
+                for k in range(1, min(n - s, len(ids)) + 1):
+                    behind[s] += behind[s + k] * weights[k - 1][s]
+            for k, x in enumerate(ids, 1):
+                share = ahead[: n - k + 1] * weights[k - 1] * behind[k:] * (times / ahead[n])
+                uses += np.bincount(x.ravel() + 1, share.ravel(), len(uses) + 1)[1:]
+                if k == 1:
+                    for s, i in unknown:
+                        np.add.at(uses, self.pieces.fallback(chr(codes[i, s])), share[s, i])
+        return np.log(ahead[n])
+
+    def in_logs(self, codes: np.ndarray, logp: np.ndarray, times: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:
+        """one_length() of units whose likelihood is too small for a number."""
         m, n = codes.shape
         ids = self.edges(codes)
         weights = [np.where(x >= 0, logp[x], -np.inf) for x in ids]

@@ -675,6 +675,17 @@ def test_near_duplicates_come_from_fingerprint_groups_and_bands(spark):
     assert sorted(map(sorted, holders.values())) == [[1, 2, 3], [4, 5]]
 
 
+def test_likelihoods_in_numbers_and_in_logarithms_are_the_same():
+    pieces = load_pieces(MODEL)
+    lattice, logp = lm_scoring.PieceLattice(pieces), lm_scoring.vocabulary_logp(pieces)
+    for word in ("a", "internationalisation", "\u65e5\U0001f600x", "zq" * 30, "z" * 200):
+        codes = np.array([list(map(ord, word))], np.uint32)
+        uses, want = np.zeros((2, len(logp)))
+        got = lattice.one_length(codes, logp, np.array([3.0]), uses)
+        assert got == pytest.approx(lattice.in_logs(codes, logp, np.array([3.0]), want), rel=1e-12)
+        np.testing.assert_allclose(uses, want, rtol=1e-9, atol=1e-12)
+
+
 def brute_marginal(word, pieces, logp, uses=None):
     """ln of the sum over every segmentation, one by one; with uses, each piece's expected uses are added."""
     cost = lambda x: logp[pieces.ids[x]] if x in pieces.ids else logp[pieces.fallback(x)].sum()
