@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import contract, rooted
@@ -38,6 +38,8 @@ ROW_COST = 40.0
 SIMILAR, BAND, BANDS = 0.8, 5, 20
 #: Rounds in which every node is compared with one other of its buckets; places that a node's pairs are dealt to.
 STARS, SALTS = 4, 64
+#: Nodes outside a bucket's largest component that are paired with all of it; about how many nodes of a wider bucket say what is usual there.
+WIDE, USUAL = 16, 64
 _FACTORS = mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64), SEED) | np.uint64(1)
 _OFFSETS = mix(np.arange(1, BAND * BANDS + 1, dtype=np.uint64), SEED + 1)
 
@@ -293,34 +295,113 @@ def candidate_index(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return bands.unionByName(nodes.select("id", "size").join(held, "id"))
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) with the components that links (a, b) of their ids connect made one."""
+    ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    steps = contract(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return materialise(rooted(roots.withColumnRenamed("root", "start"), steps, "start").select("id", "root"), "roots")
+
+
+def mixed_buckets(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of index in buckets of several components, with root, most (the root of the bucket's largest component), nodes (of the bucket) and outside (those not in the largest)."""
+    live = index.join(roots, "id")
+    most = live.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("nodes"), (F.sum("count") - F.max("count")).alias("outside"))
+    return materialise(live.join(most.where("outside > 0"), "key"), "mixed")
+
+
+def profiles(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The rows (key, id, nodes) with delta, the symmetric difference of the node's set A and a set C of its bucket, and excess, |delta| - d |A| with d = (1 - similar) / (1 + similar).
+
+    A and B are similar if their symmetric difference has at most d (|A| + |B|) elements; it has |delta A| + |delta B|
+    less twice those that both deltas hold. So they need (excess A + excess B) / 2 common elements of their deltas,
+    and none if that isn't above 0. This holds for any C; here it is what over half of some USUAL nodes have.
+    """
+    held = rows.select("key", "id", "nodes").join(sets, "id")
+    some = held.where(F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("nodes") / USUAL)) == 0)
+    enough = some.groupBy("key").count()
+    usual = some.select("key", F.explode("shingles").alias("x")).groupBy("key", "x").agg(F.count("*").alias("n")).join(enough, "key").where("2 * n > count")
+    usual = usual.groupBy("key").agg(F.collect_list("x").alias("usual"))
+    both = held.join(usual, "key", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>")))
+    delta = F.concat(F.array_except("shingles", "usual"), F.array_except("usual", "shingles"))
+    excess = F.size("delta") - F.lit((1 - similar) / (1 + similar)) * F.size("shingles")
+    return both.withColumn("delta", delta).select("key", "id", "delta", excess.alias("excess"))
+
+
+def sure_links(wide: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each bucket's node of least excess and those that are similar to it whatever their deltas have in common.
+
+    Two nodes that are similar in this way are both in pairs with the node of least excess.
+    """
+    least = wide.groupBy("key").agg(F.min_by(F.struct("id", "excess"), F.struct("excess", "id")).alias("o"))
+    return wide.join(least, "key").where((F.col("excess") + F.col("o.excess") <= 1e-9) & (F.col("id") != F.col("o.id"))).select(F.col("id").alias("a"), F.col("o.id").alias("b")).distinct()
+
+
+def sharing(wide: DataFrame, alike: Column) -> DataFrame:
+    """(id, o_id) of all pairs in a bucket that may be similar and of which one isn't in its largest component; wide: profiles with size, root and most.
+
+    As sure links are in the components, similar nodes of different ones have at least the elements of their deltas in
+    common that their excesses ask for. With the rarest elements first, they then share one among the first of each:
+    as many as it has that the others hold, less the least number asked for, and one.
+    """
+    rows = wide.withColumn("out", F.col("root") != F.col("most"))
+    least = rows.groupBy("key", "out").agg(F.min("excess").alias("least"))
+    rows = rows.select("key", "id", "root", "size", "excess", "out", F.explode("delta").alias("x"))
+    held = rows.groupBy("key", "x").agg(F.count_if("out").alias("outs"), F.count_if(~F.col("out")).alias("ins")).where("outs > 0 and ins + outs > 1")
+    rows = materialise(rows.join(held, ["key", "x"]), "elements")
+
+    def first(out: bool, other: bool) -> DataFrame:
+        """The first elements of the nodes in or outside the largest components that nodes on the other side hold."""
+        both = F.col("outs" if other else "ins") > (1 if out and other else 0)
+        own = rows.where(F.col("out") == out).where(both).join(least.where(F.col("out") == other).select("key", "least"), "key")
+        node = Window.partitionBy("key", "id")
+        own = own.withColumn("n", F.count("*").over(node)).withColumn("place", F.row_number().over(node.orderBy(F.col("ins") + F.col("outs"), "x")))
+        need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("least")) / 2 - 1e-6))
+        return own.where(F.col("place") <= F.col("n") - need + 1).select("key", "x", "id", "root", "size", "excess", "n")
+
+    outer = first(True, True)
+    met = [(first(False, True), first(True, False)), (outer, outer)]
+    close = (F.col("root") != F.col("o_root")) & alike & ((F.col("excess") + F.col("o_excess")) / 2 <= F.least("n", "o_n") + 1e-6)
+    found = [a.join(b.withColumnsRenamed({c: f"o_{c}" for c in b.columns if c not in ("key", "x")}), ["key", "x"]).where(close).select("id", "o_id") for a, b in met]
+    return found[0].unionByName(found[1])
+
+
 def similar_roots(index: DataFrame, sets: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
     """id and root of each node of index (id, size, key), the same for all that are reachable by pairs of `similar` or more that share a key.
 
     STARS times every node is compared with one node, the first of all its buckets in an order of the round, which makes
-    one component of most large groups. Then all pairs of different components are compared: only nodes outside a bucket's largest component are
-    paired with the rest of it, so that a large group costs its own size and not the square.
+    one component of most large groups. Then all pairs of different components are compared: only nodes outside a
+    bucket's largest component are paired with the rest of it, and where these are more than WIDE, only with those that
+    they may be similar to by the differences of their sets from what is usual in the bucket. So a large group, with
+    many nodes near the threshold too, costs its own size and not the square.
     """
     nodes = index.select("id").distinct()
     roots = materialise(nodes.withColumn("root", F.col("id")), "roots")
-    for turn in range(STARS + 1):
+    alike = F.least("size", "o_size") >= similar * F.greatest("size", "o_size") - 1e-9
+
+    def linked_by(met: DataFrame) -> DataFrame:
+        pairs = materialise(met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
+        links = materialise(verified(materialise(likely(pairs, marks, similar), "likely"), sets, similar), "links")
+        return merged(roots, links)
+
+    for turn in range(STARS):
         live = index.join(roots, "id")
         mixed = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root", "size"), F.xxhash64("id", F.lit(turn))).alias("o")).where("low < high")
-        if turn < STARS:
-            met = live.join(mixed.select("key", F.col("o.id").alias("o_id"), F.col("o.root").alias("o_root"), F.col("o.size").alias("o_size")), "key")
-        else:
-            live = materialise(live.join(mixed.select("key"), "key"), "mixed")
-            most = live.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-            met = live.join(live.join(most, "key").where("root <> most").select("key", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("size").alias("o_size")), "key")
-        alike = F.least("size", "o_size") >= similar * F.greatest("size", "o_size") - 1e-9
+        met = live.join(mixed.select("key", F.col("o.id").alias("o_id"), F.col("o.root").alias("o_root"), F.col("o.size").alias("o_size")), "key")
         met = met.where((F.col("root") != F.col("o_root")) & alike)
-        if turn < STARS:
-            met = met.groupBy("id").agg(F.min_by("o_id", F.xxhash64("o_id", F.lit(turn))).alias("o_id"))
-        pairs = materialise(met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
-        links = materialise(verified(materialise(likely(pairs, marks, similar), "likely"), sets, similar), "links")
-        ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-        steps = contract(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        roots = materialise(rooted(roots.withColumnRenamed("root", "start"), steps, "start").select("id", "root"), "roots")
-    return roots
+        roots = linked_by(met.groupBy("id").agg(F.min_by("o_id", F.xxhash64("o_id", F.lit(turn))).alias("o_id")))
+
+    mixed = mixed_buckets(index, roots)
+    wide = materialise(profiles(mixed.where(F.col("outside") > WIDE), sets, similar), "wide")
+    deltas = not wide.isEmpty()
+    if deltas:
+        roots = merged(roots, sure_links(wide))
+        mixed = mixed_buckets(index, roots)
+    narrow = mixed.join(wide.select("key").distinct(), "key", "left_anti")
+    others = narrow.where("root <> most").select("key", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("size").alias("o_size"))
+    met = narrow.join(others, "key").where((F.col("root") != F.col("o_root")) & alike).select("id", "o_id")
+    if deltas:
+        met = met.unionByName(sharing(wide.join(mixed.select("key", "id", "size", "root", "most"), ["key", "id"]), alike))
+    return linked_by(met)
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, similar: float = SIMILAR) -> DataFrame:

@@ -675,6 +675,42 @@ def test_near_duplicates_come_from_fingerprint_groups_and_bands(spark):
     assert sorted(map(sorted, holders.values())) == [[1, 2, 3], [4, 5]]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_cloud_around_the_threshold_costs_no_square(spark, monkeypatch, seed):
+    """One bucket of near copies, half of them just too far from all others, edits that some share, other sets: every link is found by few pairs."""
+    r = random.Random(seed)
+    fresh = lambda: r.getrandbits(63)
+    base = [fresh() for _ in range(146)]
+    edits = [(r.randrange(140), [fresh() for _ in range(5)]) for _ in range(12)]
+    sets = [set(base)]
+    for _ in range(500):
+        own = list(base)
+        for _ in range(r.randint(1, 9)):
+            at, put = r.choice(edits) if r.random() < 0.15 else (r.randrange(140), [fresh() for _ in range(5)])
+            own[at : at + 5] = put
+        sets.append(set(own[: r.choice([146, 146, 140, 120])]))
+    for _ in range(30):
+        own = {fresh() for _ in range(r.randint(1, 200))}
+        sets += [own, own | {fresh() for _ in range(len(own) // r.randint(3, 6))}]
+    sets.append(set())
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if want[i] != want[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    met = []
+    likely = simhash_dedup.likely
+    monkeypatch.setattr(simhash_dedup, "likely", lambda pairs, marks, similar: met.append(pairs.count()) or likely(pairs, marks, similar))
+    rows = [(i, len(x), 1, sorted(x), simhash_dedup.band_keys(np.array(sorted(x), np.uint64))[1].view(np.int16).tolist() if x else [0] * 100) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, size long, key long, shingles array<long>, marks array<smallint>")
+    got = {x["id"]: x["root"] for x in simhash_dedup.similar_roots(df.select("id", "size", "key"), df.select("id", "shingles"), df.select("id", "marks"), 0.8).collect()}
+    groups = lambda label: sorted(sorted(i for i in range(len(sets)) if label[i] == x) for x in {*label})
+    assert 100 < len({*want}) and max(map(len, groups(want))) > 100
+    assert groups([got[i] for i in range(len(sets))]) == groups(want)
+    assert sum(met) < 20 * len(sets), met
+
+
 def test_likelihoods_in_numbers_and_in_logarithms_are_the_same():
     pieces = load_pieces(MODEL)
     lattice, logp = lm_scoring.PieceLattice(pieces), lm_scoring.vocabulary_logp(pieces)
