@@ -58,8 +58,8 @@ _HEAD = struct.Struct("<4sIQQQ")
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
-#: A worker keeps the ids of so many units, and of as many that it used before those; none is longer than UNIT characters.
-UNITS, UNIT = 1 << 18, 48
+#: A worker keeps the ids of so many units as Arrow columns and, by name, of half as many tokens, and of as many that it used before those; none is longer than UNIT characters.
+UNITS, UNIT = 1 << 19, 48
 _CUT, _BETWEEN, _LINES = re.compile(r"(?= \S)"), re.compile(r"\s (?=\s|\Z)"), re.compile(r"\n(?:(?=\s)|(?<=\s\n))")
 #: A word of Latin letters with ASCII punctuation after it, two tokens of the pre-tokenizer. Apostrophes may begin a suffix.
 _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)")
@@ -93,6 +93,8 @@ class Encoder:
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        #: Units with the numbers of their ids, when they were used last, and their ids one after the other.
+        self.units, self.sizes, self.used, self.body, self.turn = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"), 0
 
     def cut(self, text: str) -> str:
         """The text with a NUL between its units; one that has a NUL itself isn't cut."""
@@ -133,28 +135,49 @@ class Encoder:
                         found = self.token(word[1]) + self.token(end)
                     else:
                         found = self.model(_LETTERS[32] + u[1:] if u.isascii() and u[0] == " " else u.encode().decode("latin-1").translate(_LETTERS))
-                if len(u) <= UNIT:
+                    if len(u) <= UNIT and not (word and word[2]):
+                        known[u] = found
+                else:
                     known[u] = found
             out.append(found)
         for i, e in zip(others, self.library.encode_batch_fast([units[i] for i in others], add_special_tokens=False)):
             out[i] = array("I", e.ids).tobytes()
             if units[i] in known:
                 known[units[i]] = out[i]
-        if len(known) > UNITS:
+        if 2 * len(known) > UNITS:
             self.known, self.before = {}, known
         return out
 
+    def places(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct units, where their ids begin and how many they have in an array of ids; only units that aren't kept become Python's strings."""
+        held = pc.index_in(units, value_set=self.units)
+        new = held.is_null()
+        fresh = units.filter(new)
+        found = self.lookup(fresh.to_pylist())
+        at = held.fill_null(0).to_numpy().astype(np.int64)
+        at[new.to_numpy(zero_copy_only=False)] = len(self.units) + np.arange(len(fresh))
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found)) // 4])
+        starts, body = np.cumsum(sizes) - sizes, np.concatenate([self.body, np.frombuffer(b"".join(found), "<u4")])
+        self.turn += 1
+        used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        used[at] = self.turn
+        keep = np.concatenate([np.ones(len(self.units), bool), pc.less_equal(pc.utf8_length(fresh), UNIT).to_numpy(zero_copy_only=False)])
+        if keep.sum() > UNITS:
+            keep &= used > np.sort(used[keep])[-(UNITS // 2) - 1]
+        self.units, self.sizes, self.used = pa.concat_arrays([self.units, fresh]).filter(pa.array(keep)), sizes[keep], used[keep]
+        self.body = body if keep.all() else body[np.repeat(keep, sizes)]
+        return starts[at], sizes[at], body
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian 32-bit numbers."""
         whole = [i for i, t in enumerate(texts) if "\0" in t]
         cut = pc.split_pattern(pa.array(["" if "\0" in t else self.cut(t) for t in texts], pa.large_string()), "\0")
         units = cut.flatten().dictionary_encode()
-        found = self.lookup(units.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        body, at = np.frombuffer(b"".join(found), "<u4"), units.indices.to_numpy()
+        starts, sizes, body = self.places(units.dictionary)
+        at = units.indices.to_numpy()
         n = sizes[at]
         ends = np.cumsum(n)
-        ids = body[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = body[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy()].tolist()
         out = [ids[a:b].tobytes() + self.end for a, b in zip(bounds[:-1], bounds[1:])]
         for i in whole:

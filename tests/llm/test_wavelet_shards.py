@@ -33,6 +33,19 @@ def test_units_give_the_ids_of_whole_texts(monkeypatch, few):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == ids_of(texts)
 
 
+def test_only_units_that_are_not_kept_are_looked_up(monkeypatch):
+    """Kept units stay Arrow columns; the most recently used ones stay when there are too many, long ones never."""
+    monkeypatch.setattr(V, "UNITS", 400)
+    own, asked, lookup = V.Encoder(V.TOKENIZER), [], V.Encoder.lookup
+    monkeypatch.setattr(V.Encoder, "lookup", lambda self, units: asked.append(units) or lookup(self, units))
+    common, long = " ".join(f"common{i}," for i in range(100)), "x" * (V.UNIT + 1)
+    for i in range(20):
+        texts = [common, " ".join(f"own{i}x{j}" for j in range(90)), long]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == ids_of(texts)
+        assert len(own.units) <= 400 and own.sizes.sum() == len(own.body) and len(own.sizes) == len(own.used) == len(own.units)
+    assert all(len(units) == 91 and not any("common" in u for u in units) for units in asked[1:])
+
+
 def test_other_tokenizers_encode_whole_texts(tmp_path):
     library = Tokenizer.from_file(V.TOKENIZER)
     library.pre_tokenizer = ByteLevel(add_prefix_space=True)
