@@ -344,15 +344,16 @@ def sharing(wide: DataFrame, alike: Column) -> DataFrame:
     as many as it has that the others hold, less the least number asked for, and one.
     """
     rows = wide.withColumn("out", F.col("root") != F.col("most"))
-    least = rows.groupBy("key", "out").agg(F.min("excess").alias("least"))
-    rows = rows.select("key", "id", "root", "size", "excess", "out", F.explode("delta").alias("x"))
-    held = rows.groupBy("key", "x").agg(F.count_if("out").alias("outs"), F.count_if(~F.col("out")).alias("ins")).where("outs > 0 and ins + outs > 1")
-    rows = materialise(rows.join(held, ["key", "x"]), "elements")
+    least = rows.groupBy("key").agg(F.min(F.when(F.col("out"), F.col("excess"))).alias("least_out"), F.min(F.when(~F.col("out"), F.col("excess"))).alias("least_in"))
+    rows = rows.join(least, "key").select("key", "id", "root", "size", "excess", "out", "least_out", "least_in", F.explode("delta").alias("x"))
+    element = Window.partitionBy("key", "x")
+    held = rows.withColumn("outs", F.sum(F.col("out").cast("int")).over(element)).withColumn("ins", F.sum((~F.col("out")).cast("int")).over(element))
+    rows = materialise(held.where("outs > 0 and ins + outs > 1"), "elements")
 
     def first(out: bool, other: bool) -> DataFrame:
         """The first elements of the nodes in or outside the largest components that nodes on the other side hold."""
         both = F.col("outs" if other else "ins") > (1 if out and other else 0)
-        own = rows.where(F.col("out") == out).where(both).join(least.where(F.col("out") == other).select("key", "least"), "key")
+        own = rows.where(F.col("out") == out).where(both).withColumn("least", F.col("least_out" if other else "least_in"))
         node = Window.partitionBy("key", "id")
         own = own.withColumn("n", F.count("*").over(node)).withColumn("place", F.row_number().over(node.orderBy(F.col("ins") + F.col("outs"), "x")))
         need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("least")) / 2 - 1e-6))
