@@ -36,7 +36,7 @@ BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
 ROW_COST = 40.0
 #: The pipeline's near duplicates: least Jaccard similarity; minima in a band key, and band keys of a text.
 SIMILAR, BAND, BANDS = 0.8, 5, 20
-#: Rounds in which every node is compared with one other of its buckets; places that a node's pairs are dealt to.
+#: Nodes, one of its buckets' firsts in each of so many orders, that every node is compared with; places that a node's pairs are dealt to.
 STARS, SALTS = 4, 64
 #: Nodes outside a bucket's largest component that are paired with all of it; about how many nodes of a wider bucket say what is usual there.
 WIDE, USUAL = 16, 64
@@ -299,6 +299,8 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots (id, root) with the components that links (a, b) of their ids connect made one."""
     ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
     steps = contract(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if not steps:
+        return roots
     return materialise(rooted(roots.withColumnRenamed("root", "start"), steps, "start").select("id", "root"), "roots")
 
 
@@ -369,27 +371,25 @@ def sharing(wide: DataFrame, alike: Column) -> DataFrame:
 def similar_roots(index: DataFrame, sets: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
     """id and root of each node of index (id, size, key), the same for all that are reachable by pairs of `similar` or more that share a key.
 
-    STARS times every node is compared with one node, the first of all its buckets in an order of the round, which makes
-    one component of most large groups. Then all pairs of different components are compared: only nodes outside a
-    bucket's largest component are paired with the rest of it, and where these are more than WIDE, only with those that
-    they may be similar to by the differences of their sets from what is usual in the bucket. So a large group, with
-    many nodes near the threshold too, costs its own size and not the square.
+    At first every node is compared with one node in each of STARS orders, the first in it of one of its buckets, which
+    makes one component of most large groups. All orders are taken in one query, as a plan an order fills the driver.
+    Then all pairs of different components are compared: only nodes outside a bucket's largest component are paired with
+    the rest of it, and where these are more than WIDE, only with those that they may be similar to by the differences
+    of their sets from what is usual in the bucket. So a large group, with many nodes near the threshold too, costs its
+    own size and not the square.
     """
-    nodes = index.select("id").distinct()
-    roots = materialise(nodes.withColumn("root", F.col("id")), "roots")
     alike = F.least("size", "o_size") >= similar * F.greatest("size", "o_size") - 1e-9
 
-    def linked_by(met: DataFrame) -> DataFrame:
+    def links(met: DataFrame) -> DataFrame:
         pairs = materialise(met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
-        links = materialise(verified(materialise(likely(pairs, marks, similar), "likely"), sets, similar), "links")
-        return merged(roots, links)
+        return materialise(verified(materialise(likely(pairs, marks, similar), "likely"), sets, similar), "links")
 
-    for turn in range(STARS):
-        live = index.join(roots, "id")
-        mixed = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root", "size"), F.xxhash64("id", F.lit(turn))).alias("o")).where("low < high")
-        met = live.join(mixed.select("key", F.col("o.id").alias("o_id"), F.col("o.root").alias("o_root"), F.col("o.size").alias("o_size")), "key")
-        met = met.where((F.col("root") != F.col("o_root")) & alike)
-        roots = linked_by(met.groupBy("id").agg(F.min_by("o_id", F.xxhash64("o_id", F.lit(turn))).alias("o_id")))
+    first = [F.min_by(F.struct("id", "size"), F.xxhash64("id", F.lit(turn))).alias(f"o{turn}") for turn in range(STARS)]
+    beside = index.withColumnRenamed("size", "own").join(index.groupBy("key").agg(*first), "key")
+    fit = lambda o: (F.col("id") != F.col(f"{o}.id")) & (F.least("own", f"{o}.size") >= similar * F.greatest("own", f"{o}.size") - 1e-9)
+    chosen = [F.min_by(f"{o}.id", F.when(fit(o), F.xxhash64(f"{o}.id", F.lit(turn)))).alias(o) for turn, o in enumerate(f"o{t}" for t in range(STARS))]
+    met = beside.groupBy("id").agg(*chosen).select("id", F.explode(F.array_compact(F.array(*[f"o{turn}" for turn in range(STARS)]))).alias("o_id"))
+    roots = materialise(rooted(index.select("id").distinct(), contract(links(met)), "id"), "roots")
 
     mixed = mixed_buckets(index, roots)
     wide = materialise(profiles(mixed.where(F.col("outside") > WIDE), sets, similar), "wide")
@@ -402,7 +402,7 @@ def similar_roots(index: DataFrame, sets: DataFrame, marks: DataFrame, similar:
     met = narrow.join(others, "key").where((F.col("root") != F.col("o_root")) & alike).select("id", "o_id")
     if deltas:
         met = met.unionByName(sharing(wide.join(mixed.select("key", "id", "size", "root", "most"), ["key", "id"]), alike))
-    return linked_by(met)
+    return merged(roots, links(met))
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, similar: float = SIMILAR) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, encoding, fingerprints, licenses, lm_scoring, quality, queries, resharding, simhash_dedup, suffix_dedup, wrappers
+from tessera.llm import components, decontamination, encoding, fingerprints, licenses, lm_scoring, quality, queries, resharding, simhash_dedup, suffix_dedup, wrappers
 from tessera.llm.pieces import MODEL, Pieces, load_pieces
 
 ODD = [None, "", " \n ", "a", "a", "Ab ab AB " * 4000, "é ü ñ \U0001f600 日本 ▁x", "x" * 3000, "The quick brown fox jumps over the lazy dog.\n" * 3, "\t\x0b\x0c"]
@@ -637,6 +637,23 @@ def test_linking_finds_every_link(spark, radius):
     assert [got[i] for i in range(len(values))] == brute_components(values, radius)
 
 
+@pytest.mark.parametrize("few", [0, 100, 10_000])
+def test_components_by_joins_and_in_one_task(spark, few):
+    r = random.Random(few)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(r.randrange(400, 900), r.randrange(400, 900)) for _ in range(220)] + [(-5, -7), (-7, -5), (3, 3), (-9, -9)]
+    nodes = sorted({x for e in edges for x in e} | {1000, -(1 << 63), (1 << 63) - 1})
+    edges += [(-(1 << 63), (1 << 63) - 1)]
+    want = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    rounds = components.contract(spark.createDataFrame(edges, "a long, b long"), few)
+    assert (few < 10_000) == (len(rounds) > 1)
+    got = components.rooted(spark.createDataFrame([(x,) for x in nodes], "id long"), rounds, "id").collect()
+    assert {x["id"]: x["root"] for x in got} == want
+    assert components.contract(spark.createDataFrame([(1, 1)], "a long, b long"), few) == []
+
+
 def test_near_duplicates_are_pairs_of_the_jaccard_similarity(spark, documents):
     r = random.Random(12)
     word = lambda: "".join(r.choice("bcdfgaeiou") for _ in range(7))

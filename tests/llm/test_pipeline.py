@@ -97,3 +97,18 @@ def test_held_out_accuracy(spark, sf_dir):
     assert len(own) > 5 and sum(own) / len(own) > 0.9
     scores = [x["score"] for x in rows]
     assert all(0 <= s <= 1 for s in scores)
+
+
+def test_near_duplicates_take_few_queries(spark, documents, monkeypatch):
+    """The driver's memory grows with the queries that it plans, their broadcasts and threads, however small their tables are."""
+    from tessera import staging
+    from tessera.llm import components
+
+    r = random.Random(8)
+    base = [sentence(r, 80).split() for _ in range(40)]
+    texts = [" ".join(f"new{r.random()}" if r.random() < 0.02 else w for w in b) for b in base for _ in range(6)]
+    made = []
+    for module in (simhash_dedup, components):
+        monkeypatch.setattr(module, "materialise", lambda df, name: made.append(name) or staging.materialise(df, name))
+    assert 40 <= simhash_dedup.without_near_duplicates(documents(texts)).count() < len(texts)
+    assert len(made) <= 26, made
