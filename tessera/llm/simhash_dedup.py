@@ -311,14 +311,29 @@ def mixed_buckets(index: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(live.join(most.where("outside > 0"), "key"), "mixed")
 
 
+def regrouped(mixed: DataFrame) -> DataFrame:
+    """The index (id, size, key, wide) of the buckets in mixed; those with more than WIDE nodes outside are wide, and of these, such as overlap are one.
+
+    A large group fills up to BANDS + 1 buckets a node; its nodes are so compared once and not in each. A bucket joins
+    the one that is the widest of most of its nodes, and goes with that where it joins another. Buckets move whole, so
+    no pair is lost.
+    """
+    wide = mixed.where(F.col("outside") > WIDE)
+    widest = F.max(F.struct("nodes", "key")).over(Window.partitionBy("id"))["key"]
+    homes = wide.select("key", widest.alias("home")).groupBy("key", "home").count().groupBy("key").agg(F.max_by("home", F.struct("count", "home")).alias("home"))
+    homes = homes.join(homes.select(F.col("key").alias("home"), F.col("home").alias("group")), "home").select("key", "group")
+    return mixed.join(homes, "key", "left").select("id", "size", F.coalesce("group", "key").alias("key"), F.col("group").isNotNull().alias("wide")).distinct()
+
+
 def profiles(rows: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The rows (key, id, nodes) with delta, the symmetric difference of the node's set A and a set C of its bucket, and excess, |delta| - d |A| with d = (1 - similar) / (1 + similar).
+    """The rows (key, id) with delta, the symmetric difference of the node's set A and a set C of its bucket, and excess, |delta| - d |A| with d = (1 - similar) / (1 + similar).
 
     A and B are similar if their symmetric difference has at most d (|A| + |B|) elements; it has |delta A| + |delta B|
     less twice those that both deltas hold. So they need (excess A + excess B) / 2 common elements of their deltas,
     and none if that isn't above 0. This holds for any C; here it is what over half of some USUAL nodes have.
     """
-    held = rows.select("key", "id", "nodes").join(sets, "id")
+    rows = rows.select("key", "id")
+    held = rows.join(rows.groupBy("key").agg(F.count("*").alias("nodes")), "key").join(sets, "id")
     some = held.where(F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("nodes") / USUAL)) == 0)
     enough = some.groupBy("key").count()
     usual = some.select("key", F.explode("shingles").alias("x")).groupBy("key", "x").agg(F.count("*").alias("n")).join(enough, "key").where("2 * n > count")
@@ -376,7 +391,7 @@ def similar_roots(index: DataFrame, sets: DataFrame, marks: DataFrame, similar:
     Then all pairs of different components are compared: only nodes outside a bucket's largest component are paired with
     the rest of it, and where these are more than WIDE, only with those that they may be similar to by the differences
     of their sets from what is usual in the bucket. So a large group, with many nodes near the threshold too, costs its
-    own size and not the square.
+    own size and not the square, and not that times the buckets that it fills, as these are made one.
     """
     alike = F.least("size", "o_size") >= similar * F.greatest("size", "o_size") - 1e-9
 
@@ -392,16 +407,17 @@ def similar_roots(index: DataFrame, sets: DataFrame, marks: DataFrame, similar:
     roots = materialise(rooted(index.select("id").distinct(), contract(links(met)), "id"), "roots")
 
     mixed = mixed_buckets(index, roots)
-    wide = materialise(profiles(mixed.where(F.col("outside") > WIDE), sets, similar), "wide")
-    deltas = not wide.isEmpty()
+    narrow, deltas = mixed, not mixed.where(F.col("outside") > WIDE).isEmpty()
     if deltas:
+        index = materialise(regrouped(mixed), "regrouped")
+        wide = materialise(profiles(index.where("wide"), sets, similar), "wide")
         roots = merged(roots, sure_links(wide))
         mixed = mixed_buckets(index, roots)
-    narrow = mixed.join(wide.select("key").distinct(), "key", "left_anti")
+        narrow = mixed.where(~F.col("wide"))
     others = narrow.where("root <> most").select("key", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("size").alias("o_size"))
     met = narrow.join(others, "key").where((F.col("root") != F.col("o_root")) & alike).select("id", "o_id")
     if deltas:
-        met = met.unionByName(sharing(wide.join(mixed.select("key", "id", "size", "root", "most"), ["key", "id"]), alike))
+        met = met.unionByName(sharing(wide.join(mixed.where("wide").select("key", "id", "size", "root", "most"), ["key", "id"]), alike))
     return merged(roots, links(met))
 
 

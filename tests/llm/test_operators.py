@@ -728,6 +728,43 @@ def test_a_cloud_around_the_threshold_costs_no_square(spark, monkeypatch, seed):
     assert sum(met) < 20 * len(sets), met
 
 
+@pytest.mark.parametrize("nodes", [200, 400])
+def test_a_cloud_in_many_buckets_is_compared_once(spark, monkeypatch, nodes):
+    """Near copies fill up to 20 band buckets and a group each; their differences are written once and not in each bucket, and every link is found."""
+    r = random.Random(nodes)
+    fresh = lambda: r.getrandbits(63)
+    sets = []
+    for n, edits in [(nodes, 9), *[(12, 8)] * 20]:
+        base = [fresh() for _ in range(146)]
+        for _ in range(n):
+            own = list(base)
+            for _ in range(r.randint(1, edits)):
+                at = r.randrange(140)
+                own[at : at + 5] = [fresh() for _ in range(5)]
+            sets.append(set(own))
+    arrays = [np.array(sorted(x), np.uint64) for x in sets]
+    held = [simhash_dedup.band_keys(x) for x in arrays]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if want[i] != want[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    made = {}
+    keep = simhash_dedup.materialise
+    monkeypatch.setattr(simhash_dedup, "materialise", lambda df, name: made.setdefault(name, []).append(out := keep(df, name)) or out)
+    rows = [(i, len(x), [*keys.view(np.int64).tolist(), 7 if i < nodes else i // 12], x.view(np.int64).tolist(), marks.view(np.int16).tolist()) for i, (x, (keys, marks)) in enumerate(zip(arrays, held))]
+    df = spark.createDataFrame(rows, "id long, size long, keys array<long>, shingles array<long>, marks array<smallint>")
+    index = df.selectExpr("id", "size", "explode(keys) AS key")
+    got = {x["id"]: x["root"] for x in simhash_dedup.similar_roots(index, df.select("id", "shingles"), df.select("id", "marks"), 0.8).collect()}
+    groups = lambda label: sorted(sorted(i for i in range(len(sets)) if label[i] == x) for x in {*label})
+    assert groups([got[i] for i in range(len(sets))]) == groups(want) and 20 < len({*want}) < len(sets) - nodes // 4
+    buckets = Counter(x["key"] for x in index.collect())
+    assert sum(n > nodes // 10 for n in buckets.values()) > 10
+    wide = made["wide"][0].selectExpr("count(*)", "count(DISTINCT id)", "sum(size(delta))").first()
+    assert nodes // 2 < wide[1] <= wide[0] <= 1.2 * nodes and wide[2] <= 100 * nodes, wide
+
+
 def test_likelihoods_in_numbers_and_in_logarithms_are_the_same():
     pieces = load_pieces(MODEL)
     lattice, logp = lm_scoring.PieceLattice(pieces), lm_scoring.vocabulary_logp(pieces)
