@@ -35,10 +35,13 @@ def chunk_windows(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
     return out.withColumn("chunk_id", chunk_id(F.col("source"), F.col("page"), F.col("content")))
 
 
-def exact_duplicates(chunks: DataFrame) -> DataFrame:
-    """The chunks of each (source, page, content) but one: the one with the canonical id, else the smallest id."""
-    canonical = F.col("chunk_id") == chunk_id(F.col("source"), F.col("page"), F.col("content"))
-    order = Window.partitionBy("source", "page", F.sha2("content", 256)).orderBy(canonical.desc(), "chunk_id")
+def exact_duplicates(chunks: DataFrame, *ties: Column | str) -> DataFrame:
+    """The chunks of each (source, page, content) but one: the one with the canonical id, else the smallest id.
+
+    Copies of one canonical id are told apart by `ties` alone. The canonical id of a null content is null.
+    """
+    canonical = F.col("chunk_id").eqNullSafe(chunk_id(F.col("source"), F.col("page"), F.col("content")))
+    order = Window.partitionBy("source", "page", F.sha2("content", 256)).orderBy(canonical.desc(), F.col("chunk_id").asc_nulls_last(), *ties)
     return chunks.withColumn("_n", F.row_number().over(order)).where("_n > 1").drop("_n")
 
 

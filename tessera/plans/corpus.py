@@ -176,7 +176,7 @@ QUERIES = {
     "coverage_report": lambda s, d: C.coverage_report(pages(s, d)),
     "chunk_ids": lambda s, d: pages(s, d).select("page", C.chunk_id(F.col("source"), F.col("page"), F.col("text")).alias("chunk_id")),
     "chunk_windows": lambda s, d: C.chunk_windows(pages(s, d)).select("page", "chunk_no", "chunk_id", F.length("content").alias("n_chars")),
-    "exact_duplicates": lambda s, d: C.exact_duplicates(copies(s, d)).select("doc_id"),
+    "exact_duplicates": lambda s, d: C.exact_duplicates(copies(s, d), F.col("doc_id").cast("string")).select("doc_id"),
     "contained_tails": lambda s, d: C.contained_tails(with_tails(s, d)).select("page", "chunk_id"),
     "upsert_chunks": lambda s, d: C.upsert(index(s, d), batch(s, d)),
     "replace_sources": lambda s, d: C.replace_sources(index(s, d), batch(s, d).where("chunk_id % 2 = 0").withColumn("source", F.concat("source", F.lit("b")))),

@@ -1,11 +1,13 @@
 import datetime
 
+import duckdb
 import pytest
 
 from tessera.functions import text as X
 from tessera.operators import corpus as C
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
+from tessera.plans import corpus as Q
 from tessera.sources import providers as P
 from tessera.sources import specs as S
 
@@ -106,6 +108,16 @@ def test_duplicates_and_replacement(spark):
     assert C.emptied(chunks).count() == 0 and C.migrated(C.migrated(chunks, moved), moved).count() == 4
 
 
+def test_the_first_of_canonical_copies_stays(spark, tmp_path):
+    """Ids by the order of their digits, ids divisible by three before others, as in the SQL; nulls are a text too."""
+    rows = [(i, text, lang) for text, lang in (("same", "en"), (None, "en"), ("same", None), (None, None)) for i in (30, 12, 100, 3, 7, 24, 5)]
+    rows = [(i + 300 * n, text, lang) for n, (i, text, lang) in enumerate(rows)] + [(1, "other", "en"), (20, "other", "en"), (11, "other", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = Q.ORACLE["exact_duplicates"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(r["doc_id"] for r in Q.QUERIES["exact_duplicates"](spark, str(tmp_path)).collect()) == sorted(r[0] for r in duckdb.sql(sql).fetchall())
+
+
 def test_retrieval_order(spark):
     hits = spark.createDataFrame([(0, i, "a", p, s, r) for i, p, s, r in ((1, 1, 0.9, 1), (2, 1, 0.8, 2), (3, 2, 0.7, 3), (4, 3, 0.1, 4))], "query_id int, chunk_id int, source string, page int, similarity double, rank int")
     got = [(r["chunk_id"], r["rank"]) for r in R.retrieve(hits, 3, 0.35, score=R.F.col("chunk_id") * 1.0, head=2).orderBy("rank").collect()]
