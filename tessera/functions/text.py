@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -204,11 +205,17 @@ def grounding(answer: Column, sources: Column) -> Column:
 
 
 _WORD = re.compile(r"\w+")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+@lru_cache(1 << 16)
+def _bare(run: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", run) if not unicodedata.combining(c))
 
 
 def tokens_of(text: str | None) -> list[str]:
     """Lower-case words without accents: compatibility forms are taken apart and combining marks dropped."""
     low = (text or "").lower()
-    if not low.isascii():
-        low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+    if not low.isascii():  # forms are taken apart character by character, and only marks, which go, change places
+        low = _NOT_ASCII.sub(lambda m: _bare(m[0]) if len(m[0]) < 8 else _bare.__wrapped__(m[0]), low)
     return _WORD.findall(low)

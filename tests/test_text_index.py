@@ -1,10 +1,13 @@
 """The inverted index gives the rows of the exact BM25 and leaves out blocks that can't matter."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.text import tokens_of
 from tessera.operators import retrieval as R
 from tessera.operators import text_index as I
 
@@ -76,3 +79,32 @@ def test_empty_corpus(docs, queries, tmp_path):
     assert I.search_text(queries, index, 3).count() == 0
     index = I.build_text_index(docs.limit(3), str(tmp_path / "few"))
     assert I.search_text(queries.limit(0), index, 3).count() == 0
+
+
+def test_a_term_has_one_row_a_span(spark, index, docs):
+    """Rows and what leaves a span grow with spans, not with blocks and documents."""
+    rows = index.read(spark, "postings").where("term IS NOT NULL")
+    spans = -(-index.facts(spark)[2] // I.SPAN_BLOCKS)
+    assert rows.groupBy("term", "span").count().where("count > 1").count() == 0
+    assert rows.count() <= spans * rows.select("term").distinct().count()
+    terms = docs.select(F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
+    assert rows.agg(F.sum("n"), F.sum(F.size("heads") + F.size("docs"))).first()[:] == (terms.count(),) * 2
+
+
+def test_only_the_best_of_a_span_leave_it(spark, index, docs, queries):
+    weighted = I.weights(queries, index)
+    found = I.scored(I.bounds(weighted, index), weighted, index, 3)
+    exact = R.bm25(queries, docs, 10**6)
+    blocks = index.facts(spark)[2]
+    ranks = exact.withColumn("span", F.expr(f"pmod(xxhash64(chunk_id), {blocks}) div {I.SPAN_BLOCKS}")).selectExpr("query_id", "chunk_id", "score", "rank() OVER (PARTITION BY query_id, span ORDER BY score DESC) AS r")
+    want = sorted((r["query_id"], r["chunk_id"], round(r["score"], 7)) for r in ranks.where("r <= 3").collect())
+    assert sorted((r["query_id"], r["chunk_id"], round(r["score"], 7)) for r in found.collect()) == want
+
+
+def test_words_of_other_scripts():
+    plain = lambda text: re.findall(r"\w+", "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)))
+    r = random.Random(8)
+    letters = "aZ_9 .éÉçßİﬁ½²…Ａ̧́ͅ한글漢字かがｶﾞ゙ไทยัक़़أٔ𝒳‍ ẛ̣"
+    for n in range(3000):
+        text = "".join(r.choices(letters, k=r.randint(0, 30)))
+        assert tokens_of(text) == plain(text), text
