@@ -108,3 +108,11 @@ def test_words_of_other_scripts():
     for n in range(3000):
         text = "".join(r.choices(letters, k=r.randint(0, 30)))
         assert tokens_of(text) == plain(text), text
+
+
+def test_many_queries_of_common_words(spark, index, docs):
+    """As in hybrid_pools: queries are documents, and their number grows with the corpus; no row for every posting and query is made."""
+    q = docs.where("chunk_id LIKE 'd%'").selectExpr("chunk_id AS query_id", "text").orderBy("query_id").limit(I.QUERIES_AT_ONCE + 50).cache()
+    found = I.search_text(q, index, 21)
+    assert of(found) == of(R.bm25(q, docs, 21))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
