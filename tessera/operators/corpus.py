@@ -13,6 +13,8 @@ from tessera.staging import materialise
 
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
 WINDOW = 16
+#: Chunks and characters of a page whose contents are compared with each other as they stand.
+PAGE_CHUNKS, PAGE_CHARS = 64, 1 << 20
 
 
 def chunk_id(source: Column, page: Column, text: Column) -> Column:
@@ -28,8 +30,9 @@ def chunk_windows(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
     full = F.when(n < size, 0).otherwise(F.floor((n - size) / step) + 1).cast("int")
     rest = n - F.col("full") * step
     tail = (rest > F.when(F.col("full") > 0, overlap).otherwise(0)).cast("int")
-    counted = pages.withColumn("words", words).withColumn("full", full).withColumn("n", F.col("full") + tail)
-    spread = counted.where("n > 0").select("source", "page", "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_no"))
+    some = pages.where(F.col("text").rlike(r"(?U)\S"))  # n > 0 says the same, but would split each text several times more
+    counted = some.withColumn("words", words).withColumn("full", full).withColumn("n", F.col("full") + tail)
+    spread = counted.select("source", "page", "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_no"))
     text = F.array_join(F.slice("words", F.col("chunk_no") * step + 1, F.lit(size)), " ")
     out = spread.select("source", "page", "chunk_no", text.alias("content"))
     return out.withColumn("chunk_id", chunk_id(F.col("source"), F.col("page"), F.col("content")))
@@ -46,7 +49,32 @@ def exact_duplicates(chunks: DataFrame, *ties: Column | str) -> DataFrame:
 
 
 def contained_tails(chunks: DataFrame, most_words: int | None = None) -> DataFrame:
-    """Chunks whose content a longer chunk of the same (source, page) contains.
+    """Chunks whose content a longer chunk of the same (source, page) contains. With most_words only contents of so many words.
+
+    Pages of up to PAGE_CHUNKS chunks and PAGE_CHARS characters meet in one row, so their contents are exchanged once;
+    the chunks of larger pages are found by their rarest grams.
+    """
+    same = ["source", "page"]
+    whole = chunks.where("source IS NOT NULL AND page IS NOT NULL")  # null pages have no tails
+    sizes = whole.groupBy(*same).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+    large = materialise(sizes.where((F.col("n") > PAGE_CHUNKS) | (F.col("chars") > PAGE_CHARS)).select(*same), "large-pages")
+    if large.isEmpty():
+        return contained_by_page(whole, most_words)
+    found = contained_by_page(whole.join(large, same, "left_anti"), most_words).unionByName(contained_by_grams(whole.join(large, same, "left_semi"), most_words))
+    return found.select(*chunks.columns)
+
+
+def contained_by_page(chunks: DataFrame, most_words: int | None = None) -> DataFrame:
+    """contained_tails() where all chunks of a page meet in one row."""
+    few = lambda c: F.size(F.split(c, r"(?U)\s+")) <= most_words if most_words else F.lit(True)
+    inside = lambda c: lambda o: (F.length(o["content"]) > F.length(c)) & o["content"].contains(c)
+    met = chunks.groupBy("source", "page").agg(F.collect_list(F.struct(*chunks.columns)).alias("_all")).where(F.size("_all") > 1)  # PAGE_CHUNKS at most
+    found = F.filter("_all", lambda r: (F.length(r["content"]) > 0) & few(r["content"]) & F.exists("_all", inside(r["content"])))
+    return met.select(F.explode_outer(found).alias("_r")).where("_r IS NOT NULL").select("_r.*")  # explode() alone would have Spark filter by the size of `found` first, and find twice
+
+
+def contained_by_grams(chunks: DataFrame, most_words: int | None = None) -> DataFrame:
+    """contained_tails() for pages of any size.
 
     The inner words of a content (all but the first and the last) stand whole in whatever contains it, so a longer chunk
     must have any three of them in a row, one where there are fewer, and of contents without inner words any four

@@ -97,3 +97,24 @@ def test_contained_tails_of_all_kinds(spark):
     want = sorted(k for k, (s, p, c, _) in content.items() if c and s and any(s == t and p == q and d and len(d) > len(c) and c in d for t, q, d, _ in rows))
     assert sorted(r["chunk_id"] for r in C.contained_tails(chunks).collect()) == want
     assert sorted(r["chunk_id"] for r in C.contained_tails(chunks, 2).collect()) == [k for k in want if len(content[k][2].split()) <= 2]
+
+
+def test_small_and_large_pages_have_the_same_tails(spark, monkeypatch):
+    """Pages of few chunks are compared in one row, others by their grams; a page may be large by its characters too."""
+    r = random.Random(9)
+    rows = []
+    for page in range(12):
+        words = [r.choice("ab cd ef gh ij kl mn op".split()) for _ in range(60)]
+        rows.append(("s", page, " ".join(words), f"{page}"))
+        rows += [("s", page, " ".join(words[at : at + r.choice((1, 4, 25))]), f"{page}-{at}") for at in r.sample(range(30), page)]
+        rows += [("s", page, " ".join(words[::-1][:20]), f"{page} back"), ("s", page, None, f"{page} null"), (None, page, "ab", f"{page} no source")]
+    chunks = spark.createDataFrame(rows, "source string, page int, content string, chunk_id string").repartition(3)
+    want = sorted(k for s, p, c, k in rows if c and s and any(s == t and p == q and d and len(d) > len(c) and c in d for t, q, d, _ in rows))
+    for most, chars in ((64, 1 << 20), (6, 1 << 20), (64, 500), (1, 1)):
+        monkeypatch.setattr(C, "PAGE_CHUNKS", most)
+        monkeypatch.setattr(C, "PAGE_CHARS", chars)
+        assert sorted(x["chunk_id"] for x in C.contained_tails(chunks).collect()) == want
+    monkeypatch.setattr(C, "PAGE_CHUNKS", 64)
+    monkeypatch.setattr(C, "PAGE_CHARS", 1 << 20)
+    plan = C.contained_tails(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1  # contents go to their page once, and nothing else
